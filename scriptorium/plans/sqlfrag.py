@@ -73,3 +73,25 @@ def pack_cte(parts_table: str, key: str, max_tokens: int) -> str:
              CASE WHEN r.cur + q.n > {max_tokens} THEN q.n ELSE r.cur + q.n END
       FROM packed r JOIN {parts_table} q ON q.{key} = r.{key} AND q.pos = r.pos + 1
     )"""
+
+
+def D(x: float) -> str:
+    """DOUBLE literal parsed from its shortest repr (DuckDB decimal literals are exact
+    decimals, so arithmetic would not follow IEEE double order otherwise)."""
+    return f"'{float(x)!r}'::DOUBLE"
+
+
+def strip_punct(x: str) -> str:
+    return f"regexp_replace({x}, {q(T.PUNCT_STRIP_PATTERN)}, '', 'g')"
+
+
+def str_list(items) -> str:
+    return "[" + ", ".join(q(i) for i in items) + "]"
+
+
+PAIRS_CTE = """pairs AS (
+      SELECT conv_id, CAST(turn // 2 AS BIGINT) AS pair_no,
+             max(text) FILTER (WHERE turn % 2 = 0) AS instruction,
+             max(text) FILTER (WHERE turn % 2 = 1) AS output
+      FROM conversations GROUP BY conv_id, turn // 2 HAVING count(*) = 2
+    )"""
