@@ -84,7 +84,12 @@ def q_split_oversize(spark, sf_dir):
     )
 
 
-def _pack_sql(max_tokens: int, numbered: bool) -> str:
+def chunks_cte(max_tokens: int) -> str:
+    """``WITH RECURSIVE ... chunks(doc_id, chunk_no, text, token_count_estimate)`` head."""
+    return _pack_sql(max_tokens, numbered=None)
+
+
+def _pack_sql(max_tokens: int, numbered: bool | None) -> str:
     parts = S.parts(S.units(S.clean_text("text")), max_tokens)
     head = f"""
     WITH RECURSIVE
@@ -101,6 +106,8 @@ def _pack_sql(max_tokens: int, numbered: bool) -> str:
       FROM flat f JOIN packed k ON k.doc_id = f.doc_id AND k.pos = f.pos
       GROUP BY f.doc_id, k.chunk_no
     )"""
+    if numbered is None:
+        return head
     if numbered:
         return head + """
     SELECT text, doc_id AS source_document,
