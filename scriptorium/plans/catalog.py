@@ -32,4 +32,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # Import the query modules so that they register themselves.
-from . import q_chunking, q_instruct, q_scores, q_synth, q_tokens  # noqa: E402,F401
+from . import q_chunking, q_instruct, q_io, q_scores, q_synth, q_tokens  # noqa: E402,F401
