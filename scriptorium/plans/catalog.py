@@ -1,35 +1,11 @@
 """Registered queries: each maps the driver's tables to one operator of the inventory.
 
-``QUERIES[name] = (builder(spark, sf_dir) -> DataFrame, oracle_sql or None)``. Oracle SQL
-is DuckDB SQL over the same parquet tables (pre-registered as views); it is written as an
-independent formulation (e.g. a recursive CTE for greedy packing) and aliases every
-column to the Spark names.
+Oracle SQL is DuckDB SQL over the same parquet tables (pre-registered as views); it is
+written as an independent formulation (e.g. a recursive CTE for greedy packing) and
+aliases every column to the Spark names. Queries without SQL are checked rows-only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from . import sqlfrag as S
-
-Builder = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, tuple[Builder, str | None]] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn: Builder) -> Builder:
-        QUERIES[name] = (fn, sql)
-        return fn
-
-    return deco
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-# Import the query modules so that they register themselves.
-from . import q_chunking, q_instruct, q_io, q_scores, q_synth, q_tokens  # noqa: E402,F401
+from . import q_chunking, q_instruct, q_io, q_scores, q_synth, q_tokens  # noqa: F401
+from .registry import QUERIES, Builder, register, table  # noqa: F401

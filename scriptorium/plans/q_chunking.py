@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking as C
 from . import sqlfrag as S
-from .catalog import register, table
+from .registry import register, table
 
 CORPUS_MAX = 128
 PACK_MAX = 64

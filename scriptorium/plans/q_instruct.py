@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import reshape as RS
 from ..operators import synth as SY
 from . import sqlfrag as S
-from .catalog import register, table
+from .registry import register, table
 from .sqlfrag import D, PAIRS_CTE
 
 LANG = "english"

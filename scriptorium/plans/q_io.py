@@ -20,7 +20,7 @@ from ..sources import readers as RD
 from ..sources import sinks as SK
 from ..streaming.incremental import incremental_run
 from . import sqlfrag as S
-from .catalog import register, table
+from .registry import register, table
 from .q_synth import CHUNKS_SQL
 
 BATCH = 64

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import rewards as R
 from ..functions import scores as SC
 from . import sqlfrag as S
-from .catalog import register, table
+from .registry import register, table
 from .sqlfrag import D
 
 THRESHOLD = 0.55

@@ -11,7 +11,7 @@ from ..operators import chunking as C
 from ..operators import resume as RES
 from ..operators import synth as SY
 from . import sqlfrag as S
-from .catalog import register, table
+from .registry import register, table
 from .q_chunking import chunks_cte
 
 CHUNK_MAX = 128

@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..operators import bpe as B
 from ..operators import mlm as M
 from . import sqlfrag as S
-from .catalog import register, table
+from .registry import register, table
 
 WORD_RE_SQL = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+"
 SPECIALS = B.DEFAULT_SPECIALS
