@@ -170,3 +170,22 @@ def q_train_bpe(spark, sf_dir):
 )
 def q_build_vocab(spark, sf_dir):
     return B.build_vocab(spark, _char_model(spark, sf_dir))
+
+
+@register(
+    "corpus_stats",
+    f"""SELECT count(*) AS total_words,
+           count(*) FILTER (WHERE regexp_matches(w, {S.q(r"[\x{600}-\x{6ff}]")}) AND regexp_matches(w, {S.q(r"[\x{64b}-\x{652}]")})) AS vocalised_words,
+           count(*) FILTER (WHERE NOT regexp_matches(w, {S.q(r"[\x{600}-\x{6ff}]")})) AS other_words,
+           count(DISTINCT CASE WHEN regexp_matches(w, {S.q(r"[\x{600}-\x{6ff}]")}) THEN regexp_replace(w, {S.q(r"[\x{64b}-\x{652}]")}, '', 'g') END) AS unique_unvocalised,
+           count(DISTINCT CASE WHEN regexp_matches(w, {S.q(r"[\x{600}-\x{6ff}]")}) AND regexp_matches(w, {S.q(r"[\x{64b}-\x{652}]")}) THEN w END) AS unique_vocalised,
+           round(CAST(count(DISTINCT CASE WHEN regexp_matches(w, {S.q(r"[\x{600}-\x{6ff}]")}) AND regexp_matches(w, {S.q(r"[\x{64b}-\x{652}]")}) THEN w END) AS DOUBLE)
+                 / nullif(count(DISTINCT CASE WHEN regexp_matches(w, {S.q(r"[\x{600}-\x{6ff}]")}) THEN regexp_replace(w, {S.q(r"[\x{64b}-\x{652}]")}, '', 'g') END), 0), 6) AS avg_vocalisations
+        FROM (SELECT unnest({S.words('text')}) AS w FROM documents)""",
+)
+def q_corpus_stats(spark, sf_dir):
+    """Documented-only metric (dataset card); the driver's documents hold no Arabic, so
+    the vocalisation ratio is null there."""
+    from ..operators.corpus_stats import corpus_stats
+
+    return corpus_stats(_docs(spark, sf_dir))
