@@ -16,6 +16,9 @@ PY_WS_BODY = r"\t-\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\
 PY_WS = "[" + PY_WS_BODY + "]"
 PY_NON_WS = "[^" + PY_WS_BODY + "]"
 STRIP_PATTERN = r"\A" + PY_WS + "+|" + PY_WS + r"+\z"
+# The same set as a string, derived by rule (BMP characters Python treats as whitespace),
+# for the non-regex trim.
+PY_WS_CHARS = "".join(ch for ch in map(chr, range(0x10000)) if ch.isspace())
 # Python's string.punctuation (32 ASCII characters) as code-point ranges.
 ASCII_PUNCT = r"[\x{21}-\x{2f}\x{3a}-\x{40}\x{5b}-\x{60}\x{7b}-\x{7e}]"
 PUNCT_STRIP_PATTERN = r"\A" + ASCII_PUNCT + "+|" + ASCII_PUNCT + r"+\z"
@@ -33,8 +36,9 @@ def _c(col: Column | str) -> Column:
 
 
 def py_strip(col: Column | str) -> Column:
-    """``str.strip()``: remove Python whitespace at both ends."""
-    return F.regexp_replace(_c(col), F.lit(STRIP_PATTERN), F.lit(""))
+    """``str.strip()``: remove Python whitespace at both ends (a code-generated trim of
+    that character set, no regex)."""
+    return F.btrim(_c(col), F.lit(PY_WS_CHARS))
 
 
 def py_split(col: Column | str) -> Column:
@@ -81,10 +85,15 @@ def semantic_units(col: Column | str) -> Column:
     return F.flatten(F.transform(split_paragraphs(col), split_sentences))
 
 
+def count_words(col: Column | str) -> Column:
+    """``len(s.split())`` without building the word array."""
+    return F.regexp_count(_c(col), F.lit(PY_NON_WS + "+"))
+
+
 def word_count(col: Column | str, per_unit_overhead: int = 0) -> Column:
     """Default token counter: Python ``len(s.split())`` plus a fixed per-call overhead
     (the count of special tokens a model tokenizer would add)."""
-    n = F.size(py_split(col))
+    n = count_words(col)
     return n + F.lit(per_unit_overhead) if per_unit_overhead else n
 
 

@@ -32,8 +32,8 @@ def split_oversize(units: Column, max_tokens: int, per_unit_overhead: int = 0) -
     o = F.lit(per_unit_overhead)
 
     def per_unit(u: Column) -> Column:
-        words = T.py_split(u)
-        nw = F.size(words)
+        words = T.py_split(u)  # built only in the oversize branch
+        nw = T.count_words(u)
         n = nw + o
         groups = F.transform(
             F.sequence(F.lit(0), F.ceil(nw / F.lit(g)).cast("int") - 1),

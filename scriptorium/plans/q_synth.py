@@ -81,8 +81,8 @@ PROMPT_LEN_SQL = f"(length(text) + {len(ENGLISH_A) + len(str(N_PAIRS)) + len(ENG
 
 def _completions(spark, sf_dir):
     c = _chunks(spark, sf_dir).withColumn("prompt", SY.build_prompt("english", N_PAIRS, F.col("text")))
-    calls = SY.map_completions(c.select("chunk_id", "prompt"), echo_model, "prompt", parallelism=None, key_cols=["chunk_id"])
-    return c.drop("prompt").join(calls, "chunk_id")
+    # The other columns ride through the call, so the chunks are not recomputed and joined back.
+    return SY.map_completions(c, echo_model, "prompt")
 
 
 @register(
