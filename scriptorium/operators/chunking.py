@@ -22,23 +22,28 @@ PART_TYPE = "struct<text:string,n:int>"
 SPAN_TYPE = "array<struct<s:int,len:int,tok:int>>"
 
 
-def split_oversize(units: Column, max_tokens: int, per_unit_overhead: int = 0) -> Column:
-    """ARRAY<STRING> units -> ARRAY<STRUCT<text, n>> parts that fit ``max_tokens``.
+def count_units(units: Column) -> Column:
+    """ARRAY<STRING> -> ARRAY<STRUCT<text, nw>> with each unit's word count (one pass)."""
+    return F.transform(units, lambda u: F.struct(u.alias("text"), T.count_words(u).alias("nw")))
+
+
+def split_oversize_counted(counted: Column, max_tokens: int, per_unit_overhead: int = 0) -> Column:
+    """Counted units -> ARRAY<STRUCT<text, n>> parts that fit ``max_tokens``.
 
     With the additive word counter, greedy word packing of an oversize unit is exactly
-    "consecutive groups of ``max_tokens - overhead`` words" (at least one word each).
+    "consecutive groups of ``max_tokens - overhead`` words" (at least one word each); the
+    word array is built only for oversize units.
     """
     g = max(max_tokens - per_unit_overhead, 1)
     o = F.lit(per_unit_overhead)
 
-    def per_unit(u: Column) -> Column:
-        words = T.py_split(u)  # built only in the oversize branch
-        nw = T.count_words(u)
+    def per_unit(x: Column) -> Column:
+        u, nw = x["text"], x["nw"]
         n = nw + o
         groups = F.transform(
             F.sequence(F.lit(0), F.ceil(nw / F.lit(g)).cast("int") - 1),
             lambda i: F.struct(
-                F.array_join(F.slice(words, i * g + 1, F.lit(g)), " ").alias("text"),
+                F.array_join(F.slice(T.py_split(u), i * g + 1, F.lit(g)), " ").alias("text"),
                 (F.least(F.lit(g), nw - i * g) + o).cast("int").alias("n"),
             ),
         )
@@ -49,10 +54,15 @@ def split_oversize(units: Column, max_tokens: int, per_unit_overhead: int = 0) -
             .otherwise(F.array().cast(f"array<{PART_TYPE}>"))
         )
 
-    parts = F.flatten(F.transform(units, per_unit))
+    parts = F.flatten(F.transform(counted, per_unit))
     return F.filter(parts, lambda p: p["n"] > 0)
 
 
+def split_oversize(units: Column, max_tokens: int, per_unit_overhead: int = 0) -> Column:
+    """ARRAY<STRING> units -> ARRAY<STRUCT<text, n>> parts that fit ``max_tokens``."""
+    return split_oversize_counted(count_units(units), max_tokens, per_unit_overhead)
+
+
 def pack_spans(parts: Column, max_tokens: int) -> Column:
     """Greedy order-preserving packing as a fold: ARRAY<STRUCT<text,n>> ->
     ARRAY<STRUCT<s,len,tok>> (0-based start, number of parts, token sum) per chunk.
@@ -130,8 +140,8 @@ def with_chunk_array(
     body = T.clean_text(F.col(text_col)) if clean else F.col(text_col)
     keep = [c for c in df.columns if c != text_col]
     staged = (
-        df.select(*keep, T.semantic_units(body).alias("_units"))
-        .select(*keep, split_oversize(F.col("_units"), max_tokens, per_unit_overhead).alias("_parts"))
+        df.select(*keep, count_units(T.semantic_units(body)).alias("_units"))
+        .select(*keep, split_oversize_counted(F.col("_units"), max_tokens, per_unit_overhead).alias("_parts"))
         .select(*keep, "_parts", pack_spans(F.col("_parts"), max_tokens).alias("_spans"))
     )
     return staged.select(*keep, chunk_structs(F.col("_parts"), F.col("_spans")).alias(out_col))
@@ -165,10 +175,10 @@ def chunk_stats(
 
     One global aggregate with map-side partial aggregation (a single row is shuffled
     per task)."""
-    units = df.select(T.semantic_units(T.clean_text(F.col(text_col))).alias("u"))
+    units = df.select(count_units(T.semantic_units(T.clean_text(F.col(text_col)))).alias("u"))
     per_doc = units.select(
-        F.size(F.filter(F.col("u"), lambda x: T.word_count(x, per_unit_overhead) > max_tokens)).alias("n_over"),
-        split_oversize(F.col("u"), max_tokens, per_unit_overhead).alias("parts"),
+        F.size(F.filter(F.col("u"), lambda x: x["nw"] + F.lit(per_unit_overhead) > max_tokens)).alias("n_over"),
+        split_oversize_counted(F.col("u"), max_tokens, per_unit_overhead).alias("parts"),
     ).select("n_over", pack_spans(F.col("parts"), max_tokens).alias("spans"))
     return per_doc.agg(
         F.count(F.lit(1)).alias("files_found"),

@@ -44,9 +44,8 @@ def q_clean_text(spark, sf_dir):
 )
 def q_split_paragraphs(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.posexplode(T.split_paragraphs(T.clean_text("text")))).select(
-        "doc_id", (F.col("pos") + 1).alias("para_no"), F.col("col").alias("paragraph")
-    )
+    e = d.select("doc_id", F.posexplode_outer(T.split_paragraphs(T.clean_text("text")))).where(F.col("col").isNotNull())
+    return e.select("doc_id", (F.col("pos") + 1).alias("para_no"), F.col("col").alias("paragraph"))
 
 
 @register(
@@ -56,9 +55,8 @@ def q_split_paragraphs(spark, sf_dir):
 )
 def q_split_sentences(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.posexplode(T.semantic_units(T.clean_text("text")))).select(
-        "doc_id", (F.col("pos") + 1).alias("unit_no"), F.col("col").alias("unit")
-    )
+    e = d.select("doc_id", F.posexplode_outer(T.semantic_units(T.clean_text("text")))).where(F.col("col").isNotNull())
+    return e.select("doc_id", (F.col("pos") + 1).alias("unit_no"), F.col("col").alias("unit"))
 
 
 @register(
@@ -79,9 +77,8 @@ def q_split_oversize(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     units = d.select("doc_id", T.semantic_units(T.clean_text("text")).alias("u"))
     parts = units.select("doc_id", C.split_oversize(F.col("u"), OVERSIZE_MAX).alias("pl"))
-    return parts.select("doc_id", F.posexplode("pl")).select(
-        "doc_id", (F.col("pos") + 1).alias("part_no"), "col.text", "col.n"
-    )
+    e = parts.select("doc_id", F.posexplode_outer("pl")).where(F.col("col").isNotNull())
+    return e.select("doc_id", (F.col("pos") + 1).alias("part_no"), "col.text", "col.n")
 
 
 def chunks_cte(max_tokens: int) -> str:
