@@ -1,23 +1,31 @@
 """Byte-pair-encoding vocabulary learning and encoding as Spark jobs.
 
 Training works on the distinct-word table ``(word, freq, syms)`` where ``syms`` is the
-word's current token ids as a space-separated string. Each round:
+word's current token ids written as ``<id><id>...``. Each round:
 
 1. pair counts: explode adjacent id pairs, ``groupBy(pair).sum(freq)`` (map-side
-   combine, so a very frequent word costs nothing extra);
-2. the top candidates in (count desc, left id asc, right id asc) order and, for their
-   symbols, the largest count of any pair ending/starting with them, reach the driver
-   (a bounded number of rows);
-3. merges are accepted in that order while the result provably equals one-merge-per-round
-   training: each further pair must share no symbol with the pairs already accepted this
-   round (so its count is unchanged) and its count must exceed every count a new pair
-   created by those merges can reach (a pair ``(x, ab)`` occurs at most as often as
-   ``(x, a)``); the first candidate that fails ends the round;
-4. the accepted merges rewrite ``syms`` (left-to-right, non-overlapping).
+   combine, so a very frequent word costs nothing extra); the top candidates in
+   (count desc, left id asc, right id asc) order reach the driver (a bounded number);
+2. for those candidates, an upper bound on the count of every pair a merge can create:
+   a new pair ``(x, ab)`` occurs at most as often as the triple ``x a b`` (and ``(ab, y)``
+   as ``a b y``), so triple counts next to the candidates are summed and maxed (one
+   aggregation, candidates broadcast; again a bounded result);
+3. merges are accepted in candidate order while the result provably equals
+   one-merge-per-round training. A merge ``(a, b)`` changes the count of an existing pair
+   only where occurrences overlap, i.e. pairs ``(x, a)`` and ``(b, y)``, and only
+   downwards. A further candidate is accepted when no accepted merge overlaps it (its
+   count is unchanged), its count exceeds every bound from step 2 (no created pair can
+   overtake it) and every candidate passed over so far provably dropped below it (old
+   count minus the occurrences one accepted merge removes, from the same triple counts);
+   an overlapped candidate is passed over, and any candidate that fails these tests ends
+   the round. Self-pairs (``(a, a)``, whose runs merge unevenly) are never passed over;
+4. the accepted merges rewrite ``syms`` in acceptance order with plain string replaces,
+   which are left-to-right and non-overlapping like the sequential merge.
 
 The word table is persisted each round and checkpointed (to ``spark.checkpoint.dir``)
 every few rounds to cut lineage. Vocabulary order: special tokens, the alphabet in
-code-point order, then merges in order; a merge whose string already exists reuses its id.
+code-point order, then merges in order; a merge whose string already exists reuses its id
+(and ends the round, since it changes counts of an existing token).
 """
 
 from __future__ import annotations
@@ -64,6 +72,7 @@ class BpeModel:
     vocab: list[str]
     merges: list[tuple[str, str]]
     specials: list[str] = field(default_factory=list)
+    rounds: int = 0  # training rounds (Spark passes over the word table)
 
     @property
     def token_to_id(self) -> dict[str, int]:
@@ -73,22 +82,79 @@ class BpeModel:
         return out
 
 
+def _sym_ids(syms: Column) -> Column:
+    """``<3><17><5>`` -> ARRAY<INT> [3, 17, 5]."""
+    inner = F.substr(syms, F.lit(2), F.char_length(syms) - 2)
+    return F.transform(F.split(inner, "><"), lambda x: x.cast("int"))
+
+
 def _pair_counts(words: DataFrame) -> DataFrame:
-    ids = F.split(F.col("syms"), " ")
-    n = F.size(ids)
+    w = words.select(_sym_ids(F.col("syms")).alias("ids"), "freq")
+    n = F.size("ids")
     pairs = F.transform(
         F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))),
-        lambda i: F.struct(F.get(ids, i).cast("int").alias("l"), F.get(ids, i + 1).cast("int").alias("r")),
+        lambda i: F.struct(F.get("ids", i).alias("l"), F.get("ids", i + 1).alias("r")),
     )
-    exploded = words.where(n >= 2).select(F.explode(pairs).alias("p"), "freq")
+    exploded = w.where(n >= 2).select(F.explode(pairs).alias("p"), "freq")
     return exploded.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("freq").alias("cnt"))
 
 
+def _neighbour_stats(words: DataFrame, cands: DataFrame) -> tuple[dict, dict]:
+    """For candidate pairs ``p = (l, r)`` (a small broadcast table) and the triples around
+    them: ``bounds[p]`` = the largest summed triple count next to ``p`` (an upper bound on
+    any pair merging ``p`` creates) and ``destroyed[(p, q)]`` = the summed count of triples
+    ``x l r`` / ``l r y`` whose other pair ``q = (x, l)`` / ``(r, y)`` is also a candidate
+    (occurrences of ``q`` that merging ``p`` removes). Both results are bounded by the
+    candidate count, not by the data."""
+    w = words.select(_sym_ids(F.col("syms")).alias("ids"), "freq")
+    n = F.size("ids")
+    ctx = F.transform(
+        F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))),
+        lambda i: F.array(
+            # triple (x, y, z): merging (y, z) touches (x, y); merging (x, y) touches (y, z)
+            F.struct(F.get("ids", i + 1).alias("l"), F.get("ids", i + 2).alias("r"), F.lit(0).alias("side"), F.get("ids", i).alias("o")),
+            F.struct(F.get("ids", i).alias("l"), F.get("ids", i + 1).alias("r"), F.lit(1).alias("side"), F.get("ids", i + 2).alias("o")),
+        ),
+    )
+    e = w.where(n >= 3).select(F.explode(F.flatten(ctx)).alias("c"), "freq").select("c.*", "freq")
+    near = e.join(F.broadcast(cands), ["l", "r"], "left_semi")
+    per = near.groupBy("l", "r", "side", "o").agg(F.sum("freq").alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
+    q = cands.select(F.col("l").alias("ql"), F.col("r").alias("qr"))
+    left_q = per.where("side = 0").join(F.broadcast(q), (F.col("o") == F.col("ql")) & (F.col("l") == F.col("qr")))
+    right_q = per.where("side = 1").join(F.broadcast(q), (F.col("r") == F.col("ql")) & (F.col("o") == F.col("qr")))
+    # One collect for both results; ``per`` is cached so it is aggregated once.
+    rows = (
+        per.groupBy("l", "r")
+        .agg(F.max("c").alias("c"))
+        .select("l", "r", F.lit(None).cast("int").alias("ql"), F.lit(None).cast("int").alias("qr"), "c")
+        .unionByName(left_q.unionByName(right_q).select("l", "r", "ql", "qr", "c"))
+        .collect()
+    )
+    bounds: dict = {}
+    destroyed: dict = {}
+    for r in rows:
+        if r["ql"] is None:
+            bounds[(r["l"], r["r"])] = r["c"]
+        else:
+            key = ((r["l"], r["r"]), (r["ql"], r["qr"]))
+            destroyed[key] = max(destroyed.get(key, 0), r["c"])
+    per.unpersist()
+    return bounds, destroyed
+
+
+def _upper(q: tuple[int, int], count: int, accepted: list[tuple[int, int, int]], destroyed: dict) -> int:
+    """Upper bound on the count of a passed-over pair ``q`` after the accepted merges:
+    its old count minus the occurrences the most destructive single merge removes (the
+    accepted merges are non-self and never overlap one another, so each of them merges
+    every one of its occurrences and removes every occurrence of ``q`` it overlaps)."""
+    removed = max((destroyed.get(((a, b), q), 0) for a, b, _ in accepted), default=0)
+    return count - removed
+
+
 def _apply_merges(syms: Column, merges: list[tuple[int, int, int]]) -> Column:
     out = syms
     for left, right, new in merges:
-        pattern = rf"(?<![^ ]){left} {right}(?![^ ])"
-        out = F.regexp_replace(out, F.lit(pattern), F.lit(str(new)))
+        out = F.replace(out, F.lit(f"<{left}><{right}>"), F.lit(f"<{new}>"))
     return out
 
 
@@ -115,71 +181,65 @@ def train_bpe(
     for i, t in enumerate(vocab):
         tok2id.setdefault(t, i)
     merges: list[tuple[str, str]] = []
-    if len(vocab) >= vocab_size:
+    if len(tok2id) >= vocab_size:
         return BpeModel(vocab, merges, specials)
 
-    char_ids = F.create_map(*[x for c in alphabet for x in (F.lit(c), F.lit(tok2id[c]))])
-    words = freqs.select(
-        "word",
-        "freq",
-        F.array_join(F.transform(code_points(F.col("word")), lambda ch: F.element_at(char_ids, ch).cast("string")), " ").alias(
-            "syms"
-        ),
-    )
     spark = texts.sparkSession
     ensure_checkpoint_dir(spark)
-    words = words.persist(StorageLevel.MEMORY_AND_DISK)
+    char_ids = F.create_map(*[x for c in alphabet for x in (F.lit(c), F.lit(str(tok2id[c])))])
+    syms = F.concat(
+        F.lit("<"), F.array_join(F.transform(code_points(F.col("word")), lambda ch: F.element_at(char_ids, ch)), "><"), F.lit(">")
+    )
+    words = freqs.select("word", "freq", syms.alias("syms")).persist(StorageLevel.MEMORY_AND_DISK)
+    min_count = max(min_frequency, 1)
+    id2tok = dict(enumerate(vocab))
     rounds = 0
-    while len(set(tok2id)) < vocab_size:
-        counts = _pair_counts(words).persist(StorageLevel.MEMORY_AND_DISK)
+    while len(tok2id) < vocab_size:
+        counts = _pair_counts(words)
         top = counts.orderBy(F.col("cnt").desc(), "l", "r").limit(candidates).collect()
-        if not top or top[0]["cnt"] < max(min_frequency, 1):
-            counts.unpersist()
+        top = [r for r in top if r["cnt"] >= min_count]
+        if not top:
             break
-        syms_needed = sorted({r["l"] for r in top} | {r["r"] for r in top})
-        bound_rows = (
-            counts.where(F.col("l").isin(syms_needed) | F.col("r").isin(syms_needed))
-            .select(
-                F.explode(
-                    F.array(
-                        F.struct(F.lit("L").alias("side"), F.col("l").alias("sym"), F.col("cnt")),
-                        F.struct(F.lit("R").alias("side"), F.col("r").alias("sym"), F.col("cnt")),
-                    )
-                ).alias("x")
-            )
-            .where(F.col("x.sym").isin(syms_needed))
-            .groupBy("x.side", "x.sym")
-            .agg(F.max("x.cnt").alias("m"))
-            .collect()
-        )
-        counts.unpersist()
-        max_left = {r["sym"]: r["m"] for r in bound_rows if r["side"] == "L"}  # pairs (sym, y)
-        max_right = {r["sym"]: r["m"] for r in bound_rows if r["side"] == "R"}  # pairs (x, sym)
+        bounds, destroyed = {}, {}
+        if len(top) > 1:
+            cands = spark.createDataFrame([(r["l"], r["r"]) for r in top], "l int, r int")
+            bounds, destroyed = _neighbour_stats(words, cands)
         accepted: list[tuple[int, int, int]] = []
-        used: set[int] = set()
-        bound = -1
-        id2tok = {i: t for i, t in enumerate(vocab)}
+        skipped: list[tuple[tuple[int, int], int]] = []  # (pair, count) passed over
+        bound = -1  # largest count a pair created by the accepted merges can reach
+        self_pair = False
         for row in top:
             a, b, cnt = row["l"], row["r"], row["cnt"]
-            if cnt < max(min_frequency, 1) or len(set(tok2id)) >= vocab_size:
-                break
-            if accepted and (a in used or b in used or cnt <= bound):
+            if len(tok2id) >= vocab_size:
                 break
+            if accepted:
+                if cnt <= bound:
+                    break
+                # A pair passed over must now count strictly less than this candidate.
+                if any(_upper(q, qc, accepted, destroyed) >= cnt for q, qc in skipped):
+                    break
+                # Merging (pa, pb) can only remove occurrences of (a, b) where they overlap:
+                # pb == a (x a b -> (x a) merged) or pa == b (a b y -> (b y) merged).
+                if any(pb == a or pa == b for pa, pb, _ in accepted):
+                    if self_pair or a == b:
+                        break
+                    skipped.append(((a, b), cnt))
+                    continue
             new_tok = id2tok[a] + id2tok[b]
-            new_id = tok2id.get(new_tok)
-            if new_id is None:
+            existed = new_tok in tok2id
+            if existed:
+                new_id = tok2id[new_tok]
+            else:
                 new_id = len(vocab)
                 vocab.append(new_tok)
                 tok2id[new_tok] = new_id
                 id2tok[new_id] = new_tok
             merges.append((id2tok[a], id2tok[b]))
             accepted.append((a, b, new_id))
-            used |= {a, b}
-            bound = max(bound, max_right.get(a, 0), max_left.get(b, 0))
-            if a == b:
+            bound = max(bound, bounds.get((a, b), 0))
+            self_pair = self_pair or a == b
+            if existed:
                 break
-        if not accepted:
-            break
         rounds += 1
         nxt = words.withColumn("syms", _apply_merges(F.col("syms"), accepted))
         if rounds % checkpoint_every == 0:
@@ -189,7 +249,7 @@ def train_bpe(
         words.unpersist()
         words = nxt
     words.unpersist()
-    return BpeModel(vocab, merges, specials)
+    return BpeModel(vocab, merges, specials, rounds)
 
 
 def build_vocab(spark, model: BpeModel) -> DataFrame:

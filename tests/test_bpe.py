@@ -53,3 +53,34 @@ def test_matches_tokenizers_library(spark, vocab_size, min_freq):
     got = B.encode_texts(_texts(spark, probe), ours).orderBy("id").collect()
     for row, text in zip(got, probe):
         assert list(row["ids"]) == lib.encode(text.lower()).ids
+
+
+@pytest.mark.parametrize("merges,min_freq", [(300, 2), (120, 1)])
+def test_matches_tokenizers_library_on_documents(spark, merges, min_freq):
+    """Batched merges on a real corpus (sf0.001 documents) equal the one-at-a-time trainer."""
+    pytest.importorskip("tokenizers")
+    from tokenizers import Tokenizer
+    from tokenizers.models import BPE
+    from tokenizers.pre_tokenizers import Whitespace
+    from tokenizers.trainers import BpeTrainer
+
+    from conftest import SF001
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
+    specials = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
+    base = B.train_bpe(docs, vocab_size=0, special_tokens=specials)
+    vocab_size = len(base.vocab) + merges
+    lib = Tokenizer(BPE())
+    lib.pre_tokenizer = Whitespace()
+    lib.train_from_iterator(
+        [t.lower() for t in texts],
+        BpeTrainer(vocab_size=vocab_size, min_frequency=min_freq, special_tokens=specials, show_progress=False),
+    )
+    ours = B.train_bpe(docs, vocab_size=vocab_size, min_frequency=min_freq, special_tokens=specials)
+    lib_vocab = [t for t, _ in sorted(lib.get_vocab().items(), key=lambda kv: kv[1])]
+    assert lib_vocab == ours.vocab
+    sample = docs.orderBy("doc_id").limit(20)
+    got = B.encode_texts(sample, ours).orderBy("doc_id").collect()
+    for row in got:
+        assert list(row["ids"]) == lib.encode(row["text"].lower()).ids
