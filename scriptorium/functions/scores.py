@@ -252,3 +252,47 @@ def reward_summary(df: DataFrame, score_col: str, threshold: float) -> DataFrame
         F.min(s).alias("min_score"),
         F.max(s).alias("max_score"),
     )
+
+
+def score_pairs(
+    df: DataFrame,
+    scorer,
+    question_col: str = "question",
+    answer_col: str = "answer",
+    context_col: str | None = None,
+    out_col: str = "score",
+) -> DataFrame:
+    """Score every pair, keeping rows and their order.
+
+    ``scorer`` is either a Column (an expression scorer, e.g. ``rewards.reward_composite``)
+    or a Python callable ``fn(questions, answers, contexts) -> list[float]`` that is
+    called once per Arrow batch on the executors (a reward-model client). When the
+    callable raises, the whole batch scores 0.0 and ``eval_failed`` is true, as a failed
+    batch call does in the scalar pipeline."""
+    if isinstance(scorer, Column):
+        return df.withColumn(out_col, scorer.cast("double")).withColumn("eval_failed", F.lit(False))
+
+    import pandas as pd
+
+    fields = df.schema.fields
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    schema += f", `{out_col}` double, eval_failed boolean"
+
+    def run(batches):
+        for pdf in batches:
+            qs = pdf[question_col].tolist()
+            ans = pdf[answer_col].tolist()
+            ctx = pdf[context_col].tolist() if context_col else [None] * len(pdf)
+            try:
+                scores = [float(x) for x in scorer(qs, ans, ctx)]
+                if len(scores) != len(pdf):
+                    raise ValueError("scorer returned a different number of scores")
+                failed = False
+            except Exception:
+                scores, failed = [0.0] * len(pdf), True
+            out = pdf.copy()
+            out[out_col] = pd.Series(scores, dtype="float64", index=pdf.index)
+            out["eval_failed"] = failed
+            yield out
+
+    return df.mapInPandas(run, schema)

@@ -262,3 +262,22 @@ def q_build_score_request(spark, sf_dir):
         .otherwise(F.char_length(F.regexp_extract(F.try_variant_get(v, "$.messages[0].content", "string"), "(?s)Question: (.*)\n\nAnswer: ", 1)))
     )
     return p.select("conv_id", "pair_no", n.cast("bigint").alias("payload_len"))
+
+
+def length_scorer(questions, answers, contexts):
+    """Stand-in reward-model client for tests and the bench: answer length over 500."""
+    return [min(1.0, len(a) / 500.0) for a in answers]
+
+
+@register(
+    "score_pairs",
+    f"""WITH {S.PAIRS_CTE}
+    SELECT conv_id, pair_no, least({D(1.0)}, CAST(length(output) AS DOUBLE) / {D(500.0)}) AS score, false AS eval_failed FROM pairs""",
+)
+def q_score_pairs(spark, sf_dir):
+    from ..operators.reshape import pair_turns
+
+    p = pair_turns(table(spark, sf_dir, "conversations")).select(
+        "conv_id", "pair_no", F.col("instruction").alias("question"), F.col("output").alias("answer")
+    )
+    return SC.score_pairs(p, length_scorer).select("conv_id", "pair_no", "score", "eval_failed")

@@ -98,3 +98,19 @@ def test_softmax(spark):
     df = spark.createDataFrame([([1.0, 3.0],)], "l array<double>")
     got = df.select(SC.score_softmax("l")).collect()[0][0]
     assert abs(got - math.exp(3) / (math.exp(1) + math.exp(3))) < 1e-12
+
+
+def _boom(questions, answers, contexts):
+    raise RuntimeError("endpoint down")
+
+
+def test_score_pairs_python_scorer_and_failure(spark):
+    df = spark.createDataFrame([("q1", "a" * 250), ("q2", "b" * 1000)], "question string, answer string")
+    from scriptorium.plans.q_scores import length_scorer
+
+    ok = sorted((r["question"], r["score"], r["eval_failed"]) for r in SC.score_pairs(df, length_scorer).collect())
+    assert ok == [("q1", 0.5, False), ("q2", 1.0, False)]
+    bad = SC.score_pairs(df, _boom).collect()
+    assert all(r["score"] == 0.0 and r["eval_failed"] for r in bad)
+    col = SC.score_pairs(df, R.reward_length("answer")).collect()
+    assert sorted(r["score"] for r in col) == [0.0, 1.0]
