@@ -100,11 +100,10 @@ def test_softmax(spark):
     assert abs(got - math.exp(3) / (math.exp(1) + math.exp(3))) < 1e-12
 
 
-def _boom(questions, answers, contexts):
-    raise RuntimeError("endpoint down")
-
-
 def test_score_pairs_python_scorer_and_failure(spark):
+    def _boom(questions, answers, contexts):  # nested: shipped to workers by value
+        raise RuntimeError("endpoint down")
+
     df = spark.createDataFrame([("q1", "a" * 250), ("q2", "b" * 1000)], "question string, answer string")
     from scriptorium.plans.q_scores import length_scorer
 
@@ -113,4 +112,4 @@ def test_score_pairs_python_scorer_and_failure(spark):
     bad = SC.score_pairs(df, _boom).collect()
     assert all(r["score"] == 0.0 and r["eval_failed"] for r in bad)
     col = SC.score_pairs(df, R.reward_length("answer")).collect()
-    assert sorted(r["score"] for r in col) == [0.0, 1.0]
+    assert sorted(r["score"] for r in col) == [0.5, 1.0]
