@@ -111,7 +111,10 @@ def take_first_usable_attempt(
     """Per key, the score of the first decided attempt in ``order`` (``default`` when all
     attempts are undecided). One aggregation with map-side partial ``min_by``."""
     a = attempts.withColumn("_att", vllm_attempt(F.col("http_status"), F.col("body")))
-    ordkey = F.when(F.col("_att.decided"), F.struct(*[F.col(c) for c in order]))
+    # A single ordering column keeps the aggregation buffer fixed-width (hash aggregate);
+    # several columns need a struct ordering (sort-based aggregate).
+    ordering = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
+    ordkey = F.when(F.col("_att.decided"), ordering)
     g = a.groupBy(key).agg(F.min_by(F.col("_att.score"), ordkey).alias("_s"))
     return g.select(key, F.coalesce(F.col("_s"), F.lit(default)).alias("score"))
 

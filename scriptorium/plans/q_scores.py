@@ -28,7 +28,7 @@ S_SQL = "(CAST(CAST(floor(value * 100) AS BIGINT) % 20000 AS DOUBLE) / " + D(100
 CLAMP_S = f"least({D(1.0)}, greatest({D(0.0)}, {S_SQL}))"
 
 
-def _vllm_bodies(spark, sf_dir):
+def _vllm_bodies(spark, sf_dir, extra=()):
     e = table(spark, sf_dir, "events")
     s = _s_text()
     k = F.col("event_id") % 8
@@ -43,7 +43,7 @@ def _vllm_bodies(spark, sf_dir):
         .otherwise(F.lit('{"error": "overloaded"}'))
     )
     status = F.when((k == 2) & (F.col("user_id") % 5 == 0), F.lit(503)).otherwise(F.lit(200))
-    return e.select("event_id", "user_id", status.alias("http_status"), body.alias("body"))
+    return e.select("event_id", "user_id", *extra, status.alias("http_status"), body.alias("body"))
 
 
 @register(
@@ -69,8 +69,7 @@ def q_score_response_vllm(spark, sf_dir):
 def q_take_first_usable_attempt(spark, sf_dir):
     # Attempts of one pair = the user's events in event_id order; request errors
     # (no status) for error events; shape 6 carries no number in this variant.
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    b = _vllm_bodies(spark, sf_dir).drop("user_id").join(e, "event_id")
+    b = _vllm_bodies(spark, sf_dir, extra=["event_type"])
     k = F.col("event_id") % 8
     body = F.when(k == 6, F.lit('{"msg": "none"}')).otherwise(F.col("body"))
     status = F.when(F.col("event_type") == "error", F.lit(None).cast("int")).otherwise(F.col("http_status"))
