@@ -168,20 +168,28 @@ def train_bpe(
     order_col: str | None = None,
     candidates: int = 256,
     checkpoint_every: int = 8,
+    num_merges: int | None = None,
 ) -> BpeModel:
-    """Learn a BPE vocabulary (exactly the one-merge-at-a-time result, see module doc)."""
+    """Learn a BPE vocabulary (exactly the one-merge-at-a-time result, see module doc).
+
+    ``num_merges`` (optional) caps the vocabulary at specials + alphabet + that many
+    merges instead of a fixed ``vocab_size`` (the smaller of the two applies)."""
     specials = list(DEFAULT_SPECIALS if special_tokens is None else special_tokens)
     src = texts
     if max_samples is not None:
         src = src.orderBy(order_col).limit(max_samples) if order_col else src.limit(max_samples)
-    freqs = word_frequencies(src, text_col)
+    # The word table is aggregated once and cached: the alphabet and the first round read it.
+    freqs = word_frequencies(src, text_col).persist(StorageLevel.MEMORY_AND_DISK)
     alphabet = sorted(r["ch"] for r in char_alphabet(freqs).select("ch").collect())
     vocab = specials + [c for c in alphabet if c not in specials]
     tok2id: dict[str, int] = {}
     for i, t in enumerate(vocab):
         tok2id.setdefault(t, i)
     merges: list[tuple[str, str]] = []
+    if num_merges is not None:
+        vocab_size = min(vocab_size, len(tok2id) + num_merges)
     if len(tok2id) >= vocab_size:
+        freqs.unpersist()
         return BpeModel(vocab, merges, specials)
 
     spark = texts.sparkSession
@@ -191,6 +199,8 @@ def train_bpe(
         F.lit("<"), F.array_join(F.transform(code_points(F.col("word")), lambda ch: F.element_at(char_ids, ch)), "><"), F.lit(">")
     )
     words = freqs.select("word", "freq", syms.alias("syms")).persist(StorageLevel.MEMORY_AND_DISK)
+    words.count()
+    freqs.unpersist()
     min_count = max(min_frequency, 1)
     id2tok = dict(enumerate(vocab))
     rounds = 0

@@ -156,8 +156,7 @@ def q_position_ids(spark, sf_dir):
 def q_train_bpe(spark, sf_dir):
     """Rows-only: the learned vocabulary (specials, alphabet, BPE_MERGES merges)."""
     d = _docs(spark, sf_dir)
-    base = _char_model(spark, sf_dir)
-    model = B.train_bpe(d, vocab_size=len(base.vocab) + BPE_MERGES, min_frequency=2, special_tokens=SPECIALS)
+    model = B.train_bpe(d, vocab_size=1 << 30, num_merges=BPE_MERGES, min_frequency=2, special_tokens=SPECIALS)
     return B.build_vocab(spark, model)
 
 
