@@ -155,9 +155,20 @@ def grpo_dataset(raw: DataFrame, json_col: str = "value", id_cols: list[str] | N
     return good.unionByName(placeholder)
 
 
+TOPK_LIMIT = 100_000
+
+
 def sample_cap(df: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """At most ``n`` rows, the first in ``order`` (a deterministic ``max_samples``)."""
-    return df.orderBy(*order).limit(n)
+    """At most ``n`` rows, the first in ``order`` (a deterministic ``max_samples``).
+
+    Small caps use a top-k (each task keeps ``n`` rows, one task merges them); large caps
+    would make that one task hold ``n`` rows, so they are cut by running number instead
+    (range shuffle on ``order``, partition counts to the driver, filter)."""
+    if n <= TOPK_LIMIT:
+        return df.orderBy(*order).limit(n)
+    from .numbering import number_rows
+
+    return number_rows(df, order, "_row").where(F.col("_row") <= n).drop("_row")
 
 
 def shuffle_key(cols: list[str], seed: int) -> Column:

@@ -113,3 +113,19 @@ def test_running_ids_contiguous(spark):
     by_id = sorted(rows, key=lambda r: int(r["chunk_id"].split("_")[1]))
     keys = [r["source_document"] for r in by_id]
     assert keys == sorted(keys)
+
+
+def test_sample_cap_large_path_equals_topk(spark):
+    from conftest import SF001
+
+    from scriptorium.operators import reshape as RS
+
+    d = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id")
+    small = [r[0] for r in RS.sample_cap(d, 37, ["doc_id"]).collect()]
+    old = RS.TOPK_LIMIT
+    RS.TOPK_LIMIT = 0
+    try:
+        large = sorted(r[0] for r in RS.sample_cap(d, 37, ["doc_id"]).collect())
+    finally:
+        RS.TOPK_LIMIT = old
+    assert small == large == sorted(r[0] for r in d.collect())[:37]
