@@ -129,3 +129,41 @@ def test_sample_cap_large_path_equals_topk(spark):
     finally:
         RS.TOPK_LIMIT = old
     assert small == large == sorted(r[0] for r in d.collect())[:37]
+
+
+def _greedy(sizes, limit):
+    out, cur, has = [], 0, False
+    k = 0
+    for n in sizes:
+        if cur + n > limit and has:
+            k += 1
+            cur = 0
+        out.append(k + 1)
+        cur += n
+        has = True
+    return out
+
+
+def test_pack_property_random(spark):
+    """Greedy packing fold equals the plain loop on many random part-size lists (one job)."""
+    import random
+
+    rng = random.Random(7)
+    cases = []
+    for _ in range(300):
+        limit = rng.randint(1, 12)
+        sizes = [rng.randint(1, 15) for _ in range(rng.randint(0, 25))]
+        cases.append((limit, [(" ".join(["w"] * n), n) for n in sizes]))
+    df = spark.createDataFrame(cases, "lim int, p array<struct<text:string,n:int>>")
+    # One expression per distinct limit keeps the fold's limit a literal.
+    got = {}
+    for limit in sorted({c[0] for c in cases}):
+        rows = df.where(F.col("lim") == limit).select("p", C.pack_spans(F.col("p"), limit).alias("s")).collect()
+        for r in rows:
+            chunks = []
+            for k, s in enumerate(r["s"], start=1):
+                chunks += [k] * s["len"]
+            got.setdefault(limit, []).append(([x["n"] for x in r["p"]], chunks))
+    for limit, items in got.items():
+        for sizes, chunks in items:
+            assert chunks == _greedy(sizes, limit)
