@@ -20,9 +20,16 @@ def processed_ids(output: DataFrame, id_path: str = OUTPUT_ID_PATH, id_col: str
 
 
 def resume_pending(chunks: DataFrame, done_ids: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """Input chunks not yet done (left anti join on the id; '' is treated as null)."""
-    keyed = chunks.withColumn("_rid", F.when(F.col(id_col) != "", F.col(id_col)))
-    done = done_ids.select(F.col(id_col).alias("_rid"))
+    """Input chunks not yet done (left anti join on the id).
+
+    Chunks with a null or empty id are always pending. Rather than sharing one null join
+    key (which would send all of them to one shuffle partition), each gets a key that can
+    never match a real id: a NUL-prefixed hash of the row, so they spread like other keys
+    and the input is still read once."""
+    has_id = F.col(id_col).isNotNull() & (F.col(id_col) != "")
+    spread = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in chunks.columns]).cast("string"))
+    keyed = chunks.withColumn("_rid", F.when(has_id, F.col(id_col)).otherwise(spread))
+    done = done_ids.select(F.col(id_col).alias("_rid")).where(~F.col("_rid").startswith("\u0000"))
     return keyed.join(done, on="_rid", how="left_anti").drop("_rid")
 
 
