@@ -105,7 +105,7 @@ def reward_language_quality(content: Column | str, language: Column | str = "ara
     s = F.lit(0.5)
     s = s - F.when(c.contains("  "), 0.1).otherwise(zero)
     s = s + F.when((F.char_length(c) > 0) & F.array_contains(F.array(*[F.lit(x) for x in FINAL_PUNCT]), last), 0.2).otherwise(zero)
-    s = s + F.when(F.size(T.py_split(c)) > 3, 0.1).otherwise(zero)
+    s = s + F.when(T.count_words(c) > 3, 0.1).otherwise(zero)
     script = F.when(lang == "arabic", c.rlike(ARABIC_CHAR)).when(lang == "english", c.rlike(ASCII_LETTER)).otherwise(False)
     s = s + F.when(script, 0.1).otherwise(zero)
     return _guard(c, F.least(F.lit(1.0), F.greatest(F.lit(0.0), s)))

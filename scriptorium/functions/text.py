@@ -86,8 +86,13 @@ def semantic_units(col: Column | str) -> Column:
 
 
 def count_words(col: Column | str) -> Column:
-    """``len(s.split())`` without building the word array."""
-    return F.regexp_count(_c(col), F.lit(PY_NON_WS + "+"))
+    """``len(s.split())`` without building the word array: strip, map every whitespace
+    character to a space (``translate``), collapse space runs, count the spaces."""
+    t = F.translate(py_strip(col), PY_WS_CHARS, " " * len(PY_WS_CHARS))
+    t = F.regexp_replace(t, F.lit("  +"), F.lit(" "))
+    return F.when(t == "", F.lit(0)).otherwise(
+        F.char_length(t) - F.char_length(F.replace(t, F.lit(" "), F.lit(""))) + F.lit(1)
+    )
 
 
 def word_count(col: Column | str, per_unit_overhead: int = 0) -> Column:

@@ -28,11 +28,12 @@ def test_clean_text_matches_python(spark, raw):
     assert got == _py_clean(raw)
 
 
-@pytest.mark.parametrize("raw", RAW + ["a  b\u3000c\u2028d", "x\x1fy z"])
+@pytest.mark.parametrize("raw", RAW + ["a  b\u3000c\u2028d", "x\x1fy z", " a \t\n b  ", "one", "a\u00a0\u00a0b c"])
 def test_split_and_strip_match_python(spark, raw):
-    row = spark.createDataFrame([(raw,)], "t string").select(T.py_strip("t"), T.py_split("t")).collect()[0]
+    row = spark.createDataFrame([(raw,)], "t string").select(T.py_strip("t"), T.py_split("t"), T.count_words("t")).collect()[0]
     assert row[0] == raw.strip()
     assert list(row[1]) == raw.split()
+    assert row[2] == len(raw.split())
 
 
 def test_newlines_normalised(spark):
