@@ -348,7 +348,9 @@ def encode_texts(df: DataFrame, model: BpeModel, text_col: str = "text", lower:
             ids_out.append([t2i[x] for x in toks])
         return pd.DataFrame({"tokens": toks_out, "ids": ids_out})
 
-    return df.withColumn("_enc", enc(F.col(text_col))).select("*", "_enc.*").drop("_enc")
+    from ..session import ensure_parallelism
+
+    return ensure_parallelism(df).withColumn("_enc", enc(F.col(text_col))).select("*", "_enc.*").drop("_enc")
 
 
 def truncate_pad(ids: Column | str, max_length: int, pad_id: int = 0) -> list[Column]:

@@ -156,7 +156,10 @@ def chunk_documents(
     clean: bool = True,
 ) -> DataFrame:
     """One row per chunk: ``doc_col, seq, text, token_count_estimate``. Map-only."""
-    arr = with_chunk_array(df.select(doc_col, text_col), max_tokens, text_col, "_chunks", per_unit_overhead, clean)
+    from ..session import ensure_parallelism
+
+    src = ensure_parallelism(df.select(doc_col, text_col))
+    arr = with_chunk_array(src, max_tokens, text_col, "_chunks", per_unit_overhead, clean)
     # explode_outer + filter instead of explode: the optimizer would otherwise infer a
     # "size(chunks) > 0" filter below the projections and evaluate the whole split twice.
     exploded = arr.select(F.col(doc_col), F.explode_outer("_chunks").alias("_c")).where(F.col("_c").isNotNull())
@@ -175,7 +178,10 @@ def chunk_stats(
 
     One global aggregate with map-side partial aggregation (a single row is shuffled
     per task)."""
-    units = df.select(count_units(T.semantic_units(T.clean_text(F.col(text_col)))).alias("u"))
+    from ..session import ensure_parallelism
+
+    src = ensure_parallelism(df.select(text_col))
+    units = src.select(count_units(T.semantic_units(T.clean_text(F.col(text_col)))).alias("u"))
     per_doc = units.select(
         F.size(F.filter(F.col("u"), lambda x: x["nw"] + F.lit(per_unit_overhead) > max_tokens)).alias("n_over"),
         split_oversize_counted(F.col("u"), max_tokens, per_unit_overhead).alias("parts"),

@@ -74,3 +74,15 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
     _SHIPPED.add(app)
+
+
+def ensure_parallelism(df, min_partitions: int | None = None):
+    """Spread a CPU-heavy per-row stage over at least ``min_partitions`` tasks (default:
+    the cluster's default parallelism). A scan of a few large row groups can yield fewer
+    partitions than cores; only then is the input round-robin repartitioned (one shuffle
+    of the rows). With many input splits, as on a cluster, the frame is returned as is."""
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
