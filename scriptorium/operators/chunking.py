@@ -154,11 +154,16 @@ def chunk_documents(
     doc_col: str = "source_document",
     per_unit_overhead: int = 0,
     clean: bool = True,
+    spread: bool = True,
 ) -> DataFrame:
-    """One row per chunk: ``doc_col, seq, text, token_count_estimate``. Map-only."""
+    """One row per chunk: ``doc_col, seq, text, token_count_estimate``. Map-only.
+
+    ``spread=False`` keeps the input's partitioning (required when the caller numbers
+    chunks per range partition)."""
     from ..session import ensure_parallelism
 
-    src = ensure_parallelism(df.select(doc_col, text_col))
+    src = df.select(doc_col, text_col)
+    src = ensure_parallelism(src) if spread else src
     arr = with_chunk_array(src, max_tokens, text_col, "_chunks", per_unit_overhead, clean)
     # explode_outer + filter instead of explode: the optimizer would otherwise infer a
     # "size(chunks) > 0" filter below the projections and evaluate the whole split twice.
@@ -214,7 +219,7 @@ def chunk_corpus(
 
     if running_ids:
         ranged = range_partition(docs.select(doc_col, text_col), [doc_col], num_partitions)
-        chunks = chunk_documents(ranged, max_tokens, text_col, doc_col, per_unit_overhead)
+        chunks = chunk_documents(ranged, max_tokens, text_col, doc_col, per_unit_overhead, spread=False)
         numbered = number_ranged(chunks, [doc_col, "seq"], "_n")
         cid = F.concat(F.lit("chunk_"), F.col("_n").cast("string"))
         out = numbered.withColumn("chunk_id", cid)
