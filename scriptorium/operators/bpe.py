@@ -89,7 +89,7 @@ def _sym_ids(syms: Column) -> Column:
 
 
 def _pair_counts(words: DataFrame) -> DataFrame:
-    w = words.select(_sym_ids(F.col("syms")).alias("ids"), "freq")
+    w = words.select("ids", "freq")
     n = F.size("ids")
     pairs = F.transform(
         F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))),
@@ -106,7 +106,7 @@ def _neighbour_stats(words: DataFrame, cands: DataFrame) -> tuple[dict, dict]:
     ``x l r`` / ``l r y`` whose other pair ``q = (x, l)`` / ``(r, y)`` is also a candidate
     (occurrences of ``q`` that merging ``p`` removes). Both results are bounded by the
     candidate count, not by the data."""
-    w = words.select(_sym_ids(F.col("syms")).alias("ids"), "freq")
+    w = words.select("ids", "freq")
     n = F.size("ids")
     ctx = F.transform(
         F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))),
@@ -198,7 +198,11 @@ def train_bpe(
     syms = F.concat(
         F.lit("<"), F.array_join(F.transform(code_points(F.col("word")), lambda ch: F.element_at(char_ids, ch)), "><"), F.lit(">")
     )
-    words = freqs.select("word", "freq", syms.alias("syms")).persist(StorageLevel.MEMORY_AND_DISK)
+    words = (
+        freqs.select("word", "freq", syms.alias("syms"))
+        .withColumn("ids", _sym_ids(F.col("syms")))
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     words.count()
     freqs.unpersist()
     min_count = max(min_frequency, 1)
@@ -251,7 +255,10 @@ def train_bpe(
             if existed:
                 break
         rounds += 1
-        nxt = words.withColumn("syms", _apply_merges(F.col("syms"), accepted))
+        # The id array is derived once per round here, not in each of the round's jobs.
+        nxt = words.withColumn("syms", _apply_merges(F.col("syms"), accepted)).withColumn(
+            "ids", _sym_ids(F.col("syms"))
+        )
         if rounds % checkpoint_every == 0:
             nxt = nxt.checkpoint(eager=True)
         else:
