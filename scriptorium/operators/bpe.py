@@ -51,8 +51,10 @@ def normalize_text(col: Column | str) -> Column:
 
 def word_frequencies(texts: DataFrame, text_col: str = "text", lower: bool = True) -> DataFrame:
     """``(word, freq)`` over the whitespace pre-tokenizer pieces of the texts."""
+    from ..session import ensure_parallelism
+
     t = normalize_text(text_col) if lower else F.col(text_col)
-    words = texts.select(F.explode(T.pretokenize(t)).alias("word"))
+    words = ensure_parallelism(texts.select(text_col)).select(F.explode(T.pretokenize(t)).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 

@@ -18,7 +18,9 @@ HARAKAT = r"[\x{64b}-\x{652}]"
 
 
 def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    w = docs.select(F.explode(T.py_split(F.col(text_col))).alias("w"))
+    from ..session import ensure_parallelism
+
+    w = ensure_parallelism(docs.select(text_col)).select(F.explode(T.py_split(F.col(text_col))).alias("w"))
     arabic = F.col("w").rlike(ARABIC)
     vocal = F.col("w").rlike(HARAKAT)
     stripped = F.regexp_replace("w", F.lit(HARAKAT), F.lit(""))
