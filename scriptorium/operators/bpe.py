@@ -43,6 +43,7 @@ from ..functions import text as T
 from ..session import ensure_checkpoint_dir
 
 DEFAULT_SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
+WORDS_PER_PARTITION = 500_000
 
 
 def normalize_text(col: Column | str) -> Column:
@@ -120,7 +121,12 @@ def _neighbour_stats(words: DataFrame, cands: DataFrame) -> tuple[dict, dict]:
     )
     e = w.where(n >= 3).select(F.explode(F.flatten(ctx)).alias("c"), "freq").select("c.*", "freq")
     near = e.join(F.broadcast(cands), ["l", "r"], "left_semi")
-    per = near.groupBy("l", "r", "side", "o").agg(F.sum("freq").alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
+    per = (
+        near.groupBy("l", "r", "side", "o")
+        .agg(F.sum("freq").alias("c"))
+        .coalesce(words.rdd.getNumPartitions())
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     q = cands.select(F.col("l").alias("ql"), F.col("r").alias("qr"))
     left_q = per.where("side = 0").join(F.broadcast(q), (F.col("o") == F.col("ql")) & (F.col("l") == F.col("qr")))
     right_q = per.where("side = 1").join(F.broadcast(q), (F.col("r") == F.col("ql")) & (F.col("o") == F.col("qr")))
@@ -200,9 +206,14 @@ def train_bpe(
     syms = F.concat(
         F.lit("<"), F.array_join(F.transform(code_points(F.col("word")), lambda ch: F.element_at(char_ids, ch)), "><"), F.lit(">")
     )
+    # Size the iterated table by its own row count, not by the session's shuffle setting:
+    # every round runs over it, so hundreds of near-empty partitions would dominate.
+    n_words = freqs.count()
+    parts = max(spark.sparkContext.defaultParallelism, -(-n_words // WORDS_PER_PARTITION))
     words = (
         freqs.select("word", "freq", syms.alias("syms"))
         .withColumn("ids", _sym_ids(F.col("syms")))
+        .repartition(parts)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     words.count()
