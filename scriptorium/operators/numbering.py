@@ -22,9 +22,13 @@ _LOW33 = (1 << 33) - 1
 
 
 def range_partition(df: DataFrame, keys: Sequence[str], num_partitions: int | None = None) -> DataFrame:
-    """Range-partition on ``keys`` with an explicit partition count (AQE keeps it as is)."""
+    """Range-partition on ``keys`` with an explicit partition count (AQE keeps it as is).
+
+    By default the count is the larger of the session's shuffle setting and the input's
+    own partition count, so partitions stay about split-sized (a fixed 200 would give
+    100 TB of input 500 GB partitions)."""
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     return df.repartitionByRange(n, *[F.col(k) for k in keys])
 
 
