@@ -72,3 +72,27 @@ def test_read_text_arrays_and_objects(spark, tmp_root):
     p.write_text('[{"text": "a"}, {"text": "b"}]\n\n{"text": "c"}\n[{"other": 1}]\nnot json but text\n')
     got = sorted(r[0] for r in RD.read_text_arrays_jsonl(spark, str(p)).collect())
     assert got == ["a", "b", "c"]
+
+
+def test_write_batched_batch_sizes(spark, tmp_root):
+    from scriptorium.plans.q_io import _FileStore
+    from scriptorium.sources import sinks as SK
+
+    root = str(tmp_root / "store")
+    df = spark.range(0, 50, numPartitions=3).withColumnRenamed("id", "doc_id")
+    SK.write_batched(df, _FileStore(root), batch_size=7)
+    sizes = [sum(1 for _ in open(os.path.join(root, f))) for f in os.listdir(root)]
+    assert sum(sizes) == 50 and max(sizes) <= 7
+
+
+def test_export_dataset_name_check(spark, tmp_root):
+    import pytest
+
+    from scriptorium.sources import sinks as SK
+
+    df = spark.range(3)
+    for bad in ["noslash", "a/b/c", "/name", "owner/"]:
+        with pytest.raises(ValueError):
+            SK.export_dataset(df, str(tmp_root / "x"), bad)
+    path = SK.export_dataset(df, str(tmp_root / "x"), "owner/name")
+    assert spark.read.parquet(path).count() == 3
