@@ -22,8 +22,8 @@ word's current token ids written as ``<id><id>...``. Each round:
 4. the accepted merges rewrite ``syms`` in acceptance order with plain string replaces,
    which are left-to-right and non-overlapping like the sequential merge.
 
-The word table is persisted each round and checkpointed (to ``spark.checkpoint.dir``)
-every few rounds to cut lineage. Vocabulary order: special tokens, the alphabet in
+The word table is persisted each round and, every few rounds, written to one of two
+alternating folders under ``spark.checkpoint.dir`` and read back to cut lineage. Vocabulary order: special tokens, the alphabet in
 code-point order, then merges in order; a merge whose string already exists reuses its id
 (and ends the round, since it changes counts of an existing token).
 """
@@ -31,6 +31,7 @@ code-point order, then merges in order; a merge whose string already exists reus
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -201,7 +202,7 @@ def train_bpe(
         return BpeModel(vocab, merges, specials)
 
     spark = texts.sparkSession
-    ensure_checkpoint_dir(spark)
+    ckpt_base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bpe-{uuid.uuid4().hex}"
     char_ids = F.create_map(*[x for c in alphabet for x in (F.lit(c), F.lit(str(tok2id[c])))])
     syms = F.concat(
         F.lit("<"), F.array_join(F.transform(code_points(F.col("word")), lambda ch: F.element_at(char_ids, ch)), "><"), F.lit(">")
@@ -273,15 +274,30 @@ def train_bpe(
             "ids", _sym_ids(F.col("syms"))
         )
         if rounds % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
-        else:
-            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
+            # Cut the lineage with a written table in the shared checkpoint folder. Two
+            # slots alternate, so disk use stays at two copies of the table: the slot
+            # overwritten now was read two cuts ago and nothing depends on it any more.
+            slot = f"{ckpt_base}/slot-{(rounds // checkpoint_every) % 2}"
+            nxt.write.mode("overwrite").parquet(slot)
+            nxt = spark.read.parquet(slot)
+        nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
         words.unpersist()
         words = nxt
     words.unpersist()
+    _delete_path(spark, ckpt_base)
     return BpeModel(vocab, merges, specials, rounds)
 
 
+def _delete_path(spark, path: str) -> None:
+    """Remove a scratch folder through the Hadoop FileSystem of the session."""
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # best effort: a leftover scratch folder is harmless
+        pass
+
+
 def build_vocab(spark, model: BpeModel) -> DataFrame:
     """Vocabulary table ``(token, id, kind)``: special, alphabet, merge."""
     n_alpha = len(model.vocab) - len(model.merges)
