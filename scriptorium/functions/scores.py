@@ -169,13 +169,18 @@ def score_softmax(logits: Column | str, label: int = 1) -> Column:
     return F.exp(F.get(x, label) - m) / denom
 
 
-def score_dispatch(api_type: Column | str, scores: dict[str, Column]) -> Column:
-    """Pick the backend's score by ``api_type`` (lower-cased); unknown -> 0.5."""
+def score_dispatch(api_type: Column | str, scores: dict[str, Column], configured: Column | None = None) -> Column:
+    """Pick the backend's score by ``api_type`` (lower-cased); unknown -> 0.5. When
+    ``configured`` is false (no API key for the hosted backend, no endpoint for vllm),
+    the neutral 0.5 is used without looking at any response."""
     t = F.lower(_c(api_type))
     out = None
     for name, col in scores.items():
         out = F.when(t == name, col) if out is None else out.when(t == name, col)
-    return F.lit(NEUTRAL) if out is None else out.otherwise(F.lit(NEUTRAL))
+    picked = F.lit(NEUTRAL) if out is None else out.otherwise(F.lit(NEUTRAL))
+    if configured is None:
+        return picked
+    return F.when(F.coalesce(configured, F.lit(False)), picked).otherwise(F.lit(NEUTRAL))
 
 
 # Reward-model configuration per language (multilingual is the fallback).

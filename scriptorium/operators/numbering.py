@@ -69,3 +69,15 @@ def assign_batches(
     """Fixed-size batches in ``order``: ``batch_id = floor(row_index / batch_size)`` (from 0)."""
     numbered = number_rows(df, order, "_row", 0, num_partitions)
     return numbered.withColumn(batch_col, F.floor(F.col("_row") / F.lit(batch_size)).cast("long")).drop("_row")
+
+
+def batch_rows(
+    df: DataFrame, order: Sequence[str], batch_size: int, cols: Sequence[str], num_partitions: int | None = None
+) -> DataFrame:
+    """One row per batch: ``batch_id, rows ARRAY<STRUCT<cols>>`` in order. A batch holds
+    at most ``batch_size`` rows, so the grouped array is bounded by the parameter."""
+    numbered = number_rows(df, order, "_row", 0, num_partitions)
+    grouped = numbered.groupBy(F.floor(F.col("_row") / F.lit(batch_size)).cast("long").alias("batch_id")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("_row"), *[F.col(c) for c in cols]))).alias("_rows")
+    )
+    return grouped.select("batch_id", F.transform("_rows", lambda r: r.dropFields("_row")).alias("rows"))

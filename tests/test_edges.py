@@ -96,3 +96,20 @@ def test_export_dataset_name_check(spark, tmp_root):
             SK.export_dataset(df, str(tmp_root / "x"), bad)
     path = SK.export_dataset(df, str(tmp_root / "x"), "owner/name")
     assert spark.read.parquet(path).count() == 3
+
+
+def test_dispatch_not_configured(spark):
+    from scriptorium.functions import scores as SC
+
+    df = spark.createDataFrame([("vllm", True), ("vllm", False), ("other", True)], "t string, ok boolean")
+    got = [r[0] for r in df.select(SC.score_dispatch("t", {"vllm": F.lit(0.9)}, F.col("ok"))).collect()]
+    assert got == [0.9, 0.5, 0.5]
+
+
+def test_batch_rows(spark):
+    from scriptorium.operators.numbering import batch_rows
+
+    df = spark.range(0, 23).withColumnRenamed("id", "k").withColumn("v", F.col("k") * 2)
+    rows = batch_rows(df, ["k"], 5, ["k", "v"]).orderBy("batch_id").collect()
+    assert [len(r["rows"]) for r in rows] == [5, 5, 5, 5, 3]
+    assert [x["k"] for r in rows for x in r["rows"]] == list(range(23))
