@@ -50,34 +50,45 @@ def _is_dict(v: Column) -> Column:
 def vllm_parse(body: Column) -> Column:
     """Score from one response body (null when nothing usable), shapes in order:
     data[0].score, score, scores[0], scores[0].score, predictions[0],
-    predictions[0].score, predictions[0].probability, choices[0].text or
-    choices[0].message.content as number text, then a 0..1 number in the raw body."""
+    predictions[0].score, predictions[0].probability, then choices[0]: its ``text`` if
+    truthy, else ``message.content``, read as number text; then a 0..1 number in the raw
+    body. A first choice that is not an object (or a truthy ``message`` that is not one)
+    makes the whole body unusable, as the attribute lookup fails there."""
+    from .qa_parse import variant_truthy
+
     v = F.try_parse_json(body)
-    choice_text = F.coalesce(
-        F.when(
-            F.schema_of_variant(F.try_variant_get(v, "$.choices[0].text", "variant")) == "STRING",
-            F.nullif(F.try_variant_get(v, "$.choices[0].text", "string"), F.lit("")),
-        ),
-        F.when(
-            F.schema_of_variant(F.try_variant_get(v, "$.choices[0].message.content", "variant")) == "STRING",
-            F.try_variant_get(v, "$.choices[0].message.content", "string"),
-        ),
+    early = F.coalesce(
+        _num(v, "$.data[0].score"),
+        _num(v, "$.score"),
+        _num(v, "$.scores[0]"),
+        _num(v, "$.scores[0].score"),
+        _num(v, "$.predictions[0]"),
+        _num(v, "$.predictions[0].score"),
+        _num(v, "$.predictions[0].probability"),
     )
-    shaped = F.when(
-        _is_dict(v),
-        F.coalesce(
-            _num(v, "$.data[0].score"),
-            _num(v, "$.score"),
-            _num(v, "$.scores[0]"),
-            _num(v, "$.scores[0].score"),
-            _num(v, "$.predictions[0]"),
-            _num(v, "$.predictions[0].score"),
-            _num(v, "$.predictions[0].probability"),
-            py_float(choice_text),
-        ),
+    choices = F.try_variant_get(v, "$.choices", "variant")
+    has_choice = F.coalesce(
+        F.schema_of_variant(choices).startswith("ARRAY<") & (F.size(F.try_variant_get(choices, "$", "array<variant>")) > 0),
+        F.lit(False),
+    )
+    c0 = F.try_variant_get(v, "$.choices[0]", "variant")
+    text = F.try_variant_get(c0, "$.text", "variant")
+    msg = F.try_variant_get(c0, "$.message", "variant")
+    text_truthy = F.coalesce(variant_truthy(text), F.lit(False))
+    msg_truthy = F.coalesce(variant_truthy(msg), F.lit(False))
+    abort = has_choice & (~_is_dict(c0) | (~text_truthy & msg_truthy & ~_is_dict(msg)))
+    picked = F.when(text_truthy, text).otherwise(F.try_variant_get(msg, "$.content", "variant"))
+    choice_score = F.when(
+        has_choice & (F.schema_of_variant(picked) == "STRING"), py_float(F.try_variant_get(picked, "$", "string"))
     )
     in_text = F.when(body.rlike(SCORE_IN_TEXT), F.regexp_extract(body, SCORE_IN_TEXT, 1).cast("double"))
-    return F.when(v.isNotNull(), F.coalesce(shaped, in_text))
+    return (
+        F.when(v.isNull(), F.lit(None).cast("double"))
+        .when(~_is_dict(v), in_text)
+        .when(early.isNotNull(), early)
+        .when(abort, F.lit(None).cast("double"))
+        .otherwise(F.coalesce(choice_score, in_text))
+    )
 
 
 def vllm_attempt(http_status: Column | str, body: Column | str) -> Column:
@@ -156,6 +167,7 @@ def score_response_openai(http_status: Column | str, content: Column | str, has_
     return (
         F.when(st.isNull() | (st >= 400), F.lit(0.0))
         .when(~hc, F.lit(NEUTRAL))
+        .when(c.isNull(), F.lit(0.0))  # a choice without content text fails the call
         .when(f.isNull(), F.lit(NEUTRAL))
         .otherwise(clamp01(f))
     )

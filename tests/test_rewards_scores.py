@@ -113,3 +113,26 @@ def test_score_pairs_python_scorer_and_failure(spark):
     assert all(r["score"] == 0.0 and r["eval_failed"] for r in bad)
     col = SC.score_pairs(df, R.reward_length("answer")).collect()
     assert sorted(r["score"] for r in col) == [0.5, 1.0]
+
+
+EDGE_BODIES = [
+    ('{"choices":[{"text":"0.25"}]}', True, 0.25),
+    ('{"choices":[{"text":"","message":{"content":"0.6"}}]}', True, 0.6),
+    ('{"choices":["0.9"]}', False, None),  # not an object: the lookup fails, no fallback
+    ('{"choices":[{"message":"0.9"}]}', False, None),
+    ('{"choices":[{"text":5}], "note":"0.3"}', True, 0.3),  # non-string text: fallback regex
+    ('[0.45]', True, 0.45),  # not an object: only the regex
+]
+
+
+@pytest.mark.parametrize("body,decided,score", EDGE_BODIES)
+def test_vllm_choice_edges(spark, body, decided, score):
+    df = spark.createDataFrame([(200, body)], "s int, b string")
+    got = df.select(SC.vllm_attempt("s", "b").alias("a")).collect()[0]["a"]
+    assert got["decided"] == decided and got["score"] == score
+
+
+def test_openai_choice_without_content(spark):
+    df = spark.createDataFrame([(200, None, True), (200, None, False)], "s int, c string, h boolean")
+    got = [r[0] for r in df.select(SC.score_response_openai("s", "c", F.col("h"))).collect()]
+    assert got == [0.0, 0.5]
