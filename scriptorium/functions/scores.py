@@ -47,7 +47,7 @@ def _is_dict(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False))
 
 
-def vllm_parse(body: Column) -> Column:
+def vllm_parse(body: Column, parsed: Column | None = None, parts: dict | None = None) -> Column:
     """Score from one response body (null when nothing usable), shapes in order:
     data[0].score, score, scores[0], scores[0].score, predictions[0],
     predictions[0].score, predictions[0].probability, then choices[0]: its ``text`` if
@@ -56,7 +56,7 @@ def vllm_parse(body: Column) -> Column:
     makes the whole body unusable, as the attribute lookup fails there."""
     from .qa_parse import variant_truthy
 
-    v = F.try_parse_json(body)
+    v = F.try_parse_json(body) if parsed is None else parsed
     early = F.coalesce(
         _num(v, "$.data[0].score"),
         _num(v, "$.score"),
@@ -71,9 +71,10 @@ def vllm_parse(body: Column) -> Column:
         F.schema_of_variant(choices).startswith("ARRAY<") & (F.size(F.try_variant_get(choices, "$", "array<variant>")) > 0),
         F.lit(False),
     )
-    c0 = F.try_variant_get(v, "$.choices[0]", "variant")
-    text = F.try_variant_get(c0, "$.text", "variant")
-    msg = F.try_variant_get(c0, "$.message", "variant")
+    parts = parts or {}
+    c0 = parts.get("c0", F.try_variant_get(v, "$.choices[0]", "variant"))
+    text = parts.get("text", F.try_variant_get(c0, "$.text", "variant"))
+    msg = parts.get("msg", F.try_variant_get(c0, "$.message", "variant"))
     text_truthy = F.coalesce(variant_truthy(text), F.lit(False))
     msg_truthy = F.coalesce(variant_truthy(msg), F.lit(False))
     abort = has_choice & (~_is_dict(c0) | (~text_truthy & msg_truthy & ~_is_dict(msg)))
@@ -91,12 +92,15 @@ def vllm_parse(body: Column) -> Column:
     )
 
 
-def vllm_attempt(http_status: Column | str, body: Column | str) -> Column:
+def vllm_attempt(
+    http_status: Column | str, body: Column | str, parsed: Column | None = None, parts: dict | None = None
+) -> Column:
     """One attempt -> STRUCT<decided BOOLEAN, score DOUBLE>. An ``error`` field in a 2xx
     body decides 0.0; a parsable score decides its clamped value; anything else (request
-    error, unparsable body, no score) leaves the attempt undecided."""
+    error, unparsable body, no score) leaves the attempt undecided. Pass ``parsed`` (the
+    body already parsed to a VARIANT column, see ``with_vllm_attempt``) to parse once."""
     st, b = _c(http_status), _c(body)
-    v = F.try_parse_json(b)
+    v = F.try_parse_json(b) if parsed is None else parsed
     err = _is_dict(v) & F.coalesce(
         F.when(
             F.try_variant_get(v, "$.error", "variant").isNotNull(),
@@ -104,9 +108,9 @@ def vllm_attempt(http_status: Column | str, body: Column | str) -> Column:
         ),
         F.lit(False),
     )
-    parsed = vllm_parse(b)
+    value = vllm_parse(b, v, parts)
     ok = st.isNotNull() & (st < 400)
-    score = F.when(ok & err, F.lit(0.0)).when(st.isNotNull() & parsed.isNotNull(), clamp01(parsed))
+    score = F.when(ok & err, F.lit(0.0)).when(st.isNotNull() & value.isNotNull(), clamp01(value))
     return F.struct(score.isNotNull().alias("decided"), score.alias("score"))
 
 
@@ -116,12 +120,30 @@ def _truthy_json(x: Column) -> Column:
     return variant_truthy(x)
 
 
+def with_vllm_attempt(df: DataFrame, status_col: str, body_col: str, out_col: str = "attempt") -> DataFrame:
+    """Adds ``out_col`` = ``vllm_attempt`` with the body parsed once into a VARIANT column
+    and the first choice's parts extracted into their own columns first (one parse per
+    row, and expressions small enough for whole-stage code generation)."""
+    from ..session import ensure_parallelism
+
+    staged = (
+        ensure_parallelism(df)
+        .withColumn("_v", F.try_parse_json(F.col(body_col)))
+        .withColumn("_c0", F.try_variant_get(F.col("_v"), "$.choices[0]", "variant"))
+        .withColumn("_text", F.try_variant_get(F.col("_c0"), "$.text", "variant"))
+        .withColumn("_msg", F.try_variant_get(F.col("_c0"), "$.message", "variant"))
+    )
+    parts = {"c0": F.col("_c0"), "text": F.col("_text"), "msg": F.col("_msg")}
+    att = vllm_attempt(F.col(status_col), F.col(body_col), F.col("_v"), parts)
+    return staged.withColumn(out_col, att).drop("_v", "_c0", "_text", "_msg")
+
+
 def take_first_usable_attempt(
     attempts: DataFrame, key: str = "pair_id", order: tuple[str, ...] = ("retry", "endpoint"), default: float = 0.0
 ) -> DataFrame:
     """Per key, the score of the first decided attempt in ``order`` (``default`` when all
     attempts are undecided). One aggregation with map-side partial ``min_by``."""
-    a = attempts.withColumn("_att", vllm_attempt(F.col("http_status"), F.col("body")))
+    a = with_vllm_attempt(attempts, "http_status", "body", "_att")
     # A single ordering column keeps the aggregation buffer fixed-width (hash aggregate);
     # several columns need a struct ordering (sort-based aggregate).
     ordering = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])

@@ -51,9 +51,8 @@ def _vllm_bodies(spark, sf_dir, extra=()):
     f"SELECT event_id, CASE WHEN event_id % 8 = 7 THEN {D(0.0)} ELSE {CLAMP_S} END AS score FROM events",
 )
 def q_score_response_vllm(spark, sf_dir):
-    b = _vllm_bodies(spark, sf_dir)
-    att = SC.vllm_attempt(F.col("http_status"), F.col("body"))
-    return b.select("event_id", att["score"].alias("score"))
+    b = SC.with_vllm_attempt(_vllm_bodies(spark, sf_dir), "http_status", "body", "att")
+    return b.select("event_id", F.col("att.score").alias("score"))
 
 
 @register(
@@ -137,10 +136,10 @@ def q_score_softmax(spark, sf_dir):
           ELSE {D(0.5)} END AS score FROM events""",
 )
 def q_score_dispatch(spark, sf_dir):
-    b = _vllm_bodies(spark, sf_dir)
+    b = SC.with_vllm_attempt(_vllm_bodies(spark, sf_dir), "http_status", "body", "att")
     api = F.element_at(F.array(F.lit("VLLM"), F.lit("huggingface"), F.lit("openai"), F.lit("other")), (F.col("event_id") % 4 + 1).cast("int"))
     scores = {
-        "vllm": SC.vllm_attempt(F.col("http_status"), F.col("body"))["score"],
+        "vllm": F.col("att.score"),
         "huggingface": SC.score_response_hf(F.col("http_status"), F.col("body")),
         "openai": SC.score_response_openai(F.col("http_status"), F.lit("not a number")),
     }
