@@ -17,8 +17,12 @@ from . import text as T
 NUMERIC_TYPE = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL|BOOLEAN)"
 # A 0..1 number in free text (the last-resort score pattern).
 SCORE_IN_TEXT = r"\b(0(?:\.\d+)?|1(?:\.0+)?)\b"
-# Python float() literals (without digit-group underscores).
-FLOAT_TEXT = r"(?i)^[+-]?(\d+\.?\d*([e][+-]?\d+)?|\.\d+([e][+-]?\d+)?|nan|inf|infinity)$"
+# Python float() literals: digit groups may be joined by single underscores.
+_DIGITS = r"\d(?:_?\d)*"
+FLOAT_TEXT = (
+    r"(?i)^[+-]?(?:(?:" + _DIGITS + r")?\." + _DIGITS + "|" + _DIGITS + r"\.?)(?:e[+-]?" + _DIGITS + r")?$"
+    r"|(?i)^[+-]?(?:nan|inf|infinity)$"
+)
 NEUTRAL = 0.5
 
 
@@ -40,7 +44,7 @@ def _num(v: Column, path: str) -> Column:
 def py_float(text: Column) -> Column:
     """``float(text.strip())`` or null when Python would raise."""
     s = T.py_strip(text)
-    return F.when(s.rlike(FLOAT_TEXT), s.try_cast("double"))
+    return F.when(s.rlike(FLOAT_TEXT), F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def _is_dict(v: Column) -> Column:

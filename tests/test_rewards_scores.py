@@ -136,3 +136,14 @@ def test_openai_choice_without_content(spark):
     df = spark.createDataFrame([(200, None, True), (200, None, False)], "s int, c string, h boolean")
     got = [r[0] for r in df.select(SC.score_response_openai("s", "c", F.col("h"))).collect()]
     assert got == [0.0, 0.5]
+
+
+def test_py_float_matches_python(spark):
+    vals = ["1_000.5", "1__0", "_1", "1_", "1.2_5e1_0", " 0.7 ", "inf", "-Infinity", "+1e-2", ".5", "5.", "0x10", "1e", ""]
+    df = spark.createDataFrame([(v,) for v in vals], "t string")
+    for r in df.select("t", SC.py_float(F.col("t")).alias("f")).collect():
+        try:
+            expected = float(r["t"])
+        except ValueError:
+            expected = None
+        assert r["f"] == expected, r["t"]
