@@ -1,26 +1,58 @@
 """Corpus pipeline: the stages that turn ``documents`` into packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as
-Parquet and reads again as the next stage's documents."""
+Parquet and reads again as the next stage's documents; all but the last return the columns
+of ``documents``. No stage can be said in SQL (trained models, fingerprints, a packing), so
+each is tested against a brute-force version (``tests/llm``)."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from scriptorium.llm import importance, language
 from scriptorium.llm.common import scratch_path
 from scriptorium.llm.packing import pack
-from scriptorium.llm.queries import tokenizer_file
+from scriptorium.llm.queries import TEMPERATURE, table, tokenizer_file
+from scriptorium.llm.simhash import simhash_components
+
+SHINGLE_WORDS, MOST_BITS, CAPACITY = 3, 2, 2048
+
+
+def resample_quality(spark, docs, sf_dir):
+    """Quality classifier: what importance resampling does not draw goes."""
+    return importance.keep_good(docs, table(spark, sf_dir, "labels"), temperature=TEMPERATURE)
+
+
+def keep_known_languages(spark, docs, sf_dir):
+    """Language ID: documents in no known language go; models are fitted on these documents."""
+    return language.keep_known(docs, language.fit(docs))
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    """SimHash near-dedup: of each group the document with the smallest id stays. Rows that
+    go are anti-joined by key (a row without a key is never a copy that goes)."""
+    found = simhash_components(docs, SHINGLE_WORDS, MOST_BITS)
+    out = found.where("doc_id <> component_id").select(F.col("doc_id").alias("out_id"))
+    return docs.join(out, docs["doc_id"] == out["out_id"], "left_anti")
 
 
 def pack_sequences(spark, docs, sf_dir):
-    return pack(docs, tokenizer_file("word_bpe_49k.json"), 2048)
+    """Best-fit packing of what is left."""
+    return pack(docs, tokenizer_file("word_bpe_49k.json"), CAPACITY)
 
 
-STAGES = [("best-fit packing", pack_sequences)]
+STAGES = [
+    ("quality classifier", resample_quality),
+    ("language id", keep_known_languages),
+    ("simhash near-dedup", drop_near_copies),
+    ("best-fit packing", pack_sequences),
+]
 
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)

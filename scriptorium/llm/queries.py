@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import importance, language, packing, simhash, token_files
 
 QUERIES: dict = {}
 
+# Noise of the importance sampling, a quarter of the standard one: the choice stays close to the weights.
+TEMPERATURE = 0.25
+
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
@@ -30,6 +33,24 @@ def op1_token_files(spark, sf_dir):
     return token_files.token_file_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+@register("op5_simhash_components")
+def op5_simhash_components(spark, sf_dir):
+    return simhash.simhash_components(table(spark, sf_dir, "documents"), words=3, limit=2)
+
+
+@register("op6_importance_resampling")
+def op6_importance_resampling(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), temperature=TEMPERATURE)
+
+
 @register("op8_best_fit_packing")
 def op8_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 2048)
+
+
+@register("op10_language_evidence")
+def op10_language_evidence(spark, sf_dir):
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    c = language.page_columns()
+    page = pages.select("page_id", c["text"].alias("page_text"), c["declared"].alias("said"), c["host"].alias("site"), c["suffix"].alias("ending"))
+    return language.identify(page, language.fit(docs), "page_id", "page_text", *[page[x] for x in ("said", "site", "ending")])
