@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import importance, language, packing, simhash, token_files
+from . import embedding_dedup, importance, language, packing, simhash, token_files, warc
 
 QUERIES: dict = {}
 
@@ -33,6 +33,11 @@ def op1_token_files(spark, sf_dir):
     return token_files.token_file_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+@register("op4_embedding_components")
+def op4_embedding_components(spark, sf_dir):
+    return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 @register("op5_simhash_components")
 def op5_simhash_components(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"), words=3, limit=2)
@@ -43,6 +48,12 @@ def op6_importance_resampling(spark, sf_dir):
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), temperature=TEMPERATURE)
 
 
+@register("op7_warc_revisits")
+def op7_warc_revisits(spark, sf_dir):
+    _, records = warc.deduplicate(table(spark, sf_dir, "pages"), "page_id", "url", "html", least=0)
+    return records.withColumnRenamed("id", "page_id")
+
+
 @register("op8_best_fit_packing")
 def op8_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 2048)
