@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, importance, language, packing, simhash, token_files, warc
+from . import embedding_dedup, importance, language, license_scan, packing, simhash, token_files, warc
 
 QUERIES: dict = {}
 
@@ -59,6 +59,25 @@ def op8_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 2048)
 
 
+def _license_sql() -> str:
+    names = ", ".join(f"('{n}', '{t.replace(chr(39), chr(39) * 2)}')" for n, t in license_scan.TEMPLATES)
+    edge = license_scan.EDGE.replace("'", "''")
+    words = lambda x: rf"list_filter(list_transform(regexp_split_to_array(lower({x}), '[\x09-\x0D\x20]+'), lambda v: trim(v, '{edge}')), lambda v: v <> '')"
+    shingles = "CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1 : i + 5], ' ')) END"
+    return f"""WITH t AS (SELECT template, list_distinct({shingles}) AS shingles
+          FROM (SELECT template, {words('body')} AS w FROM (VALUES {names}) v(template, body))),
+        d AS (SELECT doc_id, {shingles} AS x FROM (SELECT doc_id, {words("coalesce(text, '')")} AS w FROM documents)),
+        p AS (SELECT doc_id, template, len(shingles) AS n_shingles, len(list_intersect(shingles, x)) AS n_found,
+          list_filter(range(len(x)), lambda i: list_contains(shingles, x[i + 1])) AS hits FROM d, t WHERE list_has_any(x, shingles))
+        SELECT DISTINCT doc_id, template, n_shingles, n_found, n_found / n_shingles AS containment,
+          list_min(hits) AS first_word, list_max(hits) + 4 AS last_word FROM p WHERE n_found / n_shingles >= 0.8"""
+
+
+@register("op9_license_scan", _license_sql())
+def op9_license_scan(spark, sf_dir):
+    return license_scan.license_matches(table(spark, sf_dir, "documents"))
+
+
 @register("op10_language_evidence")
 def op10_language_evidence(spark, sf_dir):
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
