@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, importance, language, license_scan, packing, simhash, token_files, warc
+from . import embedding_dedup, importance, language, license_scan, packing, search, simhash, token_files, warc
 
 QUERIES: dict = {}
 
@@ -33,6 +33,12 @@ def op1_token_files(spark, sf_dir):
     return token_files.token_file_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+@register("op2_topk_search")
+def op2_topk_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return search.search(docs, docs.where("doc_id % 100 = 0"), k=10)
+
+
 @register("op4_embedding_components")
 def op4_embedding_components(spark, sf_dir):
     return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"), least=0.95)
