@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, importance, language, license_scan, packing, search, simhash, token_files, warc
+from . import embedding_dedup, importance, language, license_scan, packing, search, simhash, subword_sampling, token_files, warc
 
 QUERIES: dict = {}
 
@@ -39,6 +39,11 @@ def op2_topk_search(spark, sf_dir):
     return search.search(docs, docs.where("doc_id % 100 = 0"), k=10)
 
 
+@register("op3_sampled_segmentations")
+def op3_sampled_segmentations(spark, sf_dir):
+    return subword_sampling.sample_segmentations(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), k=3)
+
+
 @register("op4_embedding_components")
 def op4_embedding_components(spark, sf_dir):
     return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"), least=0.95)
