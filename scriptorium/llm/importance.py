@@ -3,8 +3,8 @@
 Two bags of hashed events are counted: byte 4-grams in 2**16 buckets, and whether a word
 repeats the word before it. The raw model counts every document, the target model the
 documents labelled good. A document's log weight is the sum over its events of
-log p_target - log p_raw (add-one smoothing), kept as whole numbers of 2**-20 so that it
-does not depend on batches. Documents are then sampled without replacement in proportion
+log p_target - log p_raw (raw counts scaled to the target's total, ``PRIOR`` added to
+both), kept as whole numbers of 2**-20 so that it does not depend on batches. Documents are then sampled without replacement in proportion
 to weight ** (1 / temperature) by Gumbel top-k: log weight / temperature plus standard
 Gumbel noise, the ``keep`` largest stay.
 
@@ -17,8 +17,8 @@ The target model is fitted on at most ``SAMPLE`` labelled documents, the first b
 their id (parameter ``sample``); raw counts, weights and the threshold cover every row. A
 document with two different labels is not a good one. Null and empty texts have weight
 zero and are not above it; a null key is a key like any other for the noise. Repeated rows
-get the same key and share their fate. Without labelled documents the target is uniform;
-an empty table gives an empty one."""
+get the same key and share their fate. Without labelled documents there is no
+target, all weights are zero and nothing is above it; an empty table gives an empty one."""
 
 from __future__ import annotations
 
@@ -38,6 +38,7 @@ SAMPLE = 50_000
 BITS, N = 16, 4
 REPEAT, OTHER = 1 << BITS, (1 << BITS) + 1
 UNIT = 1 << 20
+PRIOR = 5.0
 
 
 def good_documents(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -73,10 +74,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
     sums = rows.mapInArrow(count, "event long, raw long, target long").groupBy("event").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(OTHER + 1), np.zeros(OTHER + 1)
     raw[sums["event"]], target[sums["event"]] = sums["raw"], sums["target"]
+    return weights_of(raw, target)
+
+
+def weights_of(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log ratio of the models, each bag of events by itself. Raw counts are scaled to the
+    target's total; both get ``PRIOR``, so that an event too rare to tell has ratio one."""
     weight = np.empty(OTHER + 1)
     for part in (slice(0, REPEAT), slice(REPEAT, OTHER + 1)):
-        p, q = target[part] + 1, raw[part] + 1
-        weight[part] = np.log(p / p.sum()) - np.log(q / q.sum())
+        expected = raw[part] * (target[part].sum() / max(raw[part].sum(), 1.0))
+        weight[part] = np.log((target[part] + PRIOR) / (expected + PRIOR))
     return np.round(weight * UNIT).astype(np.int64)
 
 

@@ -39,7 +39,7 @@ class Texts:
 
     def counts(self, buckets: np.ndarray, n: int, size: int) -> np.ndarray:
         """Occurrences of each bucket over all the texts, places across texts left out."""
-        across = (self.ends[:, None] - np.arange(n - 1)[None, :]).ravel()
+        across = (self.ends[:, None] - np.arange(n)[None, :]).ravel()
         across = np.unique(across[(across >= 0) & (across < len(buckets))])
         return np.bincount(buckets, minlength=size) - np.bincount(buckets[across], minlength=size)
 

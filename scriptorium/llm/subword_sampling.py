@@ -92,7 +92,7 @@ class Lattices:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.tables = tuple(np.zeros(0, t) for t in (np.int64, np.float64, np.float64, np.int64, np.int64))
+        self.tables = tuple(np.zeros(0, t) for t in (np.int64, np.float64, np.float64, np.int64, np.int64, np.float64))
 
     def edges(self, chars: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weight (-inf: no edge) and piece of the edges of lengths ``longest`` ... 1 that end
@@ -117,8 +117,8 @@ class Lattices:
     def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(first node, length) of each word, new words compiled. A word's nodes are its end
         positions; a node's edges lie together, the longest first, with their running
-        probability, log probability, length and piece (-1 - its code point for a character
-        in no piece)."""
+        probability, log probability, length, piece (-1 - its code point for a character in no
+        piece) and the log mass of the node's other edges."""
         new = sorted({w for w in words if w not in self.at}, key=len)
         at, parts, base, edge = 0, [self.tables], len(self.tables[0]), len(self.tables[1])
         while at < len(new):
@@ -156,7 +156,13 @@ class Lattices:
         cdf = np.cumsum(np.exp(weight), axis=1)[real]
         last = np.cumsum(count)
         cdf[last - 1] = 2.0
-        return (edge + last - count, cdf, weight[real], np.broadcast_to(back, weight.shape)[real], piece[real]), begins
+        rest = log1mexp(np.minimum(weight, 0.0))
+        # Beside a near-certain edge the others' mass is lost in 1 - p: add them up themselves.
+        sure, at = np.nonzero((weight > -1e-6) & (count > 1)[:, None])
+        others = weight[sure]
+        others[np.arange(len(sure)), at] = -np.inf
+        rest[sure, at] = np.logaddexp.reduce(others, axis=1)
+        return (edge + last - count, cdf, weight[real], np.broadcast_to(back, weight.shape)[real], piece[real], rest[real]), begins
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -177,7 +183,7 @@ def uniform(seed: np.ndarray, draw: int, a, b) -> np.ndarray:
 def walk(lat: Lattices, seed: np.ndarray, draw: int, number: np.ndarray, base: np.ndarray, pos: np.ndarray, done: np.ndarray):
     """Walk each word's lattice from position ``pos`` back to its start; (word, step, edge) of
     every edge taken, steps counted on from ``done``."""
-    first, cdf, _, length, _ = lat.tables
+    first, cdf, _, length, _, _ = lat.tables
     live = np.flatnonzero(pos > 0)
     pos, step = pos.copy(), done.copy()
     words, steps, edges = [], [], []
@@ -201,10 +207,10 @@ def walk(lat: Lattices, seed: np.ndarray, draw: int, number: np.ndarray, base: n
 class Path:
     """A segmentation of one text in tree order (words forwards, a word's edges backwards)."""
 
-    __slots__ = ("edges", "word", "logp")
+    __slots__ = ("edges", "word", "logp", "rest")
 
-    def __init__(self, edges: np.ndarray, word: np.ndarray, logp: np.ndarray):
-        self.edges, self.word, self.logp = edges, word, logp
+    def __init__(self, edges: np.ndarray, word: np.ndarray, logp: np.ndarray, rest: np.ndarray):
+        self.edges, self.word, self.logp, self.rest = edges, word, logp, rest
 
 
 def truncated(mass: np.ndarray, most: float, u: np.ndarray) -> np.ndarray:
@@ -242,11 +248,15 @@ class Search:
         end = min(start + AHEAD, n)
         self.draws += 1
         u = uniform(self.seed, self.draws, 1 << 41, np.arange(end - start + 1))
-        mass = total[start:end] + log1mexp(np.minimum(path.logp[start:end], 0.0))
+        mass = total[start:end] + path.rest[start:end]
         values = truncated(mass, most, u[:-1])
         for t in np.flatnonzero(mass > -np.inf):
             self.push(float(values[t]), path, start + int(t), (int(path.edges[start + t]),), False)
-        if end < n and (rest := float(total[end] + log1mexp(np.minimum(total[n] - total[end], 0.0)))) > -np.inf:
+        rest = -np.inf
+        if end < n:
+            later = min(total[n] - total[end], 0.0)
+            rest = float(total[end] + log1mexp(later)) if later < -1e-6 else float(np.logaddexp.reduce(total[end:-1] + path.rest[end:]))
+        if rest > -np.inf:
             self.push(float(truncated(np.array([rest]), most, u[-1:])[0]), path, end, (), True)
 
     def pop(self, lat: Lattices):
@@ -257,7 +267,7 @@ class Search:
                 return -value, path, step, excluded
             # Where the popped value lies, by mass; the other steps get values below it.
             total = np.concatenate([[0.0], np.cumsum(path.logp)])
-            mass = total[step:-1] + log1mexp(np.minimum(path.logp[step:], 0.0))
+            mass = total[step:-1] + path.rest[step:]
             self.draws += 1
             u = uniform(self.seed, self.draws, 1 << 42, np.arange(len(mass) + 1))
             p = np.cumsum(np.exp(mass - mass.max()))
@@ -280,7 +290,7 @@ def sample_batch(lat: Lattices, seeds: np.ndarray, texts: list[str], k: int):
     counts = np.fromiter(map(len, units), np.int64, len(units))
     ends = np.cumsum(counts)
     starts = ends - counts
-    first, cdf, logp, length, _ = lat.tables
+    first, cdf, logp, length, _, rest = lat.tables
     searches = [Search(int(s)) for s in seeds]
     drawn: list[list] = [[] for _ in texts]
     for draw in range(k):
@@ -333,7 +343,7 @@ def sample_batch(lat: Lattices, seeds: np.ndarray, texts: list[str], k: int):
                 _, edge, w0 = heads[j]
                 own = np.concatenate([path.edges[:step], [edge], own])
                 at = np.concatenate([path.word[:step], [w0], at])
-            new = Path(own, at, logp[own])
+            new = Path(own, at, logp[own], rest[own])
             drawn[i].append((value, new))
             s_ = searches[i]
             if path is None:
@@ -407,7 +417,8 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 3, temperature: f
                     for n, (_, path) in enumerate(got):
                         ids = ids_of(lat, path)
                         p = float(path.logp.sum())
-                        score = 0.0 if kappa is None else (float(log1mexp(-math.exp(p - kappa))) if p - kappa > -30 else p - kappa)
+                        over = math.inf if kappa is None else p - kappa
+                        score = 0.0 if over > 30 else (float(log1mexp(-math.exp(over))) if over > -30 else over)
                         rows.append((keys[lo + i], n + 1, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), p, score, decoded(lat, ids) == whole) + ((ids,) if with_ids else ()))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types, strict=True)], names=names)
 
