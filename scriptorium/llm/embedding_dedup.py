@@ -23,12 +23,15 @@ are read, whatever other columns are called."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, star_edges, written
+from .search import _ranges as ranges
+
+SMALL = 64
 
 
 class Hashes:
@@ -104,36 +107,88 @@ def embedding_components(
     )
     dealt = dealt.join(classes.select("c", "v", "copies"), "c")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("c")
-        ids, copies, table = pdf["c"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64), int(pdf["t"].iloc[0])
-        unit = unit_vectors(pdf["v"].tolist())
-        names = of_dim(unit.shape[1]).buckets(unit)[:, :table]
-        left, right = np.flatnonzero(pdf["left"].to_numpy(bool)), np.flatnonzero(pdf["right"].to_numpy(bool))
-        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+    def pairs_of(start: np.ndarray, size: np.ndarray, alone: np.ndarray, left: np.ndarray, right: np.ndarray, unit: np.ndarray):
+        """Index pairs to compare exactly, some at a time: all of a small group at once with
+        the other small groups, candidates of a matrix product for a large one."""
+        small = alone & (size <= SMALL)
+        rows = ranges(start[small], size[small])
+        after = np.repeat(start[small] + size[small], size[small]) - rows - 1
+        ends = np.cumsum(after)
+        at = 0
+        while at < len(rows):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 16), "right")))
+            yield np.repeat(rows[at:end], after[at:end]), ranges(rows[at:end] + 1, after[at:end])
+            at = end
+        for lo, n, same in zip(start[~small].tolist(), size[~small].tolist(), alone[~small].tolist(), strict=True):
+            l, r = lo + np.flatnonzero(left[lo : lo + n]), lo + np.flatnonzero(right[lo : lo + n])
+            for at in range(0, len(l), 256):
+                some = l[at : at + 256]
+                a, b = np.nonzero(unit[some] @ unit[r].T >= least - 1e-9)
+                a, b = some[a], r[b]
+                keep = a < b if same else slice(None)
+                a, b = a[keep], b[keep]
+                for k in range(0, len(a), 1 << 16):
+                    yield a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+
+    def compare(rows: pa.Table, h: Hashes):
+        """Links of whole groups of one dimension: counts per class and spanning stars."""
+        column = {c: np.asarray(rows.column(c).combine_chunks()) for c in ("c", "t", "bucket", "i", "j", "copies")}
+        left, right = (np.asarray(rows.column(c).to_pylist(), bool) for c in ("left", "right"))
+        unit = unit_vectors(rows.column("v").to_pylist())
+        change = np.zeros(len(unit), bool)
+        change[0] = True
+        for c in ("t", "bucket", "i", "j"):
+            change[1:] |= column[c][1:] != column[c][:-1]
+        start = np.flatnonzero(change)
+        size = np.diff(np.append(start, len(unit)))
+        ids, where = np.unique(column["c"], return_inverse=True)
         links, a_all, b_all = np.zeros(len(ids), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at in range(0, len(left), 256):
-            some = left[at : at + 256]
-            near = unit[some] @ unit[right].T >= least - 1e-9
-            a, b = np.nonzero(near)
-            a, b = some[a], right[b]
-            if same:
-                a, b = a[a < b], b[a < b]
-            for lo in range(0, len(a), 1 << 16):
-                x, y = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
-                first = ~(names[x] == names[y]).any(axis=1)
-                x, y = x[first], y[first]
-                exact = np.einsum("ij,ij->i", unit[x], unit[y]) >= least
-                x, y = x[exact], y[exact]
-                np.add.at(links, x, copies[y])
-                np.add.at(links, y, copies[x])
-                a_all.append(x)
-                b_all.append(y)
+        for a, b in pairs_of(start, size, column["i"][start] == column["j"][start], left, right, unit):
+            near = np.einsum("ij,ij->i", unit[a], unit[b]) >= least
+            a, b = a[near], b[near]
+            if not len(a):
+                continue
+            used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            names = h.buckets(unit[used])
+            before = np.arange(tables) < column["t"][a][:, None]
+            first = ~((names[at[: len(a)]] == names[at[len(a) :]]) & before).any(axis=1)
+            a, b = a[first], b[first]
+            np.add.at(links, where[a], column["copies"][b])
+            np.add.at(links, where[b], column["copies"][a])
+            a_all.append(where[a])
+            b_all.append(where[b])
         p, q = star_edges(np.concatenate(a_all), np.concatenate(b_all), ids)
         some = np.flatnonzero(links)
-        return pd.DataFrame({"c": np.concatenate([ids[some], p]), "links": np.concatenate([links[some], np.zeros(len(p), np.int64)]), "to": pd.array(np.concatenate([np.full(len(some), -1), q]), "Int64")})
+        none = np.full(len(some), -1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([ids[some], p])), pa.array(np.concatenate([links[some], np.zeros(len(p), np.int64)])), pa.array(np.concatenate([none, q]))], names=["c", "links", "to"]
+        )
+
+    def compare_all(batches):
+        """Groups come one after the other; the last one of a batch waits for the next."""
+        made, waiting = {}, None
 
-    found = written(dealt.groupBy("dim", "t", "bucket", "i", "j").applyInPandas(compare, "c long, links long, to long"), "vector-links")
+        def done(rows):
+            for dim in np.unique(np.asarray(rows.column("dim").combine_chunks())).tolist():
+                yield from compare(rows.filter(pc.equal(rows.column("dim"), dim)), made.setdefault(dim, of_dim(dim)))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([b])
+            rows = rows if waiting is None else pa.concat_tables([waiting, rows])
+            last = [np.asarray(rows.column(c).combine_chunks()) for c in ("dim", "t", "bucket", "i", "j")]
+            open_ = np.logical_and.reduce([x == x[-1] for x in last])
+            cut = len(open_) - int(np.argmin(open_[::-1])) if not open_.all() else 0
+            if cut:
+                yield from done(rows.slice(0, cut))
+            waiting = rows.slice(cut)
+        if waiting is not None and waiting.num_rows:
+            yield from done(waiting)
+
+    by = ["dim", "t", "bucket", "i", "j"]
+    dealt = dealt.select(*by, "c", "left", "right", "copies", "v").repartition(*by).sortWithinPartitions(*by)
+    found = written(dealt.mapInArrow(compare_all, "c long, links long, to long"), "vector-links")
     roots = connected_components(found.where("to >= 0").select(F.col("c").alias("a"), F.col("to").alias("b")))
     counts = found.where("to < 0").groupBy("c").agg(F.sum("links").alias("links"))
     tagged = classes.select("p", "q", "copies", "low", "c").join(roots, F.col("c") == F.col("node"), "left").join(counts, "c", "left")
