@@ -41,7 +41,7 @@ from .common import written
 
 WINDOW = 64
 SHARD_DOCS, SHARD_POSTINGS = 16_384, 8_000_000
-BLOCK_TERMS = 1_000_000
+BLOCK_TERMS = 400_000
 TERM = re.compile(r"\w+")
 SHARD = "n_docs long, n_words long, terms array<string>, dfs array<int>, docs binary, tfs binary, keys binary, lengths binary, hashes binary"
 SHARD_ARROW = pa.schema(
@@ -214,9 +214,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
     for i in range(blocks):
         # At most about BLOCK_TERMS terms; queries are dealt to blocks by a hash.
         rows = weighted.where(F.col("block") == i).orderBy("query_id").toPandas()
-        names, terms = np.unique(rows["term"].to_numpy(str), return_inverse=True) if len(rows) else (np.zeros(0, str), np.zeros(0, np.int64))
+        # By hashing: an array of fixed-width strings would be as wide as the longest term.
+        terms, names = pd.factorize(rows["term"])
         ids, starts = np.unique(rows["query_id"].to_numpy(np.int64), return_index=True)
-        sent = spark.sparkContext.broadcast((ids, np.append(starts, len(rows)), names.tolist(), terms, rows["idf"].to_numpy(float)))
+        sent = spark.sparkContext.broadcast((ids, np.append(starts, len(rows)), list(names), terms, rows["idf"].to_numpy(float)))
         found = run(sent)
         hits = found if hits is None else hits.union(found)
         sent.destroy()
