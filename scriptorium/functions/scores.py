@@ -233,9 +233,10 @@ REWARD_MODEL_CONFIGS = [
 CONFIG_SCHEMA = "language string, model_name string, model_id string, api_type string, description string"
 
 
-def resolve_reward_config(df: DataFrame, language_col: str = "language") -> DataFrame:
+def resolve_reward_config(df: DataFrame, language_col: str = "language", api_endpoint: str | None = None, api_key: str | None = None) -> DataFrame:
     """Attach the config of the row's lower-cased language, ``multilingual`` when
-    unknown. The config table has three rows (a fixed bound), so it is broadcast."""
+    unknown, all seven fields. The config table has three rows (a fixed bound), so it is
+    broadcast. ``api_key`` is a reference to a key (the name of a secret), never the key."""
     spark = df.sparkSession
     cfg = spark.createDataFrame(REWARD_MODEL_CONFIGS, CONFIG_SCHEMA)
     fallback = [r for r in REWARD_MODEL_CONFIGS if r[0] == "multilingual"][0]
@@ -248,6 +249,9 @@ def resolve_reward_config(df: DataFrame, language_col: str = "language") -> Data
         .withColumn("cfg_model_id", F.coalesce(F.col("model_id"), F.lit(fallback[2])))
         .withColumn("cfg_api_type", F.coalesce(F.col("api_type"), F.lit(fallback[3])))
         .withColumn("cfg_description", F.coalesce(F.col("description"), F.lit(fallback[4])))
+        .withColumn("cfg_language", F.when(F.col("model_name").isNotNull(), F.col("_lang")).otherwise(F.lit(fallback[0])))
+        .withColumn("cfg_api_endpoint", F.lit(api_endpoint).cast("string"))
+        .withColumn("cfg_api_key", F.lit(api_key).cast("string"))
     )
     return out.drop("_lang", "model_name", "model_id", "api_type", "description")
 
@@ -259,6 +263,7 @@ def build_score_request(api_type: Column | str, question: Column, answer: Column
     mid = F.lit(model_id) if isinstance(model_id, str) else model_id
     hf = F.to_json(F.struct(F.concat_ws(" ", question, answer).alias("inputs")))
     vllm = F.to_json(F.struct(mid.alias("model"), F.array(question).alias("text_1"), F.array(answer).alias("text_2")))
+    # The rating prompt; the question and the answer stand between its parts.
     prompt = F.concat(
         F.lit("Rate the quality of this answer on a scale of 0 to 1.\n\nQuestion: "),
         question,
@@ -312,9 +317,9 @@ def score_pairs(
 
     ``scorer`` is either a Column (an expression scorer, e.g. ``rewards.reward_composite``)
     or a Python callable ``fn(questions, answers, contexts) -> list[float]`` that is
-    called once per Arrow batch on the executors (a reward-model client). When the
-    callable raises, the whole batch scores 0.0 and ``eval_failed`` is true, as a failed
-    batch call does in the scalar pipeline."""
+    called once per Arrow batch on the executors (a reward-model client). When a call
+    raises, its pairs are scored one by one, so that a pair fails by itself, however rows
+    are batched or partitioned: such a pair scores 0.0 with ``eval_failed`` true."""
     if isinstance(scorer, Column):
         return df.withColumn(out_col, scorer.cast("double")).withColumn("eval_failed", F.lit(False))
 
@@ -324,18 +329,28 @@ def score_pairs(
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     schema += f", `{out_col}` double, eval_failed boolean"
 
+    def called(qs, ans, ctx) -> list[float]:
+        scores = [float(x) for x in scorer(qs, ans, ctx)]
+        if len(scores) != len(qs):
+            raise ValueError("scorer returned a different number of scores")
+        return scores
+
     def run(batches):
         for pdf in batches:
             qs = pdf[question_col].tolist()
             ans = pdf[answer_col].tolist()
             ctx = pdf[context_col].tolist() if context_col else [None] * len(pdf)
             try:
-                scores = [float(x) for x in scorer(qs, ans, ctx)]
-                if len(scores) != len(pdf):
-                    raise ValueError("scorer returned a different number of scores")
-                failed = False
+                scores, failed = called(qs, ans, ctx), [False] * len(pdf)
             except Exception:
-                scores, failed = [0.0] * len(pdf), True
+                scores, failed = [], []
+                for one in zip(qs, ans, ctx, strict=True):
+                    try:
+                        scores += called(*([x] for x in one))
+                        failed.append(False)
+                    except Exception:
+                        scores.append(0.0)
+                        failed.append(True)
             out = pdf.copy()
             out[out_col] = pd.Series(scores, dtype="float64", index=pdf.index)
             out["eval_failed"] = failed

@@ -77,6 +77,7 @@ class BpeModel:
     merges: list[tuple[str, str]]
     specials: list[str] = field(default_factory=list)
     rounds: int = 0  # training rounds (Spark passes over the word table)
+    n_alphabet: int = 0
 
     @property
     def token_to_id(self) -> dict[str, int]:
@@ -186,7 +187,11 @@ def train_bpe(
     specials = list(DEFAULT_SPECIALS if special_tokens is None else special_tokens)
     src = texts
     if max_samples is not None:
-        src = src.orderBy(order_col).limit(max_samples) if order_col else src.limit(max_samples)
+        if not order_col:
+            raise ValueError("max_samples needs order_col: without an order the rows are any")
+        from .reshape import sample_cap
+
+        src = sample_cap(src, max_samples, [order_col])
     # The word table is aggregated once and cached: the alphabet and the first round read it.
     freqs = word_frequencies(src, text_col).persist(StorageLevel.MEMORY_AND_DISK)
     alphabet = sorted(r["ch"] for r in char_alphabet(freqs).select("ch").collect())
@@ -195,11 +200,12 @@ def train_bpe(
     for i, t in enumerate(vocab):
         tok2id.setdefault(t, i)
     merges: list[tuple[str, str]] = []
+    n_alphabet = len(vocab) - len(specials)
     if num_merges is not None:
         vocab_size = min(vocab_size, len(tok2id) + num_merges)
     if len(tok2id) >= vocab_size:
         freqs.unpersist()
-        return BpeModel(vocab, merges, specials)
+        return BpeModel(vocab, merges, specials, 0, len(vocab) - len(specials))
 
     spark = texts.sparkSession
     ckpt_base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bpe-{uuid.uuid4().hex}"
@@ -285,7 +291,7 @@ def train_bpe(
         words = nxt
     words.unpersist()
     _delete_path(spark, ckpt_base)
-    return BpeModel(vocab, merges, specials, rounds)
+    return BpeModel(vocab, merges, specials, rounds, n_alphabet)
 
 
 def _delete_path(spark, path: str) -> None:
@@ -300,7 +306,9 @@ def _delete_path(spark, path: str) -> None:
 
 def build_vocab(spark, model: BpeModel) -> DataFrame:
     """Vocabulary table ``(token, id, kind)``: special, alphabet, merge."""
-    n_alpha = len(model.vocab) - len(model.merges)
+    # Counted when the alphabet was laid down: a merge may reuse a token, so the number of
+    # merges says nothing about the number of tokens they added.
+    n_alpha = len(model.specials) + model.n_alphabet
     rows = []
     for i, t in enumerate(model.vocab):
         kind = "special" if i < len(model.specials) else ("alphabet" if i < n_alpha else "merge")
@@ -316,11 +324,8 @@ def merges_table(spark, model: BpeModel) -> DataFrame:
 
 # --- encoding ---------------------------------------------------------------------------
 
-try:  # the regex module's \w includes combining marks, like Java's (?U)\w
-    import regex as _re
-except ImportError:  # pragma: no cover
-    import re as _re
-_WORD_RE = _re.compile(r"\w+|[^\w\s]+")
+WORDS_KEPT = 200_000
+_WORDS: dict[str, dict[str, list[str]]] = {}
 
 
 def _encode_word(word: str, tok2id: dict[str, int], ranks: dict[tuple[str, str], int]) -> list[str]:
@@ -355,38 +360,62 @@ def _encode_word(word: str, tok2id: dict[str, int], ranks: dict[tuple[str, str],
 def encode_texts(df: DataFrame, model: BpeModel, text_col: str = "text", lower: bool = True) -> DataFrame:
     """Adds ``tokens ARRAY<STRING>`` and ``ids ARRAY<INT>`` (no truncation/padding).
 
-    Runs as an Arrow-batched pandas UDF: the model (bounded by ``vocab_size``) is shipped
-    once per task and each distinct word is merged once per task (cache)."""
+    Lower-casing and pre-tokenizing are the same Spark expressions as in training; only the
+    merging of a word runs in Python, over Arrow batches. The model (bounded by
+    ``vocab_size``) is broadcast; a worker keeps the words it has merged between batches and
+    tasks (at most ``WORDS_KEPT``). Nothing is shuffled: joining distinct words back would
+    move every token of the corpus."""
+    import uuid as _uuid
+
     tok2id = model.token_to_id
-    ranks = {pair: i for i, pair in enumerate(model.merges)}
+    ranks: dict[tuple[str, str], int] = {}
+    for i, pair in enumerate(model.merges):
+        ranks.setdefault(pair, i)
     spark = df.sparkSession
+    name = _uuid.uuid4().hex
     bc = spark.sparkContext.broadcast((tok2id, ranks))
     rtype = PT.StructType(
         [PT.StructField("tokens", PT.ArrayType(PT.StringType())), PT.StructField("ids", PT.ArrayType(PT.IntegerType()))]
     )
 
     @F.pandas_udf(rtype)
-    def enc(texts: pd.Series) -> pd.DataFrame:
+    def enc(rows: pd.Series) -> pd.DataFrame:
         t2i, rk = bc.value
-        cache: dict[str, list[str]] = {}
+        kept = _WORDS.setdefault(name, {})
+        if len(kept) > WORDS_KEPT:
+            kept.clear()
         toks_out, ids_out = [], []
-        for t in texts:
+        for words in rows:
             toks: list[str] = []
-            if t is not None:
-                s = t.lower() if lower else t
-                for w in _WORD_RE.findall(s):
-                    got = cache.get(w)
-                    if got is None:
-                        got = _encode_word(w, t2i, rk)
-                        cache[w] = got
-                    toks.extend(got)
+            for w in words if words is not None else ():
+                got = kept.get(w)
+                if got is None:
+                    got = kept[w] = _encode_word(w, t2i, rk)
+                toks.extend(got)
             toks_out.append(toks)
             ids_out.append([t2i[x] for x in toks])
         return pd.DataFrame({"tokens": toks_out, "ids": ids_out})
 
     from ..session import ensure_parallelism
 
-    return ensure_parallelism(df).withColumn("_enc", enc(F.col(text_col))).select("*", "_enc.*").drop("_enc")
+    words = T.pretokenize(normalize_text(text_col) if lower else F.col(text_col))
+    return ensure_parallelism(df).withColumn("_enc", enc(words)).select("*", "_enc.*").drop("_enc")
+
+
+def save_model(spark, model: BpeModel, path: str) -> None:
+    """The model as two tables under ``path``: ``vocab`` (token, id, kind) and ``merges``."""
+    build_vocab(spark, model).coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/vocab")
+    merges_table(spark, model).coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/merges")
+
+
+def load_model(spark, path: str) -> BpeModel:
+    """What ``save_model`` wrote (both tables are bounded by the vocabulary's size)."""
+    vocab = sorted(spark.read.parquet(f"{path.rstrip('/')}/vocab").collect(), key=lambda r: r.id)
+    merges = sorted(spark.read.parquet(f"{path.rstrip('/')}/merges").collect(), key=lambda r: r["rank"])
+    kinds = [r.kind for r in vocab]
+    return BpeModel(
+        [r.token for r in vocab], [(r.left, r.right) for r in merges], [r.token for r in vocab if r.kind == "special"], 0, kinds.count("alphabet")
+    )
 
 
 def truncate_pad(ids: Column | str, max_length: int, pad_id: int = 0) -> list[Column]:

@@ -40,12 +40,19 @@ def split_oversize_counted(counted: Column, max_tokens: int, per_unit_overhead:
     def per_unit(x: Column) -> Column:
         u, nw = x["text"], x["nw"]
         n = nw + o
-        groups = F.transform(
-            F.sequence(F.lit(0), F.ceil(nw / F.lit(g)).cast("int") - 1),
-            lambda i: F.struct(
-                F.array_join(F.slice(T.py_split(u), i * g + 1, F.lit(g)), " ").alias("text"),
-                (F.least(F.lit(g), nw - i * g) + o).cast("int").alias("n"),
-            ),
+        # The outer one-element transform binds the word array, so it is built once and not
+        # for every group.
+        groups = F.flatten(
+            F.transform(
+                F.array(T.py_split(u)),
+                lambda ws: F.transform(
+                    F.sequence(F.lit(0), F.ceil(nw / F.lit(g)).cast("int") - 1),
+                    lambda i: F.struct(
+                        F.array_join(F.slice(ws, i * g + 1, F.lit(g)), " ").alias("text"),
+                        (F.least(F.lit(g), nw - i * g) + o).cast("int").alias("n"),
+                    ),
+                ),
+            )
         )
         whole = F.array(F.struct(u.alias("text"), n.cast("int").alias("n")))
         return (

@@ -20,14 +20,17 @@ HARAKAT = r"[\x{64b}-\x{652}]"
 def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     from ..session import ensure_parallelism
 
-    w = ensure_parallelism(docs.select(text_col)).select(F.explode(T.py_split(F.col(text_col))).alias("w"))
+    words = ensure_parallelism(docs.select(text_col)).select(F.explode(T.py_split(F.col(text_col))).alias("w"))
+    # Distinct words with counts first: the patterns run once per word form, and the
+    # distinct counts expand over word forms, not over the corpus.
+    w = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     arabic = F.col("w").rlike(ARABIC)
     vocal = F.col("w").rlike(HARAKAT)
     stripped = F.regexp_replace("w", F.lit(HARAKAT), F.lit(""))
     agg = w.agg(
-        F.count(F.lit(1)).alias("total_words"),
-        F.count_if(arabic & vocal).alias("vocalised_words"),
-        F.count_if(~arabic).alias("other_words"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_words"),
+        F.coalesce(F.sum(F.when(arabic & vocal, F.col("n"))), F.lit(0)).alias("vocalised_words"),
+        F.coalesce(F.sum(F.when(~arabic, F.col("n"))), F.lit(0)).alias("other_words"),
         F.count_distinct(F.when(arabic, stripped)).alias("unique_unvocalised"),
         F.count_distinct(F.when(arabic & vocal, F.col("w"))).alias("unique_vocalised"),
     )

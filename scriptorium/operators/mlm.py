@@ -29,9 +29,17 @@ def mlm_mask(
     def hit(x, i):
         return (position_uniform(k, i, seed) < F.lit(rate)) & (x != F.lit(pad_id))
 
-    masked = F.transform(c, lambda x, i: F.when(hit(x, i), F.lit(mask_id)).otherwise(x))
-    labels = F.transform(c, lambda x, i: F.when(hit(x, i), x).otherwise(F.lit(IGNORE_LABEL)))
-    return [masked.alias("masked_ids"), labels.alias("labels")]
+    # Marked once per position; a second hash for the labels would double the cost.
+    marked = F.transform(c, lambda x, i: F.struct(x.alias("x"), hit(x, i).alias("hit")))
+
+    def both(m: Column) -> Column:
+        masked = F.transform(m, lambda p: F.when(p["hit"], F.lit(mask_id)).otherwise(p["x"]))
+        labels = F.transform(m, lambda p: F.when(p["hit"], p["x"]).otherwise(F.lit(IGNORE_LABEL)))
+        return F.struct(masked.alias("masked_ids"), labels.alias("labels"))
+
+    # The one-element transform binds the marks, so that both arrays read the same ones.
+    pair = F.get(F.transform(F.array(marked), both), 0)
+    return [pair["masked_ids"].alias("masked_ids"), pair["labels"].alias("labels")]
 
 
 def position_ids(ids: Column | str) -> Column:

@@ -1,59 +1,53 @@
 """Global running numbers without a single-partition window.
 
-1. range-partition by the order key (the sampling pass reads only the key columns when
-   this is done on the narrow input, e.g. documents before chunking);
-2. sort within partitions, take the in-partition index from the low 33 bits of
-   ``monotonically_increasing_id`` (computed after the sort, no further shuffle);
-3. count rows per partition (one value per partition reaches the driver), prefix-sum;
-4. add the partition offset (a literal array of partition-count size) to the index.
-
-The key must be unique so that a recomputed partition gets the same order.
+1. range-partition by the order key and sort within partitions;
+2. write the rows with (partition, index in it) to the shared folder, once: what is
+   numbered is what was written, whatever is lost or retried later, and nothing is cached;
+3. count rows per partition from that table (it reads one column) and prefix-sum the
+   counts, a row per partition;
+4. join the offsets, broadcast, to the written rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 _LOW33 = (1 << 33) - 1
 
 
 def range_partition(df: DataFrame, keys: Sequence[str], num_partitions: int | None = None) -> DataFrame:
-    """Range-partition on ``keys`` with an explicit partition count (AQE keeps it as is).
-
-    By default the count is the larger of the session's shuffle setting and the input's
-    own partition count, so partitions stay about split-sized (a fixed 200 would give
-    100 TB of input 500 GB partitions)."""
-    spark = df.sparkSession
-    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
-    return df.repartitionByRange(n, *[F.col(k) for k in keys])
+    """Range-partition on ``keys``; without a count, Spark takes the session's number of
+    shuffle partitions and AQE sizes them."""
+    keys = [F.col(k) for k in keys]
+    return df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
 
 
 def number_ranged(df: DataFrame, order: Sequence[str], id_col: str = "row_number", start: int = 1) -> DataFrame:
     """Number rows of an already range-partitioned frame in ``order`` (contiguous from ``start``).
 
     ``df`` must be range-partitioned on a prefix of ``order`` (see ``range_partition``)."""
+    spark = df.sparkSession
     keyed = (
         df.sortWithinPartitions(*[F.col(c) for c in order])
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33)))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    counts = {r["_pid"]: r["n"] for r in keyed.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_parts = max(counts.keys(), default=-1) + 1
-    offsets, running = [], start
-    for pid in range(n_parts):
-        offsets.append(running)
-        running += counts.get(pid, 0)
-    if not offsets:
-        offsets = [start]
-    offset_arr = F.array(*[F.lit(o).cast("long") for o in offsets])
-    return keyed.withColumn(id_col, F.element_at(offset_arr, F.col("_pid") + 1) + F.col("_idx")).drop(
-        "_pid", "_idx"
     )
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch/numbered-{uuid.uuid4().hex}"
+    keyed.write.parquet(path)
+    rows = spark.read.schema(keyed.schema).parquet(path)
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_pid", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + F.lit(start)).cast("long").alias("_from"))
+    # One short row per partition.
+    numbered = rows.join(F.broadcast(offsets), "_pid").withColumn(id_col, F.col("_from") + F.col("_idx"))
+    return numbered.select(*df.columns, id_col)
 
 
 def number_rows(

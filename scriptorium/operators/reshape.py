@@ -3,7 +3,7 @@ chat prompt rendering, caps and shuffles."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -31,23 +31,18 @@ def pair_turns(
     """Long conversation table -> ``(conv, pair_no, instruction, output)``: positions
     (0,1), (2,3), ... The unpaired last turn of an odd-length conversation is dropped.
 
-    ``turn`` must be the 0-based position. One aggregation keyed by (conversation,
-    pair), so a very long conversation spreads over many tasks; partial aggregation
-    combines map-side."""
+    ``turn`` must be the 0-based position. One exchange and one sort by (conversation,
+    pair, turn), so a very long conversation spreads over many tasks."""
     pair_no = F.floor(F.col(turn_col) / 2).cast("long")
-    g = df.groupBy(F.col(conv_col), pair_no.alias("pair_no")).agg(
-        F.min_by(text_col, turn_col).alias("instruction"),
-        F.max_by(text_col, turn_col).alias("output"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    return g.where(F.col("_n") == 2).drop("_n")
+    w = Window.partitionBy(conv_col, "pair_no").orderBy("_turn")
+    rows = df.select(conv_col, pair_no.alias("pair_no"), F.col(turn_col).alias("_turn"), F.col(text_col).alias("instruction"))
+    led = rows.select("*", F.lead("instruction").over(w).alias("output"), F.lead("_turn").over(w).alias("_next"))
+    return led.where((F.col("_turn") % 2 == 0) & F.col("_next").isNotNull()).select(conv_col, "pair_no", "instruction", "output")
 
 
 def positions(df: DataFrame, conv_col: str, order_col: str, pos_col: str = "turn") -> DataFrame:
     """0-based positions inside each conversation when the order column is not already a
     dense position (a window per conversation: one conversation per task)."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(conv_col).orderBy(order_col)
     return df.withColumn(pos_col, F.row_number().over(w) - 1)
 
@@ -75,17 +70,15 @@ def pair_turns_array(turns: Column, value_field: str = "value") -> Column:
 def project_code_instructions(raw: DataFrame, json_col: str = "value") -> DataFrame:
     """JSON records -> ``instruction, output, programming_language`` from ``prompt``,
     ``response``, ``programming_language``; a record missing any of the keys is skipped
-    (presence is tested on the object's keys, so an explicit null is kept)."""
+    (presence is tested on the object's keys, so an explicit null is kept). The last value
+    of a repeated key counts."""
     keys = F.json_object_keys(F.col(json_col))
     has_all = F.array_contains(keys, "prompt") & F.array_contains(keys, "response") & F.array_contains(
         keys, "programming_language"
     )
-    v = F.try_parse_json(F.col(json_col))
-    return raw.where(F.coalesce(has_all, F.lit(False))).select(
-        F.try_variant_get(v, "$.prompt", "string").alias("instruction"),
-        F.try_variant_get(v, "$.response", "string").alias("output"),
-        F.try_variant_get(v, "$.programming_language", "string").alias("programming_language"),
-    )
+    v = F.from_json(F.col(json_col), "prompt string, response string, programming_language string")
+    found = raw.where(F.coalesce(has_all, F.lit(False))).select(v.alias("_v"))
+    return found.select(F.col("_v.prompt").alias("instruction"), F.col("_v.response").alias("output"), "_v.programming_language")
 
 
 def render_chat_prompt(text: Column | str, system: str = REASONING_SYSTEM_PROMPT) -> Column:
@@ -103,72 +96,65 @@ def to_grpo_prompt(problem: Column, solution: Column, system: str = REASONING_SY
     return [prompt.alias("prompt"), solution.alias("solution")]
 
 
+def _problem_items(value: Column) -> Column:
+    """JSON array text -> ARRAY<STRUCT<valid, problem, solution>> (null when it is no list).
+
+    Items are cut out as their own text, so a solution that is no string keeps the text it
+    was written with (``1.0``, the order of an object's keys; white space between its parts goes)."""
+    kinds = F.try_parse_json(value).cast("array<variant>")
+    texts = F.from_json(value, "array<string>")
+
+    def item(text: Column, i: Column) -> Column:
+        keys = F.json_object_keys(text)
+        # A string item may hold the text of an object.
+        is_obj = F.coalesce(F.schema_of_variant(F.get(kinds, i)).startswith("OBJECT<"), F.lit(True))
+        valid = F.coalesce(is_obj & F.array_contains(keys, "problem") & F.array_contains(keys, "solution"), F.lit(False))
+        v = F.from_json(text, "problem string, solution string")
+        return F.struct(valid.alias("valid"), v["problem"].alias("problem"), v["solution"].alias("solution"))
+
+    is_list = F.coalesce(F.ltrim(value).startswith("["), F.lit(False)) & texts.isNotNull()
+    return F.when(is_list, F.transform(texts, item))
+
+
 def problem_rows(raw: DataFrame, json_col: str = "value", id_cols: list[str] | None = None) -> DataFrame:
-    """JSON array text -> valid problem items: objects holding both ``problem`` and
+    """JSON array text -> its items with ``valid``: objects holding both ``problem`` and
     ``solution`` keys (presence; null allowed). ``solution`` is kept as JSON text when it
-    is not a string. Adds ``is_list`` so callers can emit the placeholder rows."""
-    ids = [F.col(c) for c in (id_cols or [])]
-    v = F.try_parse_json(F.col(json_col))
-    is_list = F.coalesce(F.schema_of_variant(v).startswith("ARRAY<"), F.lit(False))
-    items = F.when(is_list, v.cast("array<variant>")).otherwise(F.array().cast("array<variant>"))
-    exploded = raw.select(*ids, is_list.alias("is_list"), F.posexplode_outer(items).alias("item_no", "item"))
-    is_obj = F.coalesce(F.schema_of_variant(F.col("item")).startswith("OBJECT<"), F.lit(False))
-    keys = F.json_object_keys(F.to_json(F.col("item")))
-    valid = is_obj & F.array_contains(keys, "problem") & F.array_contains(keys, "solution")
-    sol_is_str = F.schema_of_variant(F.variant_get(F.col("item"), "$.solution", "variant")) == "STRING"
-    sol_is_null = F.schema_of_variant(F.variant_get(F.col("item"), "$.solution", "variant")) == "VOID"
-    solution = F.when(sol_is_null, F.lit(None).cast("string")).when(
-        sol_is_str, F.try_variant_get(F.col("item"), "$.solution", "string")
-    ).otherwise(
-        F.to_json(F.try_variant_get(F.col("item"), "$.solution", "variant"))
-    )
-    problem = F.when(
-        F.schema_of_variant(F.variant_get(F.col("item"), "$.problem", "variant")) == "STRING",
-        F.try_variant_get(F.col("item"), "$.problem", "string"),
-    ).otherwise(F.to_json(F.try_variant_get(F.col("item"), "$.problem", "variant")))
-    return exploded.where(F.col("item").isNotNull()).select(
-        *ids, "is_list", "item_no", F.coalesce(valid, F.lit(False)).alias("valid"), problem.alias("problem"),
-        solution.alias("solution")
-    )
+    is not a string. Records that are no list give no rows."""
+    ids = id_cols or []
+    items = raw.select(*ids, _problem_items(F.col(json_col)).alias("_items"))
+    rows = items.select(*ids, F.col("_items").isNotNull().alias("is_list"), F.posexplode_outer("_items").alias("item_no", "_item"))
+    return rows.where(F.col("_item").isNotNull()).select(*ids, "is_list", "item_no", "_item.valid", "_item.problem", "_item.solution")
 
 
 def grpo_dataset(raw: DataFrame, json_col: str = "value", id_cols: list[str] | None = None) -> DataFrame:
     """Per input record (one JSON array): GRPO rows for its valid items, or one
     placeholder row: "Error loading data." when the record is not a list, "Empty dataset."
-    when the list has no valid item."""
+    when the list has no valid item. One pass; the choice is made within the record."""
     ids = id_cols or []
-    items = problem_rows(raw, json_col, ids)
-    good = items.where("valid").select(*ids, "item_no", *to_grpo_prompt(F.col("problem"), F.col("solution")))
-    v = F.try_parse_json(F.col(json_col))
-    is_list = F.coalesce(F.schema_of_variant(v).startswith("ARRAY<"), F.lit(False))
-    recs = raw.select(*ids, is_list.alias("is_list"))
-    with_valid = items.where("valid").select(*ids).distinct()
-    empty = recs.join(with_valid, on=ids, how="left_anti") if ids else recs
-    placeholder = empty.select(
-        *ids,
-        F.lit(-1).cast("int").alias("item_no"),
-        *to_grpo_prompt(
-            F.when(F.col("is_list"), F.lit(EMPTY_DATASET)).otherwise(F.lit(ERROR_LOADING)),
-            F.when(F.col("is_list"), F.lit("")).otherwise(F.lit("Error")),
-        ),
+    items = raw.select(*ids, _problem_items(F.col(json_col)).alias("_items"))
+    numbered = F.transform("_items", lambda x, i: F.struct(i.alias("item_no"), x["valid"].alias("valid"), x["problem"].alias("problem"), x["solution"].alias("solution")))
+    good = F.filter(F.coalesce(numbered, F.array().cast("array<struct<item_no:int,valid:boolean,problem:string,solution:string>>")), lambda x: x["valid"])
+    staged = items.select(*ids, F.col("_items").isNotNull().alias("_list"), good.alias("_good"))
+    instead = F.array(
+        F.struct(
+            F.lit(-1).alias("item_no"),
+            F.lit(True).alias("valid"),
+            F.when(F.col("_list"), F.lit(EMPTY_DATASET)).otherwise(F.lit(ERROR_LOADING)).alias("problem"),
+            F.when(F.col("_list"), F.lit("")).otherwise(F.lit("Error")).alias("solution"),
+        )
     )
-    return good.unionByName(placeholder)
-
-
-TOPK_LIMIT = 100_000
+    rows = staged.select(*ids, F.explode_outer(F.when(F.size("_good") > 0, F.col("_good")).otherwise(instead)).alias("_x"))
+    return rows.select(*ids, "_x.item_no", *to_grpo_prompt(F.col("_x.problem"), F.col("_x.solution")))
 
 
 def sample_cap(df: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """At most ``n`` rows, the first in ``order`` (a deterministic ``max_samples``).
-
-    Small caps use a top-k (each task keeps ``n`` rows, one task merges them); large caps
-    would make that one task hold ``n`` rows, so they are cut by running number instead
-    (range shuffle on ``order``, partition counts to the driver, filter)."""
-    if n <= TOPK_LIMIT:
-        return df.orderBy(*order).limit(n)
+    """At most ``n`` rows, the first in ``order`` (a deterministic ``max_samples``), rows that
+    tie in it by a hash of the whole row. Cut by running number, so no task holds the
+    rows that are kept."""
     from .numbering import number_rows
 
-    return number_rows(df, order, "_row").where(F.col("_row") <= n).drop("_row")
+    tie = df.withColumn("_tie", F.xxhash64(*[F.col(c) for c in df.columns]))
+    return number_rows(tie, [*order, "_tie"], "_row").where(F.col("_row") <= n).drop("_row", "_tie")
 
 
 def shuffle_key(cols: list[str], seed: int) -> Column:

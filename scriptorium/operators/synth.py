@@ -84,10 +84,9 @@ def _template_parts(tpl: str) -> list[str]:
 
 
 def build_prompt(language: Column | str, n_pairs: Column | int, text: Column | str) -> Column:
-    """Prompt text for the row's language; an unsupported language raises an error."""
-    lang = F.lit(language) if isinstance(language, str) and language in PROMPT_TEMPLATES else (
-        F.col(language) if isinstance(language, str) else language
-    )
+    """Prompt text for the row's language (a plain string is the language itself, a Column
+    holds one per row); an unsupported language raises an error."""
+    lang = F.lit(language) if isinstance(language, str) else language
     n = F.lit(n_pairs) if isinstance(n_pairs, int) else n_pairs
     t = F.col(text) if isinstance(text, str) else text
     out = None
@@ -96,7 +95,7 @@ def build_prompt(language: Column | str, n_pairs: Column | int, text: Column | s
         filled = F.concat(F.lit(a), n.cast("string"), F.lit(b), t, F.lit(c))
         out = F.when(lang == name, filled) if out is None else out.when(lang == name, filled)
     return out.otherwise(
-        F.raise_error(F.lit("Unsupported language. Please use 'arabic', 'english', or 'turkish'.")).cast("string")
+        F.raise_error(F.lit("no prompt template for this language (known: " + ", ".join(PROMPT_TEMPLATES) + ")")).cast("string")
     )
 
 
@@ -107,6 +106,7 @@ def build_request(model: str, prompt: Column) -> Column:
 
 
 ModelFn = Callable[[str], str]
+CALLS_TOGETHER = 64
 
 
 def map_completions(
@@ -120,7 +120,10 @@ def map_completions(
 
     Output: key columns + ``status`` (ok / rate_limited / error) + ``response``. An
     exception whose class name contains ``RateLimit`` marks the row rate-limited; any
-    other exception marks it as an error; neither stops the other rows.
+    other exception marks it as an error; neither stops the other rows. Rows without a
+    prompt are not sent (missing_text). Responses leave the task every ``CALLS_TOGETHER``
+    calls. Each evaluation of the result calls the model again: write it once and read it
+    for all that follows (``stored_completions``).
     ``parallelism`` caps the number of concurrent callers (partitions)."""
     keys = key_cols or [c for c in df.columns if c != prompt_col]
     src = df.select(*keys, prompt_col)
@@ -130,9 +133,14 @@ def map_completions(
     schema = f"{schema_keys}, status string, response string"
 
     def call(batches):
-        for pdf in batches:
+        for whole, at in ((b, i) for b in batches for i in range(0, len(b), CALLS_TOGETHER)):
+            pdf = whole.iloc[at : at + CALLS_TOGETHER].reset_index(drop=True)
             statuses, responses = [], []
             for p in pdf[prompt_col]:
+                if not p:
+                    responses.append(None)
+                    statuses.append(STATUS_MISSING_TEXT)
+                    continue
                 try:
                     responses.append(model_fn(p))
                     statuses.append(STATUS_OK)
@@ -147,6 +155,13 @@ def map_completions(
     return src.mapInPandas(call, schema)
 
 
+def stored_completions(df: DataFrame, path: str) -> DataFrame:
+    """Write raw responses as JSON lines before anything is parsed, and read them back: a
+    later failure, or a second use, never calls the model again."""
+    df.write.mode("append").option("ignoreNullFields", "false").json(path)
+    return df.sparkSession.read.schema(df.schema).json(path)
+
+
 def recorded_completions(df: DataFrame, recorded: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Test mode: responses come from a recorded table ``(key, status, response)``."""
     # Rows without a key never match; a NUL-prefixed row hash keeps them from sharing

@@ -154,23 +154,26 @@ def q_export_dataset(spark, sf_dir):
 
 
 class _FileStore:
-    """A document store stand-in: each insert_many call appends one JSON-lines file."""
+    """A document store stand-in: each key is one JSON-lines file of the folder, written
+    through the folder's own file system and replaced when the key comes again."""
 
     def __init__(self, root: str):
         self.root = root
 
     def __call__(self):
         import json
-        import os
 
-        root = self.root[len("file:"):] if self.root.startswith("file:") else self.root
-        os.makedirs(root, exist_ok=True)
+        from pyarrow import fs
 
-        def insert_many(batch):
-            name = os.path.join(root, f"batch-{uuid.uuid4().hex}.json")
-            with open(name, "w", encoding="utf-8") as f:
-                for row in batch:
-                    f.write(json.dumps(row, ensure_ascii=False) + "\n")
+        if self.root.startswith("file:"):
+            where, root = fs.LocalFileSystem(), "/" + self.root[len("file:"):].lstrip("/")
+        else:
+            where, root = (fs.LocalFileSystem(), self.root) if "://" not in self.root else fs.FileSystem.from_uri(self.root)
+        where.create_dir(root, recursive=True)
+
+        def insert_many(batch, key):
+            with where.open_output_stream(f"{root}/batch-{key}.json") as f:
+                f.write("".join(json.dumps(row, ensure_ascii=False) + "\n" for row in batch).encode("utf-8"))
 
         return insert_many
 
@@ -212,8 +215,9 @@ def q_assign_batches(spark, sf_dir):
 
 @register("incremental_run", CHUNKS_SQL + "\nSELECT chunk_id FROM ck")
 def q_incremental_run(spark, sf_dir):
-    """Two runs of the stream over two drops of chunk files (the second drop repeats
-    part of the first); every chunk id is written once."""
+    """Three runs over two drops of chunk files (the second drop repeats part of the
+    first). The first run fails every third document; the third run has no new file and
+    still finishes them; every chunk id is written once."""
     base = scratch(spark, "stream")
     src, out, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
     c = _chunks(spark, sf_dir)
@@ -223,9 +227,13 @@ def q_incremental_run(spark, sf_dir):
         qa = F.array(F.struct(F.lit("q").alias("question"), F.lit("a").alias("answer")))
         return SY.to_instruction_rows(pending.withColumn("qa", qa), "qa")
 
+    def failing(pending):
+        return process(pending.where(F.col("source_document").cast("bigint") % 3 != 0))
+
     c.where(doc % 2 == 0).write.mode("append").json(f"{src}")
-    incremental_run(spark, src, out, ckpt, process)
+    incremental_run(spark, src, out, ckpt, failing)
     c.where((doc % 2 == 1) | (doc % 4 == 0)).write.mode("append").json(f"{src}")
+    incremental_run(spark, src, out, ckpt, failing)
     incremental_run(spark, src, out, ckpt, process)
     return spark.read.schema(RD.OUTPUT_SCHEMA).json(out).select(
         F.col("source_document_info.original_chunk_id").alias("chunk_id")

@@ -37,8 +37,7 @@ def read_text_folder(spark: SparkSession, path: str, glob: str = "*.txt") -> Dat
 
 def read_chunks_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Chunk JSONL: keeps object lines with a truthy ``text``; undecodable lines and
-    lines without text are dropped (``is_bad`` marks undecodable ones before the filter
-    when ``keep_bad`` is used via ``parse_chunk_lines``)."""
+    lines without text are dropped (``parse_chunk_lines`` keeps and marks them)."""
     return parse_chunk_lines(spark.read.text(path)).where(~F.col("is_bad") & F.col("has_text")).drop(
         "is_bad", "has_text"
     )

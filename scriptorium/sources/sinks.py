@@ -27,16 +27,21 @@ def _batched(it: Iterable, n: int):
         yield batch
 
 
-def write_batched(df: DataFrame, open_writer: Callable[[], Callable[[list[dict]], None]], batch_size: int = 1000) -> None:
+def write_batched(df: DataFrame, open_writer: Callable[[], Callable[[list[dict], str], None]], batch_size: int = 1000) -> None:
     """Insert rows into an external store in batches of ``batch_size`` per task.
 
-    ``open_writer()`` runs on the executor and returns ``insert_many(list_of_dicts)``;
-    rows stream through the partition iterator, so memory holds one batch."""
+    ``open_writer()`` runs on the executor and returns ``insert_many(list_of_dicts, key)``;
+    rows stream through the partition iterator, so memory holds one batch. Delivery is at
+    least once: a task that is retried sends its batches again, each under the same ``key``
+    (partition and batch number), so a store that replaces what it has under a key ends up
+    with each row once, given input whose partitions are recomputed alike."""
 
     def run(rows):
-        insert = open_writer()
-        for batch in _batched((r.asDict(recursive=True) for r in rows), batch_size):
-            insert(batch)
+        from pyspark import TaskContext
+
+        insert, part = open_writer(), TaskContext.get().partitionId()
+        for n, batch in enumerate(_batched((r.asDict(recursive=True) for r in rows), batch_size)):
+            insert(batch, f"{part:06d}-{n:08d}")
 
     df.foreachPartition(run)
 

@@ -1,11 +1,12 @@
 """Incremental generation runs with Structured Streaming.
 
-New chunk files in a folder are picked up by a file-source stream
-(``trigger(availableNow=True)`` processes what is there and stops); each micro-batch
-drops chunks whose id is already in the output (left anti join against the output's
-ids, read fresh per batch), runs the user's batch function (e.g. model call + parse +
-explode) and appends. The stream checkpoint records which files were consumed, so a
-rerun reads only new files, and the anti join makes a replayed batch add nothing.
+A file-source stream (``trigger(availableNow=True)``) only discovers chunks: each new file is
+consumed once and its chunks go to an inbox table beside the stream's checkpoint, one
+folder per micro-batch, so a replayed batch replaces itself. A run then takes *all* chunks
+of the inbox whose id is not in the output yet (left anti join), runs the user's batch
+function (e.g. model call + parse + explode) and appends. A chunk that failed, was
+rate-limited or gave no rows is therefore offered again by every later run, with or
+without new files, and a finished one never is.
 """
 
 from __future__ import annotations
@@ -20,6 +21,31 @@ from ..sources.readers import CHUNK_SCHEMA, read_processed_ids
 from ..sources.sinks import append_jsonl
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Asked of the path's own file system; what goes wrong there is raised."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+
+
+def discover(spark: SparkSession, input_dir: str, checkpoint_dir: str, max_files_per_trigger: int | None = None) -> DataFrame | None:
+    """Move the chunks of files not yet consumed to the inbox; the whole inbox, or None."""
+    reader = spark.readStream.schema(CHUNK_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    inbox = f"{checkpoint_dir.rstrip('/')}/inbox"
+    chunks = reader.json(input_dir).where(F.col("text").isNotNull() & (F.col("text") != ""))
+
+    def keep(batch: DataFrame, epoch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{inbox}/epoch={epoch_id}")
+
+    q = chunks.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if not path_exists(spark, inbox):
+        return None
+    return spark.read.schema(CHUNK_SCHEMA).parquet(inbox)
+
+
 def incremental_run(
     spark: SparkSession,
     input_dir: str,
@@ -29,25 +55,12 @@ def incremental_run(
     id_col: str = "chunk_id",
     max_files_per_trigger: int | None = None,
 ) -> None:
-    """Process the chunk JSONL files not yet consumed; append instruction rows."""
-    reader = spark.readStream.schema(CHUNK_SCHEMA)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    chunks = reader.json(input_dir).where(F.col("text").isNotNull() & (F.col("text") != ""))
-
-    def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        try:
-            done = read_processed_ids(spark, output_dir, id_col)
-        except Exception:  # no output yet
-            done = spark.createDataFrame([], f"{id_col} string")
-        pending = resume_pending(batch, done, id_col)
-        out = process(pending)
-        append_jsonl(out, output_dir)
-
-    q = (
-        chunks.writeStream.foreachBatch(per_batch)
-        .option("checkpointLocation", checkpoint_dir)
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
+    """Process every chunk seen so far that has no output yet; append instruction rows."""
+    seen = discover(spark, input_dir, checkpoint_dir, max_files_per_trigger)
+    if seen is None:
+        return
+    # An id that was delivered twice is offered once; chunks without an id always are.
+    one = seen.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(seen.where(F.col(id_col).isNull()))
+    if path_exists(spark, output_dir):
+        one = resume_pending(one, read_processed_ids(spark, output_dir, id_col), id_col)
+    append_jsonl(process(one), output_dir)

@@ -84,3 +84,21 @@ def test_matches_tokenizers_library_on_documents(spark, merges, min_freq):
     got = B.encode_texts(sample, ours).orderBy("doc_id").collect()
     for row in got:
         assert list(row["ids"]) == lib.encode(row["text"].lower()).ids
+
+
+def test_kinds_when_a_merge_reuses_a_token(spark, tmp_root):
+    """"abc" is reached twice (a + bc, ab + c): fewer tokens than merges, kinds stay right."""
+    m = B.train_bpe(_texts(spark, ["bc " * 9 + "abc " * 8 + "ab " * 20 + "abcd " * 3 + "xab " * 4]), vocab_size=100, min_frequency=1, special_tokens=["[PAD]"])
+    kinds = {r["token"]: r["kind"] for r in B.build_vocab(spark, m).collect()}
+    assert {t for t, k in kinds.items() if k == "alphabet"} == set("abcdx")
+    assert {t for t, k in kinds.items() if k == "merge"} == {a + b for a, b in m.merges}
+    B.save_model(spark, m, str(tmp_root / "bpe"))
+    again = B.load_model(spark, str(tmp_root / "bpe"))
+    assert (again.vocab, again.merges, again.specials, again.n_alphabet) == (m.vocab, m.merges, m.specials, m.n_alphabet)
+
+
+def test_max_samples_needs_an_order(spark):
+    with pytest.raises(ValueError):
+        B.train_bpe(_texts(spark, ["a b"]), vocab_size=10, max_samples=1)
+    m = B.train_bpe(_texts(spark, ["ab ab", "xy xy"]), vocab_size=100, special_tokens=[], max_samples=1, order_col="id")
+    assert m.vocab == ["a", "b", "ab"]

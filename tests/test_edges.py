@@ -139,3 +139,86 @@ def test_incremental_run_retries_chunks_without_output(spark, tmp_root):
     assert seen[-1] == ["c2", "c3"]  # c1 is done; c2 wrote nothing, so it is retried
     ids = sorted(r[0] for r in spark.read.json(out).select("source_document_info.original_chunk_id").collect())
     assert ids == ["c1", "c3"]
+    incremental_run(spark, src, out, ckpt, process)  # no new file: what has no output is still offered
+    assert seen[-1] == ["c2"]
+
+
+def test_incremental_run_raises_on_unreadable_output(spark, tmp_root):
+    import pytest
+
+    from scriptorium.streaming.incremental import incremental_run
+
+    base = tmp_root / "inc-bad"
+    src, out = str(base / "in"), str(base / "out")
+    spark.createDataFrame([("t1", "d", "c1", 1)], "text string, source_document string, chunk_id string, token_count_estimate int").write.json(src)
+    os.makedirs(out)
+    (base / "out" / "part.json.gz").write_bytes(b"not gzip at all")
+    with pytest.raises(Exception):
+        incremental_run(spark, src, out, str(base / "ckpt"), lambda df: df)
+
+
+def test_grpo_without_id_columns_and_solutions_as_written(spark):
+    value = '[{"problem": "p1", "solution": 1.0}, {"problem": 7, "solution": {"b": 1, "a": [true, null]}}, {"problem": "p", "solution": true}, {"solution": "s", "problem": "p4"}, "{\\"problem\\": 1, \\"solution\\": 2}"]'
+    df = spark.createDataFrame([(value,), ("[]",), ("no list",), (None,)], "value string")
+    rows = RS.grpo_dataset(df).collect()
+    got = sorted((r["item_no"], r["prompt"][1]["content"], r["solution"]) for r in rows)
+    assert got == sorted([
+        (0, "p1", "1.0"), (1, "7", '{"b":1,"a":[true,null]}'), (2, "p", "true"), (3, "p4", "s"),
+        (-1, RS.EMPTY_DATASET, ""), (-1, RS.ERROR_LOADING, "Error"), (-1, RS.ERROR_LOADING, "Error"),
+    ])
+
+
+def test_code_instructions_with_repeated_keys(spark):
+    rows = [('{"prompt": "a", "response": "r", "programming_language": "x", "prompt": "b"}',), ('{"prompt": null, "response": 5, "programming_language": "x"}',), ('{"prompt": "a"}',), ("junk",)]
+    got = [tuple(r) for r in RS.project_code_instructions(spark.createDataFrame(rows, "value string")).collect()]
+    assert sorted(got, key=str) == sorted([("b", "r", "x"), (None, "5", "x")], key=str)
+
+
+def test_prompt_languages_and_missing_text(spark):
+    import pytest
+
+    from scriptorium.operators import synth as SY
+
+    df = spark.createDataFrame([("some text",), (None,)], "text string")
+    with pytest.raises(Exception, match="no prompt template"):
+        df.select(SY.build_prompt("french", 2, F.col("text"))).collect()
+
+    def model(prompt):
+        return "answered"
+
+    called = SY.map_completions(df.withColumn("prompt", F.col("text")), model).collect()
+    assert sorted((r["status"], r["response"]) for r in called if r["response"]) == [("ok", "answered")]
+    assert [r["status"] for r in called if r["text"] is None] == [SY.STATUS_MISSING_TEXT]
+
+
+def test_checkpoint_folder_is_required_off_local():
+    import pytest
+
+    from scriptorium.session import ensure_checkpoint_dir
+
+    class Option:
+        def isDefined(self):
+            return False
+
+    class Stub:
+        master = "spark://host:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return Stub
+
+        @staticmethod
+        def getCheckpointDir():
+            return Option()
+
+    class Session:
+        sparkContext = Stub
+
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return default
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session)

@@ -33,3 +33,14 @@ def test_chunking_has_no_inferred_duplicate_filter(spark):
     # explode would make the optimizer add "size(chunks) > 0" below the projections and
     # evaluate the whole split twice; the outer form keeps a single evaluation.
     assert "Filter (size(" not in plan and "Filter ((size(" not in plan
+
+
+def test_numbering_caches_nothing_and_holds_no_literal_offsets(spark):
+    plan = _plan(spark, "chunk_corpus")
+    assert "InMemoryTableScan" not in plan and "BroadcastExchange" in plan and "element_at" not in plan
+
+
+def test_pair_turns_sorts_once(spark):
+    plan = _plan(spark, "read_instruction_source") + _plan(spark, "pair_turns")
+    assert "SortAggregate" not in plan
+    assert _plan(spark, "pair_turns").count("Exchange hashpartitioning") == 1

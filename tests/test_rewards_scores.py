@@ -111,6 +111,16 @@ def test_score_pairs_python_scorer_and_failure(spark):
     assert ok == [("q1", 0.5, False), ("q2", 1.0, False)]
     bad = SC.score_pairs(df, _boom).collect()
     assert all(r["score"] == 0.0 and r["eval_failed"] for r in bad)
+
+    def _one_bad(questions, answers, contexts):
+        if "q7" in questions:
+            raise RuntimeError("bad row")
+        return [1.0] * len(questions)
+
+    many = spark.createDataFrame([(f"q{i}", "a") for i in range(40)], "question string, answer string")
+    for parts in (1, 10):  # one bad row fails by itself, however rows are dealt
+        got = SC.score_pairs(many.repartition(parts), _one_bad).where("eval_failed").collect()
+        assert [r["question"] for r in got] == ["q7"]
     col = SC.score_pairs(df, R.reward_length("answer")).collect()
     assert sorted(r["score"] for r in col) == [0.5, 1.0]
 

@@ -116,20 +116,31 @@ def test_running_ids_contiguous(spark):
     assert keys == sorted(keys)
 
 
-def test_sample_cap_large_path_equals_topk(spark):
+def test_sample_cap_keeps_the_first_rows_and_breaks_ties(spark):
     from conftest import SF001
 
     from scriptorium.operators import reshape as RS
 
-    d = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id")
-    small = [r[0] for r in RS.sample_cap(d, 37, ["doc_id"]).collect()]
-    old = RS.TOPK_LIMIT
-    RS.TOPK_LIMIT = 0
-    try:
-        large = sorted(r[0] for r in RS.sample_cap(d, 37, ["doc_id"]).collect())
-    finally:
-        RS.TOPK_LIMIT = old
-    assert small == large == sorted(r[0] for r in d.collect())[:37]
+    d = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "lang")
+    got = sorted(r[0] for r in RS.sample_cap(d.select("doc_id"), 37, ["doc_id"]).collect())
+    assert got == sorted(r[0] for r in d.collect())[:37]
+    tied = [sorted(r[0] for r in RS.sample_cap(d.repartition(n), 20, ["lang"]).collect()) for n in (1, 5)]
+    assert tied[0] == tied[1] and len(tied[0]) == 20
+    assert RS.sample_cap(d, 10**9, ["doc_id"]).count() == d.count()
+
+
+def test_long_oversize_unit_splits_in_linear_time(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(" ".join(["word"] * n),)], "t string")
+        t0 = time.perf_counter()
+        parts = df.select(C.split_oversize(F.array("t"), 16).alias("p")).select(F.size("p"), F.get("p", F.size("p") - 1)["n"]).first()
+        assert parts[0] == -(-n // 16) and parts[1] == (n % 16 or 16)
+        return time.perf_counter() - t0
+
+    seconds(1000)
+    assert seconds(200_000) < 60  # quadratic splitting took 11 s for 16,000 words
 
 
 def _greedy(sizes, limit):
