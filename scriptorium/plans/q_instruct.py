@@ -227,22 +227,28 @@ def _exploded(df, pairs_col):
     ).select("conv_id", "pair_no", "q_no", "p.question", "p.answer")
 
 
-@register("strip_code_fence", _with("SELECT conv_id, pair_no, true AS restored FROM pairs"))
+JSON_SQL = "CAST(to_json([{'question': instruction, 'answer': output}]) AS VARCHAR)"
+JSON_AR_SQL = f"CAST(to_json([{{'{AR_Q}': instruction, '{AR_A}': output}}]) AS VARCHAR)"
+COMMAS_SQL = f"left({JSON_SQL}, len({JSON_SQL}) - 2) || ',' || chr(10) || '}},]'"
+
+
+@register(
+    "strip_code_fence",
+    _with(
+        f"""SELECT conv_id, pair_no, CASE conv_id % 5 WHEN 3 THEN {COMMAS_SQL} WHEN 4 THEN {JSON_AR_SQL} ELSE {JSON_SQL} END AS bare
+        FROM pairs"""
+    ),
+)
 def q_strip_code_fence(spark, sf_dir):
-    r = _responses(spark, sf_dir).where(F.col("conv_id") % 5 != 3)
-    json_or_ar = F.when(F.col("conv_id") % 5 == 4, F.col("response")).otherwise(F.col("json"))
-    restored = Q.strip_code_fence(F.col("response")) == json_or_ar
-    rest = _responses(spark, sf_dir).where(F.col("conv_id") % 5 == 3)
-    fixed = Q.fix_trailing_commas(Q.strip_code_fence(F.col("response"))) == F.col("json")
-    return r.select("conv_id", "pair_no", restored.alias("restored")).unionByName(
-        rest.select("conv_id", "pair_no", fixed.alias("restored"))
-    )
+    return _responses(spark, sf_dir).select("conv_id", "pair_no", Q.strip_code_fence(F.col("response")).alias("bare"))
 
 
-@register("fix_trailing_commas", _with("SELECT conv_id, pair_no, true AS restored FROM pairs WHERE conv_id % 5 = 3"))
+@register("fix_trailing_commas", _with(f"SELECT conv_id, pair_no, {JSON_SQL} AS fixed FROM pairs"))
 def q_fix_trailing_commas(spark, sf_dir):
-    r = _responses(spark, sf_dir).where(F.col("conv_id") % 5 == 3)
-    return r.select("conv_id", "pair_no", (Q.fix_trailing_commas(T.py_strip("response")) == F.col("json")).alias("restored"))
+    """Every pair's JSON with commas put before its closing brackets, and taken out again."""
+    r = _responses(spark, sf_dir)
+    broken = F.regexp_replace("json", F.lit("\\}\\]$"), F.lit(",\n},]"))
+    return r.select("conv_id", "pair_no", Q.fix_trailing_commas(broken).alias("fixed"))
 
 
 @register("parse_qa_json", PARSED_SQL)

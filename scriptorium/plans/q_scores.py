@@ -115,16 +115,14 @@ def q_score_response_openai(spark, sf_dir):
     return e.select("event_id", SC.score_response_openai(status, content, content.isNotNull()).alias("score"))
 
 
-SOFTMAX_SQL = """SELECT vec_id, round(exp(b - m) / (exp(a - m) + exp(b - m)), 6) AS score
-    FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b,
-                 greatest(CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE)) AS m FROM embeddings)"""
+SOFTMAX_SQL = """SELECT vec_id, round(exp(x[2] - m) / list_sum(list_transform(x, lambda v: exp(v - m))), 6) AS score
+    FROM (SELECT vec_id, x, list_max(x) AS m FROM (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings))"""
 
 
 @register("score_softmax", SOFTMAX_SQL)
 def q_score_softmax(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    logits = F.slice("embedding", 1, 2)
-    return e.select("vec_id", F.round(SC.score_softmax(logits), 6).alias("score"))
+    return e.select("vec_id", F.round(SC.score_softmax("embedding"), 6).alias("score"))
 
 
 @register(

@@ -1,8 +1,9 @@
 """Queries for the tokenizer and masked-LM data jobs over ``documents``.
 
-The SQL-checked encoding uses the character-level vocabulary (specials + alphabet, no
-merges), which both engines derive from the data; learned merges are checked against the
-public tokenizer library in the tests and registered here rows-only.
+The oracle trains the vocabulary in SQL, one materialised step per merge: count pairs over
+the distinct words, take the best (count, then ids), replace it. The word table of the last
+step is also the encoding of every word, so the encoding queries run with merges and are
+checked end to end. The tests compare longer trainings with the public tokenizer library.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ MASK_ID = SPECIALS.index("[MASK]")
 PAD_ID = SPECIALS.index("[PAD]")
 SEED = 42
 BPE_MERGES = 60
+ENCODE_MERGES = 12
 
 
 def _docs(spark, sf_dir):
@@ -70,21 +72,53 @@ def q_char_alphabet(spark, sf_dir):
     return a.select("ch", F.col("freq").cast("bigint").alias("freq"))
 
 
-def _char_model(spark, sf_dir):
-    return B.train_bpe(_docs(spark, sf_dir), vocab_size=0, special_tokens=SPECIALS)
-
-
-ENCODED_SQL = f"""WITH {ALPHA_SQL},
-    m AS (SELECT map_from_entries(list(struct_pack(k := ch, v := id))) AS mm FROM alpha),
+def _model(spark, sf_dir):
+    return B.train_bpe(_docs(spark, sf_dir), vocab_size=1 << 30, num_merges=ENCODE_MERGES, min_frequency=2, special_tokens=SPECIALS)
+
+
+def _bpe_sql(merges: int) -> str:
+    """CTEs of a training: ``w<i>`` (word, freq, s: its ids as ``<a><b>``) and ``v<i>`` (the
+    vocabulary as a list) after ``i`` merges."""
+    out = [
+        ALPHA_SQL,
+        "am AS (SELECT map_from_entries(list(struct_pack(k := ch, v := id))) AS mm FROM alpha)",
+        f"""w0 AS MATERIALIZED (
+      SELECT w AS word, freq, '<' || array_to_string(list_transform(string_split(w, ''), lambda c: mm[c]), '><') || '>' AS s
+      FROM (SELECT w, count(*) AS freq FROM (SELECT unnest(ws) AS w FROM ({WORDS_SQL})) GROUP BY w), am)""",
+        f"v0 AS MATERIALIZED (SELECT list_concat([{', '.join(S.q(t) for t in SPECIALS)}], (SELECT list(ch ORDER BY id) FROM alpha)) AS v)",
+    ]
+    for i in range(1, merges + 1):
+        out += [
+            f"""p{i} AS MATERIALIZED (
+      SELECT x[1] AS l, x[2] AS r, sum(freq) AS c
+      FROM (SELECT freq, unnest(list_transform(range(1, len(ids)), lambda k: [ids[k], ids[k + 1]])) AS x
+            FROM (SELECT freq, CAST(string_split(s[2:len(s) - 1], '><') AS INTEGER[]) AS ids FROM w{i - 1}) WHERE len(ids) > 1)
+      GROUP BY 1, 2 HAVING sum(freq) >= 2 ORDER BY c DESC, l, r LIMIT 1)""",
+            f"t{i} AS MATERIALIZED (SELECT l, r, v[l + 1] || v[r + 1] AS tok, coalesce(nullif(list_position(v, v[l + 1] || v[r + 1]), 0) - 1, len(v)) AS id FROM p{i}, v{i - 1})",
+            f"v{i} AS MATERIALIZED (SELECT CASE WHEN id = len(v) THEN list_append(v, tok) ELSE v END AS v FROM v{i - 1} LEFT JOIN t{i} ON true)",
+            f"w{i} AS MATERIALIZED (SELECT word, freq, coalesce(replace(s, '<' || l || '><' || r || '>', '<' || id || '>'), s) AS s FROM w{i - 1} LEFT JOIN t{i} ON true)",
+        ]
+    return ",\n    ".join(out)
+
+
+def _vocab_sql(merges: int) -> str:
+    return f"""WITH {_bpe_sql(merges)}
+    SELECT token, id, CASE WHEN id < {len(SPECIALS)} THEN 'special' WHEN id < len(v0.v) THEN 'alphabet' ELSE 'merge' END AS kind
+    FROM (SELECT unnest(v) AS token, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS id FROM v{merges}), v0"""
+
+
+ENCODED_SQL = f"""WITH {_bpe_sql(ENCODE_MERGES)},
     enc AS (
-      SELECT doc_id, list_transform(flatten(list_transform(ws, lambda w: string_split(w, ''))), lambda c: mm[c]) AS ids
-      FROM ({WORDS_SQL}), m
+      SELECT doc_id, coalesce(flatten(list(ids ORDER BY pos) FILTER (ids IS NOT NULL)), []) AS ids
+      FROM (SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word FROM (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [''] ELSE ws END AS ws FROM ({WORDS_SQL})))
+      LEFT JOIN (SELECT word, CAST(string_split(s[2:len(s) - 1], '><') AS INTEGER[]) AS ids FROM w{ENCODE_MERGES}) USING (word)
+      GROUP BY doc_id
     )"""
 
 
 @register("encode_texts", ENCODED_SQL + "\nSELECT doc_id, ids FROM enc")
 def q_encode_texts(spark, sf_dir):
-    model = _char_model(spark, sf_dir)
+    model = _model(spark, sf_dir)
     return B.encode_texts(_docs(spark, sf_dir), model).select("doc_id", "ids")
 
 
@@ -98,7 +132,7 @@ PAD_SQL = f"""padded AS (
 
 @register("truncate_pad", ENCODED_SQL + f",\n    {PAD_SQL}\nSELECT doc_id, input_ids, attention_mask FROM padded")
 def q_truncate_pad(spark, sf_dir):
-    model = _char_model(spark, sf_dir)
+    model = _model(spark, sf_dir)
     e = B.encode_texts(_docs(spark, sf_dir), model)
     return e.select("doc_id", *B.truncate_pad("ids", MAX_LEN, PAD_ID))
 
@@ -107,20 +141,20 @@ U_SQL = f"CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':' || CAST(i AS V
 HIT_SQL = f"({U_SQL} < 0.15 AND input_ids[i + 1] <> {PAD_ID})"
 MLM_SQL = (
     ENCODED_SQL
-    + f",\n    {PAD_SQL},\n"
-    + f"""    masked AS (
+    + f""",
+    masked AS (
       SELECT doc_id, input_ids,
-             list_transform(range(0, {MAX_LEN}), lambda i: CASE WHEN {HIT_SQL} THEN {MASK_ID} ELSE input_ids[i + 1] END) AS masked_ids,
-             list_transform(range(0, {MAX_LEN}), lambda i: CASE WHEN {HIT_SQL} THEN input_ids[i + 1] ELSE -100 END) AS labels
-      FROM padded
+             list_transform(range(0, len(input_ids)), lambda i: CASE WHEN {HIT_SQL} THEN {MASK_ID} ELSE input_ids[i + 1] END) AS masked_ids,
+             list_transform(range(0, len(input_ids)), lambda i: CASE WHEN {HIT_SQL} THEN input_ids[i + 1] ELSE -100 END) AS labels
+      FROM (SELECT doc_id, ids AS input_ids FROM enc)
     )"""
 )
 
 
 def _masked(spark, sf_dir):
-    model = _char_model(spark, sf_dir)
-    e = B.encode_texts(_docs(spark, sf_dir), model)
-    p = e.select("doc_id", *B.truncate_pad("ids", MAX_LEN, PAD_ID))
+    model = _model(spark, sf_dir)
+    # Every token of every text; cutting to a length is truncate_pad's part.
+    p = B.encode_texts(_docs(spark, sf_dir), model).select("doc_id", F.col("ids").alias("input_ids"))
     return p.select("doc_id", "input_ids", *M.mlm_mask("input_ids", F.col("doc_id"), MASK_ID, PAD_ID, 0.15, SEED))
 
 
@@ -147,28 +181,29 @@ def q_mask_stats(spark, sf_dir):
     ENCODED_SQL + "\nSELECT doc_id, CASE WHEN len(ids) > 0 THEN range(0, len(ids)) ELSE [] END AS position_ids FROM enc",
 )
 def q_position_ids(spark, sf_dir):
-    model = _char_model(spark, sf_dir)
+    model = _model(spark, sf_dir)
     e = B.encode_texts(_docs(spark, sf_dir), model)
     return e.select("doc_id", M.position_ids("ids").alias("position_ids"))
 
 
-@register("train_bpe")
+@register("train_bpe", _vocab_sql(BPE_MERGES))
 def q_train_bpe(spark, sf_dir):
-    """Rows-only: the learned vocabulary (specials, alphabet, BPE_MERGES merges)."""
+    """The learned vocabulary: specials, alphabet, BPE_MERGES merges."""
     d = _docs(spark, sf_dir)
     model = B.train_bpe(d, vocab_size=1 << 30, num_merges=BPE_MERGES, min_frequency=2, special_tokens=SPECIALS)
     return B.build_vocab(spark, model)
 
 
-@register(
-    "build_vocab",
-    f"""WITH {ALPHA_SQL}
-    SELECT token, id, kind FROM (
-      SELECT ch AS token, id, 'alphabet' AS kind FROM alpha
-      UNION ALL SELECT * FROM (VALUES {", ".join(f"('{t}', {i}, 'special')" for i, t in enumerate(SPECIALS))}) v(token, id, kind))""",
-)
+@register("build_vocab", _vocab_sql(ENCODE_MERGES))
 def q_build_vocab(spark, sf_dir):
-    return B.build_vocab(spark, _char_model(spark, sf_dir))
+    """A saved and loaded model's vocabulary."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch/bpe-{uuid.uuid4().hex}"
+    B.save_model(spark, _model(spark, sf_dir), path)
+    return B.build_vocab(spark, B.load_model(spark, path))
 
 
 @register(
