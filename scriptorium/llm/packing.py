@@ -218,5 +218,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
         since = rank - p[:, 1]
         return pd.DataFrame({"sequence_id": p[:, 3] + since // p[:, 2], "offset": p[:, 4] + since % p[:, 2] * length})
 
-    out = pieces.join(bases, ["task", "length"]).withColumn("at", place("length", F.col("place") + F.col("base")))
+    # A table that grows with the tasks: its compressed size on disk would let it be broadcast
+    # when it is many times that in memory.
+    out = pieces.join(bases.hint("merge"), ["task", "length"]).withColumn("at", place("length", F.col("place") + F.col("base")))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset", *(["ids"] if with_ids else []))
