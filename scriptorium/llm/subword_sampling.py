@@ -12,12 +12,12 @@ subsets of segmentations instead of listing them:
   node's bound is the value itself and the search never expands a node in vain;
 * a node popped from the agenda gives its segmentation; the rest of its set falls into
   disjoint sets -- agree up to a step of the path, differ there -- whose masses follow from
-  the edge probabilities and whose largest values are Gumbel truncated at the popped value.
-  Sets that differ only after the first ``AHEAD`` steps are kept as one until it is popped.
+  the edge probabilities and whose largest values are Gumbel truncated at the popped value;
+  the sets of a range of steps are kept as one node and split when that is popped.
 
 Draws are backward through the lattice, edge by edge, by probabilities from the forward
-sums. Pieces do not reach across a space (checked on the vocabulary), so the lattice is a
-chain of words' lattices: these are compiled once per distinct word (a bounded table per
+sums. Where two characters stand side by side in no piece of the vocabulary no edge reaches
+across, so the lattice is a chain of short units' lattices (words, mostly): these are compiled once per distinct word (a bounded table per
 worker) and walked for all words of a batch in step with numpy. The random numbers are a
 hash of (seed, row key, draw, word, step): a row's samples don't depend on its batch or
 on retries.
@@ -34,7 +34,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
 import zlib
 
 import numpy as np
@@ -47,12 +46,16 @@ from .search import _ranges as ranges
 from .token_files import batches_of
 
 SPACE = "▁"
-WORDS_KEPT = 150_000
-AHEAD = 48
+WORDS_KEPT = 250_000
+_LOW64 = (1 << 64) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 SAMPLES = "doc_id long, sample int, n_tokens long, ids_crc32 long, log_prob double, log_inclusion double, decodes boolean"
 
 
+def _pairs(chars) -> np.ndarray:
+    return ((chars[0] * np.uint64(0x1F3D5B79) + chars[1]) * _MIX) >> np.uint64(42)
+
+
 class Lattices:
     """Pieces of a model and the compiled lattices of words."""
 
@@ -68,9 +71,10 @@ class Lattices:
         if any(not sp.is_byte(i) for i in self.byte_ids):
             self.byte_ids = None
         self.unknown = min(s for _, s in self.pieces.values()) - 10 / temperature
-        # A piece with a space after something else would reach across words.
-        chained = not any(SPACE in p.lstrip(SPACE) for p in self.pieces) and not any("\n" in p for p in self.pieces)
-        self.units = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n") if chained else re.compile(r"(?s).+")
+        # Two characters that stand side by side in no piece are never in one edge. (A bitmap of
+        # hashed pairs: a false hit only leaves a cut out.)
+        self.joined = np.zeros(1 << 22, bool)
+        self.joined[_pairs(np.array([[ord(a), ord(b)] for p in self.pieces for a, b in zip(p, p[1:], strict=False)], np.uint64).reshape(-1, 2).T)] = True
         text = [b""] * n
         for p, (i, _) in self.pieces.items():
             text[i] = p.encode("utf-8", "surrogatepass")
@@ -92,7 +96,16 @@ class Lattices:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.tables = tuple(np.zeros(0, t) for t in (np.int64, np.float64, np.float64, np.int64, np.int64, np.float64))
+        self.room = [np.zeros(1 << 16, t) for t in (np.int64, np.float64, np.float64, np.int8, np.int32, np.float64)]
+        self.tables = tuple(x[:0] for x in self.room)
+
+    def units(self, text: str) -> list[str]:
+        """The text cut where no edge of its lattice reaches across."""
+        if not text:
+            return []
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        cuts = [0, *(np.flatnonzero(~self.joined[_pairs((chars[:-1], chars[1:]))]) + 1).tolist(), len(text)]
+        return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def edges(self, chars: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weight (-inf: no edge) and piece of the edges of lengths ``longest`` ... 1 that end
@@ -119,20 +132,33 @@ class Lattices:
         positions; a node's edges lie together, the longest first, with their running
         probability, log probability, length, piece (-1 - its code point for a character in no
         piece) and the log mass of the node's other edges."""
-        new = sorted({w for w in words if w not in self.at}, key=len)
-        at, parts, base, edge = 0, [self.tables], len(self.tables[0]), len(self.tables[1])
+        known = list(map(self.at.get, words))
+        new = sorted({w for w, x in zip(words, known, strict=True) if x is None}, key=len) if None in known else []
+        at, base, edge = 0, len(self.tables[0]), len(self.tables[1])
         while at < len(new):
             end = at + 1
             while end < len(new) and (end + 1 - at) * len(new[end]) <= 1 << 15:
                 end += 1
             made, begins = self._compile(new[at:end], edge)
             self.at.update(zip(new[at:end], (base + begins).tolist(), strict=True))
-            parts.append(made)
+            self._append(made)
             base, edge, at = base + len(made[0]), edge + len(made[1]), end
         if new:
-            self.tables = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-        at = self.at
-        return np.fromiter((at[w] for w in words), np.int64, len(words)), np.fromiter(map(len, words), np.int64, len(words))
+            known = list(map(self.at.get, words))
+        return np.array(known, np.int64), np.fromiter(map(len, words), np.int64, len(words))
+
+    def _append(self, made: tuple[np.ndarray, ...]) -> None:
+        """Add rows to the tables, their room doubled when it is used up."""
+        grown = []
+        for i, (have, more) in enumerate(zip(self.tables, made, strict=True)):
+            n = len(have) + len(more)
+            if n > len(self.room[i]):
+                room = np.empty(max(n, 2 * len(self.room[i])), have.dtype)
+                room[: len(have)] = have
+                self.room[i] = room
+            self.room[i][len(have) : n] = more
+            grown.append(self.room[i][:n])
+        self.tables = tuple(grown)
 
     def _compile(self, words: list[str], edge: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
         """(tables, first nodes): forward sums of words of like lengths, one position after the other for all."""
@@ -146,23 +172,27 @@ class Lattices:
         for end in range(1, int(sizes.max()) + 1):
             own = np.flatnonzero(sizes >= end)
             node = begins[own] + end - 1
-            through = weight[node] + forward[own[:, None], (self.longest + end - back)[None, :]]
+            # An edge is no longer than the way to the start.
+            some = slice(max(self.longest - end, 0), None)
+            through = weight[node, some] + forward[own, max(end, self.longest) : self.longest + end]
             top = through.max(axis=1)
             total = top + np.log(np.exp(through - top[:, None]).sum(axis=1))
             forward[own, self.longest + end] = total
-            weight[node] = through - total[:, None]
+            weight[node, some] = through - total[:, None]
         real = weight > -np.inf
         count = real.sum(axis=1)
         cdf = np.cumsum(np.exp(weight), axis=1)[real]
         last = np.cumsum(count)
         cdf[last - 1] = 2.0
-        rest = log1mexp(np.minimum(weight, 0.0))
+        flat = weight[real]
+        rest = log1mexp(np.minimum(flat, 0.0))
         # Beside a near-certain edge the others' mass is lost in 1 - p: add them up themselves.
-        sure, at = np.nonzero((weight > -1e-6) & (count > 1)[:, None])
-        others = weight[sure]
-        others[np.arange(len(sure)), at] = -np.inf
-        rest[sure, at] = np.logaddexp.reduce(others, axis=1)
-        return (edge + last - count, cdf, weight[real], np.broadcast_to(back, weight.shape)[real], piece[real], rest[real]), begins
+        sure = np.flatnonzero((flat > -1e-6) & (np.repeat(count, count) > 1))
+        node = np.searchsorted(last, sure, "right")
+        others = weight[node]
+        others[np.abs(others - flat[sure][:, None]) == 0] = -np.inf
+        rest[sure] = np.logaddexp.reduce(others, axis=1)
+        return (edge + last - count, cdf, flat, np.broadcast_to(back, weight.shape)[real].astype(np.int8), piece[real].astype(np.int32), rest), begins
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -177,7 +207,7 @@ def uniform(seed: np.ndarray, draw: int, a, b) -> np.ndarray:
     # Arrays of one at least: whole-number overflow wraps without a warning.
     a, b = np.atleast_1d(np.asarray(a, np.int64)).view(np.uint64), np.atleast_1d(np.asarray(b, np.int64)).view(np.uint64)
     x = seed + np.full(1, draw, np.uint64) * _MIX + a * np.uint64(0xD1342543DE82EF95) + b * np.uint64(0xDA942042E4DD58B5)
-    return ((mixed(mixed(x)) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+    return ((mixed(x) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
 def walk(lat: Lattices, seed: np.ndarray, draw: int, number: np.ndarray, base: np.ndarray, pos: np.ndarray, done: np.ndarray):
@@ -204,19 +234,36 @@ def walk(lat: Lattices, seed: np.ndarray, draw: int, number: np.ndarray, base: n
     return tuple(np.concatenate([empty, *x]) for x in (words, steps, edges))
 
 
+def number_at(seed: int, draw: int, a: int, b: int) -> float:
+    """``uniform`` of one place, in whole numbers."""
+    x = (seed + draw * 0x9E3779B97F4A7C15 + a * 0xD1342543DE82EF95 + b * 0xDA942042E4DD58B5) & _LOW64
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _LOW64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _LOW64
+    return (((x ^ (x >> 31)) >> 12) + 0.5) * 2.0**-52
+
+
 class Path:
-    """A segmentation of one text in tree order (words forwards, a word's edges backwards)."""
+    """A segmentation of one text in tree order (words forwards, a word's edges backwards);
+    ``total[t]``: log probability of its first ``t`` edges."""
 
-    __slots__ = ("edges", "word", "logp", "rest")
+    __slots__ = ("edges", "word", "rest", "total")
 
     def __init__(self, edges: np.ndarray, word: np.ndarray, logp: np.ndarray, rest: np.ndarray):
-        self.edges, self.word, self.logp, self.rest = edges, word, logp, rest
+        self.edges, self.word, self.rest = edges, word, rest
+        self.total = np.empty(len(edges) + 1)
+        self.total[0] = 0.0
+        np.cumsum(logp, out=self.total[1:])
+
+    @property
+    def logp(self) -> float:
+        return float(self.total[-1])
 
 
-def truncated(mass: np.ndarray, most: float, u: np.ndarray) -> np.ndarray:
-    """Gumbel values with location ``mass``, none above ``most``."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return -np.logaddexp(np.log(-np.log(u)) - mass, -most)
+def truncated(mass: float, most: float, u: float) -> float:
+    """A Gumbel value with location ``mass``, not above ``most``."""
+    a, b = math.log(-math.log(u)) - mass, -most
+    top = max(a, b)
+    return -(top + math.log(math.exp(a - top) + math.exp(b - top)))
 
 
 def log1mexp(x):
@@ -225,66 +272,67 @@ def log1mexp(x):
         return np.where(x > -0.6931471805599453, np.log(-np.expm1(x)), np.log1p(-np.exp(x)))
 
 
+def mass_of(path: Path, start: int, end: int) -> float:
+    """Log mass of what agrees with ``path`` before ``start`` and differs before ``end``."""
+    if end <= start:
+        return -math.inf
+    fall = float(path.total[end] - path.total[start])
+    if fall < -1e-6:
+        return float(path.total[start]) + math.log(-math.expm1(fall))
+    return float(np.logaddexp.reduce(path.total[start:end] + path.rest[start:end]))
+
+
 class Search:
-    """The agenda of one text. A node is (-value, tie, path, step, excluded edges, last)
-    -- agree with ``path`` before ``step`` and take none of ``excluded`` there (``step`` -1:
-    everything) -- or stands for all steps from ``step`` on (``last`` true)."""
+    """The agenda of one text. A node is (-value, tie, path, step, end, excluded edges): agree
+    with ``path`` before ``step`` and differ from it before ``end``, or, for ``end`` 0, take
+    none of ``excluded`` at ``step`` (``step`` -1: everything)."""
 
     def __init__(self, seed: int):
-        self.seed, self.tie, self.agenda, self.draws = np.array([seed], np.uint64), 0, [], 0
-        value = -math.log(-math.log(float(uniform(self.seed, 0, 1 << 40, 0)[0])))
-        self.push(value, None, -1, (), False)
+        self.seed, self.tie, self.agenda, self.draws = seed, 0, [], 0
+        self.push(-math.log(-math.log(self.number())), None, -1, 0, ())
 
-    def push(self, value: float, path, step: int, excluded: tuple, last: bool) -> None:
-        self.tie += 1
-        heapq.heappush(self.agenda, (-value, self.tie, path, step, excluded, last))
-
-    def partition(self, path: Path, start: int, most: float) -> None:
-        """Push what differs from ``path`` at ``start`` or later, with values up to ``most``."""
-        n = len(path.edges)
-        if start >= n:
-            return
-        total = np.concatenate([[0.0], np.cumsum(path.logp)])
-        end = min(start + AHEAD, n)
+    def number(self) -> float:
         self.draws += 1
-        u = uniform(self.seed, self.draws, 1 << 41, np.arange(end - start + 1))
-        mass = total[start:end] + path.rest[start:end]
-        values = truncated(mass, most, u[:-1])
-        for t in np.flatnonzero(mass > -np.inf):
-            self.push(float(values[t]), path, start + int(t), (int(path.edges[start + t]),), False)
-        rest = -np.inf
-        if end < n:
-            later = min(total[n] - total[end], 0.0)
-            rest = float(total[end] + log1mexp(later)) if later < -1e-6 else float(np.logaddexp.reduce(total[end:-1] + path.rest[end:]))
-        if rest > -np.inf:
-            self.push(float(truncated(np.array([rest]), most, u[-1:])[0]), path, end, (), True)
-
-    def pop(self, lat: Lattices):
-        """The next node to draw from, sets of late steps taken apart; None at the end."""
-        while self.agenda:
-            value, _, path, step, excluded, last = heapq.heappop(self.agenda)
-            if not last:
-                return -value, path, step, excluded
-            # Where the popped value lies, by mass; the other steps get values below it.
-            total = np.concatenate([[0.0], np.cumsum(path.logp)])
-            mass = total[step:-1] + path.rest[step:]
-            self.draws += 1
-            u = uniform(self.seed, self.draws, 1 << 42, np.arange(len(mass) + 1))
-            p = np.cumsum(np.exp(mass - mass.max()))
-            hit = min(int(np.searchsorted(p, u[-1] * p[-1])), len(mass) - 1)
-            values = truncated(mass, -value, u[:-1])
-            for t in np.flatnonzero(mass > -np.inf):
-                if t != hit:
-                    self.push(float(values[t]), path, step + int(t), (int(path.edges[step + t]),), False)
-            return -value, path, step + hit, (int(path.edges[step + hit]),)
-        return None
+        return number_at(self.seed, self.draws, 1 << 41, 0)
+
+    def push(self, value: float, path, step: int, end: int, excluded: tuple) -> None:
+        self.tie += 1
+        heapq.heappush(self.agenda, (-value, self.tie, path, step, end, excluded))
+
+    def push_set(self, path: Path, start: int, end: int, most: float) -> None:
+        """Push what differs from ``path`` within [start, end), its value at most ``most``."""
+        mass = mass_of(path, start, end)
+        if mass > -math.inf:
+            self.push(truncated(mass, most, self.number()), path, start, end, ())
+
+    def pop(self):
+        """The next node to draw from (value, path, step, excluded); None at the end."""
+        if not self.agenda:
+            return None
+        value, _, path, step, end, excluded = heapq.heappop(self.agenda)
+        if not end:
+            return -value, path, step, excluded
+        # The step at which the value's segmentation first differs, by mass; what differs
+        # before it or after it are sets of their own, with values below.
+        u, total = self.number(), path.total
+        fall = float(total[end] - total[step])
+        if fall < -1e-6:
+            level = float(total[step]) + math.log1p(u * math.expm1(fall))
+            hit = step + int(np.searchsorted(-total[step + 1 : end], -level, "left"))
+        else:
+            p = total[step:end] + path.rest[step:end]
+            p = np.cumsum(np.exp(p - p.max()))
+            hit = step + min(int(np.searchsorted(p, u * p[-1])), end - step - 1)
+        self.push_set(path, step, hit, -value)
+        self.push_set(path, hit + 1, end, -value)
+        return -value, path, hit, (int(path.edges[hit]),)
 
 
 def sample_batch(lat: Lattices, seeds: np.ndarray, texts: list[str], k: int):
     """For each text the list of (value, path) drawn and kappa (None: nothing is left)."""
     if len(lat.at) > WORDS_KEPT:
         lat.clear()
-    units = [lat.units.findall(t) for t in texts]
+    units = [lat.units(t) for t in texts]
     flat = [w for u in units for w in u]
     base, size = lat.learn(flat)
     counts = np.fromiter(map(len, units), np.int64, len(units))
@@ -297,7 +345,7 @@ def sample_batch(lat: Lattices, seeds: np.ndarray, texts: list[str], k: int):
         # What each text's next node asks for: its whole lattice, or its path from one step on.
         jobs = []
         for i, s in enumerate(searches):
-            node = s.pop(lat)
+            node = s.pop()
             if node is not None:
                 jobs.append((i, *node))
         if not jobs:
@@ -316,7 +364,7 @@ def sample_batch(lat: Lattices, seeds: np.ndarray, texts: list[str], k: int):
                     hi += 1
                 others = np.array([e for e in range(lo, hi) if e not in excluded])
                 p = np.cumsum(np.exp(logp[others] - logp[others].max()))
-                u = float(uniform(searches[i].seed, draw + 1, 1 << 43, step)[0])
+                u = number_at(searches[i].seed, draw + 1, 1 << 43, step)
                 edge = int(others[min(int(np.searchsorted(p, u * p[-1])), len(others) - 1)])
                 head = (step, edge, w0)
                 pos0, done0 = at - int(length[edge]), len(in_word) + 1
@@ -347,7 +395,7 @@ def sample_batch(lat: Lattices, seeds: np.ndarray, texts: list[str], k: int):
             drawn[i].append((value, new))
             s_ = searches[i]
             if path is None:
-                s_.partition(new, 0, value)
+                s_.push_set(new, 0, len(new.edges), value)
             else:
                 # The same step with both edges out, then the steps after it.
                 out = (*excluded, edge)
@@ -357,10 +405,9 @@ def sample_batch(lat: Lattices, seeds: np.ndarray, texts: list[str], k: int):
                     hi += 1
                 left = [x for x in range(lo, hi) if x not in out]
                 if left:
-                    mass = float(path.logp[:step].sum() + np.logaddexp.reduce(logp[left]))
-                    s_.draws += 1
-                    s_.push(float(truncated(np.array([mass]), value, uniform(s_.seed, s_.draws, 1 << 44, [0]))[0]), path, step, out, False)
-                s_.partition(new, step + 1, value)
+                    mass = float(path.total[step] + np.logaddexp.reduce(logp[left]))
+                    s_.push(truncated(mass, value, s_.number()), path, step, 0, out)
+                s_.push_set(new, step + 1, len(new.edges), value)
     return drawn, [-s.agenda[0][0] if s.agenda else None for s in searches]
 
 
@@ -372,7 +419,7 @@ def ids_of(lat: Lattices, path: Path) -> np.ndarray:
     # Within a word edges were taken from its end.
     start = np.flatnonzero(np.concatenate([[True], path.word[1:] != path.word[:-1]]))
     count = np.diff(np.append(start, len(pid)))
-    ids = pid[np.repeat(start + count - 1, count) - (np.arange(len(pid)) - np.repeat(start, count))]
+    ids = pid[np.repeat(2 * start + count - 1, count) - np.arange(len(pid))]
     odd = np.flatnonzero(ids < 0)
     if len(odd):
         spelt = [[lat.byte_ids[b] for b in chr(-1 - x).encode("utf-8", "surrogatepass")] if lat.byte_ids else [lat.lib.unk_id()] for x in ids[odd].tolist()]
@@ -416,7 +463,7 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 3, temperature: f
                     whole = normal[i].encode("utf-8", "surrogatepass")
                     for n, (_, path) in enumerate(got):
                         ids = ids_of(lat, path)
-                        p = float(path.logp.sum())
+                        p = path.logp
                         over = math.inf if kappa is None else p - kappa
                         score = 0.0 if over > 30 else (float(log1mexp(-math.exp(over))) if over > -30 else over)
                         rows.append((keys[lo + i], n + 1, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), p, score, decoded(lat, ids) == whole) + ((ids,) if with_ids else ()))
