@@ -29,6 +29,11 @@ HEADLINE = [
     "resume_pending",
     "to_grpo_prompt",
     "train_bpe",
+    "score_pairs",
+    "number_chunks",
+    "pair_turns",
+    "corpus_stats",
+    "incremental_run",
 ]
 
 
