@@ -213,11 +213,14 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
     hits = None
     for i in range(blocks):
         # At most about BLOCK_TERMS terms; queries are dealt to blocks by a hash.
-        rows = weighted.where(F.col("block") == i).orderBy("query_id").toPandas()
+        rows = weighted.where(F.col("block") == i).select("query_id", "term", "idf").orderBy("query_id").toPandas()
         # By hashing: an array of fixed-width strings would be as wide as the longest term.
         terms, names = pd.factorize(rows["term"])
         ids, starts = np.unique(rows["query_id"].to_numpy(np.int64), return_index=True)
-        sent = spark.sparkContext.broadcast((ids, np.append(starts, len(rows)), list(names), terms, rows["idf"].to_numpy(float)))
+        block = (ids, np.append(starts, len(rows)), list(names), terms.astype(np.int32), rows["idf"].to_numpy(float))
+        del rows
+        sent = spark.sparkContext.broadcast(block)
+        del block
         found = run(sent)
         hits = found if hits is None else hits.union(found)
         sent.destroy()
