@@ -144,7 +144,7 @@ class Lattices:
             self._append(made)
             base, edge, at = base + len(made[0]), edge + len(made[1]), end
         if new:
-            known = list(map(self.at.get, words))
+            known = [self.at[w] if x is None else x for w, x in zip(words, known, strict=True)]
         return np.array(known, np.int64), np.fromiter(map(len, words), np.int64, len(words))
 
     def _append(self, made: tuple[np.ndarray, ...]) -> None:
@@ -215,11 +215,14 @@ def walk(lat: Lattices, seed: np.ndarray, draw: int, number: np.ndarray, base: n
     every edge taken, steps counted on from ``done``."""
     first, cdf, _, length, _, _ = lat.tables
     live = np.flatnonzero(pos > 0)
+    # What a word's numbers share; a step adds its own part (see ``uniform``).
+    shared = seed + np.full(1, draw, np.uint64) * _MIX + number.view(np.uint64) * np.uint64(0xD1342543DE82EF95)
     pos, step = pos.copy(), done.copy()
     words, steps, edges = [], [], []
     while len(live):
         e = first[base[live] + pos[live] - 1]
-        u = uniform(seed[live], draw, number[live], step[live])
+        x = mixed(shared[live] + step[live].view(np.uint64) * np.uint64(0xDA942042E4DD58B5))
+        u = ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
         late = np.flatnonzero(u > cdf[e])
         while len(late):
             e[late] += 1
