@@ -1,7 +1,10 @@
 """Byte-pair-encoding vocabulary learning and encoding as Spark jobs.
 
-Training works on the distinct-word table ``(word, freq, syms)`` where ``syms`` is the
-word's current token ids written as ``<id><id>...``. Each round:
+Training works on the distinct-word table ``(freq, ids)`` where ``ids`` are the word's
+current token ids. Each round starts with the pair counts; where the words of the top pairs
+are few enough (``MOST_SYMBOLS``) the driver collects those words and merges in them one
+pair at a time, exactly, until a pair that it did not ask for can be the best
+(``_merge_run``). Otherwise:
 
 1. pair counts: explode adjacent id pairs, ``groupBy(pair).sum(freq)`` (map-side
    combine, so a very frequent word costs nothing extra); the top candidates in
@@ -19,8 +22,8 @@ word's current token ids written as ``<id><id>...``. Each round:
    count minus the occurrences one accepted merge removes, from the same triple counts);
    an overlapped candidate is passed over, and any candidate that fails these tests ends
    the round. Self-pairs (``(a, a)``, whose runs merge unevenly) are never passed over;
-4. the accepted merges rewrite ``syms`` in acceptance order with plain string replaces,
-   which are left-to-right and non-overlapping like the sequential merge.
+4. the accepted merges rewrite ``ids`` in acceptance order (of either kind of round), left
+   to right and non-overlapping like the sequential merge.
 
 The word table is persisted each round and, every few rounds, written to one of two
 alternating folders under ``spark.checkpoint.dir`` and read back to cut lineage. Vocabulary order: special tokens, the alphabet in
@@ -34,7 +37,9 @@ import heapq
 import uuid
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +50,9 @@ from ..session import ensure_checkpoint_dir
 
 DEFAULT_SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
 WORDS_PER_PARTITION = 500_000
+# What the driver holds in a round: pairs, and symbols of the words that hold them.
+MOST_PAIRS, MOST_SYMBOLS, FEW_PAIRS = 20_000, 2_000_000, 8
+LONG_WORD = 64
 
 
 def normalize_text(col: Column | str) -> Column:
@@ -87,21 +95,17 @@ class BpeModel:
         return out
 
 
-def _sym_ids(syms: Column) -> Column:
-    """``<3><17><5>`` -> ARRAY<INT> [3, 17, 5]."""
-    inner = F.substr(syms, F.lit(2), F.char_length(syms) - 2)
-    return F.transform(F.split(inner, "><"), lambda x: x.cast("int"))
-
-
 def _pair_counts(words: DataFrame) -> DataFrame:
+    """``(l, r, cnt, vol)``: the pair's count and, roughly, the symbols of its words."""
     w = words.select("ids", "freq")
     n = F.size("ids")
     pairs = F.transform(
         F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))),
         lambda i: F.struct(F.get("ids", i).alias("l"), F.get("ids", i + 1).alias("r")),
     )
-    exploded = w.where(n >= 2).select(F.explode(pairs).alias("p"), "freq")
-    return exploded.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("freq").alias("cnt"))
+    exploded = w.where(n >= 2).select(F.explode(pairs).alias("p"), "freq", F.least(n, F.lit(LONG_WORD)).alias("n"))
+    by = exploded.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r"))
+    return by.agg(F.sum("freq").alias("cnt"), F.sum("n").alias("vol"))
 
 
 def _neighbour_stats(words: DataFrame, cands: DataFrame) -> tuple[dict, dict]:
@@ -161,11 +165,204 @@ def _upper(q: tuple[int, int], count: int, accepted: list[tuple[int, int, int]],
     return count - removed
 
 
-def _apply_merges(syms: Column, merges: list[tuple[int, int, int]]) -> Column:
-    out = syms
-    for left, right, new in merges:
-        out = F.replace(out, F.lit(f"<{left}><{right}>"), F.lit(f"<{new}>"))
-    return out
+WORD_TYPE = "freq long, ids array<int>"
+
+
+def _pair_keys(pairs) -> np.ndarray:
+    """Pairs of ids as one sorted array of 64-bit keys."""
+    xs = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+    return xs[:, 0] << 32 | xs[:, 1]
+
+
+def _rows_with(ids: pa.ListArray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids laid end to end, the offsets of the rows, the rows that hold one of the pairs."""
+    flat, at = ids.flatten().to_numpy().astype(np.int64), ids.offsets.to_numpy().astype(np.int64)
+    at = at - at[0]
+    hit = np.zeros(len(flat), bool)
+    if len(flat) > 1:
+        pairs = flat[:-1] << 32 | flat[1:]
+        hit[:-1] = keys[np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)] == pairs
+        ends = at[1:][at[1:] > 0] - 1
+        hit[ends] = False
+    return flat, at, np.unique(np.searchsorted(at, np.flatnonzero(hit), side="right") - 1)
+
+
+def _words_with(words: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """The words that hold one of the pairs."""
+    keys = _pair_keys(pairs)
+
+    def of(batches):
+        for b in batches:
+            rows = _rows_with(b.column(1), keys)[2]
+            if len(rows):
+                yield b.take(pa.array(rows))
+
+    return words.select("freq", "ids").mapInArrow(of, WORD_TYPE)
+
+
+def _merge_ids(ids: list[int], rank: dict[tuple[int, int], int], merges: list[tuple[int, int, int]]) -> list[int]:
+    """The merges one after the other, each left to right."""
+    heap = [(rank[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in rank]
+    heapq.heapify(heap)
+    alive = list(ids)
+    nxt, prv = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
+    while heap:
+        k, i = heapq.heappop(heap)
+        a, b, new = merges[k]
+        j = nxt[i]
+        if alive[i] != a or j == -1 or alive[j] != b:
+            continue
+        alive[i], alive[j] = new, -1
+        nxt[i] = nxt[j]
+        if nxt[j] != -1:
+            prv[nxt[j]] = i
+        for x, y in ((prv[i], i), (i, nxt[i])):
+            # A merge that is already done does not come again.
+            if x != -1 and y != -1 and (r := rank.get((alive[x], alive[y]), -1)) > k:
+                heapq.heappush(heap, (r, x))
+    return [x for x in alive if x != -1]
+
+
+def _apply_merges(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """Words after the merges (no pair comes twice among them)."""
+    rank = {(a, b): k for k, (a, b, _) in enumerate(merges)}
+    keys = _pair_keys(rank)
+
+    def of(batches):
+        for b in batches:
+            flat, at, rows = _rows_with(b.column(1), keys)
+            size, kept = np.diff(at), np.ones(len(flat), bool)
+            for k in rows.tolist():
+                x, y = at[k], at[k + 1]
+                out = _merge_ids(flat[x:y].tolist(), rank, merges)
+                size[k] = len(out)
+                flat[x : x + len(out)] = out
+                kept[x + len(out) : y] = False
+            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[kept].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["freq", "ids"])
+
+    return words.select("freq", "ids").mapInArrow(of, WORD_TYPE)
+
+
+def _merge_run(freqs: list[int], words: list[list[int]], counts: dict[tuple[int, int], int], stop: tuple[int, int, int], first_new: int, accept):
+    """Merges one at a time over the words that hold the candidates (``counts``, over all
+    words), as long as the best pair comes before ``stop``, the place in the order
+    (-count, l, r) of the first pair that is no candidate. Pairs that are not tracked only
+    lose occurrences, except where a merge reuses a token: such a pair is tracked with an
+    upper bound, and the run ends when that is the best. ``accept(a, b)`` gives the id of a
+    merged token, or None at the end of the training."""
+    where: dict[tuple[int, int], list[int]] = {p: [] for p in counts}
+    for k, ids in enumerate(words):
+        for p in set(zip(ids, ids[1:])):
+            if p in where:
+                where[p].append(k)
+    heap = [(-c, *p) for p, c in counts.items()]
+    heapq.heapify(heap)
+    loose: set[tuple[int, int]] = set()
+    done: set[tuple[int, int]] = set()
+    merges: list[tuple[int, int, int]] = []
+    while heap:
+        c, a, b = heapq.heappop(heap)
+        p = (a, b)
+        if p not in counts:
+            continue
+        if counts[p] != -c:
+            heapq.heappush(heap, (-counts[p], a, b))
+            continue
+        if (c, a, b) >= stop or p in loose or p in done:
+            break
+        new = accept(a, b)
+        if new is None:
+            break
+        merges.append((a, b, new))
+        done.add(p)
+        risen = set()
+        for k in where[p]:
+            ids, f, out, i = words[k], freqs[k], [], 0
+            while i < len(ids):
+                if ids[i] == a and i + 1 < len(ids) and ids[i + 1] == b:
+                    out.append(new)
+                    i += 2
+                else:
+                    out.append(ids[i])
+                    i += 1
+            if len(out) == len(ids):
+                continue
+            for q in zip(ids, ids[1:]):
+                if q in counts:
+                    counts[q] -= f
+            for q in zip(out, out[1:]):
+                if new in q:
+                    if q not in counts:
+                        fresh = q[0] >= first_new or q[1] >= first_new
+                        counts[q], where[q] = 0 if fresh else -stop[0], []
+                        if not fresh:
+                            loose.add(q)
+                    counts[q] += f
+                    where[q].append(k)
+                    risen.add(q)
+                elif q in counts:
+                    counts[q] += f
+            words[k] = out
+        where[p] = []
+        for q in risen:
+            heapq.heappush(heap, (-counts[q], *q))
+    return merges
+
+
+def _wide_round(spark, words: DataFrame, top: list, first_new: int, accept) -> list[tuple[int, int, int]]:
+    """A round that collects counts only, for pairs that too many words hold."""
+    bounds, destroyed = {}, {}
+    if len(top) > 1:
+        cands = spark.createDataFrame([(r["l"], r["r"]) for r in top], "l int, r int")
+        bounds, destroyed = _neighbour_stats(words, cands)
+    accepted: list[tuple[int, int, int]] = []
+    skipped: list[tuple[tuple[int, int], int]] = []  # (pair, count) passed over
+    bound = -1  # largest count a pair created by the accepted merges can reach
+    self_pair = False
+    for row in top:
+        a, b, cnt = row["l"], row["r"], row["cnt"]
+        if accepted:
+            if cnt <= bound:
+                break
+            # A pair passed over must now count strictly less than this candidate.
+            if any(_upper(q, qc, accepted, destroyed) >= cnt for q, qc in skipped):
+                break
+            # Merging (pa, pb) can only remove occurrences of (a, b) where they overlap:
+            # pb == a (x a b -> (x a) merged) or pa == b (a b y -> (b y) merged).
+            if any(pb == a or pa == b for pa, pb, _ in accepted):
+                if self_pair or a == b:
+                    break
+                skipped.append(((a, b), cnt))
+                continue
+        new_id = accept(a, b)
+        if new_id is None:
+            break
+        accepted.append((a, b, new_id))
+        bound = max(bound, bounds.get((a, b), 0))
+        self_pair = self_pair or a == b
+        if new_id < first_new:
+            break
+    return accepted
+
+
+def _collected_round(words: DataFrame, top: list, first_new: int, min_count: int, accept) -> list[tuple[int, int, int]] | None:
+    """A round over the collected words of as many top pairs as ``MOST_SYMBOLS`` allows;
+    None if these are few."""
+    vol = np.cumsum([r["vol"] for r in top])
+    n = min(int(np.searchsorted(vol, MOST_SYMBOLS, side="right")), MOST_PAIRS)
+    while n >= min(FEW_PAIRS, len(top)):
+        found = _words_with(words, [(r["l"], r["r"]) for r in top[:n]]).persist(StorageLevel.MEMORY_AND_DISK)
+        symbols = found.agg(F.sum(F.size("ids"))).first()[0]
+        got = found.toArrow() if symbols <= MOST_SYMBOLS else None
+        found.unpersist()
+        if got is not None:
+            stop = (-top[n]["cnt"], top[n]["l"], top[n]["r"]) if n < len(top) else (1 - min_count, -1, -1)
+            counts = {(r["l"], r["r"]): r["cnt"] for r in top[:n]}
+            return _merge_run(got["freq"].to_pylist(), got["ids"].to_pylist(), counts, stop, first_new, accept)
+        n //= 2
+    return None
 
 
 def train_bpe(
@@ -209,17 +406,14 @@ def train_bpe(
 
     spark = texts.sparkSession
     ckpt_base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bpe-{uuid.uuid4().hex}"
-    char_ids = F.create_map(*[x for c in alphabet for x in (F.lit(c), F.lit(str(tok2id[c])))])
-    syms = F.concat(
-        F.lit("<"), F.array_join(F.transform(code_points(F.col("word")), lambda ch: F.element_at(char_ids, ch)), "><"), F.lit(">")
-    )
+    char_ids = F.create_map(*[x for c in alphabet for x in (F.lit(c), F.lit(tok2id[c]))])
+    ids = F.transform(code_points(F.col("word")), lambda ch: F.element_at(char_ids, ch))
     # Size the iterated table by its own row count, not by the session's shuffle setting:
     # every round runs over it, so hundreds of near-empty partitions would dominate.
     n_words = freqs.count()
     parts = max(spark.sparkContext.defaultParallelism, -(-n_words // WORDS_PER_PARTITION))
     words = (
-        freqs.select("word", "freq", syms.alias("syms"))
-        .withColumn("ids", _sym_ids(F.col("syms")))
+        freqs.select("freq", ids.alias("ids"))
         .repartition(parts)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
@@ -228,57 +422,30 @@ def train_bpe(
     min_count = max(min_frequency, 1)
     id2tok = dict(enumerate(vocab))
     rounds = 0
+
+    def accept(a: int, b: int) -> int | None:
+        if len(tok2id) >= vocab_size:
+            return None
+        new_tok = id2tok[a] + id2tok[b]
+        new_id = tok2id.get(new_tok)
+        if new_id is None:
+            new_id = len(vocab)
+            vocab.append(new_tok)
+            tok2id[new_tok] = new_id
+            id2tok[new_id] = new_tok
+        merges.append((id2tok[a], id2tok[b]))
+        return new_id
+
     while len(tok2id) < vocab_size:
-        counts = _pair_counts(words)
-        top = counts.orderBy(F.col("cnt").desc(), "l", "r").limit(candidates).collect()
-        top = [r for r in top if r["cnt"] >= min_count]
+        counts = _pair_counts(words).where(F.col("cnt") >= min_count)
+        top = counts.orderBy(F.col("cnt").desc(), "l", "r").limit(MOST_PAIRS + 1).collect()
         if not top:
             break
-        bounds, destroyed = {}, {}
-        if len(top) > 1:
-            cands = spark.createDataFrame([(r["l"], r["r"]) for r in top], "l int, r int")
-            bounds, destroyed = _neighbour_stats(words, cands)
-        accepted: list[tuple[int, int, int]] = []
-        skipped: list[tuple[tuple[int, int], int]] = []  # (pair, count) passed over
-        bound = -1  # largest count a pair created by the accepted merges can reach
-        self_pair = False
-        for row in top:
-            a, b, cnt = row["l"], row["r"], row["cnt"]
-            if len(tok2id) >= vocab_size:
-                break
-            if accepted:
-                if cnt <= bound:
-                    break
-                # A pair passed over must now count strictly less than this candidate.
-                if any(_upper(q, qc, accepted, destroyed) >= cnt for q, qc in skipped):
-                    break
-                # Merging (pa, pb) can only remove occurrences of (a, b) where they overlap:
-                # pb == a (x a b -> (x a) merged) or pa == b (a b y -> (b y) merged).
-                if any(pb == a or pa == b for pa, pb, _ in accepted):
-                    if self_pair or a == b:
-                        break
-                    skipped.append(((a, b), cnt))
-                    continue
-            new_tok = id2tok[a] + id2tok[b]
-            existed = new_tok in tok2id
-            if existed:
-                new_id = tok2id[new_tok]
-            else:
-                new_id = len(vocab)
-                vocab.append(new_tok)
-                tok2id[new_tok] = new_id
-                id2tok[new_id] = new_tok
-            merges.append((id2tok[a], id2tok[b]))
-            accepted.append((a, b, new_id))
-            bound = max(bound, bounds.get((a, b), 0))
-            self_pair = self_pair or a == b
-            if existed:
-                break
+        accepted = _collected_round(words, top, len(vocab), min_count, accept)
+        if accepted is None:
+            accepted = _wide_round(spark, words, top[:candidates], len(vocab), accept)
         rounds += 1
-        # The id array is derived once per round here, not in each of the round's jobs.
-        nxt = words.withColumn("syms", _apply_merges(F.col("syms"), accepted)).withColumn(
-            "ids", _sym_ids(F.col("syms"))
-        )
+        nxt = _apply_merges(words, accepted)
         if rounds % checkpoint_every == 0:
             # Cut the lineage with a written table in the shared checkpoint folder. Two
             # slots alternate, so disk use stays at two copies of the table: the slot
@@ -287,6 +454,8 @@ def train_bpe(
             nxt.write.mode("overwrite").parquet(slot)
             nxt = spark.read.parquet(slot)
         nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
+        # Filled before the table it is made from goes, or it would be made from the texts again.
+        nxt.count()
         words.unpersist()
         words = nxt
     words.unpersist()

@@ -4,6 +4,9 @@ The oracle trains the vocabulary in SQL, one materialised step per merge: count
 the distinct words, take the best (count, then ids), replace it. The word table of the last
 step is also the encoding of every word, so the encoding queries run with merges and are
 checked end to end. The tests compare longer trainings with the public tokenizer library.
+
+SQL can afford few merges, so the queries with an oracle stop early. Those that end in
+``_32k`` do the same jobs with a vocabulary of ``VOCAB_SIZE``, without an oracle.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ PAD_ID = SPECIALS.index("[PAD]")
 SEED = 42
 BPE_MERGES = 60
 ENCODE_MERGES = 12
+VOCAB_SIZE = 32_000
 
 
 def _docs(spark, sf_dir):
@@ -76,6 +80,10 @@ def _model(spark, sf_dir):
     return B.train_bpe(_docs(spark, sf_dir), vocab_size=1 << 30, num_merges=ENCODE_MERGES, min_frequency=2, special_tokens=SPECIALS)
 
 
+def _model_32k(spark, sf_dir):
+    return B.train_bpe(_docs(spark, sf_dir), vocab_size=VOCAB_SIZE, min_frequency=2, special_tokens=SPECIALS)
+
+
 def _bpe_sql(merges: int) -> str:
     """CTEs of a training: ``w<i>`` (word, freq, s: its ids as ``<a><b>``) and ``v<i>`` (the
     vocabulary as a list) after ``i`` merges."""
@@ -116,10 +124,18 @@ ENCODED_SQL = f"""WITH {_bpe_sql(ENCODE_MERGES)},
     )"""
 
 
+def _encoded(spark, sf_dir, model):
+    return B.encode_texts(_docs(spark, sf_dir), model).select("doc_id", "ids")
+
+
 @register("encode_texts", ENCODED_SQL + "\nSELECT doc_id, ids FROM enc")
 def q_encode_texts(spark, sf_dir):
-    model = _model(spark, sf_dir)
-    return B.encode_texts(_docs(spark, sf_dir), model).select("doc_id", "ids")
+    return _encoded(spark, sf_dir, _model(spark, sf_dir))
+
+
+@register("encode_texts_32k")
+def q_encode_texts_32k(spark, sf_dir):
+    return _encoded(spark, sf_dir, _model_32k(spark, sf_dir))
 
 
 PAD_SQL = f"""padded AS (
@@ -132,9 +148,12 @@ PAD_SQL = f"""padded AS (
 
 @register("truncate_pad", ENCODED_SQL + f",\n    {PAD_SQL}\nSELECT doc_id, input_ids, attention_mask FROM padded")
 def q_truncate_pad(spark, sf_dir):
-    model = _model(spark, sf_dir)
-    e = B.encode_texts(_docs(spark, sf_dir), model)
-    return e.select("doc_id", *B.truncate_pad("ids", MAX_LEN, PAD_ID))
+    return _encoded(spark, sf_dir, _model(spark, sf_dir)).select("doc_id", *B.truncate_pad("ids", MAX_LEN, PAD_ID))
+
+
+@register("truncate_pad_32k")
+def q_truncate_pad_32k(spark, sf_dir):
+    return _encoded(spark, sf_dir, _model_32k(spark, sf_dir)).select("doc_id", *B.truncate_pad("ids", MAX_LEN, PAD_ID))
 
 
 U_SQL = f"CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':' || CAST(i AS VARCHAR) || ':{SEED}'), 1, 8)) AS BIGINT) / 4294967296.0"
@@ -151,16 +170,20 @@ MLM_SQL = (
 )
 
 
-def _masked(spark, sf_dir):
-    model = _model(spark, sf_dir)
+def _masked(spark, sf_dir, model):
     # Every token of every text; cutting to a length is truncate_pad's part.
-    p = B.encode_texts(_docs(spark, sf_dir), model).select("doc_id", F.col("ids").alias("input_ids"))
+    p = _encoded(spark, sf_dir, model).select("doc_id", F.col("ids").alias("input_ids"))
     return p.select("doc_id", "input_ids", *M.mlm_mask("input_ids", F.col("doc_id"), MASK_ID, PAD_ID, 0.15, SEED))
 
 
 @register("mlm_mask", MLM_SQL + "\nSELECT doc_id, masked_ids, labels FROM masked")
 def q_mlm_mask(spark, sf_dir):
-    return _masked(spark, sf_dir).select("doc_id", "masked_ids", "labels")
+    return _masked(spark, sf_dir, _model(spark, sf_dir)).select("doc_id", "masked_ids", "labels")
+
+
+@register("mlm_mask_32k")
+def q_mlm_mask_32k(spark, sf_dir):
+    return _masked(spark, sf_dir, _model_32k(spark, sf_dir)).select("doc_id", "masked_ids", "labels")
 
 
 @register(
@@ -173,7 +196,12 @@ def q_mlm_mask(spark, sf_dir):
     FROM masked""",
 )
 def q_mask_stats(spark, sf_dir):
-    return M.mask_stats(_masked(spark, sf_dir), "labels", "input_ids", PAD_ID)
+    return M.mask_stats(_masked(spark, sf_dir, _model(spark, sf_dir)), "labels", "input_ids", PAD_ID)
+
+
+@register("mask_stats_32k")
+def q_mask_stats_32k(spark, sf_dir):
+    return M.mask_stats(_masked(spark, sf_dir, _model_32k(spark, sf_dir)), "labels", "input_ids", PAD_ID)
 
 
 @register(
@@ -181,9 +209,12 @@ def q_mask_stats(spark, sf_dir):
     ENCODED_SQL + "\nSELECT doc_id, CASE WHEN len(ids) > 0 THEN range(0, len(ids)) ELSE [] END AS position_ids FROM enc",
 )
 def q_position_ids(spark, sf_dir):
-    model = _model(spark, sf_dir)
-    e = B.encode_texts(_docs(spark, sf_dir), model)
-    return e.select("doc_id", M.position_ids("ids").alias("position_ids"))
+    return _encoded(spark, sf_dir, _model(spark, sf_dir)).select("doc_id", M.position_ids("ids").alias("position_ids"))
+
+
+@register("position_ids_32k")
+def q_position_ids_32k(spark, sf_dir):
+    return _encoded(spark, sf_dir, _model_32k(spark, sf_dir)).select("doc_id", M.position_ids("ids").alias("position_ids"))
 
 
 @register("train_bpe", _vocab_sql(BPE_MERGES))
@@ -194,15 +225,30 @@ def q_train_bpe(spark, sf_dir):
     return B.build_vocab(spark, model)
 
 
+@register("train_bpe_32k")
+def q_train_bpe_32k(spark, sf_dir):
+    """The vocabulary learned to VOCAB_SIZE, or until no pair comes twice."""
+    return B.build_vocab(spark, _model_32k(spark, sf_dir))
+
+
 @register("build_vocab", _vocab_sql(ENCODE_MERGES))
 def q_build_vocab(spark, sf_dir):
     """A saved and loaded model's vocabulary."""
+    return _saved_vocab(spark, _model(spark, sf_dir))
+
+
+@register("build_vocab_32k")
+def q_build_vocab_32k(spark, sf_dir):
+    return _saved_vocab(spark, _model_32k(spark, sf_dir))
+
+
+def _saved_vocab(spark, model):
     import uuid
 
     from ..session import ensure_checkpoint_dir
 
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch/bpe-{uuid.uuid4().hex}"
-    B.save_model(spark, _model(spark, sf_dir), path)
+    B.save_model(spark, model, path)
     return B.build_vocab(spark, B.load_model(spark, path))
 
 

@@ -102,3 +102,43 @@ def test_max_samples_needs_an_order(spark):
         B.train_bpe(_texts(spark, ["a b"]), vocab_size=10, max_samples=1)
     m = B.train_bpe(_texts(spark, ["ab ab", "xy xy"]), vocab_size=100, special_tokens=[], max_samples=1, order_col="id")
     assert m.vocab == ["a", "b", "ab"]
+
+
+def _library(texts, specials, vocab_size, min_frequency=2):
+    from tokenizers import Tokenizer
+    from tokenizers.models import BPE
+    from tokenizers.pre_tokenizers import Whitespace
+    from tokenizers.trainers import BpeTrainer
+
+    lib = Tokenizer(BPE())
+    lib.pre_tokenizer = Whitespace()
+    lib.train_from_iterator([t.lower() for t in texts], BpeTrainer(vocab_size=vocab_size, min_frequency=min_frequency, special_tokens=specials, show_progress=False))
+    return lib, [t for t, _ in sorted(lib.get_vocab().items(), key=lambda kv: kv[1])]
+
+
+def test_registered_vocabulary_is_the_librarys(spark):
+    """The registered training goes on to its vocabulary size (here: until no pair comes twice)."""
+    pytest.importorskip("tokenizers")
+    from conftest import SF001
+
+    from scriptorium.plans.catalog import QUERIES
+    from scriptorium.plans.q_tokens import SPECIALS, VOCAB_SIZE
+
+    rows = spark.read.parquet(f"{SF001}/documents.parquet").orderBy("doc_id").collect()
+    lib, want = _library([r.text for r in rows], SPECIALS, VOCAB_SIZE)
+    got = QUERIES["train_bpe_32k"][0](spark, SF001).orderBy("id").collect()
+    assert len(want) > 9000 and [r.token for r in got] == want
+    ids = {r.doc_id: list(r.ids) for r in QUERIES["encode_texts_32k"][0](spark, SF001).collect()}
+    for r in rows:
+        assert ids[r.doc_id] == lib.encode(r.text.lower()).ids
+
+
+@pytest.mark.parametrize("symbols,few", [(60, 2), (400, 2), (0, 8), (10_000, 8)])
+def test_rounds_of_any_size_give_one_vocabulary(spark, monkeypatch, symbols, few):
+    """Collected rounds over few or many words, and rounds that collect counts only."""
+    pytest.importorskip("tokenizers")
+    monkeypatch.setattr(B, "MOST_SYMBOLS", symbols)
+    monkeypatch.setattr(B, "FEW_PAIRS", few)
+    texts = [*CORPUS, "bc " * 9 + "abc " * 8 + "ab " * 20 + "abcd " * 3 + "xab " * 4]
+    _, want = _library(texts, ["[PAD]"], 500, 1)
+    assert B.train_bpe(_texts(spark, texts), vocab_size=500, min_frequency=1, special_tokens=["[PAD]"]).vocab == want
