@@ -5,8 +5,8 @@ table) and calls the library for new ones only. Texts are cut where the file's o
 pre-tokenizer certainly cuts: before a single space that follows a non-space (byte-level
 splitting, which glues one space to the next word), or at spaces (splitting that drops
 white space). Any other kind of file, and texts with runs of spaces, go to the library
-whole, so the ids are those of ``Tokenizer.encode(text, add_special_tokens=False)`` with
-the strings of special tokens taken as ordinary text."""
+whole, and so do texts with the string of an added token, so the ids are those of
+``Tokenizer.encode(text, add_special_tokens=False)``."""
 
 from __future__ import annotations
 
@@ -24,14 +24,16 @@ PLAIN = re.compile(rf"([{LETTERS}]+)([!-&(-/:-@\[-^`{{-~]*)\Z")
 
 
 class WordEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    """Ids of texts as little-endian unsigned 32-bit bytes. With ``added`` the strings of
+    added tokens have their ids, as in the library unless told otherwise; without it those
+    of special tokens are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.lib.encode_special_tokens = not added
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kind = spec.get("pre_tokenizer") or {}
@@ -39,7 +41,11 @@ class WordEncoder:
         own_split = len(parts) == 2 and parts[0].get("type") == "Split" and parts[0].get("invert") and parts[0].get("behavior") == "Removed" and "\\s" in parts[0].get("pattern", {}).get("Regex", "")
         self.glue = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and spec.get("normalizer") is None
         self.drop = bool(own_split) and parts[1].get("type") == "ByteLevel" and not parts[1].get("use_regex", True)
-        self.cuts = self.glue or self.drop
+        tokens = [t for t in spec.get("added_tokens") or [] if added or not t.get("special")]
+        # A string looked for in the normalised text may come from other characters.
+        unseen = spec.get("normalizer") is not None and any(t.get("normalized") for t in tokens)
+        self.cuts = (self.glue or self.drop) and not unseen
+        self.added = [t["content"] for t in tokens]
         steps = (spec.get("normalizer") or {}).get("normalizers", [])
         self.lower = [x.get("type") for x in steps] == ["NFC", "Replace", "Lowercase"]
         self.plain = self.glue or (self.drop and self.lower)
@@ -102,7 +108,7 @@ class WordEncoder:
         got = self.words
         out = []
         for t in texts:
-            if "  " in t:
+            if "  " in t or any(x in t for x in self.added):
                 out.append(self.whole(t))
                 continue
             units = t.split(" ")
@@ -130,5 +136,5 @@ _ENCODERS: dict[str, WordEncoder] = {}
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder for a file; workers live on between tasks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = WordEncoder(path, added=True)
     return _ENCODERS[path]

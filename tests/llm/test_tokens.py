@@ -155,3 +155,19 @@ def test_best_fit_by_classes_is_best_fit_one_by_one(seed):
                 rooms.append(40 - s)
     got = packing.best_fit(left, 40)
     assert sorted(40 - sum(p) for p, n in got for _ in range(n)) == sorted(rooms)
+
+
+ADDED = ["a<|endoftext|>b", "<|endoftext|>", "one <|startoftext|> two <|endoftext|>", "<|endoftext|><|endoftext|> x", "<|endoftext| > y", "<|ENDOFTEXT|> z"]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_strings_of_added_tokens_have_their_ids(spark, path):
+    """Files and packing against the library as it comes."""
+    lib = Tokenizer.from_file(path)
+    want = {k: [*lib.encode(t, add_special_tokens=False).ids, 0] for k, t in enumerate([*ADDED, *ODD])}
+    docs = spark.createDataFrame(list(enumerate([*ADDED, *ODD])), "doc_id long, text string")
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.token_file_digests(docs, path).collect()}
+    starts = np.cumsum([0] + [len(want[k]) for k in sorted(want)]).tolist()
+    assert got == {k: (starts[k], len(v), crc(v)) for k, v in want.items()}
+    packed = {r.doc_id: r.ids for r in packing.pack(docs, path, 4096, with_ids=True).collect()}
+    assert packed == want
