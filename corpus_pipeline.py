@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.llm import importance, language
-from scriptorium.llm.common import scratch_path
+from scriptorium.llm.common import scratch_path, written
 from scriptorium.llm.packing import pack
 from scriptorium.llm.queries import TEMPERATURE, table, tokenizer_file
 from scriptorium.llm.simhash import simhash_components
@@ -29,11 +29,16 @@ def keep_known_languages(spark, docs, sf_dir):
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """SimHash near-dedup: of each group the document with the smallest id stays. Rows that
-    go are anti-joined by key (a row without a key is never a copy that goes)."""
-    found = simhash_components(docs, SHINGLE_WORDS, MOST_BITS)
-    out = found.where("doc_id <> component_id").select(F.col("doc_id").alias("out_id"))
-    return docs.join(out, docs["doc_id"] == out["out_id"], "left_anti")
+    """SimHash near-dedup: of each group one row stays, the one with the smallest id (a row
+    without an id only if no row of the group has one), then the smallest text hash. Rows are
+    told apart by a written number, as ids and whole rows may be repeated."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "numbered-documents")
+    texts = rows.select("row", F.col("doc.doc_id").alias("id"), F.col("doc.text").alias("text"))
+    found = simhash_components(texts, SHINGLE_WORDS, MOST_BITS, key="row").select(F.col("doc_id").alias("row"), "component_id")
+    first = F.struct(F.col("id").isNull(), "id", F.xxhash64("text"), "row")
+    keys = texts.select("row", first.alias("first"))
+    stay = found.join(keys, "row").groupBy("component_id").agg(F.min("first").alias("first"))
+    return rows.join(stay.select(F.col("first.row").alias("row")), "row", "left_semi").select("doc.*")
 
 
 def pack_sequences(spark, docs, sf_dir):

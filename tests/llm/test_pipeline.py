@@ -8,7 +8,7 @@ import corpus_pipeline
 import numpy as np
 from scriptorium.llm.common import local_roots
 
-from .conftest import SF001
+from .conftest import SF001, TEXTS
 from .test_similar import fingerprint
 
 REPO = Path(__file__).resolve().parents[2]
@@ -49,6 +49,20 @@ def test_stages_on_an_empty_table(spark):
         assert docs.count() == 0
 
 
+def test_near_copies_of_repeated_rows_and_ids(spark, edge_docs):
+    """One row of each group stays: repeated rows, null ids, one id with two texts."""
+    fps = np.array([fingerprint(t) for _, t in TEXTS], np.uint64)
+    root = local_roots(*np.where(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2), len(TEXTS))
+    want = sorted(min((k is None, k or 0) for (k, _), x in zip(TEXTS, root, strict=True) if x == r) for r in set(root))
+    out = corpus_pipeline.drop_near_copies(spark, edge_docs, SF001)
+    assert out.columns == edge_docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == want
+    rows = [(3, "A"), (11, "A"), (11, "B"), (None, "c d"), (None, "c d"), (7, "e"), (7, "e"), (7, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, SF001).collect()]
+    assert sorted(got, key=str) == sorted([(3, "A"), (11, "B"), (None, "c d"), (7, "e")], key=str)
+
+
 def test_the_rest_imports_without_the_subpackage(tmp_path):
     """Without llm and the pipeline the other queries are registered; an error inside is raised."""
     code = """
