@@ -53,6 +53,18 @@ def read_bytes(uri: str) -> memoryview:
         return memoryview(f.read_buffer())
 
 
+def slices(sizes, most: int):
+    """(from, to) of consecutive items whose sizes add up to ``most`` or just beyond it."""
+    lo = held = 0
+    for i, size in enumerate(sizes):
+        held += size
+        if held >= most:
+            yield lo, i + 1
+            lo, held = i + 1, 0
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest index reachable from each of ``n`` nodes over the undirected edges (a, b)."""
     root = np.arange(n)

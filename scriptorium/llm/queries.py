@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, importance, language, license_scan, packing, search, simhash, subword_sampling, token_files, warc
+from pyspark.sql import functions as F
+
+from . import embedding_dedup, importance, language, license_scan, packing, periodic_runs, search, simhash, subword_sampling, token_files, warc
 
 QUERIES: dict = {}
 
@@ -95,3 +97,38 @@ def op10_language_evidence(spark, sf_dir):
     c = language.page_columns()
     page = pages.select("page_id", c["text"].alias("page_text"), c["declared"].alias("said"), c["host"].alias("site"), c["suffix"].alias("ending"))
     return language.identify(page, language.fit(docs), "page_id", "page_text", *[page[x] for x in ("said", "site", "ending")])
+
+
+def with_repeated_tails(docs):
+    """(doc_id, text): where crc32 of the decimal doc_id is a multiple of 10, the words from
+    word a on become repeats of the first p of them; other texts stay."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    d = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("w")).withColumn("n", F.size("w"))
+    d = d.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    d = d.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    text = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), rest)), " ")
+    return d.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+@register("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    return run_digests(periodic_runs.periodic_runs(with_repeated_tails(table(spark, sf_dir, "documents"))))
+
+
+def run_digests(found):
+    """Digest columns of ``periodic_runs``; the run of most periods, the first of several."""
+    none = F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"), F.lit(1).cast("long").alias("period"))
+    more = F.aggregate("runs", none, lambda x, r: F.when(r.length * x.period > x.length * r.period, r).otherwise(x))
+    best = found.select("*", F.when(F.size("runs") > 0, more).alias("best"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{x}").alias(x) for x in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
