@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, importance, language, license_scan, packing, periodic_runs, search, simhash, subword_sampling, token_files, warc
+from . import embedding_dedup, importance, language, license_scan, packing, periodic_runs, prefix_trie, search, simhash, subword_sampling, token_files, warc
 
 QUERIES: dict = {}
 
@@ -132,3 +132,32 @@ def run_digests(found):
         F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+def shared_heads(turns, convs):
+    """Every conversation c begins with the first h turns of conversation c - c % 5 (all if
+    fewer, none if absent) and goes on with its own after its first h; h is crc32 of the
+    decimal c modulo 9. ``convs`` keeps conversations left without turns."""
+    c = F.col("conv")
+    plan = convs.select("conv", F.col("n").alias("own"), (F.crc32(c.cast("string")) % 9).alias("h"), (c - c % 5).alias("base"))
+    counts = convs.select(F.col("conv").alias("base"), F.col("n").alias("base_n"))
+    plan = plan.join(counts, "base", "left").select("*", F.least("h", F.coalesce("base_n", F.lit(0))).alias("given"))
+    said = ["said", "other", "size"]
+    heads = turns.where("pos < 8").withColumnRenamed("conv", "base").join(plan, "base").where("pos < h").select("conv", "pos", *said)
+    tails = turns.join(plan, "conv").where("pos >= h").select("conv", (F.col("pos") - F.col("h") + F.col("given")).alias("pos"), *said)
+    left = F.col("given") + F.greatest(F.col("own") - F.col("h"), F.lit(0))
+    return heads.union(tails), plan.select("conv", left.alias("n"))
+
+
+def trie_rows(trie):
+    """Digest columns of ``prefix_trie``."""
+    found = trie.nodes.join(prefix_trie.ends_digests(trie.ends), ["node1", "node2"], "left")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"]
+    return found.select(*columns, F.coalesce("ends_sha256", nothing).alias("ends_sha256"))
+
+
+@register("op13_prefix_trie")
+def op13_prefix_trie(spark, sf_dir):
+    turns, convs = shared_heads(*prefix_trie.conversation_turns(table(spark, sf_dir, "conversations")))
+    return trie_rows(prefix_trie.prefix_trie(turns, convs))
