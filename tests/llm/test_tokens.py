@@ -1,5 +1,6 @@
 """Token files (op 1) and packing (op 8) against the tokenizers library and brute force."""
 
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from scriptorium.llm import packing, token_files
 from scriptorium.llm.common import scratch_path
-from scriptorium.llm.tokens import WordEncoder
+from scriptorium.llm.tokens import SETTLED, WordEncoder, ranked
 from tokenizers import Tokenizer
 
 from .conftest import TEXTS
@@ -171,3 +172,29 @@ def test_strings_of_added_tokens_have_their_ids(spark, path):
     assert got == {k: (starts[k], len(v), crc(v)) for k, v in want.items()}
     packed = {r.doc_id: r.ids for r in packing.pack(docs, path, 4096, with_ids=True).collect()}
     assert packed == want
+
+
+def test_every_settled_character_is_split_as_the_library_does():
+    own, lib = ENCODERS[BYTES]
+    assert own.ranks is not None and ENCODERS[WORDS][0].ranks is None
+    settled = [chr(c) for c in range(0x10000) if SETTLED.match(chr(c))]
+    assert len(settled) > 0x250
+    texts = [x for c in settled for x in (f"a{c}b {c}1{c}", f"{c}{c} {c}{c}a'{c}s  {c}")]
+    for t, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == lib(t)[:-1], t
+
+
+def test_long_white_space_and_unsettled_characters_go_to_the_library():
+    own, lib = ENCODERS[BYTES]
+    for t in (" " * 5000 + "a", "a" + "\n" * 2000, "\u4e2d\u6587 \u0e01", "word " * 300, "ab" * 4000):
+        assert np.frombuffer(own.encode([t])[0], "<u4").tolist() == lib(t)[:-1]
+
+
+def test_files_that_ranks_do_not_tell_have_no_ranks():
+    spec = json.loads(open(BYTES, encoding="utf-8").read())
+    own = Tokenizer.from_file(BYTES)
+    assert ranked(own, spec) is not None
+    merges = spec["model"]["merges"]
+    swapped = spec | {"model": spec["model"] | {"merges": [merges[1], merges[0], *merges[2:]]}}
+    assert ranked(own, swapped) is None
+    assert ranked(own, spec | {"model": spec["model"] | {"type": "Unigram"}}) is None
