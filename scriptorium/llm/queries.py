@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, importance, language, license_scan, packing, periodic_runs, prefix_trie, search, simhash, subword_sampling, token_files, warc
+from . import chunk_reuse, embedding_dedup, importance, language, license_scan, packing, periodic_runs, prefix_trie, search, simhash, subword_sampling, token_files, warc
 
 QUERIES: dict = {}
 
@@ -99,6 +99,22 @@ def op10_language_evidence(spark, sf_dir):
     return language.identify(page, language.fit(docs), "page_id", "page_text", *[page[x] for x in ("said", "site", "ending")])
 
 
+@register("op11_chunk_reuse")
+def op11_chunk_reuse(spark, sf_dir):
+    return id_digests(chunk_reuse.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
+
+
+def id_digests(encoded):
+    """Digest columns of ``encode_and_decode``."""
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def with_repeated_tails(docs):
     """(doc_id, text): where crc32 of the decimal doc_id is a multiple of 10, the words from
     word a on become repeats of the first p of them; other texts stay."""
