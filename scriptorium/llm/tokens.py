@@ -18,9 +18,12 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from array import array
 
-WORDS_KEPT = 300_000
+import numpy as np
+
+WORDS_KEPT = 1_000_000
 LONG_WORD = 64
 # A plain word: letters that normalisation leaves alone but for their case, then ASCII
 # punctuation. Either part is one piece for both kinds of splitting.
@@ -30,8 +33,15 @@ PLAIN = re.compile(rf"([{LETTERS}]+)([!-&(-/:-@\[-^`{{-~]*)\Z")
 # The pattern of byte-level splitting (a fixed value of this kind of file).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Latin letters, marks of punctuation: assigned and classed since the first Unicode versions.
-SETTLED = re.compile("[\0-\u024f\u2010-\u2027]*\\Z")
+SETTLED = re.compile("[\0-\u012f\u0131-\u024f\u2010-\u2027]*\\Z")
 LONG_SPACE = re.compile(r"\s{1000}")
+# Pieces but runs of letters in such texts, lower-cased, of files that drop white space: what
+# stands between letters, digits one by one. Characters that only str.split() cuts at.
+_SMALL = sorted({c for x in range(0x250) for c in chr(x).lower()})
+_LETTERS = "".join(c for c in _SMALL if unicodedata.category(c)[0] == "L")
+_NUMBERS = "".join(c for c in _SMALL if unicodedata.category(c)[0] == "N")
+PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+OTHER_SPACE = re.compile("[\x1c-\x1f]")
 
 
 def byte_letters() -> dict[str, int]:
@@ -42,6 +52,16 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def merged(symbols: list[str], rank: dict[tuple[str, str], int]) -> list[str]:
+    """The symbols after merging by the pair that is listed first, over and over."""
+    while len(symbols) > 1:
+        r, i = min((rank.get(p, len(rank)), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
+        if r == len(rank):
+            break
+        symbols = [*symbols[:i], symbols[i] + symbols[i + 1], *symbols[i + 2 :]]
+    return symbols
+
+
 def ranked(lib, spec: dict):
     """A ``tiktoken`` encoding with the ids of a byte-level file, or None.
 
@@ -49,22 +69,32 @@ def ranked(lib, spec: dict):
     merges the pairs that it lists, the first of them first. These are the same if the pairs
     are listed by the id of their union and every token, encoded by itself, is itself: were
     two neighbours' union a token and the pair not listed, then that token by itself would
-    end at this pair too. Both are checked here."""
+    end at this pair too. Both are checked here. A mark at the end of words is a space here:
+    words are given with a space behind each, and joining it to a word's last byte comes
+    before all other merges, as the tokens of a byte with the mark have smaller ids."""
     model = spec.get("model") or {}
-    letters = byte_letters()
-    added = {t["content"] for t in spec.get("added_tokens") or []}
-    ranks = {t: i for t, i in (model.get("vocab") or {}).items() if t not in added}
-    if model.get("type") != "BPE" or not set("".join(ranks)) <= letters.keys() or len(set("".join(ranks))) != 256:
+    if model.get("type") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("ignore_merges"):
         return None
-    if model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"):
+    letters, mark = byte_letters(), model.get("end_of_word_suffix") or ""
+    added = {t["content"] for t in spec.get("added_tokens") or []}
+    vocab = {t: i for t, i in (model.get("vocab") or {}).items() if t not in added}
+    split = {t: (t[: -len(mark)], mark) if mark and t.endswith(mark) else (t, "") for t in vocab}
+    if not set("".join(x for x, _ in split.values())) <= letters.keys():
         return None
-    unions = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-    order = [ranks.get(u, -1) for u in unions]
-    if -1 in order or order != sorted(set(order)) or any([x.id for x in lib.model.tokenize(t)] != [i] for t, i in ranks.items()):
+    ranks = {bytes(map(letters.get, x)) + (b" " if end else b""): vocab[t] for t, (x, end) in split.items()}
+    single = [vocab.get(c + end, -1) for c in letters for end in {"", mark}]
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    order = [vocab.get(a + b, -1) for a, b in pairs]
+    if len(ranks) != len(vocab) or min(single) < 0 or order != sorted(set(order)) or (order and order[0] < max(single)):
         return None
+    rank = {p: i for i, p in enumerate(pairs)}
+    for t, (x, end) in split.items():
+        alone = [y.id for y in lib.model.tokenize(x)] if end or not mark else [vocab[y] for y in merged(list(x), rank)]
+        if alone != [vocab[t]]:
+            return None
     from tiktoken import Encoding
 
-    return Encoding("ranked", pat_str=BYTE_LEVEL, mergeable_ranks={bytes(map(letters.get, t)): i for t, i in ranks.items()}, special_tokens={})
+    return Encoding("ranked", pat_str="[^ ]+ " if mark else BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
 
 class WordEncoder:
@@ -101,7 +131,14 @@ class WordEncoder:
         self.vocab_size = self.lib.get_vocab_size()
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.ranks = ranked(self.lib, spec) if self.glue and self.cuts else None
+        self.ranks = ranked(self.lib, spec) if self.cuts and (self.glue or self.lower) else None
+        mark = spec["model"].get("end_of_word_suffix") or ""
+        if self.ranks is not None and bool(mark) == self.glue:
+            self.ranks = None
+        if self.drop:
+            self.last = np.zeros(self.vocab_size, bool)
+            for t, i in self.lib.get_vocab().items():
+                self.last[i] = t.endswith(mark)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
@@ -142,6 +179,16 @@ class WordEncoder:
                 got[tail] = last
         return ids + last
 
+    def learn(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of lower-case texts without white space met for the first time, which are
+        cut into pieces and encoded all at once."""
+        pieces = [x.split() for x in PIECES.sub(r" \g<0> ", "\n".join(units)).split("\n")]
+        ids = self.ranks.encode_to_numpy(" ".join([p for ps in pieces for p in ps]) + " ", disallowed_special=()).astype("<u4")
+        last = np.cumsum([len(ps) for ps in pieces]) - 1
+        stops = (4 * (np.flatnonzero(self.last[ids]) + 1))[last].tolist()
+        raw = ids.tobytes()
+        return {u: raw[x:y] for u, x, y in zip(units, [0, *stops], stops, strict=False)}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """One value of ids per text; a bounded number of words is kept between calls."""
         if not self.cuts:
@@ -151,12 +198,22 @@ class WordEncoder:
         if len(self.pieces) > WORDS_KEPT:
             self.pieces = {}
         got = self.words
-        out = []
+        out: list = []
+        later, missing = [], set()  # texts that hold units not met before, and these
         for t in texts:
             added = any(x in t for x in self.added)
-            if self.ranks is not None and not added and SETTLED.match(t) and not LONG_SPACE.search(t):
-                out.append(self.ranks.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False).tobytes())
-                continue
+            if self.ranks is not None and not added and SETTLED.match(t):
+                if self.drop and not OTHER_SPACE.search(t):
+                    units = t.lower().split()
+                    ids = list(map(got.get, units))
+                    if None in ids:
+                        missing.update([u for u, x in zip(units, ids, strict=True) if x is None])
+                        later.append((len(out), units))
+                    out.append(b"" if None in ids else b"".join(ids))
+                    continue
+                if self.glue and not LONG_SPACE.search(t):
+                    out.append(self.ranks.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False).tobytes())
+                    continue
             if added or "  " in t:
                 out.append(self.whole(t))
                 continue
@@ -176,6 +233,12 @@ class WordEncoder:
                                 got[u] = x
                         ids[k] = x
             out.append(head + b"".join(ids))
+        if later:
+            new = self.learn(list(missing))
+            got.update((u, x) for u, x in new.items() if len(u) <= LONG_WORD)
+            for i, units in later:
+                ids = list(map(got.get, units))
+                out[i] = b"".join([new[u] if x is None else x for u, x in zip(units, ids, strict=True)] if None in ids else ids)
         return out
 
 

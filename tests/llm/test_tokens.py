@@ -174,9 +174,10 @@ def test_strings_of_added_tokens_have_their_ids(spark, path):
     assert packed == want
 
 
-def test_every_settled_character_is_split_as_the_library_does():
-    own, lib = ENCODERS[BYTES]
-    assert own.ranks is not None and ENCODERS[WORDS][0].ranks is None
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_every_settled_character_is_split_as_the_library_does(path):
+    own, lib = ENCODERS[path]
+    assert own.ranks is not None
     settled = [chr(c) for c in range(0x10000) if SETTLED.match(chr(c))]
     assert len(settled) > 0x250
     texts = [x for c in settled for x in (f"a{c}b {c}1{c}", f"{c}{c} {c}{c}a'{c}s  {c}")]
@@ -184,9 +185,10 @@ def test_every_settled_character_is_split_as_the_library_does():
         assert np.frombuffer(ids, "<u4").tolist() == lib(t)[:-1], t
 
 
-def test_long_white_space_and_unsettled_characters_go_to_the_library():
-    own, lib = ENCODERS[BYTES]
-    for t in (" " * 5000 + "a", "a" + "\n" * 2000, "\u4e2d\u6587 \u0e01", "word " * 300, "ab" * 4000):
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_long_white_space_and_unsettled_characters(path):
+    own, lib = ENCODERS[path]
+    for t in (" " * 5000 + "a", "a" + "\n" * 2000, "\u4e2d\u6587 \u0e01", "word " * 300, "ab" * 4000, "Don't ROCK'N'ROLL!'s 'still ''ll 12\u00b23 ...--'d", "\u0130stanbul I", "a\x1cb\x85c\xa0d", "x" * 300 + " " + "x" * 300):
         assert np.frombuffer(own.encode([t])[0], "<u4").tolist() == lib(t)[:-1]
 
 
@@ -198,3 +200,10 @@ def test_files_that_ranks_do_not_tell_have_no_ranks():
     swapped = spec | {"model": spec["model"] | {"merges": [merges[1], merges[0], *merges[2:]]}}
     assert ranked(own, swapped) is None
     assert ranked(own, spec | {"model": spec["model"] | {"type": "Unigram"}}) is None
+    words = json.loads(open(WORDS, encoding="utf-8").read())
+    lib = Tokenizer.from_file(WORDS)
+    assert ranked(lib, words) is not None
+    model = words["model"]
+    inner = next(m for m in reversed(model["merges"]) if not m[-1].endswith("</w>"))
+    unmade = [m for m in model["merges"] if m != inner]  # a token that no pair makes
+    assert ranked(lib, words | {"model": model | {"merges": unmade}}) is None
