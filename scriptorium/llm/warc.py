@@ -7,9 +7,10 @@ are shuffled: by payload digest, to name for each payload the record that stays
 (the largest id; payloads under ``least`` bytes and records without an id always stay).
 ``rewrite`` joins the decision to the headers, reads each old record at its place and
 writes new archives: responses with their payload, the others as revisit records of the
-identical-payload-digest profile (WARC 1.1) with fresh record ids, dates and
-WARC-Refers-To headers. Reading those back, a revisit finds its response through the record
-id that it refers to.
+identical-payload-digest profile (WARC 1.1) with fresh record ids and WARC-Refers-To
+headers. Either keeps the other headers that its record had, its date among them; records
+of other types (requests, metadata) are copied as they are. Reading those back, a revisit
+finds its response through the record id that it refers to.
 
 Files of failed task attempts are never read: each scan is given the list of files that the
 finished write returned. A null payload is empty. A null id is written without an id header
@@ -23,6 +24,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,10 +35,11 @@ from .common import scratch_path, shared_fs, written
 FILES = "file string, records long"
 HEADERS = (
     "file string, position long, size long, record_uuid string, record_type string, id long, uri string, "
-    "payload_bytes long, payload_digest string, refers_uuid string"
+    "payload_bytes long, payload_digest string, refers_uuid string, others string"
 )
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "2020-01-01T00:00:00Z"
+OWN = ("warc-type", "warc-record-id", "warc-target-uri", "content-type", "content-length", "warc-payload-digest", "x-row-id")
+OF_REVISITS = ("warc-profile", "x-payload-length", "warc-refers-to", "warc-refers-to-target-uri", "warc-block-digest", "warc-segment-number")
 ROLL = 256 << 20
 
 
@@ -56,6 +59,20 @@ def one_line(value: str | None) -> str:
     return "".join(c if c >= " " and c != "\x7f" else "%%%02X" % ord(c) for c in value or "")
 
 
+def other_headers(data: bytes) -> str:
+    """The header lines that ``rewrite`` doesn't write itself, as they stand."""
+    lines = data.partition(b"\r\n\r\n")[0].decode("utf-8").split("\r\n")[1:]
+    return "\r\n".join(x for x in lines if x.partition(":")[0].strip().lower() not in OWN + OF_REVISITS)
+
+
+def header_pairs(lines: str) -> list[tuple[str, str]]:
+    return [(k, v.strip()) for k, _, v in (x.partition(":") for x in lines.split("\r\n") if x)]
+
+
+def now() -> str:
+    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     head, _, rest = data.partition(b"\r\n\r\n")
     headers = {}
@@ -98,15 +115,16 @@ class Archives:
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in self.done], pa.string()), pa.array([x[1] for x in self.done], pa.int64())], names=["file", "records"])
 
 
-def write_archives(rows: DataFrame, folder: str, id_col: str, uri: str, payload: str) -> DataFrame:
-    """One response record per row; the files written."""
+def write_archives(rows: DataFrame, folder: str, id_col: str, uri: str, payload: str, date: str | None = None) -> DataFrame:
+    """One response record per row, dated ``date`` (by default now); the files written."""
+    date = date or now()
 
     def write(batches):
         out = Archives(folder)
         for b in batches:
             for k, u, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 body = (text or "").encode("utf-8", "surrogatepass")
-                headers = [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("WARC-Target-URI", one_line(u)), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", "sha1:" + digest(body))]
+                headers = [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("WARC-Target-URI", one_line(u)), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", "sha1:" + digest(body))]
                 if k is not None:
                     headers.append(("X-Row-ID", str(k)))
                 out.add(record_bytes(headers, http_block(body)))
@@ -116,7 +134,7 @@ def write_archives(rows: DataFrame, folder: str, id_col: str, uri: str, payload:
 
 
 def records_of(file: str):
-    """(position, size, headers, block) of each record of an archive, read as a stream."""
+    """(position, size, headers, block, other headers) of each record of an archive, read as a stream."""
     fs, path = shared_fs(file)
     with fs.open_input_stream(path, compression=None) as f:
         position, pending = 0, b""
@@ -132,8 +150,8 @@ def records_of(file: str):
                 parts.append(inflate.decompress(pending))
                 size += len(pending) - len(inflate.unused_data)
                 pending = inflate.unused_data
-            headers, block = parse_record(b"".join(parts))
-            yield position, size, headers, block
+            data = b"".join(parts)
+            yield position, size, *parse_record(data), other_headers(data)
             position += size
 
 
@@ -146,14 +164,16 @@ def scan_headers(spark: SparkSession, files: DataFrame) -> DataFrame:
         for b in batches:
             for file in b.column(0).to_pylist():
                 rows = []
-                for position, size, h, block in records_of(file):
+                for position, size, h, block, others in records_of(file):
                     k, d = h.get("x-row-id"), h.get("warc-payload-digest", "")
                     if h["warc-type"] == "revisit":
                         n = int(h["x-payload-length"]) if "x-payload-length" in h else None
+                    elif h["warc-type"] != "response":
+                        n, d = None, ""
                     else:
                         body = block.partition(b"\r\n\r\n")[2]
                         n, d = len(body), "sha1:" + digest(body)
-                    rows.append((file, position, size, h["warc-record-id"], h["warc-type"], None if k is None else int(k), h.get("warc-target-uri"), n, d.removeprefix("sha1:"), h.get("warc-refers-to")))
+                    rows.append((file, position, size, h["warc-record-id"], h["warc-type"], None if k is None else int(k), h.get("warc-target-uri"), n, d.removeprefix("sha1:"), h.get("warc-refers-to"), others))
                     if len(rows) == 10_000:
                         yield _batch(rows, names, types)
                         rows = []
@@ -174,9 +194,9 @@ def _spread(files: DataFrame) -> DataFrame:
 
 def revisit_decisions(headers: DataFrame, least: int = 0) -> DataFrame:
     """The headers with ``keep_uuid``: the record that a record revisits, null for those
-    that stay responses. Headers are grouped by digest with partial maxima; revisits that the
+    that stay what they are. Headers are grouped by digest with partial maxima; revisits that the
     archives already hold are pointed at the response that stays, if there is one."""
-    h = headers.where("payload_digest <> ''")
+    h = headers.where("payload_digest <> '' AND record_type IN ('response', 'revisit')")
     able = h.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= least) & F.col("id").isNotNull())
     # Of rows that share the largest id the last in the archives: one struct to order by.
     best = able.groupBy("payload_digest").agg(
@@ -202,17 +222,23 @@ def rewrite(decided: DataFrame, folder: str) -> DataFrame:
                         fs, path = shared_fs(r["file"])
                         at, f = r["file"], fs.open_input_file(path)
                     f.seek(r["position"])
-                    old, block = parse_record(zlib.decompress(f.read(r["size"]), 31))
+                    data = f.read(r["size"])
+                    if r["record_type"] not in ("response", "revisit"):
+                        out.add(data)
+                        continue
+                    old, block = parse_record(zlib.decompress(data, 31))
                 else:
                     old, block = {}, b"HTTP/1.1 200 OK\r\n\r\n"
                 kind = r["record_type"] if r["keep_uuid"] is None else "revisit"
                 # The record that stays keeps its name: others refer to it by it.
                 name = r["record_uuid"] if kind == "response" else f"<urn:uuid:{uuid.uuid4()}>"
-                headers = [("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Date", old.get("warc-date", DATE)), ("WARC-Target-URI", r["uri"] or ""), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", "sha1:" + r["payload_digest"])]
+                headers = [("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Target-URI", r["uri"] or ""), ("Content-Type", old.get("content-type", "application/http; msgtype=response")), ("WARC-Payload-Digest", "sha1:" + r["payload_digest"])]
+                headers += header_pairs(r["others"])
                 if r["id"] is not None:
                     headers.append(("X-Row-ID", str(r["id"])))
                 if kind == "revisit":
-                    headers += [("WARC-Profile", PROFILE), ("X-Payload-Length", str(r["payload_bytes"]))]
+                    headers += [("WARC-Profile", PROFILE)]
+                    headers += [("X-Payload-Length", str(r["payload_bytes"]))] if r["payload_bytes"] is not None else []
                     target = r["keep_uuid"] or r["refers_uuid"]
                     headers += [("WARC-Refers-To", target)] if target else []
                     headers += [("WARC-Refers-To-Target-URI", r["keep_uri"])] if r["keep_uri"] else []
@@ -235,10 +261,10 @@ def resolve_revisits(headers: DataFrame) -> DataFrame:
     return plain.select(columns).union(back.select(columns))
 
 
-def deduplicate(rows: DataFrame, id_col: str, uri: str, payload: str, least: int = 0) -> tuple[DataFrame, DataFrame]:
+def deduplicate(rows: DataFrame, id_col: str, uri: str, payload: str, least: int = 0, date: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Archive the rows, write deduplicated archives, read them back: (files, records)."""
     spark = rows.sparkSession
-    first = write_archives(rows, scratch_path(spark, "warc"), id_col, uri, payload)
+    first = write_archives(rows, scratch_path(spark, "warc"), id_col, uri, payload, date)
     headers = written(scan_headers(spark, first), "warc-headers")
     files = rewrite(revisit_decisions(headers, least), scratch_path(spark, "warc-deduplicated"))
     return files, resolve_revisits(scan_headers(spark, files))

@@ -198,3 +198,44 @@ def test_revisits_already_in_an_archive(spark):
     again = warc.rewrite(warc.revisit_decisions(headers), folder)
     got = {r.id: (r.record_type, r.refers_to) for r in warc.resolve_revisits(warc.scan_headers(spark, again)).collect()}
     assert got == {1: ("revisit", 2), 2: ("response", None), 3: ("response", None)}
+
+
+def test_foreign_archive_keeps_other_records_and_headers(spark):
+    folder = scratch_path(spark, "test-foreign")
+    http = lambda body: b"HTTP/1.1 200 OK\r\nServer: s\r\n\r\n" + body
+
+    def record(kind, name, block, **more):
+        head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Target-URI", f"http://h/{name}"), ("Content-Type", f"application/http; msgtype={kind}")]
+        return warc.record_bytes(head + [(k.replace("_", "-"), v) for k, v in more.items()], block)
+
+    fs, root = warc.shared_fs(folder)
+    fs.create_dir(root, recursive=True)
+    request = record("request", "q1", b"GET / HTTP/1.1\r\n\r\n", WARC_Date="2011-01-01T00:00:00Z")
+    parts = [
+        record("warcinfo", "i", b"software: x\r\n"), request,
+        record("response", "a", http(b""), WARC_Date="2011-01-01T00:00:00Z", X_Row_ID="1"), record("request", "q2", b""),
+        record("response", "b", http(b"same"), WARC_Date="2012-02-02T00:00:00Z", WARC_IP_Address="192.0.2.1", X_Row_ID="2"),
+        record("response", "c", http(b"same"), WARC_Date="2013-03-03T00:00:00Z", WARC_IP_Address="192.0.2.2", X_Row_ID="3"),
+    ]
+    with fs.open_output_stream(f"{root}/old.warc.gz", compression=None) as f:
+        f.write(b"".join(parts))
+    files = spark.createDataFrame([(f"{folder}/old.warc.gz", len(parts))], warc.FILES)
+    headers = warc.scan_headers(spark, files)
+    new = warc.rewrite(warc.revisit_decisions(headers), folder + "-new").collect()
+    data = b"".join(bytes(read_bytes(r.file)) for r in new)
+    assert request in data and parts[0] in data and parts[3] in data
+    got = {h["warc-target-uri"][-1]: (h, block) for r in new for _, _, h, block, _ in warc.records_of(r.file)}
+    kinds = {k: h["warc-type"] for k, (h, _) in got.items()}
+    assert kinds == {"i": "warcinfo", "1": "request", "2": "request", "a": "response", "b": "revisit", "c": "response"}
+    assert [got[k][0]["warc-date"][:4] for k in "abc"] == ["2011", "2012", "2013"]
+    assert [got[k][0]["warc-ip-address"] for k in "bc"] == ["192.0.2.1", "192.0.2.2"]
+    assert got["b"][0]["warc-refers-to"] == got["c"][0]["warc-record-id"] and got["c"][1] == http(b"same")
+
+
+def test_date_of_new_records(spark):
+    df = spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string")
+    for date in ("2001-01-01T00:00:00Z", None):
+        before = warc.now()
+        files, _ = warc.deduplicate(df, "page_id", "url", "html", date=date)
+        (got,) = [h["warc-date"] for r in files.collect() for _, _, h, _, _ in warc.records_of(r.file)]
+        assert got == date if date else before <= got <= warc.now()
