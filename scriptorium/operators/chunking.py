@@ -13,6 +13,8 @@ the current chunk is not empty, so an oversize part sits alone. Parts are joined
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +24,100 @@ PART_TYPE = "struct<text:string,n:int>"
 SPAN_TYPE = "array<struct<s:int,len:int,tok:int>>"
 
 
+# Token counters given by the user: an expression whose counts add up over words, or a
+# function of a batch of texts (a model's tokenizer) whose counts need not.
+Counter = Callable[[Column], Column]
+BatchCounter = Callable[[list[str]], list[int]]
+
+
 def count_units(units: Column) -> Column:
     """ARRAY<STRING> -> ARRAY<STRUCT<text, nw>> with each unit's word count (one pass)."""
     return F.transform(units, lambda u: F.struct(u.alias("text"), T.count_words(u).alias("nw")))
 
 
+def split_oversize_by(units: Column, max_tokens: int, counter: Counter, per_unit_overhead: int = 0) -> Column:
+    """``split_oversize`` with an additive counter of the user's: units above the limit become
+    greedy groups of their words by the words' own counts (a word above it stays alone)."""
+    o = F.lit(per_unit_overhead)
+
+    def per_unit(u: Column) -> Column:
+        n = (counter(u) + o).cast("int")
+        words = F.transform(T.py_split(u), lambda w: F.struct(w.alias("text"), counter(w).cast("int").alias("n")))
+        groups = F.flatten(
+            F.transform(
+                F.array(words),
+                lambda ws: F.transform(
+                    pack_spans(ws, max(max_tokens - per_unit_overhead, 1)),
+                    lambda c: F.struct(
+                        F.array_join(F.transform(F.slice(ws, c["s"] + 1, c["len"]), lambda x: x["text"]), " ").alias("text"),
+                        (c["tok"] + o).cast("int").alias("n"),
+                    ),
+                ),
+            )
+        )
+        return F.when(n <= max_tokens, F.array(F.struct(u.alias("text"), n.alias("n")))).otherwise(groups)
+
+    return F.filter(F.flatten(F.transform(units, per_unit)), lambda p: p["n"] > 0)
+
+
+def words_that_fit(words: list[str], max_tokens: int, counter: BatchCounter, monotone: bool) -> list[tuple[str, int]]:
+    """Greedy groups of words, each joined by spaces and counted as joined. ``monotone``
+    says that a longer group never counts less: group ends are then found by doubling and
+    halving instead of word by word."""
+    out, at = [], 0
+    while at < len(words):
+        alone = counter([words[at]])[0]
+        if alone > max_tokens:
+            out.append((words[at], alone))
+            at += 1
+            continue
+        if monotone:
+            low, high = 1, 2  # low words fit
+            while at + high <= len(words) and counter([" ".join(words[at : at + high])])[0] <= max_tokens:
+                low, high = high, 2 * high
+            high = min(high, len(words) - at + 1)
+            while high - low > 1:
+                mid = (low + high) // 2
+                low, high = (mid, high) if counter([" ".join(words[at : at + mid])])[0] <= max_tokens else (low, mid)
+            n = low
+        else:
+            n = 1
+            while at + n < len(words) and counter([" ".join(words[at : at + n + 1])])[0] <= max_tokens:
+                n += 1
+        text = " ".join(words[at : at + n])
+        out.append((text, counter([text])[0]))
+        at += n
+    return out
+
+
+def with_parts_by(df: DataFrame, units_col: str, max_tokens: int, counter: BatchCounter, monotone: bool = True, out_col: str = "_parts") -> DataFrame:
+    """Replaces the units by their parts (text, n) with a counter that is called on batches
+    of texts on the executors, e.g. a tokenizer: once for the units of a batch of documents,
+    then for the words of units above the limit."""
+    import pandas as pd
+
+    keep = [f for f in df.schema.fields if f.name != units_col]
+    names = [f.name for f in keep]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
+
+    def run(batches):
+        for pdf in batches:
+            docs = [[] if u is None else list(u) for u in pdf[units_col]]
+            counts = iter(counter([u for d in docs for u in d]) if any(docs) else [])
+            parts = []
+            for units in docs:
+                mine = []
+                for u in units:
+                    n = int(next(counts))
+                    mine += [(u, n)] if n <= max_tokens else words_that_fit(u.split(), max_tokens, counter, monotone)
+                parts.append([{"text": t, "n": int(n)} for t, n in mine if n > 0])
+            out = pdf[names].copy()
+            out[out_col] = pd.Series(parts, index=out.index, dtype="object")
+            yield out
+
+    return df.mapInPandas(run, f"{schema}, `{out_col}` array<{PART_TYPE}>")
+
+
 def split_oversize_counted(counted: Column, max_tokens: int, per_unit_overhead: int = 0) -> Column:
     """Counted units -> ARRAY<STRUCT<text, n>> parts that fit ``max_tokens``.
 
@@ -141,16 +232,23 @@ def with_chunk_array(
     out_col: str = "chunks",
     per_unit_overhead: int = 0,
     clean: bool = True,
+    counter: Counter | None = None,
+    batch_counter: BatchCounter | None = None,
 ) -> DataFrame:
     """Adds ``out_col`` = the document's chunk array, in staged projections (units ->
     parts -> spans -> chunks) so that each intermediate array is computed once per row."""
     body = T.clean_text(F.col(text_col)) if clean else F.col(text_col)
     keep = [c for c in df.columns if c != text_col]
-    staged = (
-        df.select(*keep, count_units(T.semantic_units(body)).alias("_units"))
-        .select(*keep, split_oversize_counted(F.col("_units"), max_tokens, per_unit_overhead).alias("_parts"))
-        .select(*keep, "_parts", pack_spans(F.col("_parts"), max_tokens).alias("_spans"))
-    )
+    if batch_counter is not None:
+        units = df.select(*keep, T.semantic_units(body).alias("_units"))
+        parts = with_parts_by(units, "_units", max_tokens, batch_counter)
+    elif counter is not None:
+        units = df.select(*keep, T.semantic_units(body).alias("_units"))
+        parts = units.select(*keep, split_oversize_by(F.col("_units"), max_tokens, counter, per_unit_overhead).alias("_parts"))
+    else:
+        units = df.select(*keep, count_units(T.semantic_units(body)).alias("_units"))
+        parts = units.select(*keep, split_oversize_counted(F.col("_units"), max_tokens, per_unit_overhead).alias("_parts"))
+    staged = parts.select(*keep, "_parts", pack_spans(F.col("_parts"), max_tokens).alias("_spans"))
     return staged.select(*keep, chunk_structs(F.col("_parts"), F.col("_spans")).alias(out_col))
 
 
@@ -162,16 +260,20 @@ def chunk_documents(
     per_unit_overhead: int = 0,
     clean: bool = True,
     spread: bool = True,
+    counter: Counter | None = None,
+    batch_counter: BatchCounter | None = None,
 ) -> DataFrame:
     """One row per chunk: ``doc_col, seq, text, token_count_estimate``. Map-only.
 
-    ``spread=False`` keeps the input's partitioning (required when the caller numbers
+    Tokens are whitespace words unless a ``counter`` (an additive expression) or a
+    ``batch_counter`` (a function of texts, e.g. a tokenizer) is given; the latter counts
+    whole texts, so it adds special tokens itself. ``spread=False`` keeps the input's partitioning (required when the caller numbers
     chunks per range partition)."""
     from ..session import ensure_parallelism
 
     src = df.select(doc_col, text_col)
     src = ensure_parallelism(src) if spread else src
-    arr = with_chunk_array(src, max_tokens, text_col, "_chunks", per_unit_overhead, clean)
+    arr = with_chunk_array(src, max_tokens, text_col, "_chunks", per_unit_overhead, clean, counter, batch_counter)
     # explode_outer + filter instead of explode: the optimizer would otherwise infer a
     # "size(chunks) > 0" filter below the projections and evaluate the whole split twice.
     exploded = arr.select(F.col(doc_col), F.explode_outer("_chunks").alias("_c")).where(F.col("_c").isNotNull())
@@ -214,6 +316,8 @@ def chunk_corpus(
     per_unit_overhead: int = 0,
     running_ids: bool = True,
     num_partitions: int | None = None,
+    counter: Counter | None = None,
+    batch_counter: BatchCounter | None = None,
 ) -> DataFrame:
     """Documents -> chunk rows ``text, source_document, chunk_id, token_count_estimate``.
 
@@ -226,14 +330,13 @@ def chunk_corpus(
 
     if running_ids:
         ranged = range_partition(docs.select(doc_col, text_col), [doc_col], num_partitions)
-        chunks = chunk_documents(ranged, max_tokens, text_col, doc_col, per_unit_overhead, spread=False)
+        chunks = chunk_documents(ranged, max_tokens, text_col, doc_col, per_unit_overhead, spread=False, counter=counter, batch_counter=batch_counter)
         numbered = number_ranged(chunks, [doc_col, "seq"], "_n")
         cid = F.concat(F.lit("chunk_"), F.col("_n").cast("string"))
         out = numbered.withColumn("chunk_id", cid)
     else:
-        out = chunk_documents(docs, max_tokens, text_col, doc_col, per_unit_overhead).withColumn(
-            "chunk_id", stable_chunk_id(doc_col)
-        )
+        chunks = chunk_documents(docs, max_tokens, text_col, doc_col, per_unit_overhead, counter=counter, batch_counter=batch_counter)
+        out = chunks.withColumn("chunk_id", stable_chunk_id(doc_col))
     return out.select(
         "text", F.col(doc_col).alias("source_document"), "chunk_id", F.col("token_count_estimate").cast("int")
     )

@@ -69,6 +69,8 @@ STATUS_NO_PAIRS = "no_pairs"
 STATUS_RATE_LIMITED = "rate_limited"
 STATUS_MISSING_TEXT = "missing_text"
 STATUS_ERROR = "error"
+STATUS_NOT_SENT = "not_sent"
+STATUS_BELOW_THRESHOLD = "below_threshold"
 
 
 def _template_parts(tpl: str) -> list[str]:
@@ -109,6 +111,16 @@ ModelFn = Callable[[str], str]
 CALLS_TOGETHER = 64
 
 
+def call_once(model_fn: ModelFn, prompt: str | None) -> tuple[str, str | None]:
+    """(status, response) of one call; what it raises is told by the status."""
+    if not prompt:
+        return STATUS_MISSING_TEXT, None
+    try:
+        return STATUS_OK, model_fn(prompt)
+    except Exception as e:
+        return STATUS_RATE_LIMITED if "RateLimit" in type(e).__name__ else STATUS_ERROR, None
+
+
 def map_completions(
     df: DataFrame,
     model_fn: ModelFn,
@@ -135,18 +147,8 @@ def map_completions(
     def call(batches):
         for whole, at in ((b, i) for b in batches for i in range(0, len(b), CALLS_TOGETHER)):
             pdf = whole.iloc[at : at + CALLS_TOGETHER].reset_index(drop=True)
-            statuses, responses = [], []
-            for p in pdf[prompt_col]:
-                if not p:
-                    responses.append(None)
-                    statuses.append(STATUS_MISSING_TEXT)
-                    continue
-                try:
-                    responses.append(model_fn(p))
-                    statuses.append(STATUS_OK)
-                except Exception as e:  # per-row isolation, like the threaded caller
-                    responses.append(None)
-                    statuses.append(STATUS_RATE_LIMITED if "RateLimit" in type(e).__name__ else STATUS_ERROR)
+            results = [call_once(model_fn, p) for p in pdf[prompt_col]]  # an error is its row's alone
+            statuses, responses = [x for x, _ in results], [x for _, x in results]
             out = pdf[keys].copy()
             out["status"] = pd.Series(statuses, dtype="object")
             out["response"] = pd.Series(responses, dtype="object")

@@ -7,5 +7,5 @@ aliases every column to the Spark names. Queries without SQL are checked rows-on
 
 from __future__ import annotations
 
-from . import q_chunking, q_instruct, q_io, q_scores, q_synth, q_tokens  # noqa: F401
+from . import q_chunking, q_generate, q_instruct, q_io, q_scores, q_synth, q_tokens  # noqa: F401
 from .registry import QUERIES, Builder, register, table  # noqa: F401

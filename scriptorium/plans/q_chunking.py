@@ -158,3 +158,57 @@ def _chunk_stats_sql() -> str:
 @register("chunk_stats", _chunk_stats_sql())
 def q_chunk_stats(spark, sf_dir):
     return C.chunk_stats(table(spark, sf_dir, "documents"), CORPUS_MAX)
+
+
+# ---- counters given by the user --------------------------------------------------------
+
+PIECES_MAX = 48
+TOKENS_MAX = 256
+
+
+def pieces(text):
+    """An additive counter: pre-token pieces, which never reach over white space."""
+    return F.size(T.pretokenize(text))
+
+
+PIECES_RE = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+"
+
+
+def _pieces_sql(x: str) -> str:
+    return f"CAST(len(regexp_extract_all({x}, {S.q(PIECES_RE)})) AS INTEGER)"
+
+
+@register(
+    "chunk_by_pieces",
+    f"""
+    WITH RECURSIVE
+    us AS (SELECT doc_id, {S.units(S.clean_text('text'))} AS ul FROM documents),
+    u AS (SELECT doc_id, unit_no, unit, {_pieces_sql('unit')} AS n FROM (SELECT doc_id, generate_subscripts(ul, 1) AS unit_no, unnest(ul) AS unit FROM us)),
+    big AS (SELECT row_number() OVER (ORDER BY doc_id, unit_no) AS k, doc_id, unit_no, {S.words('unit')} AS ws FROM u WHERE n > {PIECES_MAX}),
+    w AS (SELECT k, pos, word, {_pieces_sql('word')} AS n FROM (SELECT k, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word FROM big)),
+    {S.pack_cte('w', 'k', PIECES_MAX).strip().replace('packed', 'groups')},
+    parts AS (
+      SELECT doc_id, unit_no, 1 AS part_no, unit AS text, n FROM u WHERE n <= {PIECES_MAX}
+      UNION ALL
+      SELECT any_value(doc_id), any_value(unit_no), chunk_no, string_agg(word, ' ' ORDER BY pos), CAST(sum(n) AS INTEGER)
+      FROM w JOIN groups USING (k, pos) JOIN big USING (k) GROUP BY k, chunk_no),
+    flat AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY unit_no, part_no) AS pos, text, n FROM parts WHERE n > 0),
+    {S.pack_cte('flat', 'doc_id', PIECES_MAX).strip()}
+    SELECT doc_id AS source_document, CAST(chunk_no AS INTEGER) AS seq, string_agg(text, chr(10) ORDER BY pos) AS text,
+           CAST(sum(f.n) AS INTEGER) AS token_count_estimate
+    FROM flat f JOIN packed USING (doc_id, pos) GROUP BY doc_id, chunk_no""",
+)
+def q_chunk_by_pieces(spark, sf_dir):
+    return C.chunk_documents(_docs(spark, sf_dir), PIECES_MAX, counter=pieces)
+
+
+@register("chunk_by_tokenizer")
+def q_chunk_by_tokenizer(spark, sf_dir):
+    """Chunks bounded by a model tokenizer's own counts of whole texts (tested against a
+    plain loop; SQL has no such tokenizer)."""
+    import public_tokenizers
+
+    from ..functions.counters import tokenizer_counter
+
+    count = tokenizer_counter(public_tokenizers.path("word_bpe_49k.json"))
+    return C.chunk_documents(_docs(spark, sf_dir), TOKENS_MAX, batch_counter=count)

@@ -125,11 +125,29 @@ def q_append_jsonl(spark, sf_dir):
     return spark.read.schema(RD.CONVERSATION_SCHEMA).json(path)
 
 
-@register("read_processed_ids", CHUNKS_SQL + "\nSELECT chunk_id FROM ck WHERE doc_id % 2 = 0")
+DOCS_IN_FILE = 500
+
+
+@register("read_lines", CHUNKS_SQL + f"""
+    SELECT doc_id // {DOCS_IN_FILE} AS file, CAST(3 * row_number() OVER (PARTITION BY doc_id // {DOCS_IN_FILE} ORDER BY doc_id, chunk_no) - 2 AS BIGINT) AS line_number,
+           chunk_id, text FROM ck""")
+def q_read_lines(spark, sf_dir):
+    """Files with the chunks of ``DOCS_IN_FILE`` documents in order, each chunk followed by
+    a line that can't be decoded and a blank one; lines are numbered within their file."""
+    path = scratch(spark, "lines")
+    c = _chunks(spark, sf_dir).withColumn("d", F.col("source_document").cast("long"))
+    line = F.to_json(F.struct("text", "source_document", "chunk_id"))
+    seq = F.element_at(F.split("chunk_id", "#"), -1).cast("int")
+    lines = c.select((F.col("d") / DOCS_IN_FILE).cast("long").alias("file"), "d", seq.alias("seq"), F.posexplode(F.array(line, F.lit("not json"), F.lit(""))).alias("no", "value"))
+    lines.repartition("file").sortWithinPartitions("file", "d", "seq", "no").select("file", "value").write.partitionBy("file").text(path)
+    rows = RD.read_chunks_jsonl(spark, f"{path}/file=*", line_numbers=True)
+    return rows.select(F.regexp_extract("source_file", r"file=(\d+)", 1).cast("long").alias("file"), "line_number", "chunk_id", "text")
+
+
+@register("read_processed_ids", CHUNKS_SQL + "\nSELECT chunk_id FROM ck")
 def q_read_processed_ids(spark, sf_dir):
     path = scratch(spark, "done")
-    c = _chunks(spark, sf_dir).where(F.col("source_document").cast("bigint") % 2 == 0)
-    pairs = c.withColumn("qa", F.array(F.struct(F.lit("q").alias("question"), F.lit("a").alias("answer"))))
+    pairs = _chunks(spark, sf_dir).withColumn("qa", F.array(F.struct(F.lit("q").alias("question"), F.lit("a").alias("answer"))))
     SK.write_jsonl(SY.to_instruction_rows(pairs, "qa"), path)
     spark.createDataFrame([("not json",)], "value string").write.mode("append").text(path)
     return RD.read_processed_ids(spark, path)

@@ -6,7 +6,7 @@ JSON functions rather than Python parsing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -20,6 +20,13 @@ OUTPUT_SCHEMA = (
 )
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Asked of the path's own file system; what goes wrong there is raised."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_text_folder(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """One row per ``*.txt`` file: ``source_document`` (plain path) and ``text`` with
     Python text-mode newlines. Files whose names start with ``_`` or ``.`` are skipped by
@@ -35,19 +42,34 @@ def read_text_folder(spark: SparkSession, path: str, glob: str = "*.txt") -> Dat
     )
 
 
-def read_chunks_jsonl(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value, source_file, line_number`` of text files, lines counted from 1 in each file,
+    blank ones too. A line's number is its place in its split and the lines of the splits
+    before it, which a first pass counts (a row for each split)."""
+    where = [F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block")]
+    lines = spark.read.text(path).select("value", *where, F.monotonically_increasing_id().alias("_id"))
+    splits = lines.groupBy("source_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    from_ = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1
+    numbered = lines.join(splits.select("source_file", "_block", from_.alias("_from")), ["source_file", "_block"])
+    return numbered.select("value", "source_file", (F.col("_id") + F.col("_from")).alias("line_number"))
+
+
+def read_chunks_jsonl(spark: SparkSession, path: str, line_numbers: bool = False) -> DataFrame:
     """Chunk JSONL: keeps object lines with a truthy ``text``; undecodable lines and
-    lines without text are dropped (``parse_chunk_lines`` keeps and marks them)."""
-    return parse_chunk_lines(spark.read.text(path)).where(~F.col("is_bad") & F.col("has_text")).drop(
-        "is_bad", "has_text"
-    )
+    lines without text are dropped (``parse_chunk_lines`` keeps and marks them).
+    ``line_numbers`` adds ``source_file`` and ``line_number`` (see ``read_lines``)."""
+    keep = ["source_file", "line_number"] if line_numbers else []
+    lines = read_lines(spark, path) if line_numbers else spark.read.text(path)
+    return parse_chunk_lines(lines, keep=keep).where(~F.col("is_bad") & F.col("has_text")).drop("is_bad", "has_text")
 
 
-def parse_chunk_lines(lines: DataFrame, col: str = "value") -> DataFrame:
+def parse_chunk_lines(lines: DataFrame, col: str = "value", keep: list[str] | None = None) -> DataFrame:
     v = F.try_parse_json(F.col(col))
     is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False))
     text = F.when(is_obj, F.try_variant_get(v, "$.text", "string"))
     return lines.where(~T.is_blank(F.col(col))).select(
+        *(keep or []),
         text.alias("text"),
         F.when(is_obj, F.try_variant_get(v, "$.source_document", "string")).alias("source_document"),
         F.when(is_obj, F.try_variant_get(v, "$.chunk_id", "string")).alias("chunk_id"),

@@ -16,18 +16,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.generate import GenerationRun, generate_instructions
 from ..operators.resume import resume_pending
-from ..sources.readers import CHUNK_SCHEMA, read_processed_ids
+from ..sources.readers import CHUNK_SCHEMA, path_exists, read_processed_ids
 from ..sources.sinks import append_jsonl
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Asked of the path's own file system; what goes wrong there is raised."""
-    sc = spark.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
-
-
 def discover(spark: SparkSession, input_dir: str, checkpoint_dir: str, max_files_per_trigger: int | None = None) -> DataFrame | None:
     """Move the chunks of files not yet consumed to the inbox; the whole inbox, or None."""
     reader = spark.readStream.schema(CHUNK_SCHEMA)
@@ -46,6 +40,24 @@ def discover(spark: SparkSession, input_dir: str, checkpoint_dir: str, max_files
     return spark.read.schema(CHUNK_SCHEMA).parquet(inbox)
 
 
+def each_once(seen: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """An id that was delivered twice is offered once; chunks without an id always are."""
+    return seen.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(seen.where(F.col(id_col).isNull()))
+
+
+def generate_incrementally(
+    spark: SparkSession, input_dir: str, output_dir: str, checkpoint_dir: str, model_fn, max_files_per_trigger: int | None = None, **options
+) -> GenerationRun | None:
+    """A whole generation run (``operators.generate``) over every chunk seen so far that has
+    no output; ``options`` are those of ``generate_instructions``. None before the first
+    file. Chunks of a stream have no line numbers: one caller takes them in any order."""
+    seen = discover(spark, input_dir, checkpoint_dir, max_files_per_trigger)
+    if seen is None:
+        return None
+    chunks = each_once(seen).withColumn("line_number", F.lit(None).cast("long"))
+    return generate_instructions(spark, chunks, output_dir, f"{checkpoint_dir.rstrip('/')}/work", model_fn, **options)
+
+
 def incremental_run(
     spark: SparkSession,
     input_dir: str,
@@ -59,8 +71,7 @@ def incremental_run(
     seen = discover(spark, input_dir, checkpoint_dir, max_files_per_trigger)
     if seen is None:
         return
-    # An id that was delivered twice is offered once; chunks without an id always are.
-    one = seen.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(seen.where(F.col(id_col).isNull()))
+    one = each_once(seen, id_col)
     if path_exists(spark, output_dir):
         one = resume_pending(one, read_processed_ids(spark, output_dir, id_col), id_col)
     append_jsonl(process(one), output_dir)
