@@ -3,7 +3,7 @@
 Vectors are scaled to length one, so that cosine c is distance sqrt(2 - 2c). A hash is
 floor((a.x + b) / width) with a drawn from the normal distribution; ``hashes`` of them name
 a bucket of one of ``tables`` tables. At cosine 0.95 one hash agrees with probability
-0.83 (width 1.5), so ten agree with 0.16 and at least one of 24 tables with 0.98; above
+0.83 (width 1.5), so ten agree with 0.16 and at least one of 40 tables with 0.999; above
 that the chance rises quickly. Pairs of a bucket are compared exactly, in double precision.
 
 Buckets are counted first, and those with one vector are left out. A bucket of more than
@@ -59,7 +59,7 @@ def unit_vectors(raw: list[bytes]) -> np.ndarray:
 
 
 def embedding_components(
-    rows: DataFrame, least: float = 0.95, tables: int = 24, hashes: int = 10, width: float = 1.5, seed: int = 7, block: int = 2048, key: str = "vec_id", vector: str = "embedding"
+    rows: DataFrame, least: float = 0.95, tables: int = 40, hashes: int = 10, width: float = 1.5, seed: int = 7, block: int = 2048, key: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     spark = rows.sparkSession
