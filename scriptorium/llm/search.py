@@ -1,7 +1,7 @@
 """Exact BM25 top-k search: sharded inverted indexes with block-max WAND pruning.
 
 Index: each task of the scan cuts its documents into shards of a bounded number of
-documents and postings and writes an inverted index for each, a row of one table. Within a
+documents and words and writes an inverted index for each, a row of one table. Within a
 shard documents are numbered by falling length, so that documents near each other score
 alike, and every list is cut into blocks at the same document numbers (``WINDOW`` each). Nothing
 is sampled and no text is shuffled.
@@ -12,13 +12,16 @@ mean length over the whole table, not the shard, so scores of different shards c
 and the merged top k is exact. Terms are lower-cased runs of letters, digits and
 underscores.
 
-Search: queries are sent to the shards in blocks of a bounded number of terms. For a query
-the block maxima of its lists are added up window by window (a shallow step that decodes
-no posting). Windows are taken by falling bound, a few at a time; the pivot rule of WAND is
-applied to each -- its bound against the k-th best score so far -- and a window that cannot
-hold a better document is skipped with all its postings, the others are scored in full. The
-search ends at the first window whose bound is below the threshold. Documents without any
-term of the query are no results.
+Search: queries are sent to the shards in blocks of a bounded number of terms. Pruning is
+by block maxima and windows instead of WAND's document cursors, which a loop in Python
+could not afford: postings of rare lists are added up at once, and a window of documents
+gets as its bound the best of these sums in it and the block maxima of the query's common
+lists. Windows are taken by falling bound; each is scored in full for those queries whose
+k-th best score so far its bound may beat (WAND's pivot rule, for a window) and left out
+for the others, whose results it can't change. Queries of a shard go through its windows
+together, so that a window's common lists are read once for all of them. The documents
+that reach the k-th score are scored again term by term. Documents without any term of the
+query are no results.
 
 Results: (query_id, rank, doc_id, score), ranks from 1 by falling score, then ascending id
 (nulls last), then text hash. A null or empty text has no terms: no results as a query, none
@@ -29,7 +32,7 @@ of all its rows. An empty table gives no rows. Other columns are not read."""
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -39,8 +42,12 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-WINDOW = 64
-SHARD_DOCS, SHARD_POSTINGS = 16_384, 8_000_000
+WINDOW = 128
+# Lists with a document in so many are common; cells of a shard's common rows at most (8 bytes each).
+COMMON, COMMON_CELLS = 16, 4_000_000
+TOGETHER = 128
+SLACK = 1e-9
+SHARD_DOCS, SHARD_WORDS = 16_384, 8_000_000
 BLOCK_TERMS = 400_000
 TERM = re.compile(r"\w+")
 SHARD = "n_docs long, n_words long, terms array<string>, dfs array<int>, docs binary, tfs binary, keys binary, lengths binary, hashes binary"
@@ -59,29 +66,34 @@ class Builder:
     """Collects documents and makes a shard's row of them."""
 
     def __init__(self):
-        self.vocab: dict[str, int] = {}
-        self.parts, self.keys, self.lengths, self.hashes, self.postings = [], [], [], [], 0
+        self.vocab: defaultdict[str, int] = defaultdict()
+        self.vocab.default_factory = self.vocab.__len__  # a new term gets the next number
+        self.parts, self.keys, self.hashes, self.words = [], [], [], 0
 
     def add(self, key: int | None, text_hash: int, text: str | None) -> None:
-        words, vocab = terms_of(text), self.vocab
-        tfs = Counter(words)
-        terms = np.fromiter((vocab.setdefault(w, len(vocab)) for w in tfs), np.int32, len(tfs))
-        self.parts.append((terms, np.fromiter(tfs.values(), np.int32, len(tfs))))
-        self.postings += len(terms)
+        words = terms_of(text)
+        self.parts.append(np.fromiter(map(self.vocab.__getitem__, words), np.int32, len(words)))
+        self.words += len(words)
         self.keys.append(NO_KEY if key is None else key)
-        self.lengths.append(len(words))
         self.hashes.append(text_hash)
 
     def row(self) -> pa.RecordBatch:
-        lengths = np.array(self.lengths, np.int64)
+        lengths = np.array([len(x) for x in self.parts], np.int64)
+        n = len(lengths)
         order = np.argsort(-lengths, kind="stable")
-        docs = np.repeat(np.arange(len(order), dtype=np.int32), [len(self.parts[i][0]) for i in order])
-        terms = np.concatenate([self.parts[i][0] for i in order])
-        counts = np.concatenate([self.parts[i][1] for i in order])
-        by_term = np.argsort(terms, kind="stable")
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        # One number for a document's term: sorted, they are the postings of the lists in turn.
+        both = np.concatenate(self.parts).astype(np.int64)
+        self.parts = []
+        both *= n
+        both += np.repeat(place, lengths)
+        both.sort()
+        first = np.flatnonzero(np.concatenate([np.full(min(1, len(both)), True), both[1:] != both[:-1]]))
+        counts, both = np.diff(np.append(first, len(both))), both[first]
         values = {
-            "n_docs": len(order), "n_words": int(lengths.sum()), "terms": list(self.vocab), "dfs": np.bincount(terms, minlength=len(self.vocab)).astype(np.int32),
-            "docs": docs[by_term].tobytes(), "tfs": counts[by_term].tobytes(), "keys": np.array(self.keys, np.int64)[order].tobytes(),
+            "n_docs": n, "n_words": int(lengths.sum()), "terms": list(self.vocab), "dfs": np.bincount(both // n, minlength=len(self.vocab)).astype(np.int32),
+            "docs": (both % n).astype(np.int32).tobytes(), "tfs": counts.astype(np.int32).tobytes(), "keys": np.array(self.keys, np.int64)[order].tobytes(),
             "lengths": lengths[order].astype(np.int32).tobytes(), "hashes": np.array(self.hashes, np.int64)[order].tobytes(),
         }
         return pa.RecordBatch.from_pylist([values], schema=SHARD_ARROW)
@@ -95,7 +107,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         for batch in batches:
             for k, h, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 b.add(k, h, t)
-                if len(b.keys) >= SHARD_DOCS or b.postings >= SHARD_POSTINGS:
+                if len(b.keys) >= SHARD_DOCS or b.words >= SHARD_WORDS:
                     yield b.row()
                     b = Builder()
         if b.keys:
@@ -106,57 +118,82 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 class Shard:
-    """A shard made ready to search: impacts, and block maxima by list and window."""
+    """A shard made ready to search. Lists that hold one in ``COMMON`` of the documents or
+    more are laid out as rows with a column for each document, with the maxima of their
+    blocks; the others stay lists of postings."""
 
     def __init__(self, r: dict, mean_length: float, k1: float, b: float):
         self.n = r["n_docs"]
         self.keys, self.hashes = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["hashes"], np.int64)
         lengths = np.frombuffer(r["lengths"], np.int32)
         self.docs, tfs = np.frombuffer(r["docs"], np.int32), np.frombuffer(r["tfs"], np.int32)
-        self.term = {t: i for i, t in enumerate(r["terms"])}
+        self.term = {t: i for i, t in enumerate(r.pop("terms"))}
         norm = k1 * (1 - b + b * lengths / mean_length)
         self.impact = tfs * (k1 + 1) / (tfs + norm[self.docs])
-        lists = np.repeat(np.arange(len(r["dfs"]), dtype=np.int64), r["dfs"])
+        self.dfs = np.array(r["dfs"], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.dfs)])
         self.windows = -(-self.n // WINDOW)
-        place = lists * self.windows + self.docs // WINDOW
-        self.first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
-        self.count = np.diff(np.append(self.first, len(place)))
-        self.most = np.maximum.reduceat(self.impact, self.first) if len(place) else np.zeros(0)
-        self.window = (place[self.first] % self.windows).astype(np.int64)
-        self.blocks = np.searchsorted(place[self.first] // self.windows, np.arange(len(r["dfs"]) + 1))
-
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) that can be among the shard's k best, ties at the end included."""
-        n = self.blocks[terms + 1] - self.blocks[terms]
-        at = _ranges(self.blocks[terms], n)
-        weight, window = np.repeat(idf, n), self.window[at]
+        self.wide = self.windows * WINDOW
+        common = np.flatnonzero(self.dfs * COMMON >= self.n)
+        common = common[np.argsort(-self.dfs[common], kind="stable")][: COMMON_CELLS // max(1, self.wide)]
+        self.row = np.full(len(self.dfs), -1)
+        self.row[common] = np.arange(len(common))
+        self.common = np.zeros((len(common), self.wide))
+        for i, t in enumerate(common.tolist()):
+            at = slice(self.first[t], self.first[t + 1])
+            self.common[i, self.docs[at]] = self.impact[at]
+        self.most = self.common.reshape(len(common), self.windows, WINDOW).max(axis=2)
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, their idf) the documents and scores that can be among the
+        shard's k best, ties at the end included."""
+        weights = np.zeros((len(queries), len(self.common)))
+        scores = np.zeros((len(queries), self.wide))
+        for i, (terms, idf) in enumerate(queries):
+            row = self.row[terms]
+            weights[i, row[row >= 0]] = idf[row >= 0]
+            post, weight = self._postings(terms[row < 0], idf[row < 0])
+            scores[i] = np.bincount(self.docs[post], weights=self.impact[post] * weight, minlength=self.wide)
+        # A window's bound: the best score by rare lists and the block maxima of the common ones.
         # Rounding must not put a bound below a score that it bounds.
-        bound = np.bincount(window, weights=self.most[at] * weight, minlength=self.windows) * (1 + 1e-12)
-        order = np.argsort(-bound, kind="stable")
-        place = np.empty(self.windows, np.int64)
-        place[order] = np.arange(self.windows)
-        turn = place[window]
-        scores = np.zeros(self.n)
-        done, step, threshold = 0, 8, 0.0
-        best = np.zeros(0)
-        while done < self.windows and bound[order[done]] > 0 and bound[order[done]] >= threshold:
-            end = min(done + step, self.windows)
-            # The pivot rule for the windows of this step.
-            end = done + int(np.searchsorted(-bound[order[done:end]], -threshold, "right"))
-            live = np.flatnonzero((turn >= done) & (turn < end))
-            own = at[live]
-            size = self.count[own]
-            post = _ranges(self.first[own], size)
-            scores += np.bincount(self.docs[post], weights=self.impact[post] * np.repeat(weight[live], size), minlength=self.n)
-            some = (order[done:end, None] * WINDOW + np.arange(WINDOW)).ravel()
-            best = np.concatenate([best, scores[some[some < self.n]]])
-            if len(best) > k:
-                best = np.partition(best, len(best) - k)[-k:]
-            if len(best) == k:
-                threshold = best.min() * (1 - 1e-12)
-            done, step = end, step * 4
-        found = np.flatnonzero((scores > 0) & (scores >= threshold))
-        return found, scores[found]
+        bound = (weights @ self.most + scores.reshape(len(queries), self.windows, WINDOW).max(axis=2)) * (1 + SLACK)
+        best, least = np.zeros((len(queries), k)), np.zeros(len(queries))
+        scored = np.zeros(bound.shape, bool)
+        for w in np.argsort(-bound.sum(axis=0), kind="stable").tolist():
+            # The pivot rule: a window is looked at for the queries whose k-th best score it may beat.
+            live = np.flatnonzero((bound[:, w] > 0) & (bound[:, w] >= least))
+            if not len(live):
+                continue
+            at = slice(w * WINDOW, (w + 1) * WINDOW)
+            scores[live, at] += weights[live] @ self.common[:, at]
+            scored[live, w] = True
+            best[live] = np.partition(np.concatenate([best[live], scores[live, at]], axis=1), WINDOW, axis=1)[:, WINDOW:]
+            least[live] = best[live].min(axis=1) * (1 - SLACK)
+        out = []
+        for i, (terms, idf) in enumerate(queries):
+            found = np.flatnonzero((scores[i] > 0) & (scores[i] >= least[i]) & np.repeat(scored[i], WINDOW))
+            out.append((found, self.exact(terms, idf, found)))
+        return out
+
+    def _postings(self, terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the postings of the terms' lists and their terms' idf."""
+        n = self.dfs[terms]
+        return _ranges(self.first[terms], n), np.repeat(idf, n)
+
+    def exact(self, terms: np.ndarray, idf: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Scores added up term by term in the order given, whatever shard a document is in,
+        so that equal documents have equal scores."""
+        part = np.zeros((len(terms), len(docs)))
+        row = self.row[terms]
+        part[row >= 0] = self.common[np.ix_(row[row >= 0], docs)] * idf[row >= 0][:, None]
+        rare = np.flatnonzero(row < 0)
+        post, weight = self._postings(terms[rare], idf[rare])
+        column = np.full(self.wide, -1)
+        column[docs] = np.arange(len(docs))
+        held = np.flatnonzero(column[self.docs[post]] >= 0)
+        of = np.searchsorted(np.cumsum(self.dfs[terms[rare]]), held, "right")
+        part[rare[of], column[self.docs[post[held]]]] = self.impact[post[held]] * weight[held]
+        return np.cumsum(part, axis=0)[-1] if len(terms) else np.zeros(len(docs))
 
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -194,12 +231,15 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
                 for r in batch.to_pylist():
                     s = Shard(r, n_words / n_docs, k1, b)
                     own = np.fromiter((s.term.get(x, -1) for x in names), np.int64, len(names))
-                    out = []
+                    out, asked = [], []
                     for i, q in enumerate(ids):
                         t = own[terms[starts[i] : starts[i + 1]]]
                         here = t >= 0
                         if here.any():
-                            found, scores = s.search(t[here], weights[starts[i] : starts[i + 1]][here], k)
+                            asked.append((q, t[here], weights[starts[i] : starts[i + 1]][here]))
+                    for lo in range(0, len(asked), TOGETHER):
+                        some = asked[lo : lo + TOGETHER]
+                        for (q, _, _), (found, scores) in zip(some, s.search([x[1:] for x in some], k), strict=True):
                             if len(found) > k:  # ties beyond the k-th: by id, then text
                                 top = np.lexsort((s.hashes[found], s.keys[found], -scores))[:k]
                                 found, scores = found[top], scores[top]

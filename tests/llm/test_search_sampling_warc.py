@@ -66,17 +66,45 @@ def test_pruned_windows_lose_nothing():
     s = search.Shard(row, row["n_words"] / row["n_docs"], 1.2, 0.75)
     idf = np.log(1 + 1500 / np.array(row["dfs"]))
     lists = np.repeat(np.arange(len(row["dfs"])), row["dfs"])
-    for n in (1, 3, 40):
-        t = rng.choice(len(idf), n, replace=False)
+    asked = [rng.choice(len(idf), n, replace=False) for n in (1, 3, 40, 200, 1)]
+    for t, (found, scores) in zip(asked, s.search([(t, idf[t]) for t in asked], 10), strict=True):
         every = np.zeros(1500)
         for x in t:
             every[s.docs[lists == x]] += s.impact[lists == x] * idf[x]
-        found, scores = s.search(t, idf[t], 10)
         top = np.sort(every[every > 0])[::-1][:10]
         assert np.allclose(np.sort(scores)[::-1][: len(top)], top)
         assert np.allclose(every[found], scores)
 
 
+@pytest.mark.parametrize("common,cells", [(1, 10**6), (10**9, 10**6), (16, 3000)])
+def test_results_do_not_depend_on_what_is_a_common_list(monkeypatch, common, cells):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 50))) for _ in range(300)]
+
+    def results():
+        b = search.Builder()
+        for i, t in enumerate(texts + texts[:40]):
+            b.add(i, 0, t)
+        row = b.row().to_pylist()[0]
+        s = search.Shard(row, row["n_words"] / row["n_docs"], 1.2, 0.75)
+        idf = np.log(1 + 340 / s.dfs)
+        asked = [np.array([s.term[w] for w in sorted(set(t.split()))]) for t in texts[:20]]
+        out = []
+        for found, scores in s.search([(t, idf[t]) for t in asked], 5):
+            top = np.lexsort((s.keys[found], -scores))[:5]
+            out.append((s.keys[found][top].tolist(), scores[top].tolist()))
+        return out
+
+    want = results()
+    monkeypatch.setattr(search, "COMMON", common)
+    monkeypatch.setattr(search, "COMMON_CELLS", cells)
+    # Scores are equal to the last bit, and equal documents tie.
+    assert results() == want
+    ties = [(x[j + 1] - x[j], v[j + 1] == v[j]) for x, v in want for j in range(4) if x[j] < 40]
+    assert ties.count((300, True)) > 20 and all(tied for gap, tied in ties if gap == 300)
+
+
 def test_search_edges(spark, edge_docs, no_docs):
     rows = search.search(edge_docs, edge_docs.where("doc_id in (1, 3, 4, 8, 10, 11) or doc_id is null"), k=3).collect()
     asked = {1: TEXTS[0][1], 8: TEXTS[7][1], 10: "a", 11: "same key, first text same key, second text"}
