@@ -40,7 +40,25 @@ from .tokens import byte_letters, encoder
 WINDOW, BITS, LEAST = 16, 9, 64
 CHARS_AT_ONCE = 1 << 22
 DIGEST = 16
-GEAR = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(29)).astype(np.uint32)
+BLOCK = 1 << 16
+SPREAD, LIMIT = np.uint32(0x9E3779B1), np.uint32(1 << (32 - BITS))
+
+
+def cut_places(data: np.ndarray) -> np.ndarray:
+    """Where the rolling hash of the last ``WINDOW`` bytes cuts: the sum of the bytes, each
+    doubled once more than the next, times a constant. Blocks that stay in the cache."""
+    out = []
+    for lo in range(0, len(data), BLOCK):
+        start = max(0, lo - WINDOW + 1)
+        rolled = data[start : lo + BLOCK].astype(np.uint32)
+        step = 1
+        while step < WINDOW:
+            rolled[step:] += rolled[:-step] << np.uint32(step)
+            step *= 2
+        rolled *= SPREAD
+        out.append(np.flatnonzero(rolled[lo - start :] < LIMIT) + lo)
+    ends = np.concatenate(out) + 1
+    return ends[(ends == len(data)) | (data[np.minimum(ends, len(data) - 1)] & 0xC0 != 0x80)]
 
 
 def cuts_of(texts: list[bytes]) -> list[list[int]]:
@@ -48,14 +66,7 @@ def cuts_of(texts: list[bytes]) -> list[list[int]]:
     data = np.frombuffer(b"".join(texts), np.uint8)
     if not len(data):
         return [[] for _ in texts]
-    rolled = GEAR[data]
-    step = 1
-    while step < WINDOW:  # the sum of the last 2 * step bytes' values, the older doubled more often
-        rolled[step:] += rolled[:-step] << np.uint32(step)
-        step *= 2
-    follows = np.concatenate([data[1:], [0]])
-    ends = np.flatnonzero((rolled >> np.uint32(32 - BITS) == 0) & (follows & 0xC0 != 0x80)) + 1
-    ends = ends.tolist()
+    ends = cut_places(data).tolist()
     out, base = [], 0
     for t in texts:
         cuts, last, end = [], base, base + len(t)
@@ -95,7 +106,7 @@ class ChunkEncoder:
                 self.bytes_of[i] = bytes(letters[c] for c in token) if known else token.encode()
         self.own_decoding = kind == "ByteLevel"
         self.chunks = self.chunks and self.own_decoding
-        self.starts = np.array([len(b) > 1 and b[0] == 32 and 33 <= b[1] < 127 for b in self.bytes_of])
+        self.starts = [len(b) > 1 and b[0] == 32 and 33 <= b[1] < 127 for b in self.bytes_of]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(x, "<u4") for x in self.encoder.encode(texts)]
@@ -113,21 +124,23 @@ class ChunkEncoder:
 
     def repaired(self, a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray, int]:
         """(i, ids, j): the text of ``a`` and ``b`` together has a[:i], ids, b[j:]."""
-        width = 2
+        width, is_start = 2, self.starts
         while True:
-            starts_a = np.flatnonzero(self.starts[a[-16 * width :]]) + max(0, len(a) - 16 * width)
-            starts_b = np.flatnonzero(self.starts[b[: 16 * width]])
-            starts_b = starts_b[starts_b > 0]
-            i, i1 = (int(starts_a[-width]), int(starts_a[-width + 1])) if len(starts_a) >= width else (0, 0)
-            j0, j = (int(starts_b[width - 2]), int(starts_b[width - 1])) if len(starts_b) >= width else (len(b), len(b))
-            if (i == 0 and 16 * width < len(a)) or (j == len(b) and 16 * width < len(b)):
+            look = 16 * width
+            left, right = a[-look:].tolist(), b[:look].tolist()
+            starts_a = [n for n, x in enumerate(left) if is_start[x]]
+            starts_b = [n for n, x in enumerate(right) if is_start[x] and n]
+            # The window, and within it the first word of the left side and the last of the right.
+            i, i1 = (starts_a[-width], starts_a[1 - width]) if len(starts_a) >= width else (0, 0)
+            j0, j = (starts_b[width - 2], starts_b[width - 1]) if len(starts_b) >= width else (len(right), len(right))
+            if (i == 0 and len(left) < len(a)) or (j == len(right) and len(right) < len(b)):
                 width *= 2  # too few words among the tokens looked at
                 continue
-            text = (self.bytes_from(a[i:]) + self.bytes_from(b[:j])).decode()
+            text = b"".join(map(self.bytes_of.__getitem__, left[i:] + right[:j])).decode()
             ids = self.encode([text])[0]
-            first, last = a[i:i1], b[j0:j]
-            if np.array_equal(ids[: len(first)], first) and (not len(last) or np.array_equal(ids[-len(last) :], last)):
-                return i, ids, j
+            own = ids.tolist()
+            if own[: i1 - i] == left[i:i1] and own[len(own) - (j - j0) :] == right[j0:j]:
+                return len(a) - len(left) + i, ids, j
             width *= 2
 
     def put_together(self, parts: list[np.ndarray]) -> np.ndarray:
