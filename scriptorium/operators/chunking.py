@@ -28,6 +28,56 @@ SPAN_TYPE = "array<struct<s:int,len:int,tok:int>>"
 # function of a batch of texts (a model's tokenizer) whose counts need not.
 Counter = Callable[[Column], Column]
 BatchCounter = Callable[[list[str]], list[int]]
+# A sentence model given by the user: the sentences of each of a batch of paragraphs.
+Segmenter = Callable[[list[str]], list[list[str]]]
+
+
+def word_counts(texts: list[str]) -> list[int]:
+    """The default counter, for batches of texts."""
+    return [len(t.split()) for t in texts]
+
+
+def segmented(segmenter: Segmenter, texts: list[str]) -> list[list[str]]:
+    """The sentences of each text. If the call raises, texts are tried one by one, and one
+    whose own call raises is its only sentence."""
+
+    def called(some: list[str]) -> list[list[str]]:
+        got = [list(x) for x in segmenter(some)]
+        if len(got) != len(some):
+            raise ValueError("segmenter returned a different number of texts")
+        return got
+
+    try:
+        return called(texts) if texts else []
+    except Exception:
+        out = []
+        for t in texts:
+            try:
+                out += called([t])
+            except Exception:
+                out.append([t])
+        return out
+
+
+def with_units_by(df: DataFrame, paragraphs_col: str, segmenter: Segmenter, out_col: str = "_units") -> DataFrame:
+    """Replaces the paragraphs by their sentences, stripped, without blank ones; the sentence
+    model is called on the executors, once for the paragraphs of a batch of documents."""
+    import pandas as pd
+
+    keep = [f for f in df.schema.fields if f.name != paragraphs_col]
+    names = [f.name for f in keep]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep)
+
+    def run(batches):
+        for pdf in batches:
+            docs = [[] if p is None else list(p) for p in pdf[paragraphs_col]]
+            sentences = iter(segmented(segmenter, [p for d in docs for p in d]))
+            units = [[s.strip() for _ in d for s in next(sentences) if s.strip()] for d in docs]
+            out = pdf[names].copy()
+            out[out_col] = pd.Series(units, index=out.index, dtype="object")
+            yield out
+
+    return df.mapInPandas(run, f"{schema}`{out_col}` array<string>")
 
 
 def count_units(units: Column) -> Column:
@@ -90,10 +140,13 @@ def words_that_fit(words: list[str], max_tokens: int, counter: BatchCounter, mon
     return out
 
 
-def with_parts_by(df: DataFrame, units_col: str, max_tokens: int, counter: BatchCounter, monotone: bool = True, out_col: str = "_parts") -> DataFrame:
+def with_parts_by(
+    df: DataFrame, units_col: str, max_tokens: int, counter: BatchCounter, monotone: bool = True, out_col: str = "_parts", segmenter: Segmenter | None = None
+) -> DataFrame:
     """Replaces the units by their parts (text, n) with a counter that is called on batches
     of texts on the executors, e.g. a tokenizer: once for the units of a batch of documents,
-    then for the words of units above the limit."""
+    then for the words of units above the limit. With a sentence model such a unit is cut
+    into its sentences first (not stripped), and only those above the limit into words."""
     import pandas as pd
 
     keep = [f for f in df.schema.fields if f.name != units_col]
@@ -109,7 +162,12 @@ def with_parts_by(df: DataFrame, units_col: str, max_tokens: int, counter: Batch
                 mine = []
                 for u in units:
                     n = int(next(counts))
-                    mine += [(u, n)] if n <= max_tokens else words_that_fit(u.split(), max_tokens, counter, monotone)
+                    if n <= max_tokens:
+                        mine.append((u, n))
+                        continue
+                    whole = [u] if segmenter is None else [x for x in segmented(segmenter, [u])[0] if x.strip()]
+                    for x, size in zip(whole, counter(whole) if segmenter else [n], strict=True):
+                        mine += [(x, size)] if size <= max_tokens else words_that_fit(x.split(), max_tokens, counter, monotone)
                 parts.append([{"text": t, "n": int(n)} for t, n in mine if n > 0])
             out = pdf[names].copy()
             out[out_col] = pd.Series(parts, index=out.index, dtype="object")
@@ -234,19 +292,24 @@ def with_chunk_array(
     clean: bool = True,
     counter: Counter | None = None,
     batch_counter: BatchCounter | None = None,
+    segmenter: Segmenter | None = None,
 ) -> DataFrame:
     """Adds ``out_col`` = the document's chunk array, in staged projections (units ->
     parts -> spans -> chunks) so that each intermediate array is computed once per row."""
     body = T.clean_text(F.col(text_col)) if clean else F.col(text_col)
     keep = [c for c in df.columns if c != text_col]
-    if batch_counter is not None:
+    if segmenter is not None:
+        units = with_units_by(df.select(*keep, T.split_paragraphs(body).alias("_paragraphs")), "_paragraphs", segmenter)
+    elif counter is None and batch_counter is None:
+        units = df.select(*keep, count_units(T.semantic_units(body)).alias("_units"))
+    else:
         units = df.select(*keep, T.semantic_units(body).alias("_units"))
-        parts = with_parts_by(units, "_units", max_tokens, batch_counter)
+    if batch_counter is not None or (segmenter is not None and counter is None):
+        count = batch_counter or (lambda texts: [n + per_unit_overhead for n in word_counts(texts)])
+        parts = with_parts_by(units, "_units", max_tokens, count, segmenter=segmenter)
     elif counter is not None:
-        units = df.select(*keep, T.semantic_units(body).alias("_units"))
         parts = units.select(*keep, split_oversize_by(F.col("_units"), max_tokens, counter, per_unit_overhead).alias("_parts"))
     else:
-        units = df.select(*keep, count_units(T.semantic_units(body)).alias("_units"))
         parts = units.select(*keep, split_oversize_counted(F.col("_units"), max_tokens, per_unit_overhead).alias("_parts"))
     staged = parts.select(*keep, "_parts", pack_spans(F.col("_parts"), max_tokens).alias("_spans"))
     return staged.select(*keep, chunk_structs(F.col("_parts"), F.col("_spans")).alias(out_col))
@@ -262,18 +325,20 @@ def chunk_documents(
     spread: bool = True,
     counter: Counter | None = None,
     batch_counter: BatchCounter | None = None,
+    segmenter: Segmenter | None = None,
 ) -> DataFrame:
     """One row per chunk: ``doc_col, seq, text, token_count_estimate``. Map-only.
 
     Tokens are whitespace words unless a ``counter`` (an additive expression) or a
     ``batch_counter`` (a function of texts, e.g. a tokenizer) is given; the latter counts
-    whole texts, so it adds special tokens itself. ``spread=False`` keeps the input's partitioning (required when the caller numbers
+    whole texts, so it adds special tokens itself. Sentences are those of the rules unless a
+    ``segmenter`` (a sentence model) is given. ``spread=False`` keeps the input's partitioning (required when the caller numbers
     chunks per range partition)."""
     from ..session import ensure_parallelism
 
     src = df.select(doc_col, text_col)
     src = ensure_parallelism(src) if spread else src
-    arr = with_chunk_array(src, max_tokens, text_col, "_chunks", per_unit_overhead, clean, counter, batch_counter)
+    arr = with_chunk_array(src, max_tokens, text_col, "_chunks", per_unit_overhead, clean, counter, batch_counter, segmenter)
     # explode_outer + filter instead of explode: the optimizer would otherwise infer a
     # "size(chunks) > 0" filter below the projections and evaluate the whole split twice.
     exploded = arr.select(F.col(doc_col), F.explode_outer("_chunks").alias("_c")).where(F.col("_c").isNotNull())
@@ -318,6 +383,7 @@ def chunk_corpus(
     num_partitions: int | None = None,
     counter: Counter | None = None,
     batch_counter: BatchCounter | None = None,
+    segmenter: Segmenter | None = None,
 ) -> DataFrame:
     """Documents -> chunk rows ``text, source_document, chunk_id, token_count_estimate``.
 
@@ -330,12 +396,12 @@ def chunk_corpus(
 
     if running_ids:
         ranged = range_partition(docs.select(doc_col, text_col), [doc_col], num_partitions)
-        chunks = chunk_documents(ranged, max_tokens, text_col, doc_col, per_unit_overhead, spread=False, counter=counter, batch_counter=batch_counter)
+        chunks = chunk_documents(ranged, max_tokens, text_col, doc_col, per_unit_overhead, spread=False, counter=counter, batch_counter=batch_counter, segmenter=segmenter)
         numbered = number_ranged(chunks, [doc_col, "seq"], "_n")
         cid = F.concat(F.lit("chunk_"), F.col("_n").cast("string"))
         out = numbered.withColumn("chunk_id", cid)
     else:
-        chunks = chunk_documents(docs, max_tokens, text_col, doc_col, per_unit_overhead, counter=counter, batch_counter=batch_counter)
+        chunks = chunk_documents(docs, max_tokens, text_col, doc_col, per_unit_overhead, counter=counter, batch_counter=batch_counter, segmenter=segmenter)
         out = chunks.withColumn("chunk_id", stable_chunk_id(doc_col))
     return out.select(
         "text", F.col(doc_col).alias("source_document"), "chunk_id", F.col("token_count_estimate").cast("int")

@@ -20,8 +20,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.readers import path_exists, read_processed_ids
-from ..sources.sinks import append_jsonl
+from ..functions.scores import filter_by_reward, score_pairs
+from ..sources.readers import OUTPUT_SCHEMA, path_exists, read_processed_ids
+from ..sources.sinks import append_jsonl, write_jsonl
 from . import synth
 from .resume import count_skipped, resume_pending
 
@@ -154,3 +155,19 @@ def generate_instructions(
     )
     metrics = synth.generation_metrics(outcomes, "outcome", "n_kept")
     return GenerationRun(outcomes, metrics.withColumn("skipped_lines", F.lit(n_skipped).cast("long")))
+
+
+def filter_instruction_file(
+    spark: SparkSession, input_path: str, output_path: str, scorer: Scorer, threshold: float = 0.5, native_scorer: bool = False, schema: str = OUTPUT_SCHEMA
+) -> DataFrame:
+    """Score the instruction rows of JSON lines by (instruction, output) and write those that
+    reach ``threshold`` with their ``reward_score``; the rows written. Lines that are no JSON
+    object go, and rows whose scoring fails; a missing instruction or output is empty."""
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(input_path)
+    asked = rows.select("*", F.coalesce("instruction", F.lit("")).alias("_q"), F.coalesce("output", F.lit("")).alias("_a"))
+    score = scorer(F.col("_q"), F.col("_a")) if native_scorer else (lambda questions, answers, contexts: scorer(questions, answers))
+    scored = score_pairs(asked, score, "_q", "_a", out_col="_score").where(~F.col("eval_failed"))
+    kept = filter_by_reward(scored.drop("reward_score"), "_score", threshold)
+    columns = [*[c for c in rows.columns if c != "reward_score"], "reward_score"]
+    write_jsonl(kept.select(columns), output_path)
+    return spark.read.schema(kept.select(columns).schema).json(output_path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -202,6 +204,37 @@ def q_chunk_by_pieces(spark, sf_dir):
     return C.chunk_documents(_docs(spark, sf_dir), PIECES_MAX, counter=pieces)
 
 
+SEGMENTS_MAX = 24
+
+
+def clauses(paragraphs: list[str]) -> list[list[str]]:
+    """Stand-in sentence model: cuts at commas and semicolons and fails on digits."""
+    if any(c in "0123456789" for p in paragraphs for c in p):
+        raise ValueError("digits")
+    return [re.split("[,;]", p) for p in paragraphs]
+
+
+CLAUSES_SQL = (
+    f"flatten(list_transform({S.paragraphs(S.clean_text('text'))}, lambda pp: CASE WHEN regexp_matches(pp, '[0-9]') THEN [{S.py_strip('pp')}] "
+    f"ELSE list_filter(list_transform(regexp_split_to_array(pp, '[,;]'), lambda s: {S.py_strip('s')}), lambda s: s <> '') END))"
+)
+
+
+@register(
+    "chunk_by_segmenter",
+    f"""
+    WITH RECURSIVE
+    doc_parts AS (SELECT doc_id, {S.parts(CLAUSES_SQL, SEGMENTS_MAX)} AS pl FROM documents),
+    flat AS (SELECT doc_id, pos, p.text AS text, p.n AS n FROM (SELECT doc_id, unnest(pl) AS p, generate_subscripts(pl, 1) AS pos FROM doc_parts)),
+    {S.pack_cte('flat', 'doc_id', SEGMENTS_MAX).strip()}
+    SELECT doc_id AS source_document, CAST(chunk_no AS INTEGER) AS seq, string_agg(text, chr(10) ORDER BY pos) AS text,
+           CAST(sum(f.n) AS INTEGER) AS token_count_estimate
+    FROM flat f JOIN packed USING (doc_id, pos) GROUP BY doc_id, chunk_no""",
+)
+def q_chunk_by_segmenter(spark, sf_dir):
+    return C.chunk_documents(_docs(spark, sf_dir), SEGMENTS_MAX, segmenter=clauses)
+
+
 @register("chunk_by_tokenizer")
 def q_chunk_by_tokenizer(spark, sf_dir):
     """Chunks bounded by a model tokenizer's own counts of whole texts (tested against a

@@ -213,10 +213,21 @@ def q_reward_summary(spark, sf_dir):
     ).replace("SELECT conv_id, pair_no, (", "SELECT instruction, output, ("),
 )
 def q_filter_instruction_file(spark, sf_dir):
-    # Instruction JSONL rows (instruction, input, output) scored and filtered; here the
-    # rows come from the conversation pairs.
-    p = _scored_pairs(spark, sf_dir).select("instruction", F.lit("").alias("input"), "output", "score")
-    return SC.filter_by_reward(p, "score", THRESHOLD).select("instruction", "output", "reward_score")
+    """The conversation pairs as an instruction file, with a line that is no JSON beside
+    every row; scored, filtered, written and read back."""
+    from ..operators.generate import filter_instruction_file
+    from ..operators.reshape import pair_turns
+    from ..sources import sinks as SK
+    from .q_io import scratch
+
+    base = scratch(spark, "instructions")
+    rows = pair_turns(table(spark, sf_dir, "conversations")).select("instruction", F.lit("").alias("input"), "output")
+    SK.write_jsonl(rows, f"{base}/in")
+    rows.select(F.concat(F.lit('{"instruction": '), "output").alias("value")).write.mode("append").text(f"{base}/in")
+    kept = filter_instruction_file(
+        spark, f"{base}/in", f"{base}/out", lambda q, a: R.reward_composite(a, question=q, language="english"), THRESHOLD, native_scorer=True
+    )
+    return kept.select("instruction", "output", "reward_score")
 
 
 @register(

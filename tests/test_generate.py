@@ -184,6 +184,41 @@ def test_expression_counter(spark):
     assert by == {k: c for k, u in units.items() if (c := packed(u, 10, count))}
 
 
+def model_of_sentences(texts):
+    if any("!" in t for t in texts):
+        raise RuntimeError("segmenter down")
+    return [t.split("|") for t in texts]
+
+
+def test_segmenter_and_its_failures(spark):
+    """Units of a sentence model; a paragraph that it fails on stays whole; units above the
+    limit are given to it again, and only then cut into words."""
+    rows = [(1, "a b | c d\n \nfails! here | x\n|  |\nlong " + "w " * 9 + "| tail"), (2, None), (3, " \n ")]
+    df = spark.createDataFrame(rows, "source_document int, text string")
+    got = C.chunk_documents(df, 4, segmenter=model_of_sentences).orderBy("seq").collect()
+    assert [(r.text, r.token_count_estimate) for r in got] == [
+        ("a b\nc d", 4), ("fails! here | x", 4), ("long w w w", 4), ("w w w w", 4), ("w w\ntail", 3),
+    ]
+    counted = C.chunk_documents(df, 8, segmenter=model_of_sentences, counter=lambda c: T.count_words(c) * 2).orderBy("seq").collect()
+    assert [(r.text, r.token_count_estimate // 2) for r in counted] == [(r.text, r.token_count_estimate) for r in got]
+
+
+def test_segments_of_an_oversize_unit_are_not_stripped():
+    assert C.segmented(lambda ts: [t.split(";") for t in ts], ["a; b", "c"]) == [["a", " b"], ["c"]]
+    assert C.segmented(lambda ts: [[]], ["a", "b"]) == [[], []]
+    assert C.segmented(lambda ts: [], ["a"]) == [["a"]] and C.segmented(None, []) == []
+
+
+def test_filter_instruction_file(spark, tmp_path):
+    lines = [
+        '{"instruction": "q1", "input": "", "output": "long enough", "reward_score": 0.9}', '{"instruction": "q2", "output": "short"}', "not json",
+        '{"output": "no instruction"}', '{"instruction": "q4"}', '{"instruction": "q5", "output": "broken answer"}', "",
+    ]
+    (tmp_path / "in.jsonl").write_text("\n".join(lines))
+    rows = G.filter_instruction_file(spark, str(tmp_path / "in.jsonl"), str(tmp_path / "out"), length_scorer, 0.5).collect()
+    assert sorted((r.instruction or "", r.output, r.reward_score) for r in rows) == [("", "no instruction", 1.0), ("q1", "long enough", 11 / 12)]
+
+
 def test_tokenizer_counter_on_documents(spark):
     import public_tokenizers
 
