@@ -96,16 +96,25 @@ class BpeModel:
 
 
 def _pair_counts(words: DataFrame) -> DataFrame:
-    """``(l, r, cnt, vol)``: the pair's count and, roughly, the symbols of its words."""
-    w = words.select("ids", "freq")
-    n = F.size("ids")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))),
-        lambda i: F.struct(F.get("ids", i).alias("l"), F.get("ids", i + 1).alias("r")),
-    )
-    exploded = w.where(n >= 2).select(F.explode(pairs).alias("p"), "freq", F.least(n, F.lit(LONG_WORD)).alias("n"))
-    by = exploded.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r"))
-    return by.agg(F.sum("freq").alias("cnt"), F.sum("n").alias("vol"))
+    """``(l, r, cnt, vol)``: the pair's count and, roughly, the symbols of its words. Pairs
+    are counted in numpy by batch of words, then added up."""
+
+    def count(batches):
+        for b in batches:
+            freq, ids = b.column(0).to_numpy(), b.column(1)
+            flat, at = ids.flatten().to_numpy().astype(np.int64), ids.offsets.to_numpy().astype(np.int64)
+            size = np.diff(at)
+            row = np.repeat(np.arange(len(size)), size)
+            inner = np.flatnonzero(row[1:] == row[:-1])
+            pairs, which = np.unique(flat[inner] << 32 | flat[inner + 1], return_inverse=True)
+            cnt, vol = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+            np.add.at(cnt, which, freq[row[inner]])
+            np.add.at(vol, which, np.minimum(size, LONG_WORD)[row[inner]])
+            columns = [(pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), cnt, vol]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["l", "r", "cnt", "vol"])
+
+    part = words.select("freq", "ids").mapInArrow(count, "l int, r int, cnt long, vol long")
+    return part.groupBy("l", "r").agg(F.sum("cnt").alias("cnt"), F.sum("vol").alias("vol"))
 
 
 def _neighbour_stats(words: DataFrame, cands: DataFrame) -> tuple[dict, dict]:
