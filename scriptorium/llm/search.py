@@ -31,6 +31,7 @@ of all its rows. An empty table gives no rows. Other columns are not read."""
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import defaultdict
 
@@ -66,8 +67,8 @@ class Builder:
     """Collects documents and makes a shard's row of them."""
 
     def __init__(self):
-        self.vocab: defaultdict[str, int] = defaultdict()
-        self.vocab.default_factory = self.vocab.__len__  # a new term gets the next number
+        # A new term gets the next number; nothing here refers to itself, so a shard's terms go with it.
+        self.vocab: defaultdict[str, int] = defaultdict(itertools.count().__next__)
         self.parts, self.keys, self.hashes, self.words = [], [], [], 0
 
     def add(self, key: int | None, text_hash: int, text: str | None) -> None:
@@ -253,12 +254,13 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
     hits = None
     for i in range(blocks):
         # At most about BLOCK_TERMS terms; queries are dealt to blocks by a hash.
-        rows = weighted.where(F.col("block") == i).select("query_id", "term", "idf").orderBy("query_id").toPandas()
-        # By hashing: an array of fixed-width strings would be as wide as the longest term.
-        terms, names = pd.factorize(rows["term"])
-        ids, starts = np.unique(rows["query_id"].to_numpy(np.int64), return_index=True)
-        block = (ids, np.append(starts, len(rows)), list(names), terms.astype(np.int32), rows["idf"].to_numpy(float))
-        del rows
+        rows = weighted.where(F.col("block") == i).select("query_id", "term", "idf").orderBy("query_id").toArrow()
+        # Terms as numbers: the strings of equal terms are one.
+        coded = rows.column("term").combine_chunks().dictionary_encode()
+        terms, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        ids, starts = np.unique(rows.column("query_id").to_numpy(), return_index=True)
+        block = (ids, np.append(starts, rows.num_rows), names, terms.astype(np.int32), rows.column("idf").to_numpy())
+        del rows, coded
         sent = spark.sparkContext.broadcast(block)
         del block
         found = run(sent)
