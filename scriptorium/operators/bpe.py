@@ -38,7 +38,6 @@ import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -46,6 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as PT
 
 from ..functions import text as T
+from ..functions.batches import bytes_before, slices
 from ..session import ensure_checkpoint_dir
 
 DEFAULT_SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
@@ -503,7 +503,7 @@ def merges_table(spark, model: BpeModel) -> DataFrame:
 # --- encoding ---------------------------------------------------------------------------
 
 WORDS_KEPT = 200_000
-_WORDS: dict[str, dict[str, list[str]]] = {}
+_WORDS: dict[str, dict[str, bytes]] = {}
 
 
 def _encode_word(word: str, tok2id: dict[str, int], ranks: dict[tuple[str, str], int]) -> list[str]:
@@ -535,49 +535,58 @@ def _encode_word(word: str, tok2id: dict[str, int], ranks: dict[tuple[str, str],
     return [s for s in alive if s is not None]
 
 
+def _ids_of(rows: pa.ListArray, kept: dict[str, bytes], tok2id: dict[str, int], ranks: dict[tuple[str, str], int]) -> pa.ListArray:
+    """The ids of rows of words; ``kept`` has those of words met before."""
+    # A token has a character at least, so the ids are no more than the bytes of the words.
+    ids, at = np.empty(bytes_before(rows)[-1], np.int32), [0]
+    for some in slices(rows):
+        for words in some.to_pylist():
+            end = at[-1]
+            for w in words or ():
+                got = kept.get(w)
+                if got is None:
+                    got = np.array([tok2id[x] for x in _encode_word(w, tok2id, ranks)], np.int32).tobytes()
+                    if len(kept) >= WORDS_KEPT:
+                        kept.clear()
+                    if len(w) <= LONG_WORD:
+                        kept[w] = got
+                n = len(got) >> 2
+                ids[end : end + n] = np.frombuffer(got, np.int32)
+                end += n
+            at.append(end)
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids[: at[-1]]))
+
+
 def encode_texts(df: DataFrame, model: BpeModel, text_col: str = "text", lower: bool = True) -> DataFrame:
     """Adds ``tokens ARRAY<STRING>`` and ``ids ARRAY<INT>`` (no truncation/padding).
 
     Lower-casing and pre-tokenizing are the same Spark expressions as in training; only the
-    merging of a word runs in Python, over Arrow batches. The model (bounded by
-    ``vocab_size``) is broadcast; a worker keeps the words it has merged between batches and
-    tasks (at most ``WORDS_KEPT``). Nothing is shuffled: joining distinct words back would
-    move every token of the corpus."""
-    import uuid as _uuid
-
+    merging of a word runs in Python, over Arrow batches (``spark.sql.execution.arrow``'s rows
+    and bytes). The model (bounded by ``vocab_size``) is broadcast; a worker keeps the ids of
+    the words it has merged between batches and tasks (at most ``WORDS_KEPT``, none longer than
+    ``LONG_WORD``), makes Python strings of the words of ``SLICE_BYTES`` at a time and writes the
+    ids to one array. The tokens are looked up by the ids, and only if asked for. Nothing is
+    shuffled: joining distinct words back would move every token of the corpus."""
     tok2id = model.token_to_id
     ranks: dict[tuple[str, str], int] = {}
     for i, pair in enumerate(model.merges):
         ranks.setdefault(pair, i)
-    spark = df.sparkSession
-    name = _uuid.uuid4().hex
-    bc = spark.sparkContext.broadcast((tok2id, ranks))
-    rtype = PT.StructType(
-        [PT.StructField("tokens", PT.ArrayType(PT.StringType())), PT.StructField("ids", PT.ArrayType(PT.IntegerType()))]
-    )
+    name = uuid.uuid4().hex
+    bc = df.sparkSession.sparkContext.broadcast((tok2id, ranks, model.vocab))
 
-    @F.pandas_udf(rtype)
-    def enc(rows: pd.Series) -> pd.DataFrame:
-        t2i, rk = bc.value
-        kept = _WORDS.setdefault(name, {})
-        if len(kept) > WORDS_KEPT:
-            kept.clear()
-        toks_out, ids_out = [], []
-        for words in rows:
-            toks: list[str] = []
-            for w in words if words is not None else ():
-                got = kept.get(w)
-                if got is None:
-                    got = kept[w] = _encode_word(w, t2i, rk)
-                toks.extend(got)
-            toks_out.append(toks)
-            ids_out.append([t2i[x] for x in toks])
-        return pd.DataFrame({"tokens": toks_out, "ids": ids_out})
+    @F.arrow_udf(PT.ArrayType(PT.IntegerType()))
+    def enc(rows: pa.Array) -> pa.Array:
+        return _ids_of(rows, _WORDS.setdefault(name, {}), *bc.value[:2])
+
+    @F.arrow_udf(PT.ArrayType(PT.StringType()))
+    def tokens(rows: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(rows.offsets, pa.array(bc.value[2]).take(rows.values))
 
     from ..session import ensure_parallelism
 
     words = T.pretokenize(normalize_text(text_col) if lower else F.col(text_col))
-    return ensure_parallelism(df).withColumn("_enc", enc(words)).select("*", "_enc.*").drop("_enc")
+    encoded = ensure_parallelism(df).withColumn("_ids", enc(words))
+    return encoded.select("*", tokens("_ids").alias("tokens"), F.col("_ids").alias("ids")).drop("_ids")
 
 
 def save_model(spark, model: BpeModel, path: str) -> None:

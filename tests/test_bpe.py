@@ -142,3 +142,19 @@ def test_rounds_of_any_size_give_one_vocabulary(spark, monkeypatch, symbols, few
     texts = [*CORPUS, "bc " * 9 + "abc " * 8 + "ab " * 20 + "abcd " * 3 + "xab " * 4]
     _, want = _library(texts, ["[PAD]"], 500, 1)
     assert B.train_bpe(_texts(spark, texts), vocab_size=500, min_frequency=1, special_tokens=["[PAD]"]).vocab == want
+
+
+def test_a_worker_keeps_few_words_and_slices_are_bounded():
+    """More words in one batch than a worker keeps, and rows larger than a slice."""
+    import pyarrow as pa
+
+    from scriptorium.functions import batches as BT
+
+    words = [f"{i:x}" for i in range(B.WORDS_KEPT + 50_000)] + ["f" * 5000]
+    t2i = {c: i for i, c in enumerate("0123456789abcdef")}
+    rows, kept = pa.array([words[:10], None, [], words]).slice(1), {}
+    got = B._ids_of(rows, kept, t2i, {}).to_pylist()
+    assert got == [[], [], [t2i[c] for w in words for c in w]] and len(kept) <= B.WORDS_KEPT and words[-1] not in kept
+    rows = pa.array([["x" * (BT.SLICE_BYTES // 3)] * n for n in (1, 2, 1, 5, 0, 1)])
+    assert [len(x) for x in BT.slices(rows)] == [2, 1, 1, 2] and pa.concat_arrays(BT.slices(rows)) == rows
+    assert list(BT.slices(rows.slice(0, 0))) == []
