@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 _LOADED: dict[str, object] = {}
+TEXTS_TOGETHER = 1000
 
 
 def tokenizer_counter(path: str, add_special_tokens: bool = True) -> Callable[[list[str]], list[int]]:
@@ -19,6 +20,8 @@ def tokenizer_counter(path: str, add_special_tokens: bool = True) -> Callable[[l
             from tokenizers import Tokenizer
 
             _LOADED[path] = Tokenizer.from_file(path)
-        return [len(e.ids) for e in _LOADED[path].encode_batch(texts, add_special_tokens=add_special_tokens)]
+        # An encoding holds far more than the ids, so few texts are encoded at a time.
+        some = (texts[i : i + TEXTS_TOGETHER] for i in range(0, len(texts), TEXTS_TOGETHER))
+        return [len(e.ids) for ts in some for e in _LOADED[path].encode_batch(ts, add_special_tokens=add_special_tokens)]
 
     return count

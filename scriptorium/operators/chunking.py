@@ -15,10 +15,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.batches import cut
 
 PART_TYPE = "struct<text:string,n:int>"
 SPAN_TYPE = "array<struct<s:int,len:int,tok:int>>"
@@ -61,23 +63,20 @@ def segmented(segmenter: Segmenter, texts: list[str]) -> list[list[str]]:
 
 def with_units_by(df: DataFrame, paragraphs_col: str, segmenter: Segmenter, out_col: str = "_units") -> DataFrame:
     """Replaces the paragraphs by their sentences, stripped, without blank ones; the sentence
-    model is called on the executors, once for the paragraphs of a batch of documents."""
-    import pandas as pd
-
+    model is called on the executors, once for the paragraphs of some documents of a batch
+    (see ``functions.batches``)."""
     keep = [f for f in df.schema.fields if f.name != paragraphs_col]
     names = [f.name for f in keep]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep)
 
     def run(batches):
-        for pdf in batches:
-            docs = [[] if p is None else list(p) for p in pdf[paragraphs_col]]
+        for b in (x for whole in batches for x in cut(whole, paragraphs_col)):
+            docs = [p or [] for p in b[paragraphs_col].to_pylist()]
             sentences = iter(segmented(segmenter, [p for d in docs for p in d]))
             units = [[s.strip() for _ in d for s in next(sentences) if s.strip()] for d in docs]
-            out = pdf[names].copy()
-            out[out_col] = pd.Series(units, index=out.index, dtype="object")
-            yield out
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(units, pa.list_(pa.string()))], names=[*names, out_col])
 
-    return df.mapInPandas(run, f"{schema}`{out_col}` array<string>")
+    return df.mapInArrow(run, f"{schema}`{out_col}` array<string>")
 
 
 def count_units(units: Column) -> Column:
@@ -144,18 +143,16 @@ def with_parts_by(
     df: DataFrame, units_col: str, max_tokens: int, counter: BatchCounter, monotone: bool = True, out_col: str = "_parts", segmenter: Segmenter | None = None
 ) -> DataFrame:
     """Replaces the units by their parts (text, n) with a counter that is called on batches
-    of texts on the executors, e.g. a tokenizer: once for the units of a batch of documents,
-    then for the words of units above the limit. With a sentence model such a unit is cut
+    of texts on the executors, e.g. a tokenizer: once for the units of some documents of a
+    batch (see ``functions.batches``), then for the words of units above the limit. With a sentence model such a unit is cut
     into its sentences first (not stripped), and only those above the limit into words."""
-    import pandas as pd
-
     keep = [f for f in df.schema.fields if f.name != units_col]
     names = [f.name for f in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
 
     def run(batches):
-        for pdf in batches:
-            docs = [[] if u is None else list(u) for u in pdf[units_col]]
+        for b in (x for whole in batches for x in cut(whole, units_col)):
+            docs = [u or [] for u in b[units_col].to_pylist()]
             counts = iter(counter([u for d in docs for u in d]) if any(docs) else [])
             parts = []
             for units in docs:
@@ -169,11 +166,10 @@ def with_parts_by(
                     for x, size in zip(whole, counter(whole) if segmenter else [n], strict=True):
                         mine += [(x, size)] if size <= max_tokens else words_that_fit(x.split(), max_tokens, counter, monotone)
                 parts.append([{"text": t, "n": int(n)} for t, n in mine if n > 0])
-            out = pdf[names].copy()
-            out[out_col] = pd.Series(parts, index=out.index, dtype="object")
-            yield out
+            made = pa.array(parts, pa.list_(pa.struct([("text", pa.string()), ("n", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), made], names=[*names, out_col])
 
-    return df.mapInPandas(run, f"{schema}, `{out_col}` array<{PART_TYPE}>")
+    return df.mapInArrow(run, f"{schema}, `{out_col}` array<{PART_TYPE}>")
 
 
 def split_oversize_counted(counted: Column, max_tokens: int, per_unit_overhead: int = 0) -> Column:

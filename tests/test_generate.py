@@ -239,3 +239,14 @@ def test_statuses_of_one_call():
     assert SY.call_once(model, "Text:\n    limit\n") == ("rate_limited", None)
     assert SY.call_once(model, "Text:\n    fail\n") == ("error", None)
     assert SY.call_once(model, "") == ("missing_text", None)
+
+
+def test_models_get_a_bounded_part_of_a_batch(spark):
+    """Eight documents of a megabyte lie in one Arrow batch; a call gets fewer."""
+    from scriptorium.functions.batches import SLICE_BYTES
+
+    df = spark.range(0, 8, 1, 1).select("id", F.array(F.repeat(F.lit("w"), F.lit(1 << 20))).alias("ps"))
+    told = C.with_units_by(df, "ps", lambda ts: [[str(sum(map(len, ts)))] for _ in ts])
+    assert [int(r["_units"][0]) for r in told.collect()] == [SLICE_BYTES] * 8
+    parts = C.with_parts_by(df, "ps", 1 << 30, lambda ts: [sum(map(len, ts))] * len(ts)).select(F.col("_parts")[0]["n"].alias("n"))
+    assert [r.n for r in parts.collect()] == [SLICE_BYTES] * 8
