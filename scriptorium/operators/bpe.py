@@ -53,6 +53,7 @@ WORDS_PER_PARTITION = 500_000
 # What the driver holds in a round: pairs, and symbols of the words that hold them.
 MOST_PAIRS, MOST_SYMBOLS, FEW_PAIRS = 20_000, 2_000_000, 8
 LONG_WORD = 64
+PACKED_WORDS = 50_000
 
 
 def normalize_text(col: Column | str) -> Column:
@@ -197,16 +198,41 @@ def _rows_with(ids: pa.ListArray, keys: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _words_with(words: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
-    """The words that hold one of the pairs."""
+    """The words that hold one of the pairs, packed (the driver gets them): a row for those of
+    some batches, with the symbols they have."""
     keys = _pair_keys(pairs)
 
+    def packed(found):
+        words = pa.Table.from_batches(found).combine_chunks()
+        return pa.RecordBatch.from_arrays([pa.array([len(words["ids"].combine_chunks().flatten())]), pa.array([_packed(words)], pa.binary())], names=["symbols", "words"])
+
     def of(batches):
+        found, n = [], 0
         for b in batches:
             rows = _rows_with(b.column(1), keys)[2]
             if len(rows):
-                yield b.take(pa.array(rows))
+                found.append(b.take(pa.array(rows)))
+                n += len(rows)
+            if n >= PACKED_WORDS:
+                yield packed(found)
+                found, n = [], 0
+        if found:
+            yield packed(found)
 
-    return words.select("freq", "ids").mapInArrow(of, WORD_TYPE)
+    return words.select("freq", "ids").mapInArrow(of, "symbols long, words binary")
+
+
+def _packed(words: pa.Table) -> bytes:
+    """Frequencies and ids as a compressed Arrow stream."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, words.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(words)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(words: bytes) -> tuple[pa.ChunkedArray, pa.ChunkedArray]:
+    got = pa.ipc.open_stream(words).read_all()
+    return got["freq"], got["ids"]
 
 
 def _merge_ids(ids: list[int], rank: dict[tuple[int, int], int], merges: list[tuple[int, int, int]]) -> list[int]:
@@ -363,13 +389,14 @@ def _collected_round(words: DataFrame, top: list, first_new: int, min_count: int
     n = min(int(np.searchsorted(vol, MOST_SYMBOLS, side="right")), MOST_PAIRS)
     while n >= min(FEW_PAIRS, len(top)):
         found = _words_with(words, [(r["l"], r["r"]) for r in top[:n]]).persist(StorageLevel.MEMORY_AND_DISK)
-        symbols = found.agg(F.sum(F.size("ids"))).first()[0]
-        got = found.toArrow() if symbols <= MOST_SYMBOLS else None
+        symbols = found.agg(F.sum("symbols")).first()[0] or 0
+        got = [_unpacked(r["words"]) for r in found.select("words").toLocalIterator()] if symbols <= MOST_SYMBOLS else None
         found.unpersist()
         if got is not None:
             stop = (-top[n]["cnt"], top[n]["l"], top[n]["r"]) if n < len(top) else (1 - min_count, -1, -1)
             counts = {(r["l"], r["r"]): r["cnt"] for r in top[:n]}
-            return _merge_run(got["freq"].to_pylist(), got["ids"].to_pylist(), counts, stop, first_new, accept)
+            freqs, ids = ([x for one in got for x in one[k].to_pylist()] for k in (0, 1))
+            return _merge_run(freqs, ids, counts, stop, first_new, accept)
         n //= 2
     return None
 
@@ -447,7 +474,8 @@ def train_bpe(
 
     while len(tok2id) < vocab_size:
         counts = _pair_counts(words).where(F.col("cnt") >= min_count)
-        top = counts.orderBy(F.col("cnt").desc(), "l", "r").limit(MOST_PAIRS + 1).collect()
+        # As Arrow: ``collect`` would send the first rows of every partition to the driver.
+        top = counts.orderBy(F.col("cnt").desc(), "l", "r").limit(MOST_PAIRS + 1).toArrow().to_pylist()
         if not top:
             break
         accepted = _collected_round(words, top, len(vocab), min_count, accept)

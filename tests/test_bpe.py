@@ -158,3 +158,12 @@ def test_a_worker_keeps_few_words_and_slices_are_bounded():
     rows = pa.array([["x" * (BT.SLICE_BYTES // 3)] * n for n in (1, 2, 1, 5, 0, 1)])
     assert [len(x) for x in BT.slices(rows)] == [2, 1, 1, 2] and pa.concat_arrays(BT.slices(rows)) == rows
     assert list(BT.slices(rows.slice(0, 0))) == []
+
+
+def test_the_driver_gets_packed_words(spark):
+    rows = [(i % 7 + 1, [i % 50, i % 3, 9, 9]) for i in range(5000)]
+    words = spark.createDataFrame(rows, B.WORD_TYPE).coalesce(1)
+    found = B._words_with(words, [(9, 9)]).collect()
+    got = [(f, ids) for r in found for c in [B._unpacked(r["words"])] for f, ids in zip(c[0].to_pylist(), c[1].to_pylist())]
+    assert sorted(got) == sorted((f, list(x)) for f, x in rows) and sum(r.symbols for r in found) == 20_000
+    assert sum(len(r["words"]) for r in found) < 20_000
