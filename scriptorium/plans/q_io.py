@@ -31,6 +31,45 @@ def scratch(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
 
 
+def _open_folder(root: str):
+    """(file system, path in it) of a folder, as a task reaches it."""
+    from pyarrow import fs
+
+    if root.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + root[len("file:"):].lstrip("/")
+    return (fs.LocalFileSystem(), root) if "://" not in root else fs.FileSystem.from_uri(root)
+
+
+FOLDERS = 64
+
+
+def _write_files(df, keys: list[str], root: str) -> None:
+    """One ``<key>=<value>.txt`` for each key that a task has, with the rows' last column line
+    by line, dealt over ``FOLDERS`` folders a task. Spark's writer makes a folder and a file
+    for each, starts a program for the permissions of every one and moves them one by one on
+    the driver. A task that is tried again replaces its files."""
+
+    def write(rows):
+        from itertools import groupby
+
+        from pyspark import TaskContext
+
+        where, base = _open_folder(root)
+        part, made = TaskContext.get().partitionId(), set()
+        for n, (key, group) in enumerate(groupby(rows, key=lambda r: r[:-1])):
+            folder = f"{base}/{part:05d}-{n % FOLDERS:02d}"
+            if folder not in made:
+                where.create_dir(folder, recursive=True)
+                made.add(folder)
+            name = ",".join(f"{k}={v}" for k, v in zip(keys, key, strict=True))
+            with where.open_output_stream(f"{folder}/{name}.txt") as f:
+                for r in group:
+                    f.write(((r[-1] or "") + "\n").encode("utf-8"))
+        yield part
+
+    df.sortWithinPartitions(*keys).rdd.mapPartitions(write).count()
+
+
 def _chunks(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_document"), "text")
     c = C.chunk_documents(d, 128)
@@ -49,8 +88,8 @@ def _chunks(spark, sf_dir):
 def q_read_text_folder(spark, sf_dir):
     path = scratch(spark, "txt")
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    d.write.partitionBy("doc_id").text(path)
-    files = RD.read_text_folder(spark, f"{path}/doc_id=*")
+    _write_files(d, ["doc_id"], path)
+    files = RD.read_text_folder(spark, f"{path}/*")
     doc = F.regexp_extract("source_document", r"doc_id=(\d+)", 1).cast("bigint")
     from ..functions import text as T
 
@@ -88,8 +127,8 @@ def q_read_json_array_file(spark, sf_dir):
     path = scratch(spark, "arrayfile")
     c = table(spark, sf_dir, "conversations")
     body = F.to_json(F.array(F.struct("conv_id", "turn", "role", "text")))
-    c.select("conv_id", "turn", body.alias("value")).write.partitionBy("conv_id", "turn").text(path)
-    rows = RD.read_json_array_file(spark, f"{path}/conv_id=*/turn=*", RD.CONVERSATION_SCHEMA)
+    _write_files(c.select("conv_id", "turn", body.alias("value")), ["conv_id", "turn"], path)
+    rows = RD.read_json_array_file(spark, f"{path}/*", RD.CONVERSATION_SCHEMA)
     return rows.select("conv_id", "turn", "role", "text")
 
 
@@ -181,12 +220,7 @@ class _FileStore:
     def __call__(self):
         import json
 
-        from pyarrow import fs
-
-        if self.root.startswith("file:"):
-            where, root = fs.LocalFileSystem(), "/" + self.root[len("file:"):].lstrip("/")
-        else:
-            where, root = (fs.LocalFileSystem(), self.root) if "://" not in self.root else fs.FileSystem.from_uri(self.root)
+        where, root = _open_folder(self.root)
         where.create_dir(root, recursive=True)
 
         def insert_many(batch, key):
