@@ -4,12 +4,14 @@ instruction rows, run counters and resume, over chunks of ``documents``."""
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import chunking as C
 from ..operators import resume as RES
 from ..operators import synth as SY
+from ..session import ensure_checkpoint_dir
 from . import sqlfrag as S
 from .registry import register, table
 from .q_chunking import chunks_cte
@@ -125,7 +127,12 @@ H_SQL = "substr(md5(chunk_id), 1, 1)"
 
 
 def _recorded(spark, sf_dir):
-    c = _chunks(spark, sf_dir)
+    # Written once: the recorded table is made from the chunks and joined to them, and an
+    # operator may read the result twice.
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch/recorded-{uuid.uuid4().hex}"
+    made = _chunks(spark, sf_dir)
+    made.write.parquet(path)
+    c = spark.read.schema(made.schema).parquet(path)
     h = F.substr(F.md5("chunk_id"), F.lit(1), F.lit(1))
     pair_json = F.to_json(
         F.array(

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from scriptorium.plans import q_io
+from scriptorium.plans import q_io, q_synth
 from scriptorium.sources import readers as RD
 
+from conftest import SF001
+
 
 def test_files_by_key_in_few_folders(spark, tmp_path):
     n = 3 * q_io.FOLDERS
@@ -17,3 +19,8 @@ def test_files_by_key_in_few_folders(spark, tmp_path):
     assert sorted(got.pop("doc_id=0.txt").split()) == ["t0", f"t{n - 1}"]
     want.pop("doc_id=0.txt")
     assert got == want
+
+
+def test_recorded_completions_read_chunks_written_once(spark):
+    files = q_synth._recorded(spark, SF001).inputFiles()
+    assert files and all("/recorded-" in f for f in files)
