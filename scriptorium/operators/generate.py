@@ -121,8 +121,8 @@ def generate_instructions(
     threshold: float = 0.5,
 ) -> GenerationRun:
     """Run once over ``chunks`` (line_number, text, source_document, chunk_id) and append to
-    ``output_dir``. Raw responses and scored pairs are kept under ``work_dir``, a folder of
-    this run's own, so that neither is made twice, whatever is lost or asked again."""
+    ``output_dir``. Raw responses and scored pairs are kept under ``work_dir`` (with the first
+    ``synth.PREVIEW`` characters of their texts), a folder of this run's own, so that neither is made twice, whatever is lost or asked again."""
     base = f"{work_dir.rstrip('/')}/run-{uuid.uuid4().hex}"
     offered = chunks.select("line_number", "text", F.col("source_document").cast("string").alias("source_document"), "chunk_id")
     n_skipped = 0
@@ -130,10 +130,14 @@ def generate_instructions(
         done = read_processed_ids(spark, output_dir)
         n_skipped = count_skipped(offered, done).first()[0]  # before this run's rows are there
         offered = resume_pending(offered, done)
+    # Callers get the texts; the prompts, which hold them again, are built where they are sent.
+    offered = offered.repartition(parallelism) if parallelism > 1 else offered
     prompts = offered.withColumn("prompt", synth.build_prompt(language, pairs_per_chunk, F.col("text")))
     prompts = prompts.withColumn("prompt", F.when(F.col("text") != "", F.col("prompt")))
+    # After the call only the preview is asked for.
+    prompts = prompts.withColumn("text", F.left("text", F.lit(synth.PREVIEW)))
     if parallelism > 1:
-        called = synth.map_completions(prompts, model_fn, "prompt", parallelism)
+        called = synth.map_completions(prompts, model_fn, "prompt")
     else:
         called = call_in_order(prompts, model_fn, "line_number")
     raw = synth.stored_completions(called, f"{base}/responses")
@@ -144,6 +148,7 @@ def generate_instructions(
     else:
         scored = with_scored_pairs(parsed, "qa_pairs", scorer, threshold, native_scorer)
     path = f"{base}/pairs"
+    scored = scored.drop("response")  # stored already
     scored.write.parquet(path)
     scored = spark.read.schema(scored.schema).parquet(path)
     append_jsonl(synth.to_instruction_rows(scored, "kept_pairs", score_col="reward_score").drop("pair_no"), output_dir)

@@ -197,7 +197,10 @@ def classify_call_result(text: Column, status: Column, pairs: Column) -> Column:
     )
 
 
-def preview(text: Column, n: int = 200) -> Column:
+PREVIEW = 200
+
+
+def preview(text: Column, n: int = PREVIEW) -> Column:
     """First ``n`` characters followed by ``...`` (always appended)."""
     return F.concat(F.left(F.coalesce(text, F.lit("")), F.lit(n)), F.lit("..."))
 

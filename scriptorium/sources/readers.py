@@ -51,7 +51,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = lines.groupBy("source_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     before = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     from_ = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1
-    numbered = lines.join(splits.select("source_file", "_block", from_.alias("_from")), ["source_file", "_block"])
+    # A row for each split, so the lines themselves are not shuffled.
+    starts = F.broadcast(splits.select("source_file", "_block", from_.alias("_from")))
+    numbered = lines.join(starts, ["source_file", "_block"])
     return numbered.select("value", "source_file", (F.col("_id") + F.col("_from")).alias("line_number"))
 
 

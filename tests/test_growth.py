@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from scriptorium.operators import generate as G
 from scriptorium.plans import q_io, q_synth
 from scriptorium.sources import readers as RD
 
@@ -24,3 +25,21 @@ def test_files_by_key_in_few_folders(spark, tmp_path):
 def test_recorded_completions_read_chunks_written_once(spark):
     files = q_synth._recorded(spark, SF001).inputFiles()
     assert files and all("/recorded-" in f for f in files)
+
+
+def test_a_run_keeps_no_text_twice(spark, tmp_path):
+    text = "word " * 100
+    chunks = spark.createDataFrame([(1, text, "d", "c")], "line_number long, text string, source_document string, chunk_id string")
+    seen = F.regexp_count("response", F.lit("word"))
+    G.generate_instructions(spark, chunks, f"{tmp_path}/out", f"{tmp_path}/work", lambda p: '[{"question": "%d", "answer": "a"}]' % p.count("word"), "english", 2, 3)
+    raw = spark.read.json(f"{tmp_path}/work/*/responses").select(F.length("text").alias("n"), seen.alias("k")).collect()
+    assert [tuple(r) for r in raw] == [(200, 0)]
+    assert "response" not in spark.read.parquet(f"{tmp_path}/work/*/pairs").columns
+    row = spark.read.schema(RD.OUTPUT_SCHEMA).json(f"{tmp_path}/out").first()
+    assert row.instruction == "100" and row.source_document_info.original_text_preview == text[:200] + "..."
+
+
+def test_line_numbers_do_not_shuffle_lines(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\ny\n")
+    plan = RD.read_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
