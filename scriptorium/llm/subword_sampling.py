@@ -35,7 +35,7 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -43,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .search import _ranges as ranges
 from .token_files import batches_of
 
@@ -50,10 +51,12 @@ SPACE = "▁"
 WORDS_KEPT = 400_000
 _LOW64 = (1 << 64) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0xDA942042E4DD58B5)
 SAMPLES = "doc_id long, sample int, n_tokens long, ids_crc32 long, log_prob double, log_inclusion double, decodes boolean"
 
 
 def _pairs(chars) -> np.ndarray:
+    """Bucket of each two characters (whole numbers of 64 bits)."""
     return ((chars[0] * np.uint64(0x1F3D5B79) + chars[1]) * _MIX) >> np.uint64(42)
 
 
@@ -96,26 +99,33 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.room = [np.zeros(1 << 16, t) for t in (np.int64, np.float64, np.float64, np.int8, np.int32, np.float64)]
+        self.at: dict[bytes, int] = {}
+        self.room = [np.zeros(1 << 16, t) for t in (np.int64, np.float64, np.float64, np.int8, np.int32)]
         self.tables = tuple(x[:0] for x in self.room)
 
-    def units(self, text: str) -> list[str]:
-        """The text cut where no edge of its lattice reaches across."""
-        if not text:
-            return []
-        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        cuts = [0, *(np.flatnonzero(~self.joined[_pairs((chars[:-1], chars[1:]))]) + 1).tolist(), len(text)]
-        return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    def units(self, texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The texts cut where no edge of their lattices reaches across: (their characters end
+        to end in UTF-32, first character of each word, words of each text)."""
+        joined = "".join(texts).encode("utf-32-le", "surrogatepass")
+        chars = np.frombuffer(joined, "<u4")
+        apart = np.ones(len(chars), bool)
+        # Some characters at a time: the hashes stay in the cache.
+        for lo in range(0, len(chars) - 1, 1 << 14):
+            part = chars[lo : lo + (1 << 14) + 1].astype(np.uint64)
+            np.logical_not(self.joined[_pairs((part[:-1], part[1:]))], out=apart[lo + 1 : lo + len(part)])
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        apart[ends[ends < len(chars)]] = True
+        begins = np.flatnonzero(apart)
+        return joined, begins, np.diff(np.searchsorted(begins, ends), prepend=0)
 
     def edges(self, chars: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weight (-inf: no edge) and piece of the edges of lengths ``longest`` ... 1 that end
-        at each character of the words laid end to end."""
-        n = len(chars)
+        """Weight (-inf: no edge) and piece of the edges of lengths ``longest`` (or the longest
+        word's) ... 1 that end at each character of the words laid end to end."""
+        n, longest = len(chars), min(self.longest, int(sizes.max()))
         inside = np.arange(n) - np.repeat(begins, sizes)
-        weight, piece = np.full((n, self.longest), -np.inf), np.zeros((n, self.longest), np.int64)
+        weight, piece = np.full((n, longest), -np.inf), np.zeros((n, longest), np.int32)
         run = np.zeros(n, np.uint64)
-        for length in range(1, self.longest + 1):
+        for length in range(1, longest + 1):
             at = np.flatnonzero(inside >= length - 1)
             run[at] += chars[at - (length - 1)] * self.power[length - 1]
             name = run[at] + np.uint64(length)
@@ -123,30 +133,39 @@ class Lattices:
             place = np.minimum(np.searchsorted(self.names, name), len(self.names) - 1)
             hit = self.names[place] == name
             at, place = at[hit], place[hit]
-            weight[at, self.longest - length], piece[at, self.longest - length] = self.name_weight[place], self.name_piece[place]
+            weight[at, longest - length], piece[at, longest - length] = self.name_weight[place], self.name_piece[place]
         lone = np.flatnonzero(weight[:, -1] == -np.inf)
-        weight[lone, -1], piece[lone, -1] = self.unknown, -1 - chars[lone].astype(np.int64)
+        weight[lone, -1], piece[lone, -1] = self.unknown, -1 - chars[lone].astype(np.int32)
         return weight, piece
 
-    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(first node, length) of each word, new words compiled. A word's nodes are its end
-        positions; a node's edges lie together, the longest first, with their running
-        probability, log probability, length, piece (-1 - its code point for a character in no
-        piece) and the log mass of the node's other edges."""
+    def learn(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first node, length) of each word of the texts and the words of each text, new words
+        compiled. A word's nodes are its end positions; a node's edges lie together, the
+        longest first, with their running probability (the last: 2), log probability, length and
+        piece (-1 - its code point for a character in no piece)."""
+        joined, begins, counts = self.units(texts)
+        if not joined:
+            return begins, begins, counts
+        # Arrow tells the words apart; each distinct one is looked up once.
+        ends = pa.py_buffer(np.append(begins * 4, len(joined)))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, ends, pa.py_buffer(joined)]).dictionary_encode()
+        places, chars = (np.frombuffer(x, t) for x, t in zip(coded.dictionary.buffers()[1:], (np.int64, np.uint8), strict=True))
+        places, chars = places[: len(coded.dictionary) + 1].tolist(), chars.tobytes()
+        words = [chars[a:b] for a, b in zip(places, places[1:], strict=False)]
         known = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(known < 0).tolist()
-        new = sorted({words[i] for i in missing}, key=len)
+        new = sorted((words[i] for i in missing), key=len)
         at, base, edge = 0, len(self.tables[0]), len(self.tables[1])
         while at < len(new):
             end = at + 1
-            while end < len(new) and (end + 1 - at) * len(new[end]) <= 1 << 15:
+            while end < len(new) and (end + 1 - at) * len(new[end]) <= 1 << 17:
                 end += 1
-            made, begins = self._compile(new[at:end], edge)
-            self.at.update(zip(new[at:end], (base + begins).tolist(), strict=True))
+            made, firsts = self._compile(new[at:end], edge)
+            self.at.update(zip(new[at:end], (base + firsts).tolist(), strict=True))
             self._append(made)
             base, edge, at = base + len(made[0]), edge + len(made[1]), end
         known[missing] = [self.at[words[i]] for i in missing]
-        return known, np.fromiter(map(len, words), np.int64, len(words))
+        return known[coded.indices.to_numpy()], np.diff(begins, append=len(joined) // 4), counts
 
     def _append(self, made: tuple[np.ndarray, ...]) -> None:
         """Add rows to the tables, their room made a quarter larger when it is used up."""
@@ -161,39 +180,49 @@ class Lattices:
             grown.append(self.room[i][:n])
         self.tables = tuple(grown)
 
-    def _compile(self, words: list[str], edge: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-        """(tables, first nodes): forward sums of words of like lengths, one position after the other for all."""
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+    def _compile(self, words: list[bytes], edge: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        """(tables, first nodes) of words in order of length: forward sums, one position after
+        the other for all."""
+        chars = np.frombuffer(b"".join(words), "<u4").astype(np.uint64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) // 4
         begins = np.cumsum(sizes) - sizes
         weight, piece = self.edges(chars, begins, sizes)
-        back = self.longest - np.arange(self.longest)
-        forward = np.full((len(words), int(sizes.max()) + 1 + self.longest), -np.inf)
-        forward[:, self.longest] = 0.0
-        for end in range(1, int(sizes.max()) + 1):
-            own = np.flatnonzero(sizes >= end)
-            node = begins[own] + end - 1
+        longest = weight.shape[1]
+        forward = np.full((len(words), int(sizes[-1]) + 1 + longest), -np.inf)
+        forward[:, longest] = 0.0
+        for end in range(1, int(sizes[-1]) + 1):
+            own = int(np.searchsorted(sizes, end))
+            node = begins[own:] + end - 1
             # An edge is no longer than the way to the start.
-            some = slice(max(self.longest - end, 0), None)
-            through = weight[node, some] + forward[own, max(end, self.longest) : self.longest + end]
+            some = slice(max(longest - end, 0), None)
+            through = weight[node, some] + forward[own:, max(end, longest) : longest + end]
             top = through.max(axis=1)
             total = top + np.log(np.exp(through - top[:, None]).sum(axis=1))
-            forward[own, self.longest + end] = total
+            forward[own:, longest + end] = total
             weight[node, some] = through - total[:, None]
-        real = weight > -np.inf
-        count = real.sum(axis=1)
-        cdf = np.cumsum(np.exp(weight), axis=1)[real]
+        real = np.flatnonzero(weight > -np.inf)
+        count = np.bincount(real // longest, minlength=len(weight))
+        cdf = np.cumsum(np.exp(weight), axis=1).ravel()[real]
         last = np.cumsum(count)
         cdf[last - 1] = 2.0
-        flat = weight[real]
-        rest = log1mexp(np.minimum(flat, 0.0))
+        return (edge + last - count, cdf, weight.ravel()[real], (longest - real % longest).astype(np.int8), piece.ravel()[real]), begins
+
+    def rest(self, edges: np.ndarray) -> np.ndarray:
+        """The log mass of the other edges of each edge's node."""
+        cdf, logp = self.tables[1:3]
+        flat = logp[edges]
+        out = log1mexp(np.minimum(flat, 0.0))
         # Beside a near-certain edge the others' mass is lost in 1 - p: add them up themselves.
-        sure = np.flatnonzero((flat > -1e-6) & (np.repeat(count, count) > 1))
-        node = np.searchsorted(last, sure, "right")
-        others = weight[node]
-        others[np.abs(others - flat[sure][:, None]) == 0] = -np.inf
-        rest[sure] = np.logaddexp.reduce(others, axis=1)
-        return (edge + last - count, cdf, flat, np.broadcast_to(back, weight.shape)[real].astype(np.int8), piece[real].astype(np.int32), rest), begins
+        alone = (cdf[edges] == 2.0) & (cdf[edges - 1] == 2.0)
+        for i in np.flatnonzero((flat > -1e-6) & ~alone).tolist():
+            lo = hi = int(edges[i])
+            while lo and cdf[lo - 1] < 2.0:
+                lo -= 1
+            while cdf[hi] < 2.0:
+                hi += 1
+            others = logp[lo : hi + 1]
+            out[i] = np.logaddexp.reduce(others[others != flat[i]])
+        return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -207,35 +236,40 @@ def uniform(seed: np.ndarray, draw: int, a, b) -> np.ndarray:
     """Numbers in (0, 1) by row seed, draw and place."""
     # Arrays of one at least: whole-number overflow wraps without a warning.
     a, b = np.atleast_1d(np.asarray(a, np.int64)).view(np.uint64), np.atleast_1d(np.asarray(b, np.int64)).view(np.uint64)
-    x = seed + np.full(1, draw, np.uint64) * _MIX + a * np.uint64(0xD1342543DE82EF95) + b * np.uint64(0xDA942042E4DD58B5)
+    x = seed + np.full(1, draw, np.uint64) * _MIX + a * np.uint64(0xD1342543DE82EF95) + b * _STEP
     return ((mixed(x) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
-def walk(lat: Lattices, seed: np.ndarray, draw: int, number: np.ndarray, base: np.ndarray, pos: np.ndarray, done: np.ndarray):
-    """Walk each word's lattice from position ``pos`` back to its start; (word, step, edge) of
-    every edge taken, steps counted on from ``done``."""
-    first, cdf, _, length, _, _ = lat.tables
+def walk(lat: Lattices, seed: np.ndarray, draw: int, number: np.ndarray, base: np.ndarray, pos: np.ndarray, done: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Walk each word's lattice from position ``pos`` back to its start: the edges taken, word
+    by word, and how many each word took. Steps are counted on from ``done``."""
+    first, cdf, _, length, _ = lat.tables
     live = np.flatnonzero(pos > 0)
-    # What a word's numbers share; a step adds its own part (see ``uniform``).
-    shared = seed + np.full(1, draw, np.uint64) * _MIX + number.view(np.uint64) * np.uint64(0xD1342543DE82EF95)
-    pos, step = pos.copy(), done.copy()
-    words, steps, edges = [], [], []
+    left, node = pos[live], (base + pos - 1)[live]
+    # What a word's numbers are made of; a step adds its own part (see ``uniform``).
+    own = (seed + np.full(1, draw, np.uint64) * _MIX + number.view(np.uint64) * np.uint64(0xD1342543DE82EF95) + done.view(np.uint64) * _STEP)[live]
+    taken, found = np.zeros(len(pos), np.int64), []
     while len(live):
-        e = first[base[live] + pos[live] - 1]
-        x = mixed(shared[live] + step[live].view(np.uint64) * np.uint64(0xDA942042E4DD58B5))
-        u = ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+        e = first[node]
+        u = ((mixed(own) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
         late = np.flatnonzero(u > cdf[e])
+        v = u[late]
         while len(late):
-            e[late] += 1
-            late = late[u[late] > cdf[e[late]]]
-        words.append(live)
-        steps.append(step[live])
-        edges.append(e)
-        pos[live] -= length[e]
-        step[live] += 1
-        live = live[pos[live] > 0]
-    empty = np.zeros(0, np.int64)
-    return tuple(np.concatenate([empty, *x]) for x in (words, steps, edges))
+            at = e[late] + 1
+            e[late] = at
+            on = v > cdf[at]
+            late, v = late[on], v[on]
+        found.append((live, e))
+        n = length[e]
+        left = left - n
+        on = left > 0
+        taken[live[~on]] = len(found)
+        live, left, node, own = live[on], left[on], (node - n)[on], own[on] + _STEP
+    edges = np.empty(int(taken.sum()), np.int64)
+    at = np.cumsum(taken) - taken
+    for step, (live, e) in enumerate(found):
+        edges[at[live] + step] = e
+    return edges, taken
 
 
 def number_at(seed: int, draw: int, a: int, b: int) -> float:
@@ -250,10 +284,10 @@ class Path:
     """A segmentation of one text in tree order (words forwards, a word's edges backwards);
     ``total[t]``: log probability of its first ``t`` edges."""
 
-    __slots__ = ("edges", "word", "rest", "total")
+    __slots__ = ("edges", "word", "lat", "total")
 
-    def __init__(self, edges: np.ndarray, word: np.ndarray, logp: np.ndarray, rest: np.ndarray):
-        self.edges, self.word, self.rest = edges, word, rest
+    def __init__(self, edges: np.ndarray, word: np.ndarray, logp: np.ndarray, lat: Lattices):
+        self.edges, self.word, self.lat = edges, word, lat
         self.total = np.empty(len(edges) + 1)
         self.total[0] = 0.0
         np.cumsum(logp, out=self.total[1:])
@@ -262,6 +296,10 @@ class Path:
     def logp(self) -> float:
         return float(self.total[-1])
 
+    def falls(self, start: int, end: int) -> np.ndarray:
+        """Log mass of what first differs from the path at each step of [start, end)."""
+        return self.total[start:end] + self.lat.rest(self.edges[start:end])
+
 
 def truncated(mass: float, most: float, u: float) -> float:
     """A Gumbel value with location ``mass``, not above ``most``."""
@@ -283,7 +321,7 @@ def mass_of(path: Path, start: int, end: int) -> float:
     fall = float(path.total[end] - path.total[start])
     if fall < -1e-6:
         return float(path.total[start]) + math.log(-math.expm1(fall))
-    return float(np.logaddexp.reduce(path.total[start:end] + path.rest[start:end]))
+    return float(np.logaddexp.reduce(path.falls(start, end)))
 
 
 class Search:
@@ -324,7 +362,7 @@ class Search:
             level = float(total[step]) + math.log1p(u * math.expm1(fall))
             hit = step + int(np.searchsorted(-total[step + 1 : end], -level, "left"))
         else:
-            p = total[step:end] + path.rest[step:end]
+            p = path.falls(step, end)
             p = np.cumsum(np.exp(p - p.max()))
             hit = step + min(int(np.searchsorted(p, u * p[-1])), end - step - 1)
         self.push_set(path, step, hit, -value)
@@ -336,13 +374,10 @@ def sample_batch(lat: Lattices, seeds: np.ndarray, texts: list[str], k: int):
     """For each text the list of (value, path) drawn and kappa (None: nothing is left)."""
     if len(lat.at) > WORDS_KEPT:
         lat.clear()
-    units = [lat.units(t) for t in texts]
-    flat = [w for u in units for w in u]
-    base, size = lat.learn(flat)
-    counts = np.fromiter(map(len, units), np.int64, len(units))
+    base, size, counts = lat.learn(texts)
     ends = np.cumsum(counts)
     starts = ends - counts
-    first, cdf, logp, length, _, rest = lat.tables
+    first, cdf, logp, length, _ = lat.tables
     searches = [Search(int(s)) for s in seeds]
     drawn: list[list] = [[] for _ in texts]
     for draw in range(k):
@@ -354,48 +389,42 @@ def sample_batch(lat: Lattices, seeds: np.ndarray, texts: list[str], k: int):
                 jobs.append((i, *node))
         if not jobs:
             break
-        word_of, pos_of, done_of, job_of, heads = [], [], [], [], []
+        text_of = np.array([x[0] for x in jobs])
+        heads, w0s, fresh = [], np.zeros(len(jobs), np.int64), []
         for j, (i, _, path, step, excluded) in enumerate(jobs):
-            w0, pos0, done0, head = 0, None, 0, None
-            if path is not None:
-                # Another edge at this step, by the probabilities of those not excluded.
-                w0 = int(path.word[step])
-                in_word = np.flatnonzero(path.word[:step] == w0)
-                at = int(size[starts[i] + w0] - length[path.edges[in_word]].sum())
-                lo = int(first[base[starts[i] + w0] + at - 1])
-                hi = lo + 1
-                while cdf[hi - 1] < 2.0:
-                    hi += 1
-                others = np.array([e for e in range(lo, hi) if e not in excluded])
-                p = np.cumsum(np.exp(logp[others] - logp[others].max()))
-                u = number_at(searches[i].seed, draw + 1, 1 << 43, step)
-                edge = int(others[min(int(np.searchsorted(p, u * p[-1])), len(others) - 1)])
-                head = (step, edge, w0)
-                pos0, done0 = at - int(length[edge]), len(in_word) + 1
-            heads.append(head)
-            n = int(counts[i]) - w0
-            word_of.append(np.arange(starts[i] + w0, ends[i]))
-            pos = size[starts[i] + w0 : ends[i]].copy()
-            done = np.zeros(n, np.int64)
-            if pos0 is not None:
-                pos[0], done[0] = pos0, done0
-            pos_of.append(pos)
-            done_of.append(done)
-            job_of.append(np.full(n, j))
-        word, pos, done, job = (np.concatenate(x) for x in (word_of, pos_of, done_of, job_of))
-        text_of = np.array([x[0] for x in jobs])[job]
-        number = word - starts[text_of]
-        w, s, e = walk(lat, seeds[text_of], draw + 1, number, base[word], pos, done)
-        order = np.argsort(w * (1 << 24) + s, kind="stable")
-        w, e = w[order], e[order]
-        cuts = np.searchsorted(job[w], np.arange(len(jobs) + 1))
+            if path is None:
+                heads.append(None)
+                continue
+            # Another edge at this step, by the probabilities of those not excluded.
+            w0 = w0s[j] = int(path.word[step])
+            taken = path.edges[int(np.searchsorted(path.word, w0)) : step]
+            at = int(size[starts[i] + w0] - length[taken].sum())
+            lo = int(first[base[starts[i] + w0] + at - 1])
+            hi = lo + 1
+            while cdf[hi - 1] < 2.0:
+                hi += 1
+            others = np.array([e for e in range(lo, hi) if e not in excluded])
+            p = np.cumsum(np.exp(logp[others] - logp[others].max()))
+            u = number_at(searches[i].seed, draw + 1, 1 << 43, step)
+            edge = int(others[min(int(np.searchsorted(p, u * p[-1])), len(others) - 1)])
+            heads.append((edge, w0, lo, hi))
+            fresh.append((j, at - int(length[edge]), len(taken) + 1))
+        left = counts[text_of] - w0s
+        word, job = ranges(starts[text_of] + w0s, left), np.repeat(np.arange(len(jobs)), left)
+        pos, done, begin = size[word], np.zeros(len(word), np.int64), np.cumsum(left) - left
+        for j, at, n in fresh:
+            pos[begin[j]], done[begin[j]] = at, n
+        number = word - starts[text_of[job]]
+        edges, taken = walk(lat, seeds[text_of[job]], draw + 1, number, base[word], pos, done)
+        p_of, w_of = logp[edges], np.repeat(number, taken)
+        cuts = np.append(0, np.cumsum(taken))[np.append(begin, len(word))]
         for j, (i, value, path, step, excluded) in enumerate(jobs):
-            own, at = e[cuts[j] : cuts[j + 1]], number[w[cuts[j] : cuts[j + 1]]]
+            own, at, p = (x[cuts[j] : cuts[j + 1]] for x in (edges, w_of, p_of))
             if path is not None:
-                _, edge, w0 = heads[j]
-                own = np.concatenate([path.edges[:step], [edge], own])
-                at = np.concatenate([path.word[:step], [w0], at])
-            new = Path(own, at, logp[own], rest[own])
+                edge, w0, lo, hi = heads[j]
+                head = np.append(path.edges[:step], edge)
+                own, at, p = np.concatenate([head, own]), np.concatenate([path.word[:step], [w0], at]), np.concatenate([logp[head], p])
+            new = Path(own, at, p, lat)
             drawn[i].append((value, new))
             s_ = searches[i]
             if path is None:
@@ -403,37 +432,44 @@ def sample_batch(lat: Lattices, seeds: np.ndarray, texts: list[str], k: int):
             else:
                 # The same step with both edges out, then the steps after it.
                 out = (*excluded, edge)
-                lo = int(first[base[starts[i] + w0] + int(size[starts[i] + w0] - length[path.edges[:step][path.word[:step] == w0]].sum()) - 1])
-                hi = lo + 1
-                while cdf[hi - 1] < 2.0:
-                    hi += 1
-                left = [x for x in range(lo, hi) if x not in out]
-                if left:
-                    mass = float(path.total[step] + np.logaddexp.reduce(logp[left]))
+                others = [x for x in range(lo, hi) if x not in out]
+                if others:
+                    mass = float(path.total[step] + np.logaddexp.reduce(logp[others]))
                     s_.push(truncated(mass, value, s_.number()), path, step, 0, out)
                 s_.push_set(new, step + 1, len(new.edges), value)
     return drawn, [-s.agenda[0][0] if s.agenda else None for s in searches]
 
 
-def ids_of(lat: Lattices, path: Path) -> np.ndarray:
-    """Piece ids in text order."""
-    pid = lat.tables[4][path.edges]
-    if not len(pid):
-        return pid.astype(np.int32)
+def ids_of_all(lat: Lattices, paths: list[Path]) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids in text order, path by path, and how many each path has."""
+    sizes = np.fromiter((len(p.edges) for p in paths), np.int64, len(paths))
+    ends = np.cumsum(sizes)
+    if not len(ends) or not ends[-1]:
+        return np.zeros(0, np.int32), sizes
+    pid, word = lat.tables[4][np.concatenate([p.edges for p in paths])], np.concatenate([p.word for p in paths])
     # Within a word edges were taken from its end.
-    start = np.flatnonzero(np.concatenate([[True], path.word[1:] != path.word[:-1]]))
-    count = np.diff(np.append(start, len(pid)))
+    fresh = np.append(True, word[1:] != word[:-1])
+    fresh[ends[ends < len(pid)]] = True
+    start = np.flatnonzero(fresh)
+    count = np.diff(start, append=len(pid))
     ids = pid[np.repeat(2 * start + count - 1, count) - np.arange(len(pid))]
     odd = np.flatnonzero(ids < 0)
     if len(odd):
-        spelt = [[lat.byte_ids[b] for b in chr(-1 - x).encode("utf-8", "surrogatepass")] if lat.byte_ids else [lat.lib.unk_id()] for x in ids[odd].tolist()]
-        size = np.ones(len(ids), np.int64)
-        size[odd] = [len(x) for x in spelt]
-        begin = (np.cumsum(size) - size)[odd]
-        ids = np.repeat(ids, size)
-        for at, x in zip(begin.tolist(), spelt, strict=True):
-            ids[at : at + len(x)] = x
-    return ids.astype(np.int32)
+        chars, which = np.unique(ids[odd], return_inverse=True)
+        spelt = [[lat.byte_ids[b] for b in chr(-1 - x).encode("utf-8", "surrogatepass")] if lat.byte_ids else [lat.lib.unk_id()] for x in chars.tolist()]
+        n = np.fromiter(map(len, spelt), np.int64, len(spelt))
+        more = np.zeros(len(ids), np.int64)
+        more[odd] = n[which] - 1
+        begin = (np.arange(len(ids)) + np.cumsum(more) - more)[odd]
+        upto = np.append(0, np.cumsum(more))[np.append(0, ends)]
+        ids, sizes = np.repeat(ids, more + 1), sizes + np.diff(upto)
+        ids[ranges(begin, n[which])] = np.array(list(chain.from_iterable(spelt)), np.int32)[ranges((np.cumsum(n) - n)[which], n[which])]
+    return ids, sizes
+
+
+def ids_of(lat: Lattices, path: Path) -> np.ndarray:
+    """Piece ids in text order."""
+    return ids_of_all(lat, [path])[0]
 
 
 def decoded(lat: Lattices, ids: np.ndarray) -> bytes:
@@ -441,6 +477,18 @@ def decoded(lat: Lattices, ids: np.ndarray) -> bytes:
     return lat.text[ranges(lat.text_at[ids], lat.text_size[ids])].tobytes()
 
 
+def spelt_out(lat: Lattices, paths: list[Path]):
+    """(ids, bytes that they stand for) of each path, those of some paths worked out together."""
+    for lo, hi in slices([len(p.edges) for p in paths], 1 << 16):
+        ids, sizes = ids_of_all(lat, paths[lo:hi])
+        text, ends = decoded(lat, ids), np.cumsum(sizes)
+        upto = np.append(0, np.cumsum(lat.text_size[ids]))
+        at = 0
+        for end, a, b in zip(ends.tolist(), upto[ends - sizes].tolist(), upto[ends].tolist(), strict=True):
+            yield ids[at:end], text[a:b]
+            at = end
+
+
 _LATTICES: dict[tuple[str, float], Lattices] = {}
 
 
@@ -463,14 +511,16 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 3, temperature: f
             for lo, hi in batches_of(texts):
                 normal = [lat.lib.normalize(t) for t in texts[lo:hi]]
                 rows = []
-                for i, (got, kappa) in enumerate(zip(*sample_batch(lat, seeds[lo:hi], normal, k), strict=True)):
+                drawn, kappas = sample_batch(lat, seeds[lo:hi], normal, k)
+                spelt = spelt_out(lat, [path for got in drawn for _, path in got])
+                for i, (got, kappa) in enumerate(zip(drawn, kappas, strict=True)):
                     whole = normal[i].encode("utf-8", "surrogatepass")
                     for n, (_, path) in enumerate(got):
-                        ids = ids_of(lat, path)
+                        ids, said = next(spelt)
                         p = path.logp
                         over = math.inf if kappa is None else p - kappa
                         score = 0.0 if over > 30 else (float(log1mexp(-math.exp(over))) if over > -30 else over)
-                        rows.append((keys[lo + i], n + 1, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), p, score, decoded(lat, ids) == whole) + ((ids,) if with_ids else ()))
+                        rows.append((keys[lo + i], n + 1, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), p, score, said == whole) + ((ids,) if with_ids else ()))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types, strict=True)], names=names)
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))

@@ -175,6 +175,48 @@ def test_all_segmentations_of_a_short_text(lat):
         assert {tuple(subword_sampling.ids_of(lat, path).tolist()) for _, path in got} == every and len(got) == len(every) and kappa is None
 
 
+def test_a_batch_looks_each_distinct_word_up_once(lat):
+    class Asked(dict):
+        times = 0
+
+        def get(self, *args):
+            self.times += 1
+            return super().get(*args)
+
+    texts = [lat.lib.normalize(x) for x in ["then the then on \u4e2d the\n" * 20, "", "the \U0001f600 then", "on on"] * 30]
+    seeds = np.arange(len(texts), dtype=np.uint64)
+    lat.clear()
+    want, kappas = subword_sampling.sample_batch(lat, seeds, texts, 3)
+    lat.at = Asked(lat.at)
+    drawn, again = subword_sampling.sample_batch(lat, seeds, texts, 3)
+    joined, begins, counts = lat.units(texts)
+    words = [x.decode("utf-32-le") for x in (joined[4 * a : 4 * b] for a, b in zip(begins, [*begins[1:], len(joined) // 4], strict=True))]
+    assert "".join(words) == "".join(texts) and len(words) == counts.sum() > 20 * len(set(words))
+    assert lat.at.times <= len(set(words)) and again == kappas
+    # Ids and texts worked out for many paths at once are those of each path alone.
+    paths, whole = [p for got in drawn for _, p in got], [t for t, got in zip(texts, drawn, strict=True) for _ in got]
+    for (ids, said), path, first, text in zip(subword_sampling.spelt_out(lat, paths), paths, (p for got in want for _, p in got), whole, strict=True):
+        assert ids.tolist() == subword_sampling.ids_of(lat, path).tolist() and path.edges.tolist() == first.edges.tolist()
+        assert said == subword_sampling.decoded(lat, ids) == text.encode()
+    assert subword_sampling.sample_batch(lat, seeds[:2], ["", ""], 2)[1] == [None, None]
+
+
+@pytest.mark.parametrize("temperature", [10_000.0, 0.02])
+def test_mass_of_the_other_edges(temperature):
+    lat = subword_sampling.Lattices(MODEL, temperature)
+    lat.learn([lat.lib.normalize("then the others on, x\u4e2d")])
+    _, cdf, logp, *_ = lat.tables
+    rest = lat.rest(np.arange(len(cdf)))
+    ends = [0, *(np.flatnonzero(cdf == 2.0) + 1).tolist()]
+    sure = 0
+    for lo, hi in zip(ends, ends[1:], strict=False):
+        for e in range(lo, hi):
+            want = np.logaddexp.reduce([logp[x] for x in range(lo, hi) if x != e])
+            assert rest[e] == want or abs(rest[e] - want) < 1e-6
+            sure += hi > lo + 1 and logp[e] > -1e-6
+    assert sure
+
+
 def test_sampling_edges_and_decoding(spark, edge_docs, no_docs):
     rows = subword_sampling.sample_segmentations(edge_docs, MODEL, k=2, with_ids=True)
     back = subword_sampling.decode(rows, MODEL, "ids", "again").collect()
