@@ -25,14 +25,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .ngrams import Texts
-from .token_files import batches_of
+from .common import slices, written
+from .ngrams import BLOCK, Texts
 
 SAMPLE = 50_000
 BITS, N = 16, 4
@@ -47,20 +46,25 @@ def good_documents(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return ids.select(F.col("doc_id").alias("good_id")).orderBy(F.xxhash64("good_id"), "good_id").limit(sample)
 
 
+def parts_of(texts: pa.Array):
+    """(from, to, texts) of ``BLOCK`` bytes at a time (one text at least); the others stay in Arrow."""
+    for lo, hi in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), BLOCK):
+        yield lo, hi, texts.slice(lo, hi - lo).to_pylist()
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> np.ndarray:
     """Log weight of each event, in units of 1 / ``UNIT``."""
 
     def count(batches):
         raw, target = np.zeros(OTHER + 1, np.int64), np.zeros(OTHER + 1, np.int64)
         for b in batches:
-            texts, good = b.column(0).to_pylist(), np.asarray(b.column(1).to_pylist(), bool)
-            for lo, hi in batches_of([t or "" for t in texts]):
-                for which, into in ((None, raw), (good[lo:hi], target)):
-                    part = texts[lo:hi] if which is None else [t for t, g in zip(texts[lo:hi], which, strict=True) if g]
+            good = np.asarray(b.column(1).to_pylist(), bool)
+            for lo, hi, texts in parts_of(b.column(0)):
+                for part, into in ((texts, raw), ([t for t, g in zip(texts, good[lo:hi], strict=True) if g], target)):
                     if not part:
                         continue
                     x = Texts(part)
-                    into[:REPEAT] += x.counts(x.buckets(N, BITS), N, REPEAT)
+                    into[:REPEAT] += x.gram_counts(N, BITS)
                     same, other = x.repeats()
                     into[REPEAT] += same.sum()
                     into[OTHER] += other.sum()
@@ -87,12 +91,12 @@ def weights_of(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.round(weight * UNIT).astype(np.int64)
 
 
-def log_weights(weight: np.ndarray, texts: list[str | None]) -> np.ndarray:
+def log_weights(weight: np.ndarray, texts: pa.Array) -> np.ndarray:
     out = []
-    for lo, hi in batches_of([t or "" for t in texts]):
-        x = Texts(texts[lo:hi])
+    for _, _, part in parts_of(texts):
+        x = Texts(part)
         same, other = x.repeats()
-        out.append(x.sums(weight[x.buckets(N, BITS)], N) + same * weight[REPEAT] + other * weight[OTHER])
+        out.append(x.gram_sums(weight, N, BITS) + same * weight[REPEAT] + other * weight[OTHER])
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
@@ -100,9 +104,9 @@ def with_keys(docs: DataFrame, weight: np.ndarray, seed: int, temperature: float
     """(log weight, Gumbel key) of each row of ``docs`` as columns."""
     shared = docs.sparkSession.sparkContext.broadcast(weight)
 
-    @F.pandas_udf("long")
-    def score(t: pd.Series) -> pd.Series:
-        return pd.Series(log_weights(shared.value, t.where(t.notna(), None).tolist()))
+    @F.arrow_udf("long")
+    def score(t: pa.Array) -> pa.Array:
+        return pa.array(log_weights(shared.value, t), pa.int64())
 
     log_weight = score(F.col(text)) / F.lit(float(UNIT))
     u = (F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text), F.lit(seed)), 11) + F.lit(0.5)) * F.lit(2.0**-53)

@@ -3,11 +3,13 @@
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from scriptorium.llm import importance, language, license_scan
+from scriptorium.llm import importance, language, license_scan, ngrams
 from scriptorium.llm.ngrams import Texts
 from scriptorium.llm.queries import QUERIES
 from scriptorium.plans import verify
@@ -32,6 +34,40 @@ def test_gram_counts_sums_and_repeats():
     assert same.tolist() == [0, 0, 0, 0, 2, 0, 0] and other.tolist() == [0, 0, 0, 0, 2, 0, 0]
 
 
+@pytest.mark.parametrize("block", [1, 5, 64, 1 << 17])
+def test_gram_counts_sums_and_repeats_by_block(monkeypatch, block):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["die", "d\u00efe", "a", "", "\n", "longerword" * 3]) for _ in range(rng.randint(0, 60))) for _ in range(40)] + [None, "", "ab", "x" * 300]
+    whole = Texts(texts)
+    monkeypatch.setattr(ngrams, "BLOCK", 1 << 20)
+    repeats = [x.tolist() for x in whole.repeats()]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    assert repeats[0] == [sum(a == b for a, b in zip(w, w[1:], strict=False)) for w in words]
+    monkeypatch.setattr(ngrams, "BLOCK", block)
+    values = np.random.default_rng(5).integers(-(1 << 20), 1 << 20, 1 << 16)
+    for part in (texts, texts[:1], ["ab"], [None], [""], texts[-1:]):
+        x = Texts(part)
+        for n in (3, 4):
+            at = x.buckets(n, 16)
+            assert x.gram_counts(n, 16).tolist() == x.counts(at, n, 1 << 16).tolist()
+            assert x.gram_sums(values, n, 16).tolist() == x.sums(values[at], n).tolist()
+    assert [x.tolist() for x in whole.repeats()] == repeats
+
+
+def test_a_long_text_takes_little_more_than_its_own_room():
+    text = "meadow window lantern " * 100_000
+    weight = np.arange(importance.OTHER + 1)
+    small = importance.log_weights(weight, pa.array([text[:1000]]))
+    tracemalloc.start()
+    x = Texts([text])
+    x.repeats()
+    got = importance.log_weights(weight, pa.array([text, text[:1000], None]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[1] == small[0] and got[2] == 0
+    assert peak < 24 * len(text)
+
+
 def corpus(spark, n=240, seed=1):
     rng = random.Random(seed)
     rows, labels = [], []
