@@ -35,6 +35,8 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 # Latin letters, marks of punctuation: assigned and classed since the first Unicode versions.
 SETTLED = re.compile("[\0-\u012f\u0131-\u024f\u2010-\u2027]*\\Z")
 LONG_SPACE = re.compile(r"\s{1000}")
+# A space that goes on a run of white space: no cut before it.
+SPACED = re.compile(r"\s ")
 # Pieces but runs of letters in such texts, lower-cased, of files that drop white space: what
 # stands between letters, digits one by one. Characters that only str.split() cuts at.
 _SMALL = sorted({c for x in range(0x250) for c in chr(x).lower()})
@@ -214,7 +216,7 @@ class WordEncoder:
                 if self.glue and not LONG_SPACE.search(t):
                     out.append(self.ranks.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False).tobytes())
                     continue
-            if added or "  " in t:
+            if added or "  " in t or (self.glue and SPACED.search(t)):
                 out.append(self.whole(t))
                 continue
             units = t.split(" ")

@@ -41,6 +41,13 @@ def test_odd_texts_encode_as_the_library_does(path, text):
     assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == lib(text)[:-1]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_a_space_after_other_white_space_is_no_cut(path):
+    own, lib = ENCODERS[path]
+    for text in (" \u00a0 \u00a0 \u0301", "a\n \u4e2d", "a\t b\u0301 c"):
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == lib(text)[:-1]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("aAéß.,'!_ 0 \n\t ́中")), max_size=25))
 def test_any_text_encodes_as_the_library_does(text):
