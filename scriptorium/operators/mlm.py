@@ -1,45 +1,78 @@
-"""Masked-language-model sample preparation as array expressions.
+"""Masked-language-model sample preparation.
 
 The mask is a deterministic hash of (row key, position, seed) -- md5, so SQL engines can
 reproduce it -- instead of a random draw; about ``rate`` of the non-padding positions are
 replaced by the mask id, and labels keep the original id there and ``-100`` elsewhere.
+
+A row has thousands of positions, so they are hashed in numpy, many rows' at once
+(``functions.md5``), in an Arrow UDF; as array expressions each costs several objects.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as PT
 
-IGNORE_LABEL = -100
-
+from ..functions.md5 import first_bits
 
-def position_uniform(key: Column, pos: Column, seed: int) -> Column:
-    """Uniform [0, 1) from the first 32 bits of ``md5('key:pos:seed')``."""
-    h = F.md5(F.concat_ws(":", key.cast("string"), pos.cast("string"), F.lit(str(seed))))
-    return F.conv(F.substr(h, F.lit(1), F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
+IGNORE_LABEL = -100
+ROWS_IDS = 1 << 18  # ids of rows masked together
+
+
+def _some_rows(rows: pa.ListArray):
+    """The array of lists in slices of about ``ROWS_IDS`` items, a row at least."""
+    at, k = rows.offsets.to_numpy(), 0
+    while k < len(rows):
+        end = max(k + 1, int(np.searchsorted(at, at[k] + ROWS_IDS, "right")) - 1)
+        yield k, rows.slice(k, end - k)
+        k = end
+
+
+def _flat(rows: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The items laid end to end (0 for nulls), which of them are null, the items of each row."""
+    items = rows.flatten()
+    none = items.is_null().to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+    return pc.fill_null(items, 0).to_numpy(zero_copy_only=False), none, sizes
+
+
+def _masked(rows: pa.ListArray, keys: pa.Array, mask_id: int, pad_id: int, rate: float, seed: int) -> tuple[pa.ListArray, pa.ListArray]:
+    """Masked ids and labels of the rows."""
+    masked, labels = [], []
+    for k, some in _some_rows(rows):
+        ids, none, sizes = _flat(some)
+        names = [None if x is None else x.encode("utf-8") for x in keys.slice(k, len(some)).to_pylist()]
+        drawn = first_bits(names, sizes.tolist(), str(seed).encode()) / 4294967296.0
+        hit = (drawn < rate) & (ids != pad_id) & ~none
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        gone = some.is_null() if some.null_count else None
+        without = none & ~hit
+        for out, values, empty in ((masked, np.where(hit, mask_id, ids), without if without.any() else None), (labels, np.where(hit, ids, IGNORE_LABEL), None)):
+            out.append(pa.ListArray.from_arrays(ends, pa.array(values.astype(np.int32), mask=empty), mask=gone))
+    if not masked:
+        return rows, rows
+    return pa.concat_arrays(masked), pa.concat_arrays(labels)
 
 
 def mlm_mask(
     ids: Column | str, key: Column | str, mask_id: int, pad_id: int = 0, rate: float = 0.15, seed: int = 42
 ) -> list[Column]:
-    """``masked_ids`` and ``labels`` columns."""
+    """``masked_ids`` and ``labels`` columns of ids ``ARRAY<INT>``. Both come from one call:
+    Spark evaluates it once where both are asked for."""
     c = F.col(ids) if isinstance(ids, str) else ids
     k = F.col(key) if isinstance(key, str) else key
+    array = PT.ArrayType(PT.IntegerType())
 
-    def hit(x, i):
-        return (position_uniform(k, i, seed) < F.lit(rate)) & (x != F.lit(pad_id))
-
-    # Marked once per position; a second hash for the labels would double the cost.
-    marked = F.transform(c, lambda x, i: F.struct(x.alias("x"), hit(x, i).alias("hit")))
-
-    def both(m: Column) -> Column:
-        masked = F.transform(m, lambda p: F.when(p["hit"], F.lit(mask_id)).otherwise(p["x"]))
-        labels = F.transform(m, lambda p: F.when(p["hit"], p["x"]).otherwise(F.lit(IGNORE_LABEL)))
-        return F.struct(masked.alias("masked_ids"), labels.alias("labels"))
+    @F.arrow_udf(PT.StructType([PT.StructField("masked_ids", array), PT.StructField("labels", array)]))
+    def pair(rows: pa.Array, keys: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(_masked(rows, keys, mask_id, pad_id, rate, seed), names=["masked_ids", "labels"])
 
-    # The one-element transform binds the marks, so that both arrays read the same ones.
-    pair = F.get(F.transform(F.array(marked), both), 0)
-    return [pair["masked_ids"].alias("masked_ids"), pair["labels"].alias("labels")]
+    both = pair(c, k.cast("string"))
+    return [both["masked_ids"].alias("masked_ids"), both["labels"].alias("labels")]
 
 
 def position_ids(ids: Column | str) -> Column:
