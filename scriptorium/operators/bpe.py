@@ -39,13 +39,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as PT
 
 from ..functions import text as T
-from ..functions.batches import bytes_before, slices
+from ..functions.batches import slices
 from ..session import ensure_checkpoint_dir
 
 DEFAULT_SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
@@ -564,25 +565,31 @@ def _encode_word(word: str, tok2id: dict[str, int], ranks: dict[tuple[str, str],
 
 
 def _ids_of(rows: pa.ListArray, kept: dict[str, bytes], tok2id: dict[str, int], ranks: dict[tuple[str, str], int]) -> pa.ListArray:
-    """The ids of rows of words; ``kept`` has those of words met before."""
-    # A token has a character at least, so the ids are no more than the bytes of the words.
-    ids, at = np.empty(bytes_before(rows)[-1], np.int32), [0]
+    """The ids of rows of words; ``kept`` has those of words met before. The distinct words of a
+    slice are looked up once, its ids are put together by Arrow."""
+    out = []
     for some in slices(rows):
-        for words in some.to_pylist():
-            end = at[-1]
-            for w in words or ():
-                got = kept.get(w)
-                if got is None:
-                    got = np.array([tok2id[x] for x in _encode_word(w, tok2id, ranks)], np.int32).tobytes()
-                    if len(kept) >= WORDS_KEPT:
-                        kept.clear()
-                    if len(w) <= LONG_WORD:
-                        kept[w] = got
-                n = len(got) >> 2
-                ids[end : end + n] = np.frombuffer(got, np.int32)
-                end += n
-            at.append(end)
-    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids[: at[-1]]))
+        # Null rows have no words here.
+        coded = some.flatten().dictionary_encode()
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.combine_chunks()
+        found = []
+        for w in coded.dictionary.to_pylist():
+            got = kept.get(w)
+            if got is None:
+                got = np.array([tok2id[x] for x in _encode_word(w, tok2id, ranks)], np.int32).tobytes()
+                if len(kept) >= WORDS_KEPT:
+                    kept.clear()
+                if len(w) <= LONG_WORD:
+                    kept[w] = got
+            found.append(got)
+        ends = np.concatenate([[0], np.cumsum([len(x) >> 2 for x in found], dtype=np.int64)])
+        distinct = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+        words = distinct.take(coded.indices)
+        n_words = pc.fill_null(pc.list_value_length(some), 0).to_numpy(zero_copy_only=False)
+        rows_at = np.concatenate([[0], np.cumsum(n_words, dtype=np.int64)])
+        out.append(pa.ListArray.from_arrays(pa.array(words.offsets.to_numpy()[rows_at], pa.int32()), words.values))
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
 
 def encode_texts(df: DataFrame, model: BpeModel, text_col: str = "text", lower: bool = True) -> DataFrame:

@@ -167,3 +167,24 @@ def test_the_driver_gets_packed_words(spark):
     got = [(f, ids) for r in found for c in [B._unpacked(r["words"])] for f, ids in zip(c[0].to_pylist(), c[1].to_pylist())]
     assert sorted(got) == sorted((f, list(x)) for f, x in rows) and sum(r.symbols for r in found) == 20_000
     assert sum(len(r["words"]) for r in found) < 20_000
+
+
+def test_distinct_words_of_a_slice_are_looked_up_once():
+    import pyarrow as pa
+
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+    tok2id, ranks = {"a": 0, "b": 1, "ab": 2}, {("a", "b"): 0}
+    rows = [["ab"] * 500 + ["ba"], None, [], ["b", "x", "abx", "ab"], ["ab"] * 500]
+    kept = Counting()
+    got = B._ids_of(pa.array(rows, pa.list_(pa.string())).slice(0), kept, tok2id, ranks)
+    assert got.to_pylist() == [[2] * 500 + [1, 0], [], [], [1, 2, 2], [2] * 500]
+    assert kept.asked == 5  # ab, ba, b, x, abx
+    part = pa.array([["b"], *rows], pa.list_(pa.string())).slice(1)
+    assert B._ids_of(part, {}, tok2id, ranks).to_pylist() == got.to_pylist()
+    assert B._ids_of(part.slice(0, 0), {}, tok2id, ranks).to_pylist() == []
