@@ -34,6 +34,7 @@ code-point order, then merges in order; a merge whose string already exists reus
 from __future__ import annotations
 
 import heapq
+import itertools
 import uuid
 from dataclasses import dataclass, field
 
@@ -52,9 +53,11 @@ from ..session import ensure_checkpoint_dir
 DEFAULT_SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
 WORDS_PER_PARTITION = 500_000
 # What the driver holds in a round: pairs, and symbols of the words that hold them.
-MOST_PAIRS, MOST_SYMBOLS, FEW_PAIRS = 20_000, 2_000_000, 8
+MOST_PAIRS, MOST_SYMBOLS, FEW_PAIRS = 20_000, 6_000_000, 8
 LONG_WORD = 64
 PACKED_WORDS = 50_000
+# Symbols counted together by a task; merges up to which a task looks for each in all its words at once.
+TOGETHER, FEW_MERGES = 1_000_000, 400
 
 
 def normalize_text(col: Column | str) -> Column:
@@ -97,16 +100,34 @@ class BpeModel:
         return out
 
 
+def _symbols(batches):
+    """Batches of words, ``TOGETHER`` symbols at a time: frequencies, the ids laid end to end,
+    the word of each id."""
+    some, n = [], 0
+
+    def laid():
+        t = pa.Table.from_batches(some).combine_chunks()
+        ids = t["ids"].combine_chunks()
+        sizes = np.diff(ids.offsets.to_numpy())
+        return t["freq"].to_numpy(), ids.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+
+    for b in batches:
+        some.append(b)
+        n += len(b.column(1).flatten())
+        if n >= TOGETHER:
+            yield laid()
+            some, n = [], 0
+    if n:
+        yield laid()
+
+
 def _pair_counts(words: DataFrame) -> DataFrame:
     """``(l, r, cnt, vol)``: the pair's count and, roughly, the symbols of its words. Pairs
     are counted in numpy by batch of words, then added up."""
 
     def count(batches):
-        for b in batches:
-            freq, ids = b.column(0).to_numpy(), b.column(1)
-            flat, at = ids.flatten().to_numpy().astype(np.int64), ids.offsets.to_numpy().astype(np.int64)
-            size = np.diff(at)
-            row = np.repeat(np.arange(len(size)), size)
+        for freq, flat, row in _symbols(batches):
+            size = np.bincount(row, minlength=len(freq))
             inner = np.flatnonzero(row[1:] == row[:-1])
             pairs, which = np.unique(flat[inner] << 32 | flat[inner + 1], return_inverse=True)
             cnt, vol = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
@@ -119,31 +140,42 @@ def _pair_counts(words: DataFrame) -> DataFrame:
     return part.groupBy("l", "r").agg(F.sum("cnt").alias("cnt"), F.sum("vol").alias("vol"))
 
 
-def _neighbour_stats(words: DataFrame, cands: DataFrame) -> tuple[dict, dict]:
-    """For candidate pairs ``p = (l, r)`` (a small broadcast table) and the triples around
+def _neighbour_stats(words: DataFrame, pairs: list[tuple[int, int]]) -> tuple[dict, dict]:
+    """For candidate pairs ``p = (l, r)`` (a short list) and the triples around
     them: ``bounds[p]`` = the largest summed triple count next to ``p`` (an upper bound on
     any pair merging ``p`` creates) and ``destroyed[(p, q)]`` = the summed count of triples
     ``x l r`` / ``l r y`` whose other pair ``q = (x, l)`` / ``(r, y)`` is also a candidate
     (occurrences of ``q`` that merging ``p`` removes). Both results are bounded by the
     candidate count, not by the data."""
-    w = words.select("ids", "freq")
-    n = F.size("ids")
-    ctx = F.transform(
-        F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))),
-        lambda i: F.array(
-            # triple (x, y, z): merging (y, z) touches (x, y); merging (x, y) touches (y, z)
-            F.struct(F.get("ids", i + 1).alias("l"), F.get("ids", i + 2).alias("r"), F.lit(0).alias("side"), F.get("ids", i).alias("o")),
-            F.struct(F.get("ids", i).alias("l"), F.get("ids", i + 1).alias("r"), F.lit(1).alias("side"), F.get("ids", i + 2).alias("o")),
-        ),
-    )
-    e = w.where(n >= 3).select(F.explode(F.flatten(ctx)).alias("c"), "freq").select("c.*", "freq")
-    near = e.join(F.broadcast(cands), ["l", "r"], "left_semi")
+    keys = _pair_keys(pairs)
+
+    def count(batches):
+        for freq, flat, row in _symbols(batches):
+            if len(flat) < 3:
+                continue
+            ends = np.flatnonzero(row[2:] == row[:-2])  # the triples' first symbols
+            side = flat[:-1] << 32 | flat[1:]
+            at = np.minimum(np.searchsorted(keys, side), len(keys) - 1)
+            held = keys[at] == side
+            # Triple (x, y, z): merging (y, z) touches (x, y); merging (x, y) touches (y, z).
+            right, left = ends[held[ends + 1]], ends[held[ends]]
+            what = np.concatenate([at[right + 1] << 33 | flat[right], at[left] << 33 | 1 << 32 | flat[left + 2]])
+            found, which = np.unique(what, return_inverse=True)
+            c = np.zeros(len(found), np.int64)
+            np.add.at(c, which, freq[row[np.concatenate([right, left])]])
+            pair = keys[found >> 33]
+            columns = [(pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32), (found >> 32 & 1).astype(np.int32), (found & 0xFFFFFFFF).astype(np.int32), c]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["l", "r", "side", "o", "c"])
+
     per = (
-        near.groupBy("l", "r", "side", "o")
-        .agg(F.sum("freq").alias("c"))
+        words.select("freq", "ids")
+        .mapInArrow(count, "l int, r int, side int, o int, c long")
+        .groupBy("l", "r", "side", "o")
+        .agg(F.sum("c").alias("c"))
         .coalesce(words.rdd.getNumPartitions())
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    cands = words.sparkSession.createDataFrame(pairs, "l int, r int")
     q = cands.select(F.col("l").alias("ql"), F.col("r").alias("qr"))
     left_q = per.where("side = 0").join(F.broadcast(q), (F.col("o") == F.col("ql")) & (F.col("l") == F.col("qr")))
     right_q = per.where("side = 1").join(F.broadcast(q), (F.col("r") == F.col("ql")) & (F.col("o") == F.col("qr")))
@@ -236,6 +268,12 @@ def _unpacked(words: bytes) -> tuple[pa.ChunkedArray, pa.ChunkedArray]:
     return got["freq"], got["ids"]
 
 
+def _laid_out(words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frequencies, ids end to end, sizes of packed words."""
+    freq, ids = (x.combine_chunks() for x in _unpacked(words))
+    return freq.to_numpy(), ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy())
+
+
 def _merge_ids(ids: list[int], rank: dict[tuple[int, int], int], merges: list[tuple[int, int, int]]) -> list[int]:
     """The merges one after the other, each left to right."""
     heap = [(rank[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in rank]
@@ -259,6 +297,35 @@ def _merge_ids(ids: list[int], rank: dict[tuple[int, int], int], merges: list[tu
     return [x for x in alive if x != -1]
 
 
+def _pairs_merged(flat: np.ndarray, row: np.ndarray, a: int, b: int) -> np.ndarray:
+    """The places of the left symbols of (a, b) within the words, left to right, none overlapping."""
+    at = np.flatnonzero((flat[:-1] == a) & (flat[1:] == b) & (row[:-1] == row[1:]))
+    return at if a != b else _every_other(at, at[1:] == at[:-1] + 1)
+
+
+def _every_other(at: np.ndarray, goes_on: np.ndarray) -> np.ndarray:
+    """Of places in turn, ``goes_on`` where one overlaps the one before: the first, third, ... of
+    each run."""
+    if not len(at):
+        return at
+    k = np.arange(len(at))
+    first = np.maximum.accumulate(np.where(np.concatenate([[True], ~goes_on]), k, 0))
+    return at[(k - first) % 2 == 0]
+
+
+def _merged_words(flat: np.ndarray, sizes: np.ndarray, merges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Words laid end to end after the merges, one after the other: the ids and the words' sizes."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    for a, b, new in merges:
+        at = _pairs_merged(flat, row, a, b)
+        if len(at):
+            kept = np.ones(len(flat), bool)
+            kept[at + 1] = False
+            flat[at] = new
+            flat, row = flat[kept], row[kept]
+    return flat, np.bincount(row, minlength=len(sizes))
+
+
 def _apply_merges(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
     """Words after the merges (no pair comes twice among them)."""
     rank = {(a, b): k for k, (a, b, _) in enumerate(merges)}
@@ -267,37 +334,93 @@ def _apply_merges(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataF
     def of(batches):
         for b in batches:
             flat, at, rows = _rows_with(b.column(1), keys)
-            size, kept = np.diff(at), np.ones(len(flat), bool)
-            for k in rows.tolist():
-                x, y = at[k], at[k + 1]
-                out = _merge_ids(flat[x:y].tolist(), rank, merges)
-                size[k] = len(out)
-                flat[x : x + len(out)] = out
-                kept[x + len(out) : y] = False
+            size, row = np.diff(at), np.repeat(np.arange(len(at) - 1), np.diff(at))
+            if len(rows):
+                touched = np.zeros(len(size), bool)
+                touched[rows] = True
+                mine = flat[touched[row]]
+                if len(merges) <= FEW_MERGES:
+                    mine, sizes = _merged_words(mine, size[rows], merges)
+                else:  # word by word
+                    ends = np.cumsum(size[rows])
+                    out = [_merge_ids(mine[y - n : y].tolist(), rank, merges) for n, y in zip(size[rows].tolist(), ends.tolist(), strict=True)]
+                    mine, sizes = np.array([x for one in out for x in one], np.int64), np.array([len(x) for x in out])
+                size[rows] = sizes
+                kept = np.arange(len(flat)) - at[:-1][row] < size[row]
+                flat, row = flat[kept], row[kept]
+                flat[touched[row]] = mine
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[kept].astype(np.int32)))
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["freq", "ids"])
 
     return words.select("freq", "ids").mapInArrow(of, WORD_TYPE)
 
 
-def _merge_run(freqs: list[int], words: list[list[int]], counts: dict[tuple[int, int], int], stop: tuple[int, int, int], first_new: int, accept):
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of the keys in the keys' order, where each distinct key begins and ends there."""
+    order = np.argsort(keys, kind="stable")
+    got = keys[order]
+    cuts = np.flatnonzero(got[1:] != got[:-1]) + 1
+    return order, np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
+
+
+def _merge_run(freqs: np.ndarray, ids: np.ndarray, sizes: np.ndarray, counts: dict[tuple[int, int], int], stop: tuple[int, int, int], first_new: int, accept):
     """Merges one at a time over the words that hold the candidates (``counts``, over all
-    words), as long as the best pair comes before ``stop``, the place in the order
-    (-count, l, r) of the first pair that is no candidate. Pairs that are not tracked only
-    lose occurrences, except where a merge reuses a token: such a pair is tracked with an
-    upper bound, and the run ends when that is the best. ``accept(a, b)`` gives the id of a
-    merged token, or None at the end of the training."""
-    where: dict[tuple[int, int], list[int]] = {p: [] for p in counts}
-    for k, ids in enumerate(words):
-        for p in set(zip(ids, ids[1:])):
-            if p in where:
-                where[p].append(k)
+    words; the words' ``ids`` end to end), as long as the best pair comes before ``stop``, the
+    place in the order (-count, l, r) of the first pair that is no candidate. Pairs that are not
+    tracked only lose occurrences, except where a merge reuses a token: such a pair is tracked
+    with an upper bound, and the run ends when that is the best. ``accept(a, b)`` gives the id of
+    a merged token, or None at the end of the training.
+
+    A symbol knows the places of its neighbours in the word (-1: none); of each tracked pair the
+    places of its left symbols are kept, which may have gone since."""
+    n = len(ids)
+    word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    inner = word[1:] == word[:-1]
+    nxt, prv = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+    nxt[:-1][inner] = np.flatnonzero(inner) + 1
+    prv[1:][inner] = np.flatnonzero(inner)
+    keys = _pair_keys(counts)
+    first = np.flatnonzero(inner).astype(np.int32)
+    pairs = ids[first].astype(np.int64) << 32 | ids[first + 1]
+    at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1).astype(np.int32)
+    held = keys[at] == pairs
+    first, at = first[held], at[held]
+    del pairs, held
+    where: dict[tuple[int, int], list[np.ndarray]] = {p: [] for p in counts}
+    if len(at):
+        order, begin, end = _grouped(at)
+        first = first[order]
+        for k, x, y in zip(keys[at[order[begin]]].tolist(), begin.tolist(), end.tolist(), strict=True):
+            where[k >> 32, k & 0xFFFFFFFF].append(first[x:y])
+        del order
+    del at, first
     heap = [(-c, *p) for p, c in counts.items()]
     heapq.heapify(heap)
     loose: set[tuple[int, int]] = set()
     done: set[tuple[int, int]] = set()
     merges: list[tuple[int, int, int]] = []
+
+    marked = np.zeros(n, bool)
+
+    def beside(places: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """The places that are there and none of the others."""
+        places = places[places >= 0]
+        marked[others] = True
+        places = places[~marked[places]]
+        marked[others] = False
+        return places
+
+    def pairs_at(places: np.ndarray):
+        """The pairs that begin at the places, with how often they come and their places."""
+        if not len(places):
+            return ()
+        keys = ids[places].astype(np.int64) << 32 | ids[nxt[places]]
+        order, begin, end = _grouped(keys)
+        places = places[order]
+        f = np.add.reduceat(freqs[word[places]], begin)
+        return zip(keys[order[begin]].tolist(), f.tolist(), begin.tolist(), end.tolist(), itertools.repeat(places))
+
     while heap:
         c, a, b = heapq.heappop(heap)
         p = (a, b)
@@ -314,34 +437,37 @@ def _merge_run(freqs: list[int], words: list[list[int]], counts: dict[tuple[int,
         merges.append((a, b, new))
         done.add(p)
         risen = set()
-        for k in where[p]:
-            ids, f, out, i = words[k], freqs[k], [], 0
-            while i < len(ids):
-                if ids[i] == a and i + 1 < len(ids) and ids[i + 1] == b:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            if len(out) == len(ids):
-                continue
-            for q in zip(ids, ids[1:]):
-                if q in counts:
-                    counts[q] -= f
-            for q in zip(out, out[1:]):
-                if new in q:
-                    if q not in counts:
-                        fresh = q[0] >= first_new or q[1] >= first_new
-                        counts[q], where[q] = 0 if fresh else -stop[0], []
-                        if not fresh:
-                            loose.add(q)
-                    counts[q] += f
-                    where[q].append(k)
-                    risen.add(q)
-                elif q in counts:
-                    counts[q] += f
-            words[k] = out
-        where[p] = []
+        left, where[p] = where[p], []
+        if not left:
+            continue
+        left = np.concatenate(left)
+        left = left[(ids[left] == a) & (nxt[left] >= 0)]
+        left = left[ids[nxt[left]] == b]
+        if a == b:
+            left.sort()
+            left = _every_other(left, left[1:] == nxt[left[:-1]])
+        right = nxt[left]
+        after = nxt[right]
+        ends = after >= 0
+        gone = np.concatenate([left, right[ends], beside(prv[left], right)])
+        for k, f, *_ in pairs_at(gone):
+            q = (k >> 32, k & 0xFFFFFFFF)
+            if q in counts:
+                counts[q] -= f
+        ids[left], ids[right] = new, -1
+        nxt[left] = after
+        prv[after[ends]] = left[ends]
+        # What stands before has changed where that was merged too.
+        for k, f, x, y, places in pairs_at(np.concatenate([left[ends], beside(prv[left], left)])):
+            q = (k >> 32, k & 0xFFFFFFFF)
+            if q not in counts:
+                fresh = q[0] >= first_new or q[1] >= first_new
+                counts[q], where[q] = 0 if fresh else -stop[0], []
+                if not fresh:
+                    loose.add(q)
+            counts[q] += f
+            where[q].append(places[x:y])
+            risen.add(q)
         for q in risen:
             heapq.heappush(heap, (-counts[q], *q))
     return merges
@@ -351,8 +477,7 @@ def _wide_round(spark, words: DataFrame, top: list, first_new: int, accept) -> l
     """A round that collects counts only, for pairs that too many words hold."""
     bounds, destroyed = {}, {}
     if len(top) > 1:
-        cands = spark.createDataFrame([(r["l"], r["r"]) for r in top], "l int, r int")
-        bounds, destroyed = _neighbour_stats(words, cands)
+        bounds, destroyed = _neighbour_stats(words, [(r["l"], r["r"]) for r in top])
     accepted: list[tuple[int, int, int]] = []
     skipped: list[tuple[tuple[int, int], int]] = []  # (pair, count) passed over
     bound = -1  # largest count a pair created by the accepted merges can reach
@@ -391,13 +516,14 @@ def _collected_round(words: DataFrame, top: list, first_new: int, min_count: int
     while n >= min(FEW_PAIRS, len(top)):
         found = _words_with(words, [(r["l"], r["r"]) for r in top[:n]]).persist(StorageLevel.MEMORY_AND_DISK)
         symbols = found.agg(F.sum("symbols")).first()[0] or 0
-        got = [_unpacked(r["words"]) for r in found.select("words").toLocalIterator()] if symbols <= MOST_SYMBOLS else None
+        got = [_laid_out(r["words"]) for r in found.select("words").toLocalIterator()] if symbols <= MOST_SYMBOLS else None
         found.unpersist()
         if got is not None:
             stop = (-top[n]["cnt"], top[n]["l"], top[n]["r"]) if n < len(top) else (1 - min_count, -1, -1)
             counts = {(r["l"], r["r"]): r["cnt"] for r in top[:n]}
-            freqs, ids = ([x for one in got for x in one[k].to_pylist()] for k in (0, 1))
-            return _merge_run(freqs, ids, counts, stop, first_new, accept)
+            freqs, ids, sizes = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.empty(0, t) for t in (np.int64, np.int32, np.int64))
+            del got
+            return _merge_run(freqs, ids, sizes, counts, stop, first_new, accept)
         n //= 2
     return None
 

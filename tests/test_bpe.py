@@ -188,3 +188,35 @@ def test_distinct_words_of_a_slice_are_looked_up_once():
     part = pa.array([["b"], *rows], pa.list_(pa.string())).slice(1)
     assert B._ids_of(part, {}, tok2id, ranks).to_pylist() == got.to_pylist()
     assert B._ids_of(part.slice(0, 0), {}, tok2id, ranks).to_pylist() == []
+
+
+def test_merges_over_all_words_at_once_equal_those_word_by_word():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    words = [draw.integers(0, 3, draw.integers(1, 30)).tolist() for _ in range(300)]
+    merges = [(0, 0, 3), (1, 2, 4), (3, 3, 5), (3, 0, 6), (4, 4, 7), (2, 2, 8), (5, 1, 9)]
+    rank = {(a, b): k for k, (a, b, _) in enumerate(merges)}
+    flat, sizes = B._merged_words(np.array([x for w in words for x in w]), np.array([len(w) for w in words]), merges)
+    ends = np.cumsum(sizes)
+    assert [flat[e - n : e].tolist() for n, e in zip(sizes, ends)] == [B._merge_ids(w, rank, merges) for w in words]
+
+
+def test_triples_are_counted_in_batches(spark):
+    from collections import Counter
+
+    words = [(3, [1, 2, 1, 2, 2]), (2, [2, 1, 2]), (5, [1, 2]), (7, [4, 1, 2, 4]), (1, [2, 2, 2, 2])]
+    pairs = [(1, 2), (2, 1), (2, 2)]
+    near = Counter()
+    for f, w in words:
+        for x, y, z in zip(w, w[1:], w[2:]):
+            near[(y, z), 0, x] += f
+            near[(x, y), 1, z] += f
+    bounds, destroyed = B._neighbour_stats(spark.createDataFrame(words, B.WORD_TYPE), pairs)
+    assert bounds == {p: max(c for (q, _, _), c in near.items() if q == p) for p in pairs}
+    want = {}
+    for (p, side, o), c in near.items():
+        q = (p[1], o) if side else (o, p[0])
+        if p in pairs and q in pairs:
+            want[p, q] = max(want.get((p, q), 0), c)
+    assert destroyed == want
