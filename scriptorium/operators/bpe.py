@@ -53,7 +53,7 @@ from ..session import ensure_checkpoint_dir
 DEFAULT_SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
 WORDS_PER_PARTITION = 500_000
 # What the driver holds in a round: pairs, and symbols of the words that hold them.
-MOST_PAIRS, MOST_SYMBOLS, FEW_PAIRS = 20_000, 6_000_000, 8
+MOST_PAIRS, MOST_SYMBOLS, FEW_PAIRS = 20_000, 3_000_000, 8
 LONG_WORD = 64
 PACKED_WORDS = 50_000
 # Symbols counted together by a task; merges up to which a task looks for each in all its words at once.
@@ -376,17 +376,21 @@ def _merge_run(freqs: np.ndarray, ids: np.ndarray, sizes: np.ndarray, counts: di
     places of its left symbols are kept, which may have gone since."""
     n = len(ids)
     word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    inner = word[1:] == word[:-1]
-    nxt, prv = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
-    nxt[:-1][inner] = np.flatnonzero(inner) + 1
-    prv[1:][inner] = np.flatnonzero(inner)
+    nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    ends = np.cumsum(sizes)[sizes > 0]
+    nxt[ends - 1] = -1
+    prv[ends - sizes[sizes > 0]] = -1
     keys = _pair_keys(counts)
-    first = np.flatnonzero(inner).astype(np.int32)
-    pairs = ids[first].astype(np.int64) << 32 | ids[first + 1]
-    at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1).astype(np.int32)
-    held = keys[at] == pairs
-    first, at = first[held], at[held]
-    del pairs, held
+    places, which = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+    for lo in range(0, n, TOGETHER):
+        first = lo + np.flatnonzero(nxt[lo : lo + TOGETHER] >= 0).astype(np.int32)
+        pairs = ids[first].astype(np.int64) << 32 | ids[first + 1]
+        at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+        held = keys[at] == pairs
+        places.append(first[held])
+        which.append(at[held].astype(np.int32))
+    first, at = np.concatenate(places), np.concatenate(which)
+    del places, which
     where: dict[tuple[int, int], list[np.ndarray]] = {p: [] for p in counts}
     if len(at):
         order, begin, end = _grouped(at)

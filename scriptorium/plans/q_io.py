@@ -31,15 +31,6 @@ def scratch(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
 
 
-def _open_folder(root: str):
-    """(file system, path in it) of a folder, as a task reaches it."""
-    from pyarrow import fs
-
-    if root.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + root[len("file:"):].lstrip("/")
-    return (fs.LocalFileSystem(), root) if "://" not in root else fs.FileSystem.from_uri(root)
-
-
 FOLDERS = 64
 
 
@@ -54,7 +45,7 @@ def _write_files(df, keys: list[str], root: str) -> None:
 
         from pyspark import TaskContext
 
-        where, base = _open_folder(root)
+        where, base = RD.open_folder(root)
         part, made = TaskContext.get().partitionId(), set()
         for n, (key, group) in enumerate(groupby(rows, key=lambda r: r[:-1])):
             folder = f"{base}/{part:05d}-{n % FOLDERS:02d}"
@@ -220,7 +211,7 @@ class _FileStore:
     def __call__(self):
         import json
 
-        where, root = _open_folder(self.root)
+        where, root = RD.open_folder(self.root)
         where.create_dir(root, recursive=True)
 
         def insert_many(batch, key):

@@ -6,6 +6,10 @@ JSON functions rather than Python parsing.
 
 from __future__ import annotations
 
+import itertools
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,16 +31,114 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
 
 
+def open_folder(root: str):
+    """(file system, path in it) of a folder, as a task reaches it."""
+    from pyarrow import fs
+
+    if root.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + root[len("file:"):].lstrip("/")
+    return (fs.LocalFileSystem(), root) if "://" not in root else fs.FileSystem.from_uri(root)
+
+
+# A group of files that one task reads in turn; bytes of them that it holds.
+GROUP_FILES, HELD_BYTES = 1_000, 4 << 20
+
+
+def _roots(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """What the path or pattern names, with whether it is a folder."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    return [(x.getPath().toString(), x.isDirectory()) for x in fs.globStatus(p) or ()]
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's file sources skip."""
+    return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+
+
+def _listed_by_tasks(spark: SparkSession, roots: list[tuple[str, bool]], glob: str) -> DataFrame:
+    """``source_document, value`` of the files of the roots. Tasks list the folders and read the
+    files by group, so the driver has a row for each root and none for a file."""
+    name_like = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()
+
+    def groups(batches):
+        from pyarrow import fs
+
+        like = re.compile(name_like)
+
+        def names(where, at: str, below: str):
+            for x in where.get_file_info(fs.FileSelector(at)):
+                if _hidden(x.base_name):
+                    continue
+                if x.type == fs.FileType.Directory:
+                    if "=" in x.base_name:  # a folder of a partitioned table
+                        yield from names(where, x.path, f"{below}{x.base_name}/")
+                elif like.fullmatch(x.base_name):
+                    yield below + x.base_name
+
+        for batch in batches:
+            for root, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if folder:
+                    where, at = open_folder(root)
+                    found = names(where, at, "")
+                else:
+                    root, _, name = root.rpartition("/")
+                    found = iter([name] if like.fullmatch(name) and not _hidden(name) else [])
+                while some := list(itertools.islice(found, GROUP_FILES)):
+                    yield pa.RecordBatch.from_pylist([{"root": root, "names": some}])
+
+    def read(batches):
+        docs, values, held = [], [], 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                where, at = open_folder(r["root"])
+                shown = re.sub("^file:(//)?", "", r["root"]).rstrip("/")
+                for name in r["names"]:
+                    with where.open_input_stream(f"{at.rstrip('/')}/{name}") as f:
+                        value = f.read()
+                    if not value:  # Spark's reader gives no row for it
+                        continue
+                    docs.append(f"{shown}/{name}")
+                    values.append(value)
+                    held += len(value)
+                    if held >= HELD_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(values, pa.binary())], names=["source_document", "value"])
+                        docs, values, held = [], [], 0
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(values, pa.binary())], names=["source_document", "value"])
+
+    tasks = spark.sparkContext.defaultParallelism
+    rows = spark.createDataFrame(roots, "root string, folder boolean").repartition(max(1, min(len(roots), max(tasks, len(roots) // 16))))
+    dealt = rows.mapInArrow(groups, "root string, names array<string>").repartition(max(4 * tasks, len(roots) // 16))
+    return dealt.mapInArrow(read, "source_document string, value binary").withColumn("value", F.col("value").cast("string"))
+
+
+def _opens(path: str) -> bool:
+    try:
+        open_folder(path)
+    except Exception:  # a store that only Spark's readers know
+        return False
+    return True
+
+
 def read_text_folder(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """One row per ``*.txt`` file: ``source_document`` (plain path) and ``text`` with
     Python text-mode newlines. Files whose names start with ``_`` or ``.`` are skipped by
-    the file source; undecodable bytes become U+FFFD (flag with ``bad_utf8``)."""
-    raw = spark.read.text(path, wholetext=True, pathGlobFilter=glob)
-    p = F.col("_metadata.file_path")
-    plain = F.url_decode(F.replace(p, F.lit("+"), F.lit("%2B")))
-    plain = F.regexp_replace(plain, F.lit("^file:(//)?"), F.lit(""))
+    the file source, as are empty ones; undecodable bytes become U+FFFD (flag with ``bad_utf8``).
+
+    Where tasks can open the store (a shared folder, or one that pyarrow knows), they list the
+    folders that ``path`` names. In any other store Spark's reader does, whose driver holds a
+    record of each file."""
+    roots = _roots(spark, path)
+    if roots and _opens(roots[0][0]):
+        raw = _listed_by_tasks(spark, roots, glob)
+    else:
+        raw = spark.read.text(path, wholetext=True, pathGlobFilter=glob)
+        plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        raw = raw.select(F.regexp_replace(plain, F.lit("^file:(//)?"), F.lit("")).alias("source_document"), "value")
     return raw.select(
-        plain.alias("source_document"),
+        "source_document",
         T.normalize_newlines("value").alias("text"),
         F.col("value").contains("�").alias("bad_utf8"),
     )

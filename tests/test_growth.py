@@ -43,3 +43,23 @@ def test_line_numbers_do_not_shuffle_lines(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x\ny\n")
     plan = RD.read_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_text_folders_are_listed_by_tasks(spark, tmp_path):
+    """The driver knows the folders that the path names, not their files."""
+    base = tmp_path / "t"
+    for k in range(3):
+        (base / f"a {k}").mkdir(parents=True)
+        for i in range(40):
+            (base / f"a {k}" / f"é+{i}%20.txt").write_bytes(f"{k}\r\n{i}".encode())
+    (base / "a 0" / "bad.txt").write_bytes(b"x\xff")
+    (base / "a 0" / "empty.txt").write_bytes(b"")
+    (base / "a 1" / "k=1").mkdir()
+    (base / "a 1" / "plain").mkdir()
+    (base / "a 1" / "plain" / "no.txt").write_bytes(b"no")
+    files = RD.read_text_folder(spark, f"{base}/*")
+    assert files.inputFiles() == []
+    want = {f"{base}/a {k}/é+{i}%20.txt": f"{k}\n{i}" for k in range(3) for i in range(40)} | {f"{base}/a 0/bad.txt": "x�"}
+    assert {r.source_document: r.text for r in files.collect()} == want and files.count() == len(want)
+    one = RD.read_text_folder(spark, f"{base}/a 0/bad.txt").collect()
+    assert [(r.source_document, r.text) for r in one] == [(f"{base}/a 0/bad.txt", "x�")]
