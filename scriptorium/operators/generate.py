@@ -149,7 +149,7 @@ def generate_instructions(
         scored = with_scored_pairs(parsed, "qa_pairs", scorer, threshold, native_scorer)
     path = f"{base}/pairs"
     scored = scored.drop("response")  # stored already
-    scored.write.parquet(path)
+    scored.write.option("compression", "zstd").parquet(path)
     scored = spark.read.schema(scored.schema).parquet(path)
     append_jsonl(synth.to_instruction_rows(scored, "kept_pairs", score_col="reward_score").drop("pair_no"), output_dir)
     outcome = synth.classify_call_result(F.col("text"), F.col("status"), F.col("qa_pairs"))

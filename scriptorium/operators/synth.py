@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import qa_parse as Q
+from ..sources.sinks import append_jsonl
 
 # Prompt templates by language; the first {} is the number of pairs, the second the text.
 PROMPT_TEMPLATES = {
@@ -158,9 +159,9 @@ def map_completions(
 
 
 def stored_completions(df: DataFrame, path: str) -> DataFrame:
-    """Write raw responses as JSON lines before anything is parsed, and read them back: a
-    later failure, or a second use, never calls the model again."""
-    df.write.mode("append").option("ignoreNullFields", "false").json(path)
+    """Write raw responses as compressed JSON lines before anything is parsed, and read them
+    back: a later failure, or a second use, never calls the model again."""
+    append_jsonl(df, path, compressed=True)
     return df.sparkSession.read.schema(df.schema).json(path)
 
 

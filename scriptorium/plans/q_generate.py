@@ -98,9 +98,9 @@ def q_generate_incrementally(spark, sf_dir):
             spark, src, out, f"{base}/checkpoint", model, language="english", pairs_per_chunk=N_PAIRS, parallelism=CALLERS, scorer=answer_length, threshold=THRESHOLD
         )
 
-    SK.append_jsonl(c.where(doc % 2 == 0), src)
+    SK.append_jsonl(c.where(doc % 2 == 0), src, compressed=True)
     run(flaky_model)
-    SK.append_jsonl(c.where((doc % 2 == 1) | (doc % 4 == 0)), src)
+    SK.append_jsonl(c.where((doc % 2 == 1) | (doc % 4 == 0)), src, compressed=True)
     run(flaky_model)
     run(steady_model)
     return _rows(spark, out)

@@ -12,13 +12,21 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """UTF-8 JSON lines, non-ASCII kept as is, null fields written as ``null``."""
-    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+# A compressed file is read by one task.
+ROWS_IN_FILE = 100_000
 
 
-def append_jsonl(df: DataFrame, path: str) -> None:
-    write_jsonl(df, path, mode="append")
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", compressed: bool = False) -> None:
+    """UTF-8 JSON lines, non-ASCII kept as is, null fields written as ``null``. ``compressed``:
+    by gzip, at most ``ROWS_IN_FILE`` rows in a file."""
+    out = df.write.mode(mode).option("ignoreNullFields", "false")
+    if compressed:
+        out = out.option("compression", "gzip").option("maxRecordsPerFile", ROWS_IN_FILE)
+    out.json(path)
+
+
+def append_jsonl(df: DataFrame, path: str, compressed: bool = False) -> None:
+    write_jsonl(df, path, mode="append", compressed=compressed)
 
 
 def _batched(it: Iterable, n: int):

@@ -31,7 +31,7 @@ def discover(spark: SparkSession, input_dir: str, checkpoint_dir: str, max_files
     chunks = reader.json(input_dir).where(F.col("text").isNotNull() & (F.col("text") != ""))
 
     def keep(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{inbox}/epoch={epoch_id}")
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{inbox}/epoch={epoch_id}")
 
     q = chunks.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -63,3 +63,19 @@ def test_text_folders_are_listed_by_tasks(spark, tmp_path):
     assert {r.source_document: r.text for r in files.collect()} == want and files.count() == len(want)
     one = RD.read_text_folder(spark, f"{base}/a 0/bad.txt").collect()
     assert [(r.source_document, r.text) for r in one] == [(f"{base}/a 0/bad.txt", "x�")]
+
+
+def test_a_run_compresses_what_it_keeps(spark, tmp_path):
+    """The inbox, the raw responses and the pairs; the output stays plain JSON lines."""
+    from scriptorium.sources import sinks as SK
+    from scriptorium.streaming.incremental import generate_incrementally
+
+    chunks = spark.createDataFrame([("word " * 300, "d", f"c{i}", 1) for i in range(50)], RD.CHUNK_SCHEMA).coalesce(1)
+    SK.append_jsonl(chunks, f"{tmp_path}/in", compressed=True)
+    model = lambda p: '[{"question": "%d", "answer": "a"}]' % p.count("word")
+    run = generate_incrementally(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck", model, language="english", pairs_per_chunk=2, parallelism=2)
+    assert run.outcomes.count() == 50 and spark.read.json(f"{tmp_path}/out").count() == 50
+    names = lambda at, kind: [p.name for p in tmp_path.glob(f"{at}/{kind}")]
+    kept = names("in", "part-*") + names("ck/inbox/*", "part-*") + names("ck/work/*/*", "part-*")
+    assert kept and all(x.endswith((".json.gz", ".zstd.parquet")) for x in kept)
+    assert all(x.endswith(".json") for x in names("out", "part-*"))
