@@ -53,7 +53,7 @@ from ..session import ensure_checkpoint_dir
 DEFAULT_SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
 WORDS_PER_PARTITION = 500_000
 # What the driver holds in a round: pairs, and symbols of the words that hold them.
-MOST_PAIRS, MOST_SYMBOLS, FEW_PAIRS = 20_000, 3_000_000, 8
+MOST_PAIRS, MOST_SYMBOLS, FEW_PAIRS = 20_000, 4_000_000, 8
 LONG_WORD = 64
 PACKED_WORDS = 50_000
 # Symbols counted together by a task; merges up to which a task looks for each in all its words at once.
@@ -369,8 +369,9 @@ def _merge_run(freqs: np.ndarray, ids: np.ndarray, sizes: np.ndarray, counts: di
     words; the words' ``ids`` end to end), as long as the best pair comes before ``stop``, the
     place in the order (-count, l, r) of the first pair that is no candidate. Pairs that are not
     tracked only lose occurrences, except where a merge reuses a token: such a pair is tracked
-    with an upper bound, and the run ends when that is the best. ``accept(a, b)`` gives the id of
-    a merged token, or None at the end of the training.
+    with an upper bound, and the run ends when that is the best. A pair with a token made for the
+    first time is tracked only if it comes before ``stop``: it gets no more occurrences.
+    ``accept(a, b)`` gives the id of a merged token, or None at the end of the training.
 
     A symbol knows the places of its neighbours in the word (-1: none); of each tracked pair the
     places of its left symbols are kept, which may have gone since."""
@@ -403,8 +404,8 @@ def _merge_run(freqs: np.ndarray, ids: np.ndarray, sizes: np.ndarray, counts: di
     heapq.heapify(heap)
     loose: set[tuple[int, int]] = set()
     done: set[tuple[int, int]] = set()
+    made: set[int] = set()
     merges: list[tuple[int, int, int]] = []
-
     marked = np.zeros(n, bool)
 
     def beside(places: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -440,6 +441,8 @@ def _merge_run(freqs: np.ndarray, ids: np.ndarray, sizes: np.ndarray, counts: di
             break
         merges.append((a, b, new))
         done.add(p)
+        first_made = new >= first_new and new not in made
+        made.add(new)
         risen = set()
         left, where[p] = where[p], []
         if not left:
@@ -465,9 +468,10 @@ def _merge_run(freqs: np.ndarray, ids: np.ndarray, sizes: np.ndarray, counts: di
         for k, f, x, y, places in pairs_at(np.concatenate([left[ends], beside(prv[left], left)])):
             q = (k >> 32, k & 0xFFFFFFFF)
             if q not in counts:
-                fresh = q[0] >= first_new or q[1] >= first_new
-                counts[q], where[q] = 0 if fresh else -stop[0], []
-                if not fresh:
+                if first_made and (-f, *q) >= stop:
+                    continue  # all of its occurrences, and these only go
+                counts[q], where[q] = 0 if first_made else -stop[0], []
+                if not first_made:
                     loose.add(q)
             counts[q] += f
             where[q].append(places[x:y])
